@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import extendible, fingerprints, mixing
+from . import extendible, fingerprints, mixing, toxicity, urls
 
 
 def queries() -> dict:
     return {
         "op3_mixing": mixing.op3_mixing,
+        "op4_url_filter": urls.op4_url_filter,
         "op7_fingerprints": fingerprints.op7_fingerprints,
         "op9_sharding": extendible.op9_sharding,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
