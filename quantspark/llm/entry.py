@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import extendible, fingerprints, mixing, toxicity, urls
+from . import extendible, fingerprints, mixing, packing, toxicity, urls, vectors
 
 
 def queries() -> dict:
     return {
+        "op2_metric_range_join": vectors.op2_metric_range_join,
         "op3_mixing": mixing.op3_mixing,
         "op4_url_filter": urls.op4_url_filter,
+        "op6_packing": packing.op6_packing,
         "op7_fingerprints": fingerprints.op7_fingerprints,
         "op9_sharding": extendible.op9_sharding,
         "op10_toxicity": toxicity.op10_toxicity,
@@ -16,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_sharding": extendible.OP9_SQL}
+    return {"op2_metric_range_join": vectors.OP2_SQL, "op9_sharding": extendible.OP9_SQL}
