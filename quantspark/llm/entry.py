@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import extendible, fingerprints, mixing, packing, toxicity, urls, vectors
+from . import extendible, fingerprints, fixity, mixing, packing, toxicity, urls, vectors
 
 
 def queries() -> dict:
     return {
+        "op1_warc_fixity": fixity.op1_warc_fixity,
         "op2_metric_range_join": vectors.op2_metric_range_join,
         "op3_mixing": mixing.op3_mixing,
         "op4_url_filter": urls.op4_url_filter,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_metric_range_join": vectors.OP2_SQL, "op9_sharding": extendible.OP9_SQL}
+    return {"op1_warc_fixity": fixity.OP1_SQL, "op2_metric_range_join": vectors.OP2_SQL, "op9_sharding": extendible.OP9_SQL}
