@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extendible, fingerprints, fixity, mixing, packing, toxicity, urls, vectors
+from . import extendible, fingerprints, fixity, mixing, packing, setsketch, toxicity, urls, vectors
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_url_filter": urls.op4_url_filter,
         "op6_packing": packing.op6_packing,
         "op7_fingerprints": fingerprints.op7_fingerprints,
+        "op8_setsketch": setsketch.op8_setsketch,
         "op9_sharding": extendible.op9_sharding,
         "op10_toxicity": toxicity.op10_toxicity,
     }
