@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extendible, fingerprints, fixity, mixing, packing, setsketch, toxicity, urls, vectors
+from . import extendible, fingerprints, fixity, mixing, packing, setsketch, suffixes, toxicity, urls, vectors
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_metric_range_join": vectors.op2_metric_range_join,
         "op3_mixing": mixing.op3_mixing,
         "op4_url_filter": urls.op4_url_filter,
+        "op5_suffix_levels": suffixes.op5_suffix_levels,
         "op6_packing": packing.op6_packing,
         "op7_fingerprints": fingerprints.op7_fingerprints,
         "op8_setsketch": setsketch.op8_setsketch,
