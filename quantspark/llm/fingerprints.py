@@ -58,7 +58,7 @@ def with_next(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     Rows with one key are ordered by text. Text is shuffled once, by ranges of the key; the last row of a range takes
     the head of the next range that has rows.
     """
-    placed = docs.select(key, F.coalesce("text", F.lit("")).alias("text")).withColumn("range", range_bucket(docs, key))
+    placed = docs.select(key, F.coalesce("text", F.lit("")).alias("text")).withColumn("range", F.coalesce(range_bucket(docs, key), F.lit(0)))  # never null, so that both uses share one shuffle
     w = W.partitionBy("range").orderBy(F.col(key).asc_nulls_last(), "text")
     rows = placed.withColumn("in_range", F.lead("text").over(w)).withColumn("is_head", F.lag(F.lit(1)).over(w).isNull())
     heads = rows.filter("is_head").select("range", F.col("text").alias("head"))
