@@ -1 +1 @@
-
+"""Rules as Column expressions."""

@@ -1 +1 @@
-
+"""Reading and writing of bars and audit tables."""
