@@ -37,14 +37,18 @@ def _margins(trees, df: DataFrame, features: str) -> DataFrame:
 
 
 def fit(rows: DataFrame, features: str, label: str, held: str, rounds: int = 20, depth: int = 4) -> Boosted:
-    """rows: features array<double>, label 0/1, held boolean (rows that calibrate). rows is a bounded sample."""
+    """rows: features array<double>, label 0/1, held boolean (rows that calibrate).
+
+    rows is a bounded sample, so it is sorted into one partition; the fit then does not depend on how Spark dealt it.
+    """
+    rows = rows.repartition(1).sortWithinPartitions(features, label, held).cache()
     n, ones, held_ones, held_n = rows.agg(F.count("*"), F.sum(label), F.count_if((F.col(label) == 1) & F.col(held)), F.count_if(F.col(held))).first()
     rate = (ones or 0) / n if n else 0.0
     own = rows.filter(~F.col(held))
     if not ones or ones == n or own.select(label).distinct().count() < 2:
         return Boosted(rate)
     flat = own.select(array_to_vector(features).alias("_vector"), F.col(label).cast("double").alias(label))
-    booster = GBTClassifier(featuresCol="_vector", labelCol=label, predictionCol="_class", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=5, subsamplingRate=0.8)
+    booster = GBTClassifier(featuresCol="_vector", labelCol=label, predictionCol="_class", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=5)
     trees = booster.setRawPredictionCol("_raw").setProbabilityCol("_probability").fit(flat)
     enough = held_ones and held_n > held_ones
     base = _margins(trees, rows.filter(held) if enough else rows, features)
