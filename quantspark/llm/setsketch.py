@@ -12,8 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
-from .components import connected_components
+from .common import table, text_batches, written
+from .components import connected_components, forest
 
 #: Registers of a sketch, and how many of them make a band. At similarity 0.8 two documents share no band with
 #: probability (1 - 0.8 ** 4) ** 32, about 5e-8.
@@ -23,7 +23,9 @@ BASE = 1.001
 #: Standard errors below the threshold at which an estimate still goes to verification.
 ERRORS = 5
 #: Rows of a bucket that one task compares with each other at a time.
-BLOCK = 8192
+BLOCK = 2048
+#: Columns of a dense block of shingles when many intersections are counted.
+COLUMNS = 4096
 #: Rows up to which a list of ids is broadcast; beyond it, a shuffled join does the same.
 BROADCAST_ROWS = 1 << 20
 
@@ -137,54 +139,85 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return pairs.join(two, "b").join(one, "a").select("a", "b", "t_a", "t_b").mapInArrow(check, "a long, b long")
 
 
-def _across(top: int | None, percent: int, cut: float):
+def _shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets i and sets j: singly for few pairs, else as products of blocks of columns."""
+    if len(i) < 2000:
+        return np.array([len(np.intersect1d(sets[p], sets[q], assume_unique=True)) for p, q in zip(i, j, strict=True)], np.int64)
+    left, li = np.unique(i, return_inverse=True)
+    right, rj = np.unique(j, return_inverse=True)
+    both = np.concatenate([left, right])
+    row = np.repeat(np.arange(len(both)), [len(sets[k]) for k in both])
+    _, column, count = np.unique(np.concatenate([sets[k] for k in both]), return_inverse=True, return_counts=True)
+    often = count[column] > 1
+    row, column = row[often], np.unique(column[often], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        own = slice(*np.searchsorted(column, [at, at + COLUMNS]))
+        dense = np.zeros((len(both), COLUMNS), np.float32)
+        dense[row[own], column[own] - at] = 1
+        out += dense[: len(left)] @ dense[len(left) :].T
+    return out[li, rj].astype(np.int64)
+
+
+def _across(words: int, percent: int, cut: float):
     def across(key: tuple, rows: pa.Table) -> pa.Table:
-        """Pairs of one bucket's block that are in different components and near by estimate; with top, the nearest so many of each row and other component."""
+        """A forest with the components of the links between rows of one bucket's block that were in different components.
+
+        A pair that shares several bands is looked at in the first of them only. Registers rule out most pairs, and the
+        others are verified on their full sets.
+        """
         cid, root, n, side = (np.asarray(rows.column(c)) for c in ("cid", "root", "n", "side"))
         regs = _regs(rows.column("regs"))
+        keys = np.asarray(rows.column("keys").combine_chunks().flatten()).reshape(len(cid), -1)
+        band = int((keys[0] == key[0].as_py()).argmax())
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(right):
             right = left
-        names, counts = np.unique(root[left], return_counts=True)
-        if right is left:
+            names, counts = np.unique(root[left], return_counts=True)
             left = left[root[left] != names[counts.argmax()]]  # within the largest component nothing is left to find
-        out_a, out_b = [], []
-        step = max(1, (1 << 23) // (len(right) * REGISTERS + 1))
+        texts, sets = rows.column("text"), {}
+        out_i, out_j = [], []
+        step = max(1, (1 << 20) // (len(right) + 1))
         for at in range(0, len(left), step):
             own = left[at : at + step]
             small, large = np.minimum(n[own][:, None], n[right]), np.maximum(n[own][:, None], n[right])
             i, j = np.nonzero((root[own][:, None] != root[right]) & (100 * small >= percent * large))
             i, j = own[i], right[j]
-            for part in range(0, len(i), 1 << 15):
-                p, q = i[part : part + (1 << 15)], j[part : part + (1 << 15)]
-                near = estimate((regs[p] == regs[q]).sum(axis=1), (regs[p] > regs[q]).sum(axis=1), (regs[p] < regs[q]).sum(axis=1), n[p].astype(float), n[q].astype(float))
-                good = near >= cut
-                p, q, near = p[good], q[good], near[good]
-                if top is not None and len(p):
-                    order = np.lexsort((-near, root[q], p))
-                    p, q = p[order], q[order]
-                    new = np.concatenate([[True], (p[1:] != p[:-1]) | (root[q][1:] != root[q][:-1])])
-                    place = np.arange(len(p)) - np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))
-                    p, q = p[place < top], q[place < top]
-                out_a.append(np.minimum(cid[p], cid[q]))
-                out_b.append(np.maximum(cid[p], cid[q]))
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            good = np.zeros(len(i), bool)
+            for a in range(0, len(i), 1 << 14):
+                p, q = i[a : a + (1 << 14)], j[a : a + (1 << 14)]
+                here = ~(keys[p, :band] == keys[q, :band]).any(axis=1)
+                p, q = p[here], q[here]
+                near = estimate((regs[p] == regs[q]).sum(axis=1), (regs[p] > regs[q]).sum(axis=1), (regs[p] < regs[q]).sum(axis=1), n[p].astype(float), n[q].astype(float)) >= cut
+                good[a + np.flatnonzero(here)[near]] = True
+            i, j = i[good], j[good]
+            if len(i):
+                used = np.unique(np.concatenate([i, j]))
+                for k in used:
+                    if k not in sets:
+                        sets[k] = shingles(texts[int(k)].as_py(), words)
+                both = _shared(sets, i, j)
+                linked = 100 * both >= percent * (n[i] + n[j] - both)
+                out_i.append(i[linked])
+                out_j.append(j[linked])
+        node, top = forest(np.concatenate(out_i), np.concatenate(out_j), len(cid)) if out_i else (np.empty(0, np.int64),) * 2
+        return pa.table({"a": pa.array(cid[node], pa.int64()), "b": pa.array(cid[top], pa.int64())})
 
     return across
 
 
-def _in_buckets(members: DataFrame, classes: DataFrame, roots: DataFrame, top: int | None, percent: int, cut: float) -> DataFrame:
-    """Near pairs by estimate within buckets that hold several components; large buckets are compared block by block."""
+def _in_buckets(members: DataFrame, classes: DataFrame, texts: DataFrame, roots: DataFrame, words: int, percent: int, cut: float) -> DataFrame:
+    """Links (a, b) that join components within buckets that hold several; large buckets are compared block by block."""
     rooted = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo != hi and size > 2").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = rooted.join(mixed, "key").join(classes.select("cid", "regs"), "cid")
+    rows = rooted.join(mixed, "key").join(classes.select("cid", "regs", "keys"), "cid").join(texts, "cid")
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     # block pair (i, j), i <= j: rows of block i are on side 0, those of block j on side 1; where i = j there is one side
-    as_left = rows.withColumn("bj", F.explode(F.sequence("blk", F.col("blocks") - 1))).withColumn("bi", F.col("blk")).withColumn("side", F.lit(0))
-    as_right = rows.filter("blk > 0").withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("blk") - 1))).withColumn("bj", F.col("blk")).withColumn("side", F.lit(1))
-    cols = ["key", "bi", "bj", "cid", "root", "n", "side", "regs"]
-    return as_left.select(*cols).unionByName(as_right.select(*cols)).groupBy("key", "bi", "bj").applyInArrow(_across(top, percent, cut), "a long, b long").distinct()
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("blk", x).alias("bi"), F.greatest("blk", x).alias("bj"), (F.col("blk") > x).cast("int").alias("side")))
+    rows = rows.withColumn("pair", F.explode(pair)).select("key", "pair.*", "cid", "root", "n", "regs", "keys", "text")
+    return rows.groupBy("key", "bi", "bj").applyInArrow(_across(words, percent, cut), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
@@ -194,15 +227,15 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     set are one class, by a 128-bit digest of the set, so copies are never paired. Each class has a sketch, whose bands
     deal it to buckets. In every bucket the class with the least id is estimated and then verified against the others;
     that joins nearly all of a group of near copies with one pair for each. What is in different components afterwards
-    within one bucket is compared too: by registers first, block by block, then by full sets for the nearest four of
-    each other component, and at last for all that are near by estimate. So no pair that shares a band goes unseen,
-    and no bucket is expanded into all its pairs.
+    within one bucket is compared there, block by block, by registers first and then on full sets. So no pair that
+    shares a band goes unseen; a task hands on a spanning forest of the links it finds, never pairs.
 
     component_id is the smallest id reachable by links; kept holds where it is the row's own id, and stays holds for
     one row of each component, that with the least (doc_id, tie), tie being a hash of the text. Documents without
     words have n_shingles 0, link with nothing and stay. Repeated rows and ids are rows of their own. Null ids come
     after all others in a component; a component of null ids only has a null id, and kept is false there.
     """
+    text_batches(docs.sparkSession)
     sketches = written(docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(_sketch(words), "doc_id long, tie long, n long, d1 long, d2 long, regs binary, keys array<long>"), "sketches")
     who = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")
     grouped = sketches.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min(who).alias("who"), F.first("regs").alias("regs"), F.first("keys").alias("keys"))
@@ -213,19 +246,17 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
 
     cut = percent / 100 - ERRORS * math.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
     stars = members.filter("cid != centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct()
-    tested = written(_estimated(stars, classes, cut), "candidates")
+    near = written(_estimated(stars, classes, cut), "candidates")
     texts = _texts(docs, classes, members)
-    links = written(_verified(tested, texts, words, percent), "links")
+    links = written(_verified(near, texts, words, percent), "links")
     roots = connected_components(links.toDF("src", "dst"))
-    for top in (4, None):
-        more = written(_in_buckets(members, classes, roots, top, percent, cut).join(tested, ["a", "b"], "left_anti"), "candidates")
-        if more.isEmpty():
-            continue
-        tested = tested.unionByName(more)
-        found = written(_verified(more, texts, words, percent), "links")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = connected_components(links.toDF("src", "dst"))
+    more = written(_in_buckets(members, classes, texts, roots, words, percent, cut), "links")
+    if not more.isEmpty():
+        of = lambda c: roots.toDF(c, f"root_{c}")
+        between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("src"), F.coalesce("root_b", "b").alias("dst"))
+        upper = connected_components(between)
+        roots = classes.select(F.col("cid").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        roots = written(roots.join(upper.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
 
     rooted = classes.select("d1", "d2", "n", "who", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     first = rooted.groupBy("root").agg(F.min("who").alias("first"))
