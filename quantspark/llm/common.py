@@ -31,6 +31,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Has Arrow batches hold so many rows at most from now on: texts are long, and a worker holds a few batches at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def uniform(*cols: Column | str) -> Column:
     """A number in [0, 1) that depends on the values alone, so that reruns agree."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))

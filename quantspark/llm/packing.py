@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, text_batches
 
 WINDOW = 2048
 END_ID = 1
@@ -154,6 +154,7 @@ def packed(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None,
     rows are spread by position, so copies of one row do not meet in one shard. A longer document than a window is
     cut. An empty table gives no rows.
     """
+    text_batches(docs.sparkSession)
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 4)).first()[0] or 0
