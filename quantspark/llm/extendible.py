@@ -27,7 +27,7 @@ def shard(docs: DataFrame, limit: int, key: str = "doc_id", slack_bits: int = 4)
     A single document above the limit is a page of its own. Null text has 0 bytes. An empty table gives no rows.
     """
     hashed = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("long")
-    rows = docs.select(key, hashed.alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    rows = docs.select(key, hashed.alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("row"))
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     top = min(BITS, max(1, math.ceil(math.log2(max(1, total / limit))) + slack_bits))
     leaves, lo, deep = None, 0, top
@@ -41,20 +41,19 @@ def shard(docs: DataFrame, limit: int, key: str = "doc_id", slack_bits: int = 4)
         inside = levels.select("fine", "depth", "prefix").join(fits, ["depth", "prefix"])
         directory = inside.groupBy("fine").agg(F.min(F.struct("depth", "prefix", "shard_bytes")).alias("leaf"))
         placed = left.withColumn("fine", prefix).join(directory, "fine", "left")
-        done = placed.filter("leaf is not null").select(key, "h", "n_bytes", "leaf.*")
+        done = placed.filter("leaf is not null").select(key, "h", "n_bytes", "row", "leaf.*")
         leaves = done if leaves is None else leaves.unionByName(done)
         if deep == BITS or sums.filter((F.col("depth") == deep) & (F.col("shard_bytes") > limit)).isEmpty():
             break
-        left = placed.filter("leaf is null").select(key, "h", "n_bytes")
+        left = placed.filter("leaf is null").select(key, "h", "n_bytes", "row")
         lo, deep = deep + 1, min(BITS, deep + 8)
     bits = F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
     full = leaves.filter(F.col("shard_bytes") > limit)
     fit = leaves.filter(F.col("shard_bytes") <= limit).withColumn("page", F.lit(0).cast("long"))
-    over = full.groupBy("h").count().limit(1).count() if deep == BITS else 0
-    if over:
-        running = F.sum("n_bytes").over(W.partitionBy("h", "salt").orderBy("n_bytes", key).rowsBetween(W.unboundedPreceding, W.currentRow))
+    if deep == BITS and not full.isEmpty():
+        running = F.sum("n_bytes").over(W.partitionBy("h", "salt").orderBy("n_bytes", "row").rowsBetween(W.unboundedPreceding, W.currentRow))
         salts = F.ceil(2 * F.col("shard_bytes") / limit)
-        paged = full.withColumn("salt", F.floor(F.rand(11) * salts)).withColumn("page", F.floor((running - 1) / limit))
+        paged = full.withColumn("salt", F.pmod(F.xxhash64("row"), salts)).withColumn("page", F.floor((running - 1) / limit))
         number = F.dense_rank().over(W.partitionBy("h").orderBy("salt", "page")) - 1
         pages = paged.groupBy("h", "salt", "page").agg(F.sum("n_bytes").alias("page_bytes")).withColumn("number", number.cast("long"))
         paged = paged.join(pages, ["h", "salt", "page"]).drop("page", "shard_bytes").withColumnsRenamed({"number": "page", "page_bytes": "shard_bytes"})

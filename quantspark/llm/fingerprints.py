@@ -12,8 +12,8 @@ from .common import table, written
 RANGE_DOCS = 2048
 #: Ranges of the histogram that evens out how ids are spread.
 COARSE = 1024
-#: Digests (16 bytes each) up to which the list of repeated ones is broadcast; beyond it, a shuffled join does the same.
-BROADCAST_KEYS = 1 << 21
+#: Digests (32 characters each) up to which the list of repeated ones is broadcast; beyond it, a shuffled join does the same.
+BROADCAST_KEYS = 1 << 19
 
 
 def canonical(text: Column) -> Column:
@@ -56,7 +56,7 @@ def with_next(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs(key, text) -> key, text, next_text: the text of the next row in order of key; after the last comes the first.
 
     Rows with one key are ordered by text. Text is shuffled once, by ranges of the key; the last row of a range takes
-    the head of the next range that has rows.
+    the head of the next range that has rows. Numbers of ranges, one for about RANGE_DOCS rows, pass through one task.
     """
     placed = docs.select(key, F.coalesce("text", F.lit("")).alias("text")).withColumn("range", F.coalesce(range_bucket(docs, key), F.lit(0)))  # never null, so that both uses share one shuffle
     w = W.partitionBy("range").orderBy(F.col(key).asc_nulls_last(), "text")
