@@ -10,14 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, text_batches, written
 
 #: Bytes of a repeated string, and bytes of the prefix by which a suffix is sampled.
 LENGTH, PREFIX = 100, 32
 #: Bytes of text that are hashed at a time; a longer text goes in overlapping segments.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
+#: Bytes of text whose suffixes are sorted at a time; a worker holds the runs of so much.
+BATCH_BYTES = 8 << 20
 #: Bytes of text for each shard of the suffix order.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Different contexts of one prefix in one batch above which all of them go straight to the comparison window by window.
 MANY = 256
 
@@ -107,7 +109,7 @@ def sampled_suffixes(docs: np.ndarray, texts: list[bytes]) -> np.ndarray:
         p, q = first[new], first[np.append(new[1:], len(first)) - 1]
         of = np.searchsorted(starts, p, side="right") - 1
         run = np.empty(len(p), _RUN)
-        run["key"] = keys[at[new]]
+        run["key"] = _mix(keys[at[new]])  # least hashes are small; mixed again, they spread over the shards
         run["content"] = _mix(((sums[q + LENGTH] - sums[p]) * _INVERSE[p]) ^ (q - p).astype(np.uint64))
         run["doc"], run["start"], run["n"] = docs[which[of]], p - starts[of] + base[of], q - p + 1
         out.append(run)
@@ -154,11 +156,17 @@ class Levels:
         return out
 
 
-def _rows(runs: np.ndarray, unclear: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(runs["doc"]), pa.array(runs["start"].astype(np.int64)), pa.array(runs["n"].astype(np.int64)), pa.array(np.full(len(runs), unclear))], ["doc", "start", "n", "unclear"])
+#: What is known of a run: it starts earlier as a whole; its prefix has other contexts; so many that they may not meet in one task.
+REPEATED, UNCLEAR, HOT = 0, 1, 2
+#: Marks a run, in n, whose prefix has more contexts in its batch than were sent on.
+_MARK = 1 << 31
 
 
-_FOUND = "doc long, start long, n long, unclear boolean"
+def _rows(runs: np.ndarray, kind: int | np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(runs["doc"]), pa.array(runs["start"].astype(np.int64)), pa.array((runs["n"] & ~np.uint32(_MARK)).astype(np.int64)), pa.array(np.broadcast_to(np.int32(kind), len(runs)))], ["doc", "start", "n", "kind"])
+
+
+_FOUND = "doc long, start long, n long, kind int"
 
 
 def _dealt(shards: int, main: np.ndarray, repeated: np.ndarray, unclear: np.ndarray) -> pa.RecordBatch:
@@ -197,13 +205,27 @@ def _batch(runs: np.ndarray, shards: int) -> pa.RecordBatch:
     counts = np.diff(np.append(new, len(runs)))
     hot = np.repeat(counts > MANY, counts)
     stays = ~hot
-    stays[new[counts > MANY]] = stays[new[counts > MANY] + 1] = True
+    for k in (0, 1):
+        stays[new[counts > MANY] + k] = True
+        runs["n"][new[counts > MANY] + k] |= np.uint32(_MARK)
     return _dealt(shards, runs[stays], repeated, runs[~stays])
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches put together to about BATCH_BYTES, so that more repeats meet before the shuffle."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= BATCH_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _find(shards: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _gathered(batches):
             if b.num_rows:
                 yield _batch(sampled_suffixes(np.asarray(b.column("doc")), b.column("text").cast(pa.binary()).to_pylist()), shards)
 
@@ -213,62 +235,123 @@ def _find(shards: int):
 def _match(key: tuple, rows: pa.Table) -> pa.Table:
     """Of one shard: runs that also start earlier as a whole, and first runs whose prefix has other contexts as well."""
     levels = Levels()
+    marked = []
     for blob in rows.column("main").to_pylist():
-        levels.add(_runs(blob))
+        runs = _runs(blob)
+        marked.append(runs["key"][runs["n"] >= _MARK])
+        levels.add(runs)
     firsts = levels.scan()
-    same = np.zeros(len(firsts), bool)
-    same[1:] = firsts["key"][1:] == firsts["key"][:-1]
-    same[:-1] |= same[1:]
-    out = [_rows(x, False) for x in levels.repeated] + [_rows(_runs(x), False) for x in rows.column("repeated").to_pylist()]
-    out += [_rows(firsts[same], True)] + [_rows(_runs(x), True) for x in rows.column("unclear").to_pylist()]
+    new = np.flatnonzero(np.concatenate([[True], firsts["key"][1:] != firsts["key"][:-1]])) if len(firsts) else np.empty(0, np.int64)
+    counts = np.diff(np.append(new, len(firsts)))
+    contexts = np.repeat(counts, counts)
+    hot = (contexts > MANY * MANY) | np.isin(firsts["key"], np.concatenate(marked)) if len(firsts) else np.empty(0, bool)
+    unclear = contexts > 1
+    out = [_rows(x, REPEATED) for x in levels.repeated] + [_rows(_runs(x), REPEATED) for x in rows.column("repeated").to_pylist()]
+    out += [_rows(firsts[unclear], np.where(hot[unclear], HOT, UNCLEAR))] + [_rows(_runs(x), HOT) for x in rows.column("unclear").to_pylist()]
     return pa.Table.from_batches(out)
 
 
-def _single_strings(docs: np.ndarray, texts: list[bytes], spans: list[np.ndarray]) -> np.ndarray:
-    """Every string in the given runs as a run of its own, under two independent hashes of its bytes."""
+def _single_strings(docs: np.ndarray, texts: list[bytes], bases: np.ndarray) -> np.ndarray:
+    """Every string of LENGTH bytes of the given parts of texts as a run of its own, under two independent hashes of its bytes."""
     out = []
-    for doc, text, own in zip(docs, texts, spans, strict=True):
-        start, n = own >> 32, own & 0xFFFFFFFF
-        where = np.unique(np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()))
-        for a in range(0, len(text) - LENGTH + 1, SEGMENT - LENGTH + 1):
-            part = np.frombuffer(text[a : a + SEGMENT], np.uint8)
-            p = where[(where >= a) & (where <= a + len(part) - LENGTH) & (where < a + SEGMENT - LENGTH + 1)] - a
-            if not len(p):
-                continue
-            sums = _prefix_sums(part)
-            half = LENGTH // 2
-            run = np.empty(len(p), _RUN)
-            whole, left = (sums[p + LENGTH] - sums[p]) * _INVERSE[p], (sums[p + half] - sums[p]) * _INVERSE[p]
-            run["key"], run["content"] = _mix(whole), _mix(left)
-            run["doc"], run["start"], run["n"] = doc, p + a, 1
-            out.append(run)
+    half = LENGTH // 2
+    for text, which, starts, base in _segments(texts):
+        sums = _prefix_sums(text)
+        counts = np.append(starts[1:], len(text)) - starts - LENGTH + 1
+        p = np.repeat(starts - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+        of = np.repeat(np.arange(len(starts)), counts)
+        run = np.empty(len(p), _RUN)
+        run["key"], run["content"] = _mix((sums[p + LENGTH] - sums[p]) * _INVERSE[p]), _mix((sums[p + half] - sums[p]) * _INVERSE[p])
+        run["doc"], run["start"], run["n"] = docs[which[of]], p - starts[of] + base[of] + bases[which[of]], 1
+        out.append(run)
     return np.concatenate(out) if out else np.empty(0, _RUN)
 
 
-def _compare(shards: int):
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                spans = [np.array(x, np.int64) for x in b.column("spans").to_pylist()]
-                yield _batch(_single_strings(np.asarray(b.column("doc")), b.column("text").cast(pa.binary()).to_pylist(), spans), shards)
+def _neighbours_joined(runs: np.ndarray) -> np.ndarray:
+    """Single strings that start side by side as runs."""
+    runs = runs[np.lexsort((runs["start"], runs["doc"]))]
+    new = np.flatnonzero(np.concatenate([[True], (runs["doc"][1:] != runs["doc"][:-1]) | (runs["start"][1:] != runs["start"][:-1] + 1)])) if len(runs) else np.empty(0, np.int64)
+    out = runs[new]
+    out["n"] = np.diff(np.append(new, len(runs)))
+    return out
+
+
+_PARTS = "shard int, hot boolean, docs binary, starts binary, lengths binary, bytes binary, main binary, repeated binary, unclear binary"
 
-    return compare
+
+def _unclear_parts(shards: int):
+    """The unclear runs of documents with their bytes, dealt by prefix as before; hot ones as single strings, dealt by their own hash."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _gathered(batches):
+            docs, starts, own, hot = [], [], [], []
+            for doc, text, spans in zip(b.column("doc").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist(), strict=True):
+                for span in spans:
+                    start, n = span >> 32, span & (_MARK - 1)
+                    docs.append(doc)
+                    starts.append(start)
+                    own.append(text[start : start + n - 1 + LENGTH])
+                    hot.append(bool(span & _MARK))
+            if not own:
+                continue
+            docs, starts, hot = np.array(docs, np.int64), np.array(starts, np.int64), np.array(hot)
+            cool, warm = np.flatnonzero(~hot), np.flatnonzero(hot)
+            found = sampled_suffixes(cool, [own[k] for k in cool])
+            key = np.zeros(len(own), np.uint64)
+            key[found["doc"]] = found["key"]
+            shard = (key >> _U(32)) * _U(shards) >> _U(32)
+            empty, rows = b"", []
+            for s in np.unique(shard[cool]):
+                at = cool[shard[cool] == s]
+                texts = [own[k] for k in at]
+                rows.append((int(s), False, docs[at].tobytes(), starts[at].astype("<u4").tobytes(), np.array([len(t) for t in texts], "<u4").tobytes(), b"".join(texts), empty, empty, empty))
+            if len(warm):
+                dealt = _batch(_single_strings(docs[warm], [own[k] for k in warm], starts[warm]), shards)
+                rows += [(r["shard"], True, empty, empty, empty, empty, r["main"], r["repeated"], r["unclear"]) for r in dealt.to_pylist()]
+            types = [pa.int32(), pa.bool_(), *[pa.binary()] * 7]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in _PARTS.split(", ")])
+
+    return parts
+
+
+def _match_strings(key: tuple, rows: pa.Table) -> pa.Table:
+    """Of one shard: strings that also start earlier, neighbours joined."""
+    levels, settled = Levels(), []
+    for r in rows.to_pylist():
+        if r["hot"]:
+            levels.add(_runs(r["main"]))
+            settled.append(_runs(r["repeated"]))
+            continue
+        cuts = np.concatenate([[0], np.cumsum(np.frombuffer(r["lengths"], "<u4"), dtype=np.int64)])
+        texts = [r["bytes"][a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+        levels.add(_deduplicated(_single_strings(np.frombuffer(r["docs"], "<i8"), texts, np.frombuffer(r["starts"], "<u4").astype(np.int64)), settled))
+    levels.scan()
+    found = [*levels.repeated, *settled]
+    return pa.Table.from_batches([_rows(_neighbours_joined(np.concatenate(found) if found else np.empty(0, _RUN)), REPEATED)])
+
+
+def _deduplicated(runs: np.ndarray, settled: list[np.ndarray]) -> np.ndarray:
+    runs = _sorted(runs)
+    first = _first_of_class(runs)
+    settled.append(runs[~first])
+    return runs[first]
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with doc, a long that orders documents: the id, or where ids repeat or are null the rank by id and text hash."""
+    """docs(doc_id, text, rest) with doc, a long that orders documents: the id, or where ids repeat or are null the rank by id and text hash."""
+    own = ["doc_id", F.coalesce("text", F.lit("")).alias("text"), "rest"]
     ids = docs.groupBy("doc_id").count()
     if ids.filter("count > 1 or doc_id is null").isEmpty():
-        return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc"))
-    tied = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+        return docs.select(*own, F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc"))
+    tied = docs.select(*own).withColumn("tie", F.xxhash64("text"))
     ranks = tied.select("doc_id", "tie").distinct().repartitionByRange(F.col("doc_id").asc_nulls_last(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "tie")
     ranks = written(ranks.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.monotonically_increasing_id().alias("doc")), "ranks")
     out = tied.join(ranks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
-    return out.select("doc_id", "text", F.coalesce("doc", F.lit(0)).cast("long").alias("doc"))
+    return out.select("doc_id", "text", "rest", F.coalesce("doc", F.lit(0)).cast("long").alias("doc"))
 
 
 def repeated_strings(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, text, spans: for each row the strings of LENGTH bytes that also start earlier.
+    """docs(doc_id, text, ...) -> text, rest, spans (rest: all columns but text; null text is empty): for each row the strings of LENGTH bytes that also start earlier.
 
     spans is an array of start * 2 ** 32 + number of neighbouring starts, or null. Texts are UTF-8 bytes, null is empty,
     and strings lie in one text. Earlier means a smaller doc_id, or the same document and an earlier start.
@@ -277,20 +360,24 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     which every such string has, about one byte in 35. A batch of documents gets its sampled suffixes sorted; shards of
     the sorted order merge the batches in a logarithmic family of levels, and each merge scan finds runs of strings that
     also start earlier as a whole. Runs whose prefix is elsewhere in other contexts (at the ends of repeated passages)
-    are compared string by string in the same way. Strings are equal if two 64-bit hashes agree. Rows that agree in
+    are compared string by string in the same way, after their bytes have been dealt by prefix; prefixes in very many
+    contexts are dealt by the strings' own hashes instead. Strings are equal if two 64-bit hashes agree. Rows that agree in
     doc_id and text are one document and get one result; other rows with one id follow each other by a hash of the
     text, and null ids come last. An empty table gives no rows.
     """
-    docs = _numbered(docs.select("doc_id", "text"))
+    text_batches(docs.sparkSession)
+    rest = F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("rest")
+    docs = _numbered(docs.select("doc_id", "text", rest)).select("doc", "text", "rest")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     found = written(docs.select("doc", "text").mapInArrow(_find(shards), _DEALT).groupBy("shard").applyInArrow(_match, _FOUND), "runs")
-    packed = F.collect_list(F.shiftleft("start", 32) + F.col("n")).alias("spans")
-    unclear = found.filter("unclear").groupBy("doc").agg(packed)
-    single = docs.select("doc_id", "text", "doc").join(unclear, "doc").select("doc", "text", "spans").mapInArrow(_compare(shards), _DEALT)
-    strings = single.groupBy("shard").applyInArrow(_match, _FOUND).filter("not unclear")
-    spans = found.filter("not unclear").unionByName(strings).groupBy("doc").agg(packed)
-    return docs.join(spans, "doc", "left").select("doc_id", "text", "spans")
+    span = lambda n: F.collect_list(F.shiftleft("start", 32) + n).alias("spans")
+    unclear = found.filter(F.col("kind") != REPEATED).groupBy("doc").agg(span(F.col("n") + F.when(F.col("kind") == HOT, F.lit(_MARK)).otherwise(0)))
+    # both joins take the same columns of docs, so that its texts are shuffled once
+    parts = docs.join(unclear, "doc").select("doc", "text", "rest", "spans").mapInArrow(_unclear_parts(shards), _PARTS)
+    strings = parts.groupBy("shard").applyInArrow(_match_strings, _FOUND)
+    spans = found.filter(F.col("kind") == REPEATED).unionByName(strings).groupBy("doc").agg(span(F.col("n")))
+    return docs.join(spans, "doc", "left").select("text", "rest", "spans")
 
 
 def kept_parts(text: bytes, spans: list[int] | None) -> tuple[bytes, int, int]:
@@ -316,24 +403,23 @@ def removal_report(docs: DataFrame) -> DataFrame:
                 kept, removed, runs = kept_parts(text, spans)
                 out.append((len(text), removed, runs, hashlib.sha256(kept).hexdigest()))
             c = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column("rest").field("doc_id"), *(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return repeated_strings(docs).mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return repeated_strings(docs.select("doc_id", "text")).mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the repeated bytes taken out of text; characters that lose some of their bytes go. Null texts stay null."""
+    """docs with the repeated bytes taken out of text; characters that lose some of their bytes go. Null texts become empty."""
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [kept_parts(t, s)[0].decode("utf-8", "ignore") for t, s in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_tie"), pa.array(out, pa.string())], ["_id", "_tie", "_kept"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), b.column("rest")], ["text", "rest"])
 
-    found = repeated_strings(docs).filter("spans is not null").select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_tie"), "text", "spans")
-    changed = found.mapInArrow(clean, "_id long, _tie long, _kept string").dropDuplicates(["_id", "_tie"])
-    tied = docs.withColumn("_tie_2", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = tied.join(changed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie_2") == F.col("_tie")), "left")
-    return out.select(*[F.coalesce("_kept", docs[c]).alias(c) if c == "text" else docs[c] for c in docs.columns])
+    found = repeated_strings(docs)
+    rest = found.schema["rest"].dataType.simpleString()
+    out = found.mapInArrow(clean, f"text string, rest {rest}")
+    return out.select(*[F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns])
 
 
 def op5_suffix_levels(spark, sf_dir: str) -> DataFrame:
