@@ -4,11 +4,9 @@ import os
 
 import duckdb
 import pytest
+from helpers import SF, TABLES
 from pyspark.sql import SparkSession
 
-SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -31,14 +29,3 @@ def duck():
         path = f"{SF}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
     return con
-
-
-def plain(rows):
-    """Rows as sorted tuples of texts, for comparison across engines."""
-
-    def text(v):
-        if v is None or v != v:
-            return "null"
-        return repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
-
-    return sorted(tuple(text(v) for v in r) for r in rows)

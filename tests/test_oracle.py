@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SF, plain
+from helpers import SF, plain
 
 import __spark_entry__ as entry
 
