@@ -117,7 +117,11 @@ def sampled_suffixes(docs: np.ndarray, texts: list[bytes]) -> np.ndarray:
 
 
 def _sorted(runs: np.ndarray) -> np.ndarray:
-    return runs[np.lexsort((runs["start"], runs["doc"], runs["content"], runs["key"]))]
+    """Sorted runs, each once: rows that repeat exactly are one document, so a run that they bring again is not an earlier one."""
+    runs = runs[np.lexsort((runs["start"], runs["doc"], runs["content"], runs["key"]))]
+    new = np.ones(len(runs), bool)
+    new[1:] = np.logical_or.reduce([runs[f][1:] != runs[f][:-1] for f in ("key", "content", "doc", "start")])
+    return runs[new]
 
 
 def _first_of_class(runs: np.ndarray) -> np.ndarray:

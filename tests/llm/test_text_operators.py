@@ -220,6 +220,20 @@ def test_suffix_levels(spark, documents, edge):
     assert sorted(map(str, (tuple(r) for r in removal_report(edge).collect()))) == sorted(str(want[i]) for i, _ in rows)
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_repeated_rows_keep_a_text_of_their_own(spark, prose, parts):
+    """In one batch and over several, with strings that are settled as whole runs, string by string, and in a hot prefix."""
+    line = "This notice stands in every document and says the same thing each time it is read by anyone at all, always."
+    rows = [(1, prose(80, 11)), (2, prose(90, 12)), (3, prose(40, 13) + prose(80, 11) + prose(40, 14)), *((k, f"{prose(12, k)} {line} {prose(12, k + 10**6)}") for k in range(10, 310))]
+    want = {r[0]: r for r in removal_by_hand(rows)}
+    assert want[2][2] == 0 and want[3][2] > 100
+    again = rows + [rows[1], rows[2], rows[2], *rows[3:60]]
+    docs = spark.createDataFrame(again, "doc_id long, text string").repartition(parts)
+    assert sorted(map(tuple, removal_report(docs).collect())) == sorted(want[i] for i, _ in again)
+    # characters are whole bytes here, so what is left is as long as the report says
+    assert all(len(r.text) == want[r.doc_id][1] - want[r.doc_id][2] for r in without_repeats(docs).collect())
+
+
 def test_hot_prefix_in_many_contexts(spark, prose):
     line = "This notice stands in every document and says the same thing each time it is read by anyone at all, always."
     rows = [(k, f"{prose(12, k)} {line} {prose(12, k + 10**6)}") for k in range(700)]
