@@ -53,10 +53,13 @@ def shard(docs: DataFrame, limit: int, key: str = "doc_id", slack_bits: int = 4)
     if deep == BITS and not full.isEmpty():
         running = F.sum("n_bytes").over(W.partitionBy("h", "salt").orderBy("n_bytes", "row").rowsBetween(W.unboundedPreceding, W.currentRow))
         salts = F.ceil(2 * F.col("shard_bytes") / limit)
-        paged = full.withColumn("salt", F.pmod(F.xxhash64("row"), salts)).withColumn("page", F.floor((running - 1) / limit))
-        number = F.dense_rank().over(W.partitionBy("h").orderBy("salt", "page")) - 1
-        pages = paged.groupBy("h", "salt", "page").agg(F.sum("n_bytes").alias("page_bytes")).withColumn("number", number.cast("long"))
-        paged = paged.join(pages, ["h", "salt", "page"]).drop("page", "shard_bytes").withColumnsRenamed({"number": "page", "page_bytes": "shard_bytes"})
+        # a row over half the limit is a page of its own; others whose running sums end in the same half come to the limit at most
+        alone = F.when(2 * F.col("n_bytes") > limit, F.col("row")).otherwise(-1)
+        page = F.when(F.col("alone") < 0, F.floor(2 * (running - 1) / limit)).otherwise(0)
+        paged = full.withColumn("salt", F.pmod(F.xxhash64("row"), salts)).withColumn("alone", alone).withColumn("page", page)
+        number = F.dense_rank().over(W.partitionBy("h").orderBy("salt", "alone", "page")) - 1
+        pages = paged.groupBy("h", "salt", "alone", "page").agg(F.sum("n_bytes").alias("page_bytes")).withColumn("number", number.cast("long"))
+        paged = paged.join(pages, ["h", "salt", "alone", "page"]).drop("page", "shard_bytes").withColumnsRenamed({"number": "page", "page_bytes": "shard_bytes"})
         fit = fit.unionByName(paged.select(*fit.columns))
     return fit.select(key, "n_bytes", bits.alias("shard"), F.col("depth").cast("int").alias("depth"), "page", "shard_bytes")
 

@@ -109,6 +109,19 @@ def test_shard_pages_split_one_key(spark):
     assert got.count() == 51 and got.agg(F.max("shard_bytes")).first()[0] <= 100
 
 
+@pytest.mark.parametrize("sizes", [[60] * 60, [60, 40, 51, 50, 49, 7, 0] * 20, [33] * 90, [250, 60, 99] * 10])
+def test_shard_pages_stay_within_the_limit(spark, sizes):
+    """Rows of one key that do not divide the limit; a row above it is alone."""
+    got = shard(spark.createDataFrame([(1, "x" * n) for n in sizes], "doc_id long, text string"), 100, slack_bits=60).collect()
+    assert sorted(r.n_bytes for r in got) == sorted(sizes)
+    held = defaultdict(list)
+    for r in got:
+        held[r.shard, r.page].append(r)
+    for own in held.values():
+        size = sum(r.n_bytes for r in own)
+        assert all(r.shard_bytes == size for r in own) and (size <= 100 or len(own) == 1)
+
+
 def test_packing(documents, edge):
     encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for docs in (documents, edge):
