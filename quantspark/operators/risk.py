@@ -31,11 +31,18 @@ def position_for_intents(intents: DataFrame, positions: DataFrame) -> DataFrame:
     return intents.join(net, ["kind", "symbol"], "left").withColumn("position", F.coalesce("position", F.lit(0.0)))
 
 
-def session_start(rows: DataFrame, limits: RiskLimits = RiskLimits()) -> DataFrame:
-    """The first net value above zero that a run has seen, in order of seq, at an intent whose quantity was sound."""
+def session_start(rows: DataFrame, limits: RiskLimits = RiskLimits(), carried: DataFrame | None = None) -> DataFrame:
+    """The first net value above zero that a run has seen, in order of seq, at an intent whose quantity was sound.
+
+    carried(run_id, session_start), a row for each run, holds what runs have from before; it goes before that of rows.
+    """
     sound = (F.col("quantity") > 0) & (F.col("quantity") <= limits.max_order_quantity) & (F.col("net_liquidation") > 0)
     w = W.partitionBy("run_id").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return rows.withColumn("session_start", F.first(F.when(sound, F.col("net_liquidation")), ignorenulls=True).over(w))
+    out = rows.withColumn("session_start", F.first(F.when(sound, F.col("net_liquidation")), ignorenulls=True).over(w))
+    if carried is None:
+        return out
+    before = carried.select(F.col("run_id").alias("_run"), F.col("session_start").alias("_start"))
+    return out.join(before, F.col("run_id").eqNullSafe(F.col("_run")), "left").withColumn("session_start", F.coalesce("_start", "session_start")).drop("_run", "_start")
 
 
 def drawdown_breaker(rows: DataFrame, limits: RiskLimits = RiskLimits()) -> DataFrame:
@@ -44,13 +51,13 @@ def drawdown_breaker(rows: DataFrame, limits: RiskLimits = RiskLimits()) -> Data
     return out.withColumn("tripped", F.coalesce(F.col("session_start") - F.col("net_liquidation") > limits.max_daily_loss, F.lit(False)))
 
 
-def evaluate_risk(rows: DataFrame, limits: RiskLimits = RiskLimits()) -> DataFrame:
+def evaluate_risk(rows: DataFrame, limits: RiskLimits = RiskLimits(), carried: DataFrame | None = None) -> DataFrame:
     """rows(run_id, seq, side, quantity, position, px, net_liquidation, gross_position_value, maint_margin_req) with reason.
 
     reason is the first rule an intent breaks, null if it may pass. Open loop: each intent is judged against the values
-    given, so it equals a closed loop up to the first rejection of a run.
+    given, so it equals a closed loop up to the first rejection of a run. carried is that of session_start().
     """
-    rows = session_start(rows, limits)
+    rows = session_start(rows, limits, carried)
     q, px, net, gross, maint = (F.col(c) for c in ("quantity", "px", "net_liquidation", "gross_position_value", "maint_margin_req"))
     resulting = F.col("position") + signed(F.col("side"), q)
     reason = first_error(

@@ -39,12 +39,24 @@ def stream_build_bars(ticks: DataFrame, size: str = "1 hour", delay: str = "10 m
 def stream_evaluate(intents: DataFrame, enrich: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, limits: RiskLimits = RiskLimits()) -> StreamingQuery:
     """Judges the intents of each micro-batch and appends the decisions to the audit table at path.
 
-    enrich adds position, price and account values. A batch that is run again replaces what it wrote.
+    enrich adds position, price and account values. A batch that is run again replaces what it wrote. The session start of
+    a run holds for all later batches; each batch keeps those it finds beside the decisions, in session_starts_batches.
+    Batches follow each other as they come, and rows of a batch by seq.
     """
+    starts = f"{path}/session_starts_batches"
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        judged = evaluate_risk(enrich(batch), limits)
+        carried = None
+        if batch_id:
+            known = batch.sparkSession.read.schema("run_id string, session_start double, batch long").parquet(starts)
+            carried = known.filter(F.col("batch") < batch_id).groupBy("run_id").agg(F.min_by("session_start", "batch").alias("session_start"))
+        judged = evaluate_risk(enrich(batch), limits, carried).persist()
+        found = judged.groupBy(F.col("run_id").cast("string")).agg(F.max("session_start").alias("session_start")).filter("session_start is not null")
+        if carried is not None:
+            found = found.alias("f").join(carried.alias("c"), F.expr("f.run_id <=> c.run_id"), "left_anti")
+        found.coalesce(1).write.mode("overwrite").parquet(f"{starts}/batch={batch_id}")
         rows = judged.select("run_id", "seq", F.lit(None).cast("double").alias("ts_epoch_s"), F.lit("stream").alias("strategy"), F.to_json(F.struct("side", "quantity")).alias("intent_json"), F.col("reason").isNull().cast("int").alias("accepted"), "reason")
         append_audit(rows, "decisions", path, batch_id)
+        judged.unpersist()
 
     return intents.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
