@@ -1,4 +1,4 @@
-"""Removal of repeated passages by sparse suffix arrays in a logarithmic family of levels."""
+"""Removal of repeated passages by winnowing: sampled suffixes in the order of their hashes, in a logarithmic family of levels."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ LENGTH, PREFIX = 100, 32
 SEGMENT = 1 << 18
 #: Bytes of text whose suffixes are sorted at a time; a worker holds the runs of so much.
 BATCH_BYTES = 8 << 20
-#: Bytes of text for each shard of the suffix order.
+#: Bytes of text for each shard of the hash order.
 SHARD_BYTES = 8 << 20
 #: Different contexts of one prefix in one batch above which all of them go straight to the comparison window by window.
 MANY = 256
@@ -174,7 +174,7 @@ _FOUND = "doc long, start long, n long, kind int"
 
 
 def _dealt(shards: int, main: np.ndarray, repeated: np.ndarray, unclear: np.ndarray) -> pa.RecordBatch:
-    """A row for each shard with runs: its part of the suffix order, and an even share of what is settled already."""
+    """A row for each shard with runs: its part of the hash order, and an even share of what is settled already."""
     shard = (main["key"] >> _U(32)) * _U(shards) >> _U(32)
     cut = np.searchsorted(shard, np.arange(shards + 1))
     share = lambda x, s: x[s * len(x) // shards : (s + 1) * len(x) // shards]
@@ -200,7 +200,7 @@ def _runs(blob: bytes) -> np.ndarray:
 
 
 def _batch(runs: np.ndarray, shards: int) -> pa.RecordBatch:
-    """The suffix array of a batch, dealt to shards; what repeats within the batch is settled here, so a hot passage
+    """The sampled suffixes of a batch in the order of their hashes, dealt to shards; what repeats within the batch is settled here, so a hot passage
     sends one run from each batch, and a prefix in many contexts sends two that mark it and leaves the rest for later."""
     runs = _sorted(runs)
     first = _first_of_class(runs)
@@ -361,8 +361,8 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     and strings lie in one text. Earlier means a smaller doc_id, or the same document and an earlier start.
 
     A suffix is sampled where the hash of its first PREFIX bytes is least among those of some string of LENGTH bytes,
-    which every such string has, about one byte in 35. A batch of documents gets its sampled suffixes sorted; shards of
-    the sorted order merge the batches in a logarithmic family of levels, and each merge scan finds runs of strings that
+    which every such string has, about one byte in 35. A batch of documents gets its sampled suffixes sorted by hash; shards of
+    that order merge the batches in a logarithmic family of levels, and each merge scan finds runs of strings that
     also start earlier as a whole. Runs whose prefix is elsewhere in other contexts (at the ends of repeated passages)
     are compared string by string in the same way, after their bytes have been dealt by prefix; prefixes in very many
     contexts are dealt by the strings' own hashes instead. Strings are equal if two 64-bit hashes agree. Rows that agree in
