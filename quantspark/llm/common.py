@@ -31,11 +31,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Has Arrow batches hold so many rows at most from now on: texts are long, and a worker holds a few batches at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+def text_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
+    """Has Arrow batches hold so many rows and bytes at most from now on, in this session: texts are long, and a worker holds a few batches at once.
+
+    Settings that are lower already stay. They have to hold when a plan runs, so they are not put back.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(str(spark.conf.get(key)).rstrip("bB")) <= most:
+            spark.conf.set(key, most)
+
+
+def packed_rows(docs: DataFrame, *cols: str, name: str = "doc") -> DataFrame:
+    """The given columns of docs, and all columns as the struct `name`, so that no name of docs can clash with an operator's own."""
+    return docs.select(*[docs[c] for c in cols], F.struct(*[docs[c] for c in docs.columns]).alias(name))
+
+
+def unpacked(df: DataFrame, columns: list[str], name: str = "doc") -> DataFrame:
+    return df.select(*[F.col(name)[c].alias(c) for c in columns])
 
 
 def uniform(*cols: Column | str) -> Column:

@@ -4,70 +4,122 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import packed_rows, table, written
 
-#: Bits of the hash; a bucket that still is too large at this depth gets overflow pages.
+#: Bits of the hash; rows that agree in all of them are cut into overflow pages.
 BITS = 60
+#: Bits that the directory grows by where some of its entries still hold too much.
+STEP = 8
 
 
-def shard(docs: DataFrame, limit: int, key: str = "doc_id", slack_bits: int = 4) -> DataFrame:
-    """docs(key, text, ...) -> key, n_bytes, shard, depth, page, shard_bytes: one row per row of docs.
+def hash_of(key: str) -> Column:
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("long")
+
+
+def _entry(deep: int) -> Column:
+    return F.shiftright("h", BITS - deep)
+
 
-    The hash of the key is read bit by bit. The directory starts with one bucket at depth 0; a bucket over `limit`
-    bytes splits on the next bit and others stay, so shards have prefixes of different depths. The text itself is
-    never shuffled: byte counts are pre-aggregated on a prefix a few bits longer than the average shard needs, the
-    directory is found on these counts, and only buckets that are too large even there are refined.
+def directory(sizes: DataFrame, limit: int, slack_bits: int = 4) -> list[tuple[int, DataFrame]]:
+    """sizes(h, bytes), one row for each hash -> [(bits, entries(entry, depth, prefix, shard_bytes)), ...].
 
-    shard is the prefix as a string of bits ('' at depth 0). Rows that agree in all bits (repeated keys, null keys)
-    cannot be told apart by splitting; where they exceed the limit they are cut, by row size, into pages 0, 1, ...
-    A single document above the limit is a page of its own. Null text has 0 bytes. An empty table gives no rows.
+    An entry of the first table covers the hashes with that prefix of so many bits; entries that lead to a bucket over
+    the limit are missing there and are split on STEP more bits in the next table, and so on. A hash that alone is over
+    the limit cannot be split: it is left out of the tables, though its bytes count in all buckets above it.
     """
-    hashed = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("long")
-    rows = docs.select(key, hashed.alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("row"))
-    total = rows.agg(F.sum("n_bytes")).first()[0] or 0
-    top = min(BITS, max(1, math.ceil(math.log2(max(1, total / limit))) + slack_bits))
-    leaves, lo, deep = None, 0, top
-    left = rows
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    lo, deep = 0, min(BITS, max(1, math.ceil(math.log2(max(1, total / limit))) + slack_bits))
+    found = []
     while True:
-        prefix = F.shiftright("h", BITS - deep)
-        fine = left.groupBy(prefix.alias("fine")).agg(F.sum("n_bytes").alias("b"))
-        levels = fine.withColumn("depth", F.explode(F.sequence(F.lit(lo), F.lit(deep)))).withColumn("prefix", F.expr(f"shiftright(fine, {deep} - depth)"))
-        sums = levels.groupBy("depth", "prefix").agg(F.sum("b").alias("shard_bytes"))
-        fits = sums.filter((F.col("shard_bytes") <= limit) | (F.col("depth") == BITS))
-        inside = levels.select("fine", "depth", "prefix").join(fits, ["depth", "prefix"])
-        directory = inside.groupBy("fine").agg(F.min(F.struct("depth", "prefix", "shard_bytes")).alias("leaf"))
-        placed = left.withColumn("fine", prefix).join(directory, "fine", "left")
-        done = placed.filter("leaf is not null").select(key, "h", "n_bytes", "row", "leaf.*")
-        leaves = done if leaves is None else leaves.unionByName(done)
-        if deep == BITS or sums.filter((F.col("depth") == deep) & (F.col("shard_bytes") > limit)).isEmpty():
-            break
-        left = placed.filter("leaf is null").select(key, "h", "n_bytes", "row")
-        lo, deep = deep + 1, min(BITS, deep + 8)
+        cells = sizes.groupBy(_entry(deep).alias("cell")).agg(F.sum("bytes").alias("b"))
+        levels = cells.withColumn("depth", F.explode(F.sequence(F.lit(lo), F.lit(deep))))
+        sums = written(levels.groupBy("depth", F.expr(f"shiftright(cell, {deep} - depth)").alias("prefix")).agg(F.sum("b").alias("shard_bytes")), "bucket-sums")
+        # a bucket is one that fits and whose parent does not; a parent has two children at most
+        over = sums.filter(F.col("shard_bytes") > limit).select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
+        buckets = sums.filter((F.col("shard_bytes") <= limit) & (F.col("depth") == lo)).unionByName(sums.filter((F.col("shard_bytes") <= limit) & (F.col("depth") > lo)).join(over, ["depth", "prefix"]))
+        first = F.expr(f"shiftleft(prefix, {deep} - depth)")
+        entries = buckets.withColumn("entry", F.explode(F.sequence(first, first + F.expr(f"shiftleft(1L, {deep} - depth)") - 1)))
+        found.append((deep, written(entries.select("entry", "depth", "prefix", "shard_bytes"), "directory")))
+        full = sums.filter((F.col("depth") == deep) & (F.col("shard_bytes") > limit)).select(F.col("prefix").alias("cell"))
+        left = sizes.withColumn("cell", _entry(deep)).join(full, "cell").drop("cell")
+        shared = left.groupBy(_entry(deep).alias("cell")).agg(F.count("*").alias("n")).filter("n > 1").select("cell")
+        sizes = written(left.withColumn("cell", _entry(deep)).join(shared, "cell").drop("cell"), "unplaced")
+        if deep == BITS or sizes.isEmpty():
+            return found
+        lo, deep = deep + 1, min(BITS, deep + STEP)
+
+
+def place(rows: DataFrame, sizes: DataFrame, limit: int, slack_bits: int = 4) -> DataFrame:
+    """rows(h, n_bytes, row, ...) with shard, depth, page, shard_bytes; sizes is that of directory(), of the same rows."""
+    parts, left, own = [], rows, rows.columns
+    for deep, entries in directory(sizes, limit, slack_bits):
+        # most rows of a hot hash meet one entry; adaptive execution splits such a join
+        met = left.withColumn("entry", _entry(deep)).join(entries, "entry", "left").drop("entry")
+        parts.append(met.filter("depth is not null"))
+        left = met.filter("depth is null").select(*own)
+    fit = parts[0]
+    for p in parts[1:]:
+        fit = fit.unionByName(p)
+    fit = fit.withColumn("page", F.lit(0).cast("long"))
+    hot = sizes.filter(F.col("bytes") > limit).select(F.col("h").alias("_h"), F.col("bytes").alias("_bytes"))
+    if not hot.isEmpty():
+        full = left.join(hot, F.col("h") == F.col("_h"))
+        # in a salt, a row over half the limit is a page of its own; others whose running sums end in the same half come to the limit at most
+        salts = F.ceil(2 * F.col("_bytes") / limit)
+        alone = 2 * F.col("n_bytes") > limit
+        full = full.withColumn("_salts", salts).withColumn("_salt", F.pmod(F.xxhash64("row"), F.col("_salts"))).withColumn("_alone", alone)
+        order = W.partitionBy("h", "_salt", "_alone").orderBy("n_bytes", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
+        full = full.withColumn("_nth", F.when(F.col("_alone"), F.row_number().over(W.partitionBy("h", "_salt", "_alone").orderBy("n_bytes", "row"))).otherwise(F.floor(2 * (F.greatest(F.sum("n_bytes").over(order), F.lit(1)) - 1) / limit)))
+        full = full.withColumn("shard_bytes", F.sum("n_bytes").over(W.partitionBy("h", "_salt", "_alone", "_nth")))
+        number = (2 * F.col("_nth") + F.col("_alone").cast("long")) * F.col("_salts") + F.col("_salt")
+        fit = fit.unionByName(full.select(*own, F.lit(BITS).alias("depth"), F.col("h").alias("prefix"), "shard_bytes", number.cast("long").alias("page")))
     bits = F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
-    full = leaves.filter(F.col("shard_bytes") > limit)
-    fit = leaves.filter(F.col("shard_bytes") <= limit).withColumn("page", F.lit(0).cast("long"))
-    if deep == BITS and not full.isEmpty():
-        running = F.sum("n_bytes").over(W.partitionBy("h", "salt").orderBy("n_bytes", "row").rowsBetween(W.unboundedPreceding, W.currentRow))
-        salts = F.ceil(2 * F.col("shard_bytes") / limit)
-        # a row over half the limit is a page of its own; others whose running sums end in the same half come to the limit at most
-        alone = F.when(2 * F.col("n_bytes") > limit, F.col("row")).otherwise(-1)
-        page = F.when(F.col("alone") < 0, F.floor(2 * (running - 1) / limit)).otherwise(0)
-        paged = full.withColumn("salt", F.pmod(F.xxhash64("row"), salts)).withColumn("alone", alone).withColumn("page", page)
-        number = F.dense_rank().over(W.partitionBy("h").orderBy("salt", "alone", "page")) - 1
-        pages = paged.groupBy("h", "salt", "alone", "page").agg(F.sum("n_bytes").alias("page_bytes")).withColumn("number", number.cast("long"))
-        paged = paged.join(pages, ["h", "salt", "alone", "page"]).drop("page", "shard_bytes").withColumnsRenamed({"number": "page", "page_bytes": "shard_bytes"})
-        fit = fit.unionByName(paged.select(*fit.columns))
-    return fit.select(key, "n_bytes", bits.alias("shard"), F.col("depth").cast("int").alias("depth"), "page", "shard_bytes")
-
-
-def write_shards(docs: DataFrame, limit: int, path: str) -> None:
-    """Writes docs with one folder per shard."""
-    placed = shard(docs, limit).select(F.col("doc_id").alias("_id"), F.concat_ws("-", F.lit("s"), "shard", F.col("page").cast("string")).alias("shard")).distinct()
-    docs.join(placed, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id").write.partitionBy("shard").parquet(path)
+    return fit.select(*own, bits.alias("shard"), F.col("depth").cast("int").alias("depth"), "page", "shard_bytes")
+
+
+def _rows(docs: DataFrame, key: str, *more: Column | str) -> DataFrame:
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return docs.select(*more, hash_of(key).alias("h"), size.alias("n_bytes"), F.monotonically_increasing_id().alias("row"))
+
+
+def _sizes(rows: DataFrame) -> DataFrame:
+    return written(rows.groupBy("h").agg(F.sum("n_bytes").alias("bytes")), "hash-sizes")
+
+
+def shard(docs: DataFrame, limit: int, key: str = "doc_id", slack_bits: int = 4) -> DataFrame:
+    """docs(key, text, ...) -> key, n_bytes, shard, depth, page, shard_bytes: one row per row of docs.
+
+    The hash of the key is read bit by bit. A bucket over `limit` bytes splits on the next bit and others stay, so shards
+    have prefixes of different depths: the shortest prefixes whose bytes fit. The text itself is never shuffled, and is
+    read once: byte counts are summed by hash and then by prefix, the directory maps prefixes a few bits longer than the
+    average shard needs to shards, and only entries that are too large even there are refined.
+
+    shard is the prefix as a string of bits ('' at depth 0), page is 0. Rows that agree in all bits (repeated keys, null
+    keys) cannot be told apart by splitting; where they exceed the limit, their shard has all bits and they are cut, by
+    row size, into numbered pages within the limit (numbers may have gaps). A single row above the limit is a page of
+    its own. Null text has 0 bytes. An empty table gives no rows. Columns other than the two are not read.
+    """
+    rows = written(_rows(docs, key, F.col(key).alias("key")), "row-sizes")
+    out = place(rows, _sizes(rows), limit, slack_bits)
+    return out.select(F.col("key").alias(key), "n_bytes", "shard", "depth", "page", "shard_bytes")
+
+
+def write_shards(docs: DataFrame, limit: int, path: str, key: str = "doc_id") -> None:
+    """Writes docs, each row once, with one folder per shard and page below path: shard=s<bits>-<page>.
+
+    A column of docs that is itself named shard is written as shard_column.
+    """
+    columns = docs.columns
+    rows = packed_rows(docs, *dict.fromkeys([key, "text"]))
+    placed = place(_rows(rows, key, "doc"), _sizes(_rows(docs, key)), limit)
+    names = {c: "shard_column" if c == "shard" else c for c in columns}
+    flat = placed.select(F.concat_ws("-", F.concat(F.lit("s"), "shard"), F.col("page").cast("string")).alias("_folder"), "doc")
+    flat = flat.select("_folder", *[F.col("doc")[c].alias(names[c]) for c in columns])
+    flat.withColumnRenamed("_folder", "shard").write.partitionBy("shard").parquet(path)
 
 
 LIMIT = 1 << 20
