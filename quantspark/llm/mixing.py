@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, table, uniform
+from .common import WORD, packed_rows, table, uniform, unpacked, written
 
 #: Documents that one fold pairs up in turn; the next level folds what is left of as many blocks.
 BLOCK = 128
+#: Copies of one row that a task numbers at a time.
+CHUNK = 4096
+#: Sources up to which their table is broadcast; beyond it, a shuffled join gives the same rows.
+BROADCAST_SOURCES = 1 << 16
 
 
 def word_count(text: Column | str) -> Column:
@@ -38,19 +42,19 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
 
 
 def _pair_up(items: Column) -> Column:
-    """Folds an array of (minus_size, doc_id, tie, p) into (carry, done).
+    """Folds an array of (minus_size, doc_id, tie, nth, p) into (carry, done).
 
     Two documents with fractional copy counts exchange mass in words, in a random direction that keeps both
     expectations, until one of the counts is 0 or 1; that one is done, and the other meets the next document.
     The words that the two hold together never change.
     """
-    item = "struct<minus_size:bigint,doc_id:bigint,tie:bigint,p:double>"
+    item = "struct<minus_size:bigint,doc_id:bigint,tie:bigint,nth:bigint,p:double>"
 
     def meet(acc: Column, new: Column) -> Column:
         old = acc["carry"]
         a, b, x, y = -old["minus_size"], -new["minus_size"], old["p"], new["p"]
         out, back = F.least(a * x, b * (1 - y)), F.least(b * y, a * (1 - x))
-        to_new = uniform(old["doc_id"], old["tie"], new["doc_id"], new["tie"]) * (out + back) < back
+        to_new = uniform(old["doc_id"], old["tie"], old["nth"], new["doc_id"], new["tie"], new["nth"]) * (out + back) < back
         x2 = F.when(to_new, F.when(a * x <= b * (1 - y), 0.0).otherwise(x - out / a)).otherwise(F.when(a * (1 - x) <= b * y, 1.0).otherwise(x + back / a))
         y2 = F.when(to_new, F.when(b * (1 - y) <= a * x, 1.0).otherwise(y + out / b)).otherwise(F.when(b * y <= a * (1 - x), 0.0).otherwise(y - back / b))
 
@@ -61,13 +65,30 @@ def _pair_up(items: Column) -> Column:
                 F.concat(acc["done"], F.filter(F.array(old2, new2), whole)).alias("done"),
             )
 
-        pair = F.array(F.struct(F.struct(old["minus_size"], old["doc_id"], old["tie"], x2.alias("p")).cast(item).alias("o"), F.struct(new["minus_size"], new["doc_id"], new["tie"], y2.alias("p")).cast(item).alias("n")))
+        held = lambda d, p: F.struct(d["minus_size"], d["doc_id"], d["tie"], d["nth"], p.alias("p")).cast(item)
+        pair = F.array(F.struct(held(old, x2).alias("o"), held(new, y2).alias("n")))
         return F.when(old.isNull(), F.struct(new.alias("carry"), acc["done"].alias("done"))).otherwise(F.transform(pair, lambda z: settle(z["o"], z["n"]))[0])
 
     empty = F.struct(F.lit(None).cast(item).alias("carry"), F.array().cast(f"array<{item}>").alias("done"))
     return F.aggregate(items, empty, meet)
 
 
+def _tie() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")), "source")
+
+
+def _numbered(sized: DataFrame) -> DataFrame:
+    """sized with nth, which tells rows that agree in all columns apart.
+
+    They are counted first, combined before the shuffle, and numbered in chunks on many tasks; so the numbers do not
+    depend on how Spark dealt the rows, and a row that is there very often meets no single task.
+    """
+    counted = sized.groupBy(*sized.columns).agg(F.count("*").alias("n"))
+    parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK)))).repartition("doc_id", "tie", "part")
+    last = F.least(F.col("n"), (F.col("part") + 1) * CHUNK) - 1
+    return parts.withColumn("nth", F.explode(F.sequence(F.col("part") * CHUNK, last))).drop("n", "part")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = BLOCK) -> DataFrame:
     """docs(doc_id, text, source, ...) -> doc_id, tie, source, size, source_size, target, copies: one row per row of docs.
 
@@ -77,29 +98,33 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     other blocks at the next level, and so on until one document of each source remains, which is rounded to the
     nearer count. So a source misses its target by half of one document at most. A hot source only has more blocks.
 
-    Null text counts as size 0. Documents of size 0 take no part in the rounding and get the whole part as copies.
-    Null sources form a source of their own. Repeated rows and repeated ids are documents in their own right; tie is
-    a digest of text and source that tells repeated ids apart. Columns other than the three are not read.
+    Texts are read once, for their sizes. Null text counts as size 0. Documents of size 0 take no part in the rounding
+    and get the whole part as copies. Null sources form a source of their own. Repeated rows and repeated ids are
+    documents in their own right; tie is a digest of text and source that tells repeated ids apart, and rows that agree
+    in all three are told apart by number, so that they spread over the blocks. Columns other than the three are not
+    read. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64(F.coalesce("text", F.lit("")), "source").alias("tie"))
-    targets = source_targets(sized, weights, share, cap)
+    sized = written(docs.select("doc_id", "source", word_count("text").alias("size"), _tie().alias("tie")), "sizes")
+    targets = written(source_targets(sized, weights, share, cap), "targets")
     t = targets.withColumnRenamed("source", "_source")
+    if t.count() <= BROADCAST_SOURCES:
+        t = F.broadcast(t)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    joined = sized.join(t, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source").withColumn("base", F.floor(rate)).withColumn("p", rate - F.floor(rate))
+    joined = _numbered(sized).join(t, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source").withColumn("base", F.floor(rate)).withColumn("p", rate - F.floor(rate))
     keys = ["source", "source_size", "target", "base"]
     row = ["doc_id", "tie", *keys, "size", "copies"]
-    plain = joined.filter((F.col("size") == 0) | (F.col("p") == 0)).withColumn("copies", F.col("base")).select(*row)
     n_blocks = F.ceil(F.col("n_docs") / block)
-    items = joined.filter((F.col("size") > 0) & (F.col("p") > 0)).withColumn("blk", F.pmod(F.xxhash64("doc_id", "tie", F.lit(7)), n_blocks))
-    most = targets.agg(F.max("n_docs")).first()[0] or 0
-    blocks = -(-most // block)
-    parts, first = [plain], True
+    whole = (F.col("size") == 0) | (F.col("p") == 0)
+    dealt = joined.select(*keys, "doc_id", "tie", "nth", "size", "p", F.when(~whole, F.pmod(F.xxhash64("doc_id", "tie", "nth", F.lit(7)), n_blocks)).alias("blk"))
+    dealt = written(dealt, "shares")
+    parts = [dealt.filter("blk is null").withColumn("copies", F.col("base")).select(*row)]
+    items = dealt.filter("blk is not null")
+    blocks = -(-(targets.agg(F.max("n_docs")).first()[0] or 0) // block)
     while True:
-        member = F.struct((-F.col("size")).alias("minus_size"), "doc_id", "tie", "p")
+        member = F.struct((-F.col("size")).alias("minus_size"), "doc_id", "tie", "nth", "p")
         last = blocks <= 1
         folded = items.groupBy(*keys, "blk").agg(F.sort_array(F.collect_list(member)).alias("items"))
-        folded = folded.select(*keys, "blk", _pair_up(F.col("items")).alias("f"))
+        folded = written(folded.select(*keys, "blk", _pair_up(F.col("items")).alias("f")), "folded")
         ended = folded.select(*keys, F.inline("f.done"))
         if last:
             ended = ended.unionByName(folded.filter("f.carry is not null").select(*keys, "f.carry.*"))
@@ -119,11 +144,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows that agree in doc_id, text and source are one document here, taken as often as all of them together.
     """
-    taken = mix(docs, **options).groupBy("doc_id", "tie").agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie_2"), "_copies")
-    tied = docs.withColumn("_tie", F.xxhash64(F.coalesce("text", F.lit("")), "source")).dropDuplicates(["doc_id", "_tie"])
-    both = tied.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_tie_2")))
-    return both.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    taken = mix(docs, **options).groupBy("doc_id", "tie").agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    taken = taken.select(F.col("doc_id").alias("id"), F.col("tie").alias("taken_tie"), "copies")
+    tied = packed_rows(docs, "doc_id", "text", "source").select("doc_id", _tie().alias("tie"), "doc").dropDuplicates(["doc_id", "tie"])
+    both = tied.join(taken, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tie") == F.col("taken_tie")))
+    return unpacked(both.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs.columns)
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
