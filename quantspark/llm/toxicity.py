@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, fit as fit_trees
-from .common import table, text_batches, written
+from .common import packed_rows, table, text_batches, unpacked, written
 
 #: Common English insults; other words are learned from the labels.
 INSULTS = frozenset("idiot idiots moron morons stupid loser losers scum trash clown pathetic worthless disgusting dumb fool imbecile vermin jerk".split())
@@ -108,8 +108,9 @@ class Toxicity:
     trees: Boosted
 
     def score(self, docs: DataFrame, score: str = "score") -> DataFrame:
-        """docs with a column score: 0 to 1, higher where toxic is likelier. Only the text, in full, decides."""
-        return self.trees.score(docs.withColumn("_features", features("text", self.lexicon)), "_features", score)
+        """docs with a column `score` more: 0 to 1, higher where toxic is likelier. Only the text, in full, decides."""
+        rows = packed_rows(docs, "text").select("doc", features("text", self.lexicon).alias("features"))
+        return self.trees.score(rows, "features", "toxic_score").select(*[F.col("doc")[c].alias(c) for c in docs.columns], F.col("toxic_score").alias(score))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
@@ -145,8 +146,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted to be toxic, in its columns."""
-    return fit(docs, labels).score(docs, "_score").filter("_score < 0.5").select(*docs.columns)
+    """The rows of docs that are not predicted to be toxic, in its columns, whatever their names are."""
+    scored = fit(docs, labels).score(packed_rows(docs, "text"), "score")
+    return unpacked(scored.filter("score < 0.5"), docs.columns)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
