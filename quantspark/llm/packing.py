@@ -14,21 +14,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_batches
+from .common import table, text_batches, uniform, written
 
 WINDOW = 2048
 END_ID = 1
-#: Bytes of text in a shard of the index, about; a shard is indexed and packed by one task.
-SHARD_BYTES = 4 << 20
-#: Terms of the seed that the index is asked for, and BM25's constants.
-QUERY_TERMS, K1, B = 16, 1.2, 0.75
-#: Part of a shard's documents above which a term counts as a stop word and is not asked for.
-COMMON = 0.1
+#: Bytes of ids in a shard of the index, about, and what a document counts besides its ids; so a shard has 8192 documents at most.
+SHARD_BYTES, DOC_BYTES = 1 << 20, 128
+#: Bytes of ids in a range of the lexical order, about; a task takes a range at a time and holds one of its shards.
+RANGE_BYTES = 16 << 20
+#: Ranges at most, and sampled documents for each of them; their keys are all that the driver gets besides term counts.
+MOST_RANGES, SAMPLED = 16384, 32
+#: Terms of a document that decide its place in the lexical order.
+LEAD_TERMS = 3
+#: BM25's constants.
+K1, B = 1.2, 0.75
+#: Columns of a dense block of terms when scores are counted.
+COLUMNS = 4096
 
 
 @cache
 def _encoder(json_path: str, ranks_path: str):
-    """text -> ids. The ranks hold the vocabulary of the JSON file; their library encodes it several times as fast."""
+    """text -> ids. The ranks hold the vocabulary of the JSON file; their library encodes it several times as fast.
+
+    Tests compare the two on whole tables and odd strings.
+    """
     import tiktoken
 
     special = "<|endoftext|>"
@@ -47,100 +56,197 @@ def _encoder(json_path: str, ranks_path: str):
 
 
 def tokenized(docs: DataFrame, tokenizer: str, ranks: str, end_id: int = END_ID) -> DataFrame:
-    """docs(doc_id, text, salt) -> doc_id, salt, ids: little-endian unsigned 32-bit ids, the end id last."""
+    """docs(doc_id, text) -> doc_id, ids: little-endian unsigned 32-bit ids, the end id last."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _encoder(tokenizer, ranks)
         for b in batches:
             out = [np.append(ids(t or ""), end_id).astype("<u4").tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("salt"), pa.array(out, pa.binary())], ["doc_id", "salt", "ids"])
-
-    return docs.select("doc_id", "text", "salt").mapInArrow(encode, "doc_id long, salt long, ids binary")
-
-
-class Index:
-    """A BM25 inverted index of one shard, over token ids."""
-
-    def __init__(self, ids: list[np.ndarray]):
-        n = len(ids)
-        lengths = np.array([len(x) for x in ids])
-        doc = np.repeat(np.arange(n), lengths)
-        term, inverse = np.unique(np.concatenate(ids), return_inverse=True)
-        key, tf = np.unique(doc * len(term) + inverse, return_counts=True)
-        self.n, d, t = n, key // len(term), key % len(term)
-        df = np.bincount(t, minlength=len(term))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[d] / lengths.mean()))
-        by_term = np.argsort(t, kind="stable")
-        self.post_doc, self.post_weight, self.post_start = d[by_term], weight[by_term], np.concatenate([[0], np.cumsum(df)])
-        worth = np.where((df[t] > 1) & (df[t] <= max(2, COMMON * n)), idf[t] * np.minimum(tf, 4), 0.0)
-        self.doc_start, self.terms, self.worth = np.concatenate([[0], np.cumsum(np.bincount(d, minlength=n))]), t, worth
-
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with the seed, the best first."""
-        own = slice(self.doc_start[seed], self.doc_start[seed + 1])
-        worth, terms = self.worth[own], self.terms[own]
-        if len(worth) > QUERY_TERMS:
-            best = np.argpartition(-worth, QUERY_TERMS)[:QUERY_TERMS]
-            worth, terms = worth[best], terms[best]
-        spans = [(self.post_start[t], self.post_start[t + 1]) for t in terms[worth > 0]]
-        if not spans:
-            return np.empty(0, np.int64)
-        docs = np.concatenate([self.post_doc[a:b] for a, b in spans])
-        score = np.bincount(docs, weights=np.concatenate([self.post_weight[a:b] for a, b in spans]), minlength=self.n)
-        score[used] = 0
-        found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
-
-
-def windows(ids: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary")
+
+
+def _ids(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, "<u4")
+
+
+class Corpus:
+    """What BM25 knows of all documents: their number, their mean length and in how many of them each id is."""
+
+    def __init__(self, n: int, tokens: int, df: np.ndarray):
+        self.n, self.mean, self.df = n, tokens / max(n, 1), df
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+
+    def terms(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct ids of a document, and the weight of each in it."""
+        term, tf = np.unique(ids, return_counts=True)
+        return term, self.idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / self.mean))).astype(np.float32)
+
+    def lead(self, ids: np.ndarray) -> list[int]:
+        """The LEAD_TERMS terms that weigh most among those that other documents have too; -1 where there are fewer."""
+        term, weight = self.terms(ids)
+        weight = np.where(self.df[term] > 1, weight, 0)
+        best = np.lexsort((term, -weight))[:LEAD_TERMS] if len(term) > LEAD_TERMS else np.argsort(-weight, kind="stable")
+        out = [int(term[k]) for k in best if weight[k] > 0]
+        return out + [-1] * (LEAD_TERMS - len(out))
+
+
+def corpus_of(tokens: DataFrame) -> Corpus:
+    """Counted over all rows of tokens(ids). A task sends one row for each id at most, so the driver gets the vocabulary's counts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = total = 0
+        df = np.zeros(1 << 16, np.int64)
+        for b in batches:
+            for blob in b.column("ids").to_pylist():
+                own = np.unique(_ids(blob))
+                if own[-1] >= len(df):
+                    df = np.append(df, np.zeros(int(own[-1]) + 1 - len(df), np.int64))
+                df[own] += 1
+                n, total = n + 1, total + len(blob) // 4
+        there = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], there]), pa.int64()), pa.array(np.concatenate([[n, total], df[there]]), pa.int64())], ["id", "n"])
+
+    counts = {r[0]: r[1] for r in tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n")).collect()}
+    df = np.zeros(max([0, *counts]) + 1, np.int64)
+    for k, v in counts.items():
+        if k >= 0:
+            df[k] = v
+    return Corpus(counts.get(-2, 0), counts.get(-1, 0), df)
+
+
+def _keys(corpus: Corpus, blobs: list[bytes]) -> list[tuple[int, int]]:
+    """The place of each document in the lexical order: its leading terms, and what tells apart those that agree in them."""
+    out = []
+    for blob in blobs:
+        a, b, c = corpus.lead(_ids(blob))
+        out.append((((a + 1) << 40) + ((b + 1) << 20) + c + 1, zlib.crc32(blob)))
+    return out
+
+
+def _ranged(tokens: DataFrame, corpus: Corpus, bounds: list[tuple[int, int, int]]) -> DataFrame:
+    """tokens(doc_id, ids, row) with the place in the lexical order and the range that this falls in."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from bisect import bisect_right
+
+        for b in batches:
+            keys = _keys(corpus, b.column("ids").to_pylist())
+            at = [bisect_right(bounds, (k, crc, row)) for (k, crc), row in zip(keys, b.column("row").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([k for k, _ in keys], pa.int64()), pa.array([crc for _, crc in keys], pa.int64()), b.column("doc_id"), b.column("ids")], ["range", "lead", "crc", "doc_id", "ids"])
+
+    return tokens.mapInArrow(place, "range int, lead long, crc long, doc_id long, ids binary")
+
+
+def _bounds(tokens: DataFrame, corpus: Corpus, ranges: int) -> list[tuple[int, int, int]]:
+    """Where ranges of about equal numbers of documents start, from a sample by hash of the contents and the row's number."""
+    if ranges < 2:
+        return []
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = _keys(corpus, b.column("ids").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int64()), pa.array([c for _, c in own], pa.int64()), b.column("row"), pa.array([len(x) + DOC_BYTES for x in b.column("ids").to_pylist()], pa.int64())], ["lead", "crc", "row", "weight"])
+
+    share = min(1.0, ranges * SAMPLED / corpus.n)
+    some = tokens.filter(uniform(F.xxhash64("ids"), "doc_id", "row") < share).select("ids", "row")
+    found = sorted((tuple(r) for r in some.mapInArrow(keys, "lead long, crc long, row long, weight long").collect()))
+    if not found:
+        return []
+    ends = np.cumsum([x[3] for x in found])
+    cut = np.unique(np.searchsorted(ends, ends[-1] * np.arange(1, ranges) / ranges))
+    return [found[k][:3] for k in cut]
+
+
+def scores(corpus: Corpus, ids: list[np.ndarray]) -> np.ndarray:
+    """BM25 of each document (column) for each document as a query of all its distinct terms (row), from the inverted
+    index of a shard: by term the documents that have it, and its weight in each, multiplied block by block of terms."""
+    n = len(ids)
+    own = [corpus.terms(x) for x in ids]
+    doc = np.repeat(np.arange(n), [len(t) for t, _ in own])
+    term, weight = np.concatenate([t for t, _ in own]), np.concatenate([w for _, w in own])
+    known, posting, count = np.unique(term, return_inverse=True, return_counts=True)
+    shared = count[posting] > 1
+    doc, posting, weight = doc[shared], np.unique(posting[shared], return_inverse=True)[1], weight[shared]
+    order = np.argsort(posting, kind="stable")
+    doc, posting, weight = doc[order], posting[order], weight[order]
+    out = np.zeros((n, n), np.float32)
+    for at in range(0, int(posting[-1]) + 1 if len(posting) else 0, COLUMNS):
+        part = slice(*np.searchsorted(posting, [at, at + COLUMNS]))
+        width = min(COLUMNS, int(posting[-1]) + 1 - at)
+        asked, held = np.zeros((n, width), np.float32), np.zeros((n, width), np.float32)
+        asked[doc[part], posting[part] - at] = 1
+        held[doc[part], posting[part] - at] = weight[part]
+        out += asked @ held.T
+    return out
+
+
+def windows(ids: list[np.ndarray], score: np.ndarray, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece.
 
     A seed document, and then its unused neighbours by score, fill the window; a document that does not fit is cut and
-    its rest is the next window's seed. Without neighbours the next unused document goes on, so only the last window
-    of a shard can be short.
+    its rest is the next window's seed. Without neighbours the next unused document goes on. What is left at the end is
+    cut at powers of two, so that no sequence needs padding.
     """
-    index, n = Index(ids), len(ids)
+    n = len(ids)
     used, at = np.zeros(n, bool), 0
+    left = sum(map(len, ids))
+    room = lambda: window if left >= window else 1 << (left.bit_length() - 1)
     sequence = offset = 0
-    seed, rest, queue = -1, 0, iter(())
-    fresh = True
-    while True:
+    seed, rest, queue, fresh, size = -1, 0, iter(()), True, room()
+    while left:
         if rest == 0:
             doc = next((int(d) for d in queue if not used[d]), -1)
             if doc < 0 and fresh and seed >= 0:
-                queue, fresh = iter(index.neighbours(seed, used)), False
+                own = np.where(used, 0, score[seed])
+                found = np.flatnonzero(own > 0)
+                queue, fresh = iter(found[np.argsort(-own[found], kind="stable")]), False
                 continue
             if doc < 0:
-                while at < n and used[at]:
+                while used[at]:
                     at += 1
-                if at == n:
-                    return
                 doc, seed, fresh = at, at, True
             used[doc], rest, current = True, len(ids[doc]), doc
-        start = len(ids[current]) - rest
-        length = min(rest, window - offset)
-        yield current, start, length, sequence, offset
-        rest, offset = rest - length, offset + length
-        if offset == window:
-            sequence, offset = sequence + 1, 0
-            if rest:
-                seed, queue, fresh = current, iter(()), True
-            else:
-                seed, queue = -1, iter(())
-
-
-def _pack(window: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-
-    def pack(key: tuple, rows: pa.Table) -> pa.Table:
-        shard = key[0].as_py()
-        doc_id, raw = rows.column("doc_id").to_pylist(), rows.column("ids").to_pylist()
-        order = sorted(range(len(raw)), key=lambda i: (doc_id[i] is None, doc_id[i] or 0, len(raw[i]), raw[i]))
-        raw = [raw[i] for i in order]
-        ids = [np.frombuffer(x, "<u4") for x in raw]
-        out = [(doc_id[order[d]], start, length, zlib.crc32(raw[d][4 * start : 4 * (start + length)]), len(ids[d]), (shard << 32) + sequence, offset) for d, start, length, sequence, offset in windows(ids, window)]
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        length = min(rest, size - offset)
+        yield current, len(ids[current]) - rest, length, sequence, offset
+        rest, offset, left = rest - length, offset + length, left - length
+        if offset == size:
+            sequence, offset, size = sequence + 1, 0, room() if left else 0
+            seed, queue, fresh = (current, iter(()), True) if rest else (-1, iter(()), True)
+
+
+_PIECES = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+
+
+def _pack(corpus: Corpus, window: int, shard_bytes: int):
+    """Rows in the lexical order -> pieces. A run of about shard_bytes in one range is a shard of the index."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, weight, number, of_range = [], 0, 0, None
+
+        def pieces() -> pa.RecordBatch:
+            nonlocal number
+            ids = [_ids(x) for _, x in rows]
+            score = scores(corpus, ids) if len(ids) > 1 else np.zeros((1, 1), np.float32)
+            out, most = [], 0
+            for d, start, length, sequence, offset in windows(ids, score, window):
+                out.append((rows[d][0], start, length, zlib.crc32(rows[d][1][4 * start : 4 * (start + length)]), len(ids[d]), (of_range << 40) + number + sequence, offset))
+                most = sequence
+            number += most + 1
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=_PIECES)
+
+        for b in batches:
+            for r, doc_id, blob in zip(b.column("range").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
+                if rows and (r != of_range or weight + len(blob) + DOC_BYTES > shard_bytes):
+                    yield pieces()
+                    rows, weight = [], 0
+                if r != of_range:
+                    of_range, number = r, 0
+                rows.append((doc_id, blob))
+                weight += len(blob) + DOC_BYTES
+        if rows:
+            yield pieces()
 
     return pack
 
@@ -148,19 +254,27 @@ def _pack(window: int):
 def packed(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, ranks: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row per piece.
 
-    Documents are tokenized where they are read; their ids go to hashed shards of about shard_bytes of text. A task
-    builds its shard's BM25 index and fills windows from it, so statistics are those of the shard, and each shard
-    leaves at most one window short. Null and empty texts have the end id alone. Repeated rows and ids are packed each;
-    rows are spread by position, so copies of one row do not meet in one shard. A longer document than a window is
-    cut. An empty table gives no rows.
+    Documents are tokenized where they are read. Document frequencies, lengths and their number are counted over the
+    whole corpus. Documents are then put in a lexical order: by the terms that weigh most in them, so that those with the
+    same leading terms, and near copies, stand together. A shard of the BM25 index is a run of that order of about
+    shard_bytes; a task holds one at a time, asks it for each seed's neighbours by all terms of the seed, and fills
+    windows. The order is cut into ranges by a sample of its keys, so a term that leads in a third of all documents, or
+    a group of copies, takes many ranges.
+
+    Null and empty texts have the end id alone. Repeated rows and ids are packed each. A document that is longer than a
+    window is cut. The end of a shard is cut at powers of two, so that nothing is padded. Rows that agree in all read
+    columns are told apart by their number in the written table. An empty table gives no rows. Columns other than the
+    two are not read.
     """
-    text_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    text_batches(spark)
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 4)).first()[0] or 0
-    shards = max(1, math.ceil(size / shard_bytes))
-    salted = docs.select("doc_id", "text").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(shards)))
-    return tokenized(salted, tokenizer, ranks).groupBy("salt").applyInArrow(_pack(window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    tokens = written(tokenized(docs, tokenizer, ranks).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    corpus = corpus_of(tokens)
+    ranges = min(MOST_RANGES, max(1, math.ceil((4 * round(corpus.n * corpus.mean) + DOC_BYTES * corpus.n) / max(RANGE_BYTES, shard_bytes))))
+    placed = _ranged(tokens, corpus, _bounds(tokens, corpus, ranges)).repartition(ranges, "range").sortWithinPartitions("range", "lead", "crc", F.col("doc_id").asc_nulls_last())
+    return placed.select("range", "doc_id", "ids").mapInArrow(_pack(corpus, window, shard_bytes), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
