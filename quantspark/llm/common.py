@@ -51,6 +51,26 @@ def unpacked(df: DataFrame, columns: list[str], name: str = "doc") -> DataFrame:
     return df.select(*[F.col(name)[c].alias(c) for c in columns])
 
 
+#: Copies of one row that a task numbers at a time.
+CHUNK = 4096
+
+
+def copied(rows: DataFrame, count: str, nth: str, keys: list[str]) -> DataFrame:
+    """Each row as often as its column `count` says, numbered from 0 in a column `nth`; chunks of copies are dealt by keys to many tasks."""
+    parts = rows.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / CHUNK)))).repartition(*keys, "_part")
+    last = F.least(F.col(count), (F.col("_part") + 1) * CHUNK) - 1
+    return parts.withColumn(nth, F.explode(F.sequence(F.col("_part") * CHUNK, last))).drop("_part", count)
+
+
+def numbered(rows: DataFrame, nth: str = "nth") -> DataFrame:
+    """rows with a column that numbers rows that agree in all columns from 0, and so tells them apart.
+
+    They are counted first, combined before the shuffle, and numbered in chunks on many tasks; so the numbers do not
+    depend on how Spark dealt the rows, and a row that is there very often meets no single task.
+    """
+    return copied(rows.groupBy(*rows.columns).agg(F.count("*").alias("_n")), "_n", nth, rows.columns)
+
+
 def uniform(*cols: Column | str) -> Column:
     """A number in [0, 1) that depends on the values alone, so that reruns agree."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))

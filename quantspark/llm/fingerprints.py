@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, uniform, written
 
 #: Documents in a range of ids that one window task orders, on average.
 RANGE_DOCS = 2048
-#: Ranges of the histogram that evens out how ids are spread.
-COARSE = 1024
+#: Ranges at most, and sampled rows for each of them; their ids and hashes are all that the driver gets.
+MOST_RANGES, SAMPLED = 4096, 32
 #: Digests (32 characters each) up to which the list of repeated ones is broadcast; beyond it, a shuffled join does the same.
 BROADCAST_KEYS = 1 << 19
 
@@ -29,80 +32,100 @@ def wide_hash(c: Column) -> Column:
     return F.concat(h(c), h(F.lit("wide"), c))
 
 
-def range_bucket(docs: DataFrame, key: str, per_range: int = RANGE_DOCS) -> Column:
-    """A column that numbers consecutive ranges of key, each of about per_range rows, null keys last.
+def _range(placed: DataFrame, key: str) -> Column:
+    """The number of the range that the row's place (no_id, key, tie, row) falls in; ranges hold about as many rows each.
 
-    A histogram of a fixed number of equal steps is evened out: a step with many rows is cut into more ranges.
+    Bounds come from a sample by hash, and a row finds its range among them in two steps. As a place says which text and
+    which row it is besides the key, a key that very many rows share takes many ranges.
     """
-    k = F.col(key)
-    lo, hi, n, nulls = docs.agg(F.min(k), F.max(k), F.count(k), F.count_if(k.isNull())).first()
-    if not n:
-        return F.pmod(F.monotonically_increasing_id(), F.lit(nulls // per_range + 1))
-    step = (float(hi) - float(lo) + 1) / COARSE
-    coarse = F.least(F.floor((k.cast("double") - float(lo)) / step), F.lit(COARSE - 1)).cast("int")
-    counts = {r[0]: r[1] for r in docs.filter(k.isNotNull()).groupBy(coarse.alias("c")).count().collect()}
-    cuts = [-(-counts.get(i, 0) // per_range) or 1 for i in range(COARSE)]
-    first, at = [], 0
-    for x in cuts:
-        first.append(at)
-        at += x
-    pick = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), coarse + 1)
-    within = (k.cast("double") - float(lo)) / step - coarse
-    fine = F.least(F.floor(within * pick(cuts)), pick(cuts) - 1)
-    return F.when(k.isNull(), F.lit(at) + F.pmod(F.xxhash64("text"), F.lit(nulls // per_range + 1))).otherwise(pick(first) + F.greatest(fine, F.lit(0)))
+    n = placed.count()
+    ranges = min(MOST_RANGES, math.ceil(n / RANGE_DOCS))
+    if ranges < 2:
+        return F.lit(0)
+    place = F.struct("no_id", key, "tie", "row")
+    some = placed.filter(uniform(F.lit("bounds"), key, "tie", "row") < min(1.0, ranges * SAMPLED / n)).select("no_id", key, "tie", "row")
+    found = [tuple(r) for r in some.orderBy("no_id", key, "tie", "row").collect()]
+    bounds = [found[len(found) * k // ranges] for k in range(1, ranges)] if found else []
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds)) + 1
+    named = [dict(zip(("no_id", key, "tie", "row"), b, strict=True)) for b in bounds]
+    kind = placed.select(place.alias("p")).schema["p"].dataType.simpleString()
+    heads = F.from_json(F.lit(json.dumps(named[::step], default=str)), f"array<{kind}>")
+    groups = F.from_json(F.lit(json.dumps([named[k : k + step] for k in range(0, len(named), step)], default=str)), f"array<array<{kind}>>")
+    group = F.size(F.filter(heads, lambda b: b <= place)) - 1
+    return F.when(group < 0, 0).otherwise(group * step + F.size(F.filter(F.get(groups, group), lambda b: b <= place)))
 
 
 def with_next(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs(key, text) -> key, text, next_text: the text of the next row in order of key; after the last comes the first.
+    """docs(key, text) -> key, tie, text, h, s, next (text, h, s): the next row in order of key; after the last comes the first.
 
-    Rows with one key are ordered by text. Text is shuffled once, by ranges of the key; the last row of a range takes
-    the head of the next range that has rows. Numbers of ranges, one for about RANGE_DOCS rows, pass through one task.
+    h and s are wide hash and SHA-256 of the canonical text, which is made once for each row. Rows with one key are
+    ordered by a hash of the text, tie. Text is shuffled once, by ranges of that order; the last row of a range takes the
+    head of the next range that has rows. Only the numbers of ranges, MOST_RANGES at most, pass through one task.
     """
-    placed = docs.select(key, F.coalesce("text", F.lit("")).alias("text")).withColumn("range", F.coalesce(range_bucket(docs, key), F.lit(0)))  # never null, so that both uses share one shuffle
-    w = W.partitionBy("range").orderBy(F.col(key).asc_nulls_last(), "text")
-    rows = placed.withColumn("in_range", F.lead("text").over(w)).withColumn("is_head", F.lag(F.lit(1)).over(w).isNull())
-    heads = rows.filter("is_head").select("range", F.col("text").alias("head"))
-    order = W.orderBy("range")
-    around = heads.select("range").withColumn("following", F.coalesce(F.lead("range").over(order), F.min("range").over(W.partitionBy())))
+    text = F.coalesce("text", F.lit(""))
+    placed = docs.select(F.col(key).isNull().alias("no_id"), key, text.alias("text"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("row"))
+    placed = placed.withColumn("range", _range(placed, key)).withColumn("c", canonical(F.col("text")))
+    placed = placed.select("range", "no_id", key, "tie", "row", "text", wide_hash(F.col("c")).alias("h"), F.unhex(F.sha2("c", 256)).alias("s"))
+    w = W.partitionBy("range").orderBy("no_id", key, "tie", "row")
+    own = F.struct("text", "h", "s")
+    rows = placed.withColumn("in_range", F.lead(own).over(w)).withColumn("is_head", F.lag(F.lit(1)).over(w).isNull())
+    heads = rows.filter("is_head").select("range", own.alias("head"))
+    around = heads.select("range").withColumn("following", F.coalesce(F.lead("range").over(W.orderBy("range")), F.min("range").over(W.partitionBy())))
     heads = around.join(heads.withColumnRenamed("range", "following"), "following").select("range", "head")
-    return rows.join(heads, "range", "left").select(key, "text", F.coalesce("in_range", "head").alias("next_text"))
+    return rows.join(heads, "range", "left").select(key, "tie", "text", "h", "s", F.coalesce("in_range", "head").alias("next"))
+
+
+def _clashes(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """Wide hashes h that different canonical texts have.
+
+    In buckets of documents, texts are compared byte by byte: rows with one hash of the raw text by its smallest and
+    largest text, and then a bucket's different raw texts by their canonical forms. Edited texts are compared with
+    those of their bucket by SHA-256.
+    """
+    seen = first.select("h", "s").unionByName(first.select(F.col("he").alias("h"), F.col("se").alias("s")))
+    by_digest = seen.groupBy("h").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).filter("lo != hi").select("h")
+    again = first.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    ties = written(first.select("h", "tie").join(again, "h", "left_semi").select(F.col("tie").alias("_tie")).distinct(), "repeated")
+    if ties.count() <= BROADCAST_KEYS:
+        ties = F.broadcast(ties)
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select(text.alias("text")).withColumn("_tie", F.xxhash64("text")).join(ties, "_tie", "left_semi")
+    ends = own.groupBy("_tie").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
+    raw = ends.select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("text"))
+    canon = raw.select(canonical(F.col("text")).alias("c")).withColumn("h", wide_hash(F.col("c")))
+    by_bytes = canon.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("h")
+    return written(by_digest.unionByName(by_bytes).distinct(), "clashes")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    A fingerprint is the wide hash of the canonical text. Buckets of documents with one hash are compared byte by byte
-    (the smallest and the largest text of a bucket must agree); in a bucket that fails, fingerprints get the SHA-256 of
-    the canonical text appended. So texts have one fingerprint if and only if their canonical texts are equal, and
-    likeness, which is exact, is 1 or 0. The minimum and the maximum are pre-aggregated, so a group of copies that
-    holds a third of all rows sends one text for each task.
+    A fingerprint is the wide hash of the canonical text. Buckets of equal hashes are compared (see _clashes); in one
+    that fails, fingerprints get the SHA-256 of the canonical text appended, those of edited texts too. So texts have
+    one fingerprint if and only if their canonical texts are equal. Likeness is that of two fingerprints: 1 where they
+    are equal, else 0. Minima and maxima are combined before the shuffle, so a group of copies that holds a third of
+    all rows sends one text for each task.
 
-    Null text is empty text. Repeated rows and ids each give a row; rows of one id are ordered by text. A table of one
-    document follows itself. Null ids come last. An empty table gives no rows.
+    Null text is empty text. Repeated rows and ids each give a row; rows of one id are ordered by a hash of the text. A
+    table of one document follows itself. Null ids come last. An empty table gives no rows. Columns other than the two
+    are not read.
     """
-    pairs = with_next(docs)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    texts = pairs.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
-    canon = texts.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("text")).alias("c"), canonical(F.col("edited")).alias("ce"), canonical(F.col("next_text")).alias("cn"))
-    first = written(canon.select(
-        "doc_id", "n_chars", "edited_sha256", wide_hash(F.col("c")).alias("h"), wide_hash(F.col("ce")).alias("he"),
-        F.unhex(F.sha2("c", 256)).alias("s"), F.unhex(F.sha2("ce", 256)).alias("se"),
-        (F.col("c") == F.col("ce")).cast("double").alias("near_edited"), (F.col("c") == F.col("cn")).cast("double").alias("near_next"),
-    ), "fingerprints")
-    repeated = first.groupBy("h").count().filter("count > 1").select("h")
-    if repeated.count() <= BROADCAST_KEYS:
-        repeated = F.broadcast(repeated)
-    own = docs.select(canonical(F.col("text")).alias("c")).select("c", wide_hash(F.col("c")).alias("h"))
-    clashes = own.join(repeated, "h", "left_semi").groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("h")
-    clashes = written(clashes, "clashes")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
+    texts = with_next(docs).select("doc_id", "tie", n.cast("long").alias("n_chars"), edited.alias("edited"), "h", "s", F.col("next.h").alias("hn"), F.col("next.s").alias("sn"))
+    canon = texts.withColumn("ce", canonical(F.col("edited")))
+    first = written(canon.select("doc_id", "tie", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "h", "s", wide_hash(F.col("ce")).alias("he"), F.unhex(F.sha2("ce", 256)).alias("se"), "hn", "sn"), "fingerprints")
+    clashes = _clashes(docs, first)
     out = first
-    for hashed, sha, name in (("h", "s", "fingerprint"), ("he", "se", "edited_fingerprint")):
+    for hashed, sha, name in (("h", "s", "fingerprint"), ("he", "se", "edited_fingerprint"), ("hn", "sn", "next_fingerprint")):
         marked = clashes.select(F.col("h").alias("_h"), F.lit(True).alias("_clash"))
         out = out.join(marked, F.col(hashed) == F.col("_h"), "left")
         out = out.withColumn(name, F.when(F.col("_clash"), F.concat(hashed, F.lit("-"), F.lower(F.hex(sha)))).otherwise(F.col(hashed))).drop("_h", "_clash")
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    like = lambda c: (F.col("fingerprint") == F.col(c)).cast("double")
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("next_fingerprint").alias("near_next"))
 
 
 def op7_fingerprints(spark, sf_dir: str) -> DataFrame:

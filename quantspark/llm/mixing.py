@@ -6,12 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, packed_rows, table, uniform, unpacked, written
+from .common import WORD, numbered, packed_rows, table, uniform, unpacked, written
 
 #: Documents that one fold pairs up in turn; the next level folds what is left of as many blocks.
 BLOCK = 128
-#: Copies of one row that a task numbers at a time.
-CHUNK = 4096
 #: Sources up to which their table is broadcast; beyond it, a shuffled join gives the same rows.
 BROADCAST_SOURCES = 1 << 16
 
@@ -77,18 +75,6 @@ def _tie() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")), "source")
 
 
-def _numbered(sized: DataFrame) -> DataFrame:
-    """sized with nth, which tells rows that agree in all columns apart.
-
-    They are counted first, combined before the shuffle, and numbered in chunks on many tasks; so the numbers do not
-    depend on how Spark dealt the rows, and a row that is there very often meets no single task.
-    """
-    counted = sized.groupBy(*sized.columns).agg(F.count("*").alias("n"))
-    parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK)))).repartition("doc_id", "tie", "part")
-    last = F.least(F.col("n"), (F.col("part") + 1) * CHUNK) - 1
-    return parts.withColumn("nth", F.explode(F.sequence(F.col("part") * CHUNK, last))).drop("n", "part")
-
-
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = BLOCK) -> DataFrame:
     """docs(doc_id, text, source, ...) -> doc_id, tie, source, size, source_size, target, copies: one row per row of docs.
 
@@ -110,7 +96,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     if t.count() <= BROADCAST_SOURCES:
         t = F.broadcast(t)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    joined = _numbered(sized).join(t, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source").withColumn("base", F.floor(rate)).withColumn("p", rate - F.floor(rate))
+    joined = numbered(sized).join(t, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source").withColumn("base", F.floor(rate)).withColumn("p", rate - F.floor(rate))
     keys = ["source", "source_size", "target", "base"]
     row = ["doc_id", "tie", *keys, "size", "copies"]
     n_blocks = F.ceil(F.col("n_docs") / block)
