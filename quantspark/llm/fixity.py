@@ -6,36 +6,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import copied, table, written
 
 #: Bytes of an archive file that one leaf covers, and children of an inner node.
 LEAF_BYTES, FANOUT = 64 << 10, 16
 
 
 def warc_records(pages: DataFrame, per_file: int = 1024) -> DataFrame:
-    """pages(page_id, url, html, ...) -> file, offset, length, page_id, record: the pages as WARC records in files.
+    """pages(page_id, url, html, ...) -> file, page_id, record: the pages as WARC records, dealt to files.
 
-    A file takes the pages of per_file consecutive ids, ordered by id, url and html; pages with null ids are dealt over
-    files -1, -2, ... by hash. Null url and html are empty. offset is the byte at which a record starts in its file.
+    A file takes the pages of per_file consecutive ids; pages with null ids are dealt over files -1, -2, ... by hash, so
+    many that each has about per_file of them. Null url and html are empty.
     """
     url, body = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
-    size = F.octet_length(body)
     head = F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), url, F.lit("\r\nWARC-Payload-Digest: sha256:"), F.sha2(body, 256),
-        F.lit("\r\nContent-Length: "), size.cast("string"), F.lit("\r\n\r\n"),
+        F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
     )
-    file = F.coalesce(F.floor(F.col("page_id") / per_file), -1 - F.pmod(F.xxhash64("url", "html"), F.lit(64)))
-    rows = pages.select(file.alias("file"), "page_id", F.concat(head, body, F.lit("\r\n\r\n")).alias("record"))
-    order = W.partitionBy("file").orderBy(F.col("page_id").asc_nulls_last(), "record")
-    length = F.octet_length("record").cast("long")
-    rows = rows.withColumn("length", length)
-    offset = F.sum("length").over(order.rowsBetween(W.unboundedPreceding, -1))
-    return rows.select("file", F.coalesce(offset, F.lit(0)).cast("long").alias("offset"), "length", "page_id", "record")
+    without_id = pages.filter("page_id is null").count()
+    file = F.coalesce(F.floor(F.col("page_id") / per_file), -1 - F.pmod(F.xxhash64("url", "html"), F.lit(without_id // per_file + 1)))
+    return pages.select(file.alias("file"), "page_id", F.concat(head, body, F.lit("\r\n\r\n")).alias("record"))
 
 
 def record_digests(records: DataFrame) -> DataFrame:
-    """records(file, offset, length, page_id, record) -> the same with the SHA-256 of the record in place of the record."""
-    return records.select("file", "offset", "length", "page_id", F.sha2("record", 256).alias("digest"))
+    """records(file, page_id, record, ...) -> the manifest (file, offset, length, page_id, digest, ...) of files that hold them by id.
+
+    Lengths and SHA-256 digests are taken where records are read; no record is shuffled. offset is the byte at which a
+    record starts in its file, where records are ordered by id (null last) and digest. Sums by id and the start of the
+    digest come first, then sums within such a bucket, and records that are equal are numbered in chunks, so that an id
+    that very many records share spreads over many tasks. Further columns are kept as they are.
+    """
+    more = [c for c in records.columns if c not in ("file", "page_id", "record")]
+    light = records.select("file", "page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"), *more)
+    bucket = ["file", "page_id", "bucket"]
+    before = lambda w: F.coalesce(F.sum("bytes").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    kinds = light.groupBy(*light.columns).agg(F.count("*").alias("copies"))
+    kinds = kinds.withColumn("bytes", F.col("copies") * F.col("length")).withColumn("bucket", F.substring("digest", 1, 2))
+    starts = kinds.groupBy(*bucket).agg(F.sum("bytes").alias("bytes")).withColumn("start", before(W.partitionBy("file").orderBy(F.col("page_id").asc_nulls_last(), "bucket")))
+    kinds = kinds.withColumn("within", before(W.partitionBy(*bucket).orderBy("digest", *more)))
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"s.{c}")) for c in bucket]
+    placed = kinds.alias("k").join(starts.select(*bucket, "start").alias("s"), same).select("k.*", "start")
+    placed = copied(placed, "copies", "nth", ["file", "page_id", "digest"])
+    offset = F.col("start") + F.col("within") + F.col("nth") * F.col("length")
+    return placed.select("file", offset.cast("long").alias("offset"), "length", "page_id", "digest", *more)
 
 
 def _hash_children(order: str, *parts: Column | str) -> Column:
@@ -50,15 +63,19 @@ def merkle_nodes(digests: DataFrame, leaf_bytes: int = LEAF_BYTES, fanout: int =
     n * fanout, ... of the level below. Each file has a root of its own, and files build their trees side by side.
     """
     leaf = F.floor(F.col("offset") / leaf_bytes)
-    levels = [digests.groupBy("file", leaf.alias("node")).agg(_hash_children("offset", "length", "page_id", "digest").alias("hash"))]
+    levels = [written(digests.groupBy("file", leaf.alias("node")).agg(_hash_children("offset", "length", "page_id", "digest").alias("hash")), "merkle-leaves")]
     most = (digests.agg(F.max("offset")).first()[0] or 0) // leaf_bytes
     while most:
-        below = levels[-1].select("file", "node", "hash", F.floor(F.col("node") / fanout).alias("up"))
-        levels.append(below.groupBy("file", F.col("up").alias("node")).agg(_hash_children("node", "hash").alias("hash")))
+        levels.append(_level_above(levels[-1], fanout))
         most //= fanout
     return levels
 
 
+def _level_above(level: DataFrame, fanout: int) -> DataFrame:
+    below = level.select("file", "node", "hash", F.floor(F.col("node") / fanout).alias("up"))
+    return written(below.groupBy("file", F.col("up").alias("node")).agg(_hash_children("node", "hash").alias("hash")), "merkle-nodes")
+
+
 def audit(mine: DataFrame, theirs: DataFrame, leaf_bytes: int = LEAF_BYTES, fanout: int = FANOUT) -> DataFrame:
     """Two manifests (file, offset, length, page_id, digest) -> file, leaf, offset, length, page_id, digest, replica_digest, fault.
 
@@ -71,8 +88,7 @@ def audit(mine: DataFrame, theirs: DataFrame, leaf_bytes: int = LEAF_BYTES, fano
     ours, other = merkle_nodes(a, leaf_bytes, fanout), merkle_nodes(b, leaf_bytes, fanout)
     while len(ours) != len(other):  # replicas of unlike length: the shorter tree gets levels of single nodes
         less = min(ours, other, key=len)
-        below = less[-1].select("file", "node", "hash", F.floor(F.col("node") / fanout).alias("up"))
-        less.append(below.groupBy("file", F.col("up").alias("node")).agg(_hash_children("node", "hash").alias("hash")))
+        less.append(_level_above(less[-1], fanout))
     wrong = None
     for x, y in zip(reversed(ours), reversed(other), strict=True):
         if wrong is not None:
@@ -97,15 +113,18 @@ def audit(mine: DataFrame, theirs: DataFrame, leaf_bytes: int = LEAF_BYTES, fano
 
 
 def damaged_copy(records: DataFrame) -> DataFrame:
-    """A replica of archive records as failing disks leave it: of each 97 ids one record has a byte changed, and one is lost."""
+    """records(page_id, record, ...) with replica: the record as failing disks leave it in a copy. Of each 97 ids one record
+    has a byte changed, and one is lost (null)."""
     k = F.pmod(F.col("page_id") * 31, F.lit(97))
     spoilt = F.when(k == 5, F.concat(F.expr("left(record, length(record) - 5)"), F.lit("#"), F.expr("right(record, 4)"))).otherwise(F.col("record"))
-    return records.withColumn("record", spoilt).filter(F.coalesce(k, F.lit(0)) != 11)
+    return records.withColumn("replica", F.when(F.coalesce(k, F.lit(0)) != 11, spoilt))
 
 
 def op1_warc_fixity(spark, sf_dir: str) -> DataFrame:
-    records = warc_records(table(spark, sf_dir, "pages"))
-    return audit(record_digests(records), record_digests(damaged_copy(records))).drop("leaf")
+    records = damaged_copy(warc_records(table(spark, sf_dir, "pages")))
+    manifest = written(record_digests(records.withColumn("replica", F.sha2("replica", 256))), "manifests")
+    theirs = manifest.filter("replica is not null").drop("digest").withColumnRenamed("replica", "digest")
+    return audit(manifest.drop("replica"), theirs).drop("leaf")
 
 
 OP1_SQL = r"""
