@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from .common import table, written
 from .components import connected_components, forest
 
-#: Pivots (one cell each) for so many distinct vectors, and the most pivots, which are the only vectors on the driver.
-CELL, MOST_PIVOTS = 4096, 1024
-#: Home vectors and cell members that one task compares at a time.
-HOME_BLOCK, MEMBER_BLOCK = 4096, 16384
+#: Pivots (one cell each) for so many distinct vectors, and the most pivots of one length, which are all the vectors on the driver.
+CELL, MOST_PIVOTS = 16384, 1024
+#: Home vectors and cell members that one task compares at a time, in bytes of single precision.
+HOME_BYTES, MEMBER_BYTES = 4 << 20, 16 << 20
 STRIP = 512
+#: Cells up to which their numbers of blocks are broadcast; beyond it, a shuffled join gives the same rows.
+BROADCAST_CELLS = 1 << 16
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -30,102 +32,116 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _cells(classes: DataFrame, dim: int, pivots: np.ndarray, reach: float, slices: int) -> DataFrame:
-    """cid, copies, vector, slice, home, cells: the cell of the nearest pivot, and all cells that may hold a neighbour.
+def _cells(classes: DataFrame, pivots: dict[int, np.ndarray], reach: float) -> DataFrame:
+    """cid, copies, dim, embedding, home, cells: the cell of the nearest pivot, and the later cells that may hold a neighbour.
 
     Two vectors nearer than reach lie at most reach apart in their distance from the plane half-way between two pivots
-    and from a pivot itself (triangle inequality). A vector is in the cell of pivot j if its distance from the plane
-    between its own pivot and j is at most reach.
+    (triangle inequality). So two neighbours with homes i < j both lie within reach of the plane between these pivots,
+    and it is enough to send the vector at home in i to cell j: every pair meets once, in the later of its two cells.
     """
-    gap = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 1e-12))
+    gaps = {dim: np.sqrt(np.maximum(2 - 2 * p @ p.T, 1e-12)) for dim, p in pivots.items()}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            near = _unit(_matrix(b.column("embedding"), dim)) @ pivots.T
-            home = near.argmax(axis=1)
-            lead = near[np.arange(len(home)), home][:, None] - near
-            inside = lead <= (reach + 1e-9) * gap[home]
-            inside[np.arange(len(home)), home] = True
-            row, cell = np.nonzero(inside)
-            cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(inside.sum(axis=1))]), pa.int32()), pa.array(cell, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("copies"), b.column("embedding"), pa.array(home, pa.int32()), cells], ["cid", "copies", "embedding", "home", "cells"])
-
-    return classes.select("cid", "copies", "embedding").mapInArrow(place, "cid long, copies long, embedding array<float>, home int, cells array<int>")
-
-
-def _compare(dim: int, least: float):
+        for whole in batches:
+            dims = np.asarray(whole.column("dim"))
+            for dim in np.unique(dims):
+                b = whole.filter(pa.array(dims == dim))
+                home, cells = np.zeros(b.num_rows, np.int32), pa.array([[]] * b.num_rows, pa.list_(pa.int32()))
+                if dim in pivots:
+                    near = _unit(_matrix(b.column("embedding"), int(dim))) @ pivots[dim].T
+                    home = near.argmax(axis=1)
+                    lead = near[np.arange(len(home)), home][:, None] - near
+                    inside = (lead <= (reach + 1e-9) * gaps[dim][home]) & (np.arange(near.shape[1]) > home[:, None])
+                    cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(inside.sum(axis=1))]), pa.int32()), pa.array(np.nonzero(inside)[1], pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("copies"), b.column("dim"), b.column("embedding"), pa.array(home, pa.int32()), cells], ["cid", "copies", "dim", "embedding", "home", "cells"])
+
+    kind = classes.schema["embedding"].dataType.simpleString()
+    return classes.select("cid", "copies", "dim", "embedding").mapInArrow(place, f"cid long, copies long, dim int, embedding {kind}, home int, cells array<int>")
+
+
+def _compare(least: float):
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
-        """n_links of the home vectors in this block, and a forest with the components of its links."""
-        is_home = np.asarray(rows.column("is_home"))
+        """n_links that home vectors of this block and members have with each other, and a forest with the components of the links.
+
+        Members are the vectors that came from other cells, and the home vectors themselves; two home vectors meet where
+        the one with the smaller cid is a member.
+        """
+        dim, side = key[0].as_py(), np.asarray(rows.column("side"))
         cid, copies, x = np.asarray(rows.column("cid")), np.asarray(rows.column("copies")), _unit(_matrix(rows.column("embedding"), dim))
-        h, m = np.flatnonzero(is_home), np.flatnonzero(~is_home)
+        h, m = np.flatnonzero(side == 0), np.flatnonzero(side > 0)
+        inner = side == 1
         x32 = x.astype(np.float32)
-        links, a, b = np.zeros(len(h), np.int64), [], []
+        xm = np.ascontiguousarray(x32[m].T)
+        links, a, b = np.zeros(len(cid), np.int64), [], []
         for at in range(0, len(h), STRIP):
             own = h[at : at + STRIP]
-            i, j = np.nonzero(x32[own] @ x32[m].T >= least - 1e-4)
+            i, j = np.nonzero(x32[own] @ xm >= least - 1e-4)
             i, j = own[i], m[j]
-            keep = cid[i] != cid[j]
+            keep = ~inner[j] | (cid[j] < cid[i])
             i, j = i[keep], j[keep]
             for part in range(0, len(i), 1 << 16):
                 p, q = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
                 good = np.einsum("ij,ij->i", x[p], x[q]) >= least
                 p, q = p[good], q[good]
-                links += np.bincount(np.searchsorted(h, p), weights=copies[q], minlength=len(h)).astype(np.int64)
+                links += np.bincount(p, weights=copies[q], minlength=len(cid)).astype(np.int64) + np.bincount(q, weights=copies[p], minlength=len(cid)).astype(np.int64)
                 fi, fj = forest(p, q, len(cid))
                 a.append(fi)
                 b.append(fj)
         a, b = forest(np.concatenate(a), np.concatenate(b), len(cid)) if a else (np.empty(0, np.int64),) * 2
-        some = links > 0
-        return pa.table({"cid": pa.array(np.concatenate([cid[h][some], cid[a]]), pa.int64()), "other": pa.array(np.concatenate([np.zeros(some.sum(), np.int64), cid[b]]), pa.int64(), mask=np.concatenate([np.ones(some.sum(), bool), np.zeros(len(b), bool)])), "links": pa.array(np.concatenate([links[some], np.zeros(len(b), np.int64)]), pa.int64())})
+        some = np.flatnonzero(links)
+        blank = np.concatenate([np.ones(len(some), bool), np.zeros(len(b), bool)])
+        return pa.table({"cid": pa.array(cid[np.concatenate([some, a])], pa.int64()), "other": pa.array(cid[np.concatenate([some, b])], pa.int64(), mask=blank), "links": pa.array(np.concatenate([links[some], np.zeros(len(b), np.int64)]), pa.int64())})
 
     return compare
 
 
+def _pivots(classes: DataFrame, dim: int, n: int) -> np.ndarray:
+    sample = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("embedding"), "cid").limit(min(MOST_PIVOTS, -(-n // CELL))).select("embedding").collect()
+    return _unit(np.array([r[0] for r in sample], dtype=np.float64))
+
+
 def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     """vectors(vec_id, embedding, ...) -> vec_id, n_links, component_id, kept: one row per row of vectors.
 
     Links pairs with cosine >= least, compared in double precision (single precision only rules out pairs that are
     clearly below). Equal vectors are one class with a count, so copies are never paired. Pivots are a bounded sample
-    by hash; each class goes to its nearest pivot's cell and to every cell within reach, and each cell compares its own
-    vectors with all that came to it, in blocks of bounded size. Only counts and spanning forests leave a block, never
-    pairs. Where distances concentrate (unrelated vectors of many dimensions), nearly all cells are within reach and
-    the join compares nearly all pairs of classes, as any exact join would.
+    by hash; each class goes to its nearest pivot's cell and to every later cell within reach, and each cell compares its
+    own vectors with each other and with those that came to it, in blocks of bounded size. Only counts and spanning
+    forests leave a block, never pairs. Where distances concentrate (unrelated vectors of many dimensions), nearly all
+    cells are within reach and the join compares nearly all pairs of classes, as any exact join would.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different
-    lengths do not link. Repeated ids are vectors of their own; null ids link like others, and a component's id is its
-    smallest id that is not null. An empty table gives no rows.
+    lengths do not link. Arrays of any numbers will do; those that are no float are compared as doubles. Repeated ids are
+    vectors of their own; null ids link like others, and a component's id is its smallest id that is not null. Columns
+    other than the two are not read. An empty table gives no rows.
     """
+    kind = vectors.schema["embedding"].dataType.simpleString()
     e = F.col("embedding")
+    rows = vectors.select("vec_id", (e if kind == "array<float>" else e.cast("array<double>")).alias("embedding"))
     sound = F.coalesce(F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0), F.lit(False))
-    rows = vectors.select("vec_id", "embedding")
     grouped = rows.filter(sound).groupBy("embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least_id"))
     classes = written(grouped.select(F.monotonically_increasing_id().alias("cid"), "copies", "least_id", "embedding", F.size("embedding").alias("dim")), "vector-classes")
-    reach = math.sqrt(2 - 2 * least)
-    found = None
-    for dim, n in classes.groupBy("dim").count().collect():
-        own = classes.filter(F.col("dim") == dim)
-        k = min(MOST_PIVOTS, -(-n // CELL))
-        sample = own.orderBy(F.xxhash64("embedding")).limit(k).select("embedding").collect()
-        pivots = _unit(np.array([r[0] for r in sample], dtype=np.float64))
-        placed = written(_cells(own, dim, pivots, reach, 1), "vector-cells")
-        homes = {r[0]: r[1] for r in placed.groupBy("home").count().collect()}
-        members = {r[0]: r[1] for r in placed.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()}
-        blocks = lambda counts, size: F.array(*[F.lit(-(-counts.get(c, 0) // size) or 1) for c in range(k)])
-        home_blocks, member_blocks = blocks(homes, HOME_BLOCK), blocks(members, MEMBER_BLOCK)
-        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        hashed = F.xxhash64("cid")
-        as_home = placed.select("cid", "copies", "embedding", F.col("home").alias("cell"))
-        as_home = as_home.withColumn("hb", F.pmod(hashed, F.get(home_blocks, F.col("cell")))).withColumn("mb", every(F.get(member_blocks, F.col("cell"))))
-        as_member = placed.select("cid", "copies", "embedding", F.explode("cells").alias("cell"))
-        as_member = as_member.withColumn("mb", F.pmod(hashed, F.get(member_blocks, F.col("cell")))).withColumn("hb", every(F.get(home_blocks, F.col("cell"))))
-        both = as_home.withColumn("is_home", F.lit(True)).unionByName(as_member.withColumn("is_home", F.lit(False)))
-        part = both.groupBy("cell", "hb", "mb").applyInArrow(_compare(dim, least), "cid long, other long, links long")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    # only lengths of more than CELL vectors, of which there are few, have pivots; the vectors of any other are one cell
+    large = classes.groupBy("dim").count().filter(F.col("count") > CELL).collect()
+    pivots = {dim: _pivots(classes, dim, n) for dim, n in large}
+    placed = written(_cells(classes, pivots, math.sqrt(2 - 2 * least)), "vector-cells")
+    homes = placed.groupBy("dim", F.col("home").alias("cell")).agg(F.count("*").alias("n_home"))
+    members = placed.select("dim", F.explode("cells").alias("cell")).groupBy("dim", "cell").agg(F.count("*").alias("n_member"))
+    blocks = lambda n, size: F.greatest(F.ceil(n * F.col("dim") * 4 / size), F.lit(1)).cast("int")
+    cells = homes.join(members, ["dim", "cell"], "left").withColumn("n_member", F.coalesce("n_member", F.lit(0)) + F.col("n_home"))
+    cells = written(cells.select("dim", "cell", blocks(F.col("n_home"), HOME_BYTES).alias("hbs"), blocks(F.col("n_member"), MEMBER_BYTES).alias("mbs")), "cells")
+    if cells.count() <= BROADCAST_CELLS:
+        cells = F.broadcast(cells)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    hashed = F.xxhash64("cid")
+    own = ["cid", "copies", "embedding", "dim"]
+    home = placed.select(*own, F.col("home").alias("cell"), F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    came = placed.select(*own, F.explode("cells").alias("cell"), F.lit(2).alias("side"))
+    both = home.unionByName(came).join(cells, ["dim", "cell"])
+    as_home = both.filter("side = 0").withColumn("hb", F.pmod(hashed, F.col("hbs")).cast("int")).withColumn("mb", every("mbs"))
+    as_member = both.filter("side > 0").withColumn("mb", F.pmod(hashed, F.col("mbs")).cast("int")).withColumn("hb", every("hbs"))
+    dealt = as_home.unionByName(as_member).select("dim", "cell", "hb", "mb", "side", "cid", "copies", "embedding")
+    found = dealt.groupBy("dim", "cell", "hb", "mb").applyInArrow(_compare(least), "cid long, other long, links long")
     found = written(found, "vector-links")
     links = found.filter("other is null").groupBy("cid").agg(F.sum("links").alias("links"))
     roots = connected_components(found.filter("other is not null").select(F.col("cid").alias("src"), F.col("other").alias("dst"))).withColumnRenamed("node", "cid")
