@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_batches, written
+from .common import hot_join, packed_rows, table, text_batches, unpacked, written
 from .components import connected_components, forest
 
 #: Registers of a sketch, and how many of them make a band. At similarity 0.8 two documents share no band with
@@ -22,12 +22,12 @@ REGISTERS, BAND = 128, 4
 BASE = 1.001
 #: Standard errors below the threshold at which an estimate still goes to verification.
 ERRORS = 5
-#: Rows of a bucket that one task compares with each other at a time.
-BLOCK = 2048
+#: Rows of a bucket, and bytes of their texts, that one task holds on each side of a comparison, about.
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
 #: Columns of a dense block of shingles when many intersections are counted.
 COLUMNS = 4096
 #: Rows up to which a list of ids is broadcast; beyond it, a shuffled join does the same.
-BROADCAST_ROWS = 1 << 20
+BROADCAST_ROWS = 1 << 18
 
 _rng = np.random.default_rng(20240501)
 _A = (_rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32)) | np.uint32(1)
@@ -96,7 +96,7 @@ def _sketch(words: int):
                 r = registers(h) if len(h) else None
                 regs.append(None if r is None else r.tobytes())
                 keys.append(None if r is None else band_keys(r))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "tie", "n", "d1", "d2", "regs", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), b.column("bytes"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "tie", "bytes", "n", "d1", "d2", "regs", "keys"])
 
     return sketch
 
@@ -117,11 +117,13 @@ def _estimated(pairs: DataFrame, classes: DataFrame, cut: float) -> DataFrame:
                 near = estimate((p == q).sum(axis=1), (p > q).sum(axis=1), (p < q).sum(axis=1), np.asarray(x.column("n_a"), float), np.asarray(x.column("n_b"), float)) >= cut
                 yield pa.RecordBatch.from_arrays([x.column("a").filter(pa.array(near)), x.column("b").filter(pa.array(near))], ["a", "b"])
 
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(keep, "a long, b long")
+    counts = pairs.groupBy("a").agg(F.count("*").alias("size"))
+    both = hot_join(pairs.join(two, "b"), one.join(counts, "a"), "a", "size", width=4 * REGISTERS)
+    return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(keep, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """pairs(a, b) that reach the similarity on their full sets. Only the partner's text moves to where a hot a is."""
+    """pairs(a, b) that reach the similarity on their full sets. The text of an a with very many partners goes to them."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cached = lru_cache(64)(lambda t: shingles(t, words))
@@ -136,7 +138,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     one, two = texts.toDF("a", "t_a"), texts.toDF("b", "t_b")
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "t_a", "t_b").mapInArrow(check, "a long, b long")
+    counts = pairs.groupBy("a").agg(F.count("*").alias("size"))
+    both = hot_join(pairs.join(two, "b"), one.join(counts, "a"), "a", "size", width=F.octet_length("t_a") + 64)
+    return both.select("a", "b", "t_a", "t_b").mapInArrow(check, "a long, b long")
 
 
 def _shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -163,27 +167,26 @@ def _shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _across(words: int, percent: int, cut: float):
     def across(key: tuple, rows: pa.Table) -> pa.Table:
-        """A forest with the components of the links between rows of one bucket's block that were in different components.
+        """A forest with the components of the links between rows of one bucket that were in different components.
 
-        A pair that shares several bands is looked at in the first of them only. Registers rule out most pairs, and the
-        others are verified on their full sets.
+        Rows of side 0 are outside the bucket's largest component; they meet those of side 1, which are of any. A pair that
+        shares several bands is looked at in the first of them only. Registers rule out most pairs, and the others are
+        verified on their full sets.
         """
         cid, root, n, side = (np.asarray(rows.column(c)) for c in ("cid", "root", "n", "side"))
+        major = np.asarray(rows.column("major"))
         regs = _regs(rows.column("regs"))
         keys = np.asarray(rows.column("keys").combine_chunks().flatten()).reshape(len(cid), -1)
         band = int((keys[0] == key[0].as_py()).argmax())
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(right):
-            right = left
-            names, counts = np.unique(root[left], return_counts=True)
-            left = left[root[left] != names[counts.argmax()]]  # within the largest component nothing is left to find
         texts, sets = rows.column("text"), {}
         out_i, out_j = [], []
         step = max(1, (1 << 20) // (len(right) + 1))
         for at in range(0, len(left), step):
             own = left[at : at + step]
             small, large = np.minimum(n[own][:, None], n[right]), np.maximum(n[own][:, None], n[right])
-            i, j = np.nonzero((root[own][:, None] != root[right]) & (100 * small >= percent * large))
+            once = major[right] | (cid[own][:, None] < cid[right])
+            i, j = np.nonzero((root[own][:, None] != root[right]) & once & (100 * small >= percent * large))
             i, j = own[i], right[j]
             good = np.zeros(len(i), bool)
             for a in range(0, len(i), 1 << 14):
@@ -209,26 +212,39 @@ def _across(words: int, percent: int, cut: float):
 
 
 def _in_buckets(members: DataFrame, classes: DataFrame, texts: DataFrame, roots: DataFrame, words: int, percent: int, cut: float) -> DataFrame:
-    """Links (a, b) that join components within buckets that hold several; large buckets are compared block by block."""
+    """Links (a, b) that join components within buckets that hold several.
+
+    What is outside a bucket's largest component is dealt to blocks (mb), and all of the bucket to others (blk); a task
+    takes one of each. So a bucket of very many rows, nearly all of which are in one component, is split into tasks and
+    its rows are copied once.
+    """
     rooted = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo != hi and size > 2").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = rooted.join(mixed, "key").join(classes.select("cid", "regs", "keys"), "cid").join(texts, "cid")
-    rows = rows.withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    # block pair (i, j), i <= j: rows of block i are on side 0, those of block j on side 1; where i = j there is one side
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("blk", x).alias("bi"), F.greatest("blk", x).alias("bj"), (F.col("blk") > x).cast("int").alias("side")))
-    rows = rows.withColumn("pair", F.explode(pair)).select("key", "pair.*", "cid", "root", "n", "regs", "keys", "text")
-    return rows.groupBy("key", "bi", "bj").applyInArrow(_across(words, percent, cut), "a long, b long")
+    per = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    most = F.max(F.struct("n", "root", "bytes"))
+    mixed = per.groupBy("key").agg(F.sum("n").alias("size"), F.sum("bytes").alias("bytes"), most.alias("most"), F.count("*").alias("roots")).filter("roots > 1 and size > 2")
+    blocks = lambda n, b: F.greatest(F.ceil(n / BLOCK), F.ceil(b / BLOCK_BYTES), F.lit(1)).cast("int")
+    mixed = mixed.select("key", F.col("most.root").alias("top"), blocks(F.col("size"), F.col("bytes")).alias("blks"), blocks(F.col("size") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("mbs"), "size")
+    placed = hot_join(rooted.select("key", "cid", "root", "n"), written(mixed, "mixed-buckets"), "key", "size").withColumn("major", F.col("root") == F.col("top"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    at = lambda n, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(n)).cast("int")
+    all_rows = placed.withColumns({"side": F.lit(1), "blk": at("blks", 1)}).withColumn("mb", every("mbs"))
+    outside = placed.filter("not major").withColumns({"side": F.lit(0), "mb": at("mbs", 2)}).withColumn("blk", every("blks"))
+    dealt = all_rows.unionByName(outside).select("key", "mb", "blk", "side", "major", "cid", "root", "n")
+    rows = dealt.join(classes.select("cid", "regs", "keys"), "cid").join(texts, "cid")
+    return rows.groupBy("key", "mb", "blk").applyInArrow(_across(words, percent, cut), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, tie, n_shingles, component_id, kept, stays: one row per row of docs.
 
-    Two documents are linked where 100 * |A n B| >= percent * |A u B| for their sets of shingles. Documents with one
-    set are one class, by a 128-bit digest of the set, so copies are never paired. Each class has a sketch, whose bands
-    deal it to buckets. In every bucket the class with the least id is estimated and then verified against the others;
-    that joins nearly all of a group of near copies with one pair for each. What is in different components afterwards
-    within one bucket is compared there, block by block, by registers first and then on full sets. So no pair that
-    shares a band goes unseen; a task hands on a spanning forest of the links it finds, never pairs.
+    Two documents are linked where 100 * |A n B| >= percent * |A u B| for their sets of shingles. Equal texts are one
+    class (by 64 bits of the text's hash, 128 of the set's and its size), so copies are never paired; texts that differ are
+    linked on their full sets only, even where these are equal. Each class has a sketch, whose bands deal it to buckets.
+    In every bucket the class with the least number is estimated and then verified against the others; that joins nearly
+    all of a group of near copies with one pair for each. What is in different components afterwards within one bucket is
+    compared there, block by block, by registers first and then on full sets. So no pair that shares a band, and whose
+    estimate is within ERRORS standard errors of the threshold, goes unseen; a task hands on a spanning forest of the links
+    it finds, never pairs.
 
     component_id is the smallest id reachable by links; kept holds where it is the row's own id, and stays holds for
     one row of each component, that with the least (doc_id, tie), tie being a hash of the text. Documents without
@@ -236,16 +252,18 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     after all others in a component; a component of null ids only has a null id, and kept is false there.
     """
     text_batches(docs.sparkSession)
-    sketches = written(docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(_sketch(words), "doc_id long, tie long, n long, d1 long, d2 long, regs binary, keys array<long>"), "sketches")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
+    sketches = written(rows.mapInArrow(_sketch(words), "doc_id long, tie long, bytes long, n long, d1 long, d2 long, regs binary, keys array<long>"), "sketches")
+    same = ["tie", "d1", "d2", "n"]
     who = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")
-    grouped = sketches.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min(who).alias("who"), F.first("regs").alias("regs"), F.first("keys").alias("keys"))
+    grouped = sketches.filter("n > 0").groupBy(*same).agg(F.min(who).alias("who"), F.count("*").alias("size"), F.first("bytes").alias("bytes"), F.first("regs").alias("regs"), F.first("keys").alias("keys"))
     classes = written(grouped.withColumn("cid", F.monotonically_increasing_id()), "set-classes")
-    bands = classes.select("cid", "n", F.explode("keys").alias("key"))
+    bands = classes.select("cid", "n", "bytes", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("cid").alias("centre")).filter("size > 1")
-    members = written(bands.join(shared.select("key", "centre"), "key"), "buckets")
+    members = written(hot_join(bands, written(shared, "shared-bands"), "key", "size"), "buckets")
 
     cut = percent / 100 - ERRORS * math.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
-    stars = members.filter("cid != centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct()
+    stars = written(members.filter("cid != centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct(), "stars")
     near = written(_estimated(stars, classes, cut), "candidates")
     texts = _texts(docs, classes, members)
     links = written(_verified(near, texts, words, percent), "links")
@@ -258,10 +276,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
         roots = classes.select(F.col("cid").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         roots = written(roots.join(upper.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
 
-    rooted = classes.select("d1", "d2", "n", "who", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    rooted = classes.select(*same, "who", "size", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     first = rooted.groupBy("root").agg(F.min("who").alias("first"))
-    of_class = rooted.join(first, "root").select("d1", "d2", "n", "first")
-    out = sketches.select("doc_id", "tie", "n", "d1", "d2").join(of_class, ["d1", "d2", "n"], "left")
+    of_class = written(rooted.join(first, "root").select(F.struct(*same).alias("class"), "size", "first"), "classes-first")
+    out = hot_join(sketches.select("doc_id", "tie", "n", F.struct(*same).alias("class")), of_class, "class", "size", how="left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("first.doc_id"))
     stays = (F.col("n") == 0) | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie")))
     return out.select("doc_id", "tie", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), stays.alias("stays"))
@@ -279,15 +297,15 @@ def _texts(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """One row of each component of docs, and all rows without words, in the columns of docs."""
     found = written(near_duplicates(docs, **options).select("doc_id", "tie", "stays"), "near-duplicates")
-    out = docs.withColumn("_tie", F.xxhash64("text"))
-    drop = found.filter("not stays").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie_2")).distinct()
+    out = packed_rows(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("tie"), "doc")
+    drop = found.filter("not stays").select(F.col("doc_id").alias("drop_id"), F.col("tie").alias("drop_tie")).distinct()
     again = found.filter("stays").groupBy("doc_id", "tie").count().filter("count > 1")
     if drop.count() <= BROADCAST_ROWS:
         drop = F.broadcast(drop)
-    out = out.join(drop, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_tie_2")), "left_anti")
+    out = out.join(drop, F.col("doc_id").eqNullSafe(F.col("drop_id")) & (F.col("tie") == F.col("drop_tie")), "left_anti")
     if not again.isEmpty():
-        out = out.dropDuplicates(["doc_id", "_tie"])
-    return out.select(*[docs[c] for c in docs.columns])
+        out = out.dropDuplicates(["doc_id", "tie"])
+    return unpacked(out, docs.columns)
 
 
 def op8_setsketch(spark, sf_dir: str) -> DataFrame:
