@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from quantspark.functions.quotes import apply_slippage
 
-#: Bars that are summarised together, for orders that wait long.
-BLOCK = 64
+#: Bars, or blocks of them, that a block of the next level summarises, and levels of blocks.
+BLOCK, LEVELS = 64, 3
 
 
 def align_ticks(bars: DataFrame) -> DataFrame:
@@ -38,24 +38,46 @@ def match_fills(orders: DataFrame, bars: DataFrame, slippage_bps: float = 0.0, c
     stop-limit orders at the limit, stop orders at the stop, before slippage. A stop-limit order needs both conditions
     in one bar. Orders that no bar touches have no row.
 
-    Market orders are an equi-join. Others are held against blocks of bars by their lowest low and highest high first:
-    for limit and stop orders the first block that fits holds the fill, so each order meets the bars of two blocks at
-    most (its own and that one); for stop-limit orders the test is necessary only, and all blocks that fit stay.
+    Market orders are an equi-join. For others, blocks of bars, of blocks and so on hold the lowest low and the highest
+    high. An order is held against what follows it within its own block, then within the block above and so on, and
+    then goes down to the bar, so it meets `block` entries a level and way, however long it waits and however many bars
+    there are. For limit and stop orders the first block that fits holds the fill; for stop-limit orders the test is
+    necessary only, and all blocks that fit are followed.
     """
-    bars = bars.select("symbol", "bar_seq", F.col("ts").alias("fill_ts"), "open", "high", "low").withColumn("block_no", F.floor(F.col("bar_seq") / block))
-    buy = F.upper("side") == "BUY"
+    bars = bars.select("symbol", "bar_seq", F.col("ts").alias("fill_ts"), "open", "high", "low")
     kind = F.col("order_type")
     cols = orders.columns
     at_open = bars.select("symbol", F.col("bar_seq").alias("submit_seq"), "fill_ts", F.col("open").alias("price"))
     market = orders.filter(kind == "MKT").join(at_open, ["symbol", "submit_seq"]).select(*cols, F.col("submit_seq").alias("bar_seq"), "fill_ts", "price")
-    waiting = orders.filter(kind != "MKT").withColumn("own_block", F.floor(F.col("submit_seq") / block))
-    blocks = bars.groupBy("symbol", "block_no").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    fits = _fits(kind, buy, F.col("limit_price"), F.col("stop_price"), F.col("low"), F.col("high"))
-    later = waiting.join(blocks, "symbol").filter((F.col("block_no") > F.col("own_block")) & fits).select("order_key", "block_no", "order_type")
-    first = later.filter("order_type != 'STPLMT'").groupBy("order_key").agg(F.min("block_no").alias("block_no"))
-    where = first.unionByName(later.filter("order_type = 'STPLMT'").select("order_key", "block_no")).unionByName(waiting.select("order_key", F.col("own_block").alias("block_no")))
-    met = waiting.join(where, "order_key").join(bars, ["symbol", "block_no"]).filter((F.col("bar_seq") >= F.col("submit_seq")) & fits)
+    waiting = orders.filter(kind != "MKT")
     price = F.when(kind == "STP", F.col("stop_price")).otherwise(F.col("limit_price"))
-    touched = met.groupBy("order_key").agg(F.min(F.struct("bar_seq", "fill_ts")).alias("bar"))
-    waited = waiting.join(touched, "order_key").select(*cols, "bar.bar_seq", "bar.fill_ts", price.alias("price"))
+    waited = waiting.join(_first_touch(waiting, bars, block), "order_key").join(bars.select("symbol", "bar_seq", "fill_ts"), ["symbol", "bar_seq"]).select(*cols, "bar_seq", "fill_ts", price.alias("price"))
     return market.unionByName(waited).withColumn("fill_price", apply_slippage(F.col("price"), F.col("side"), F.lit(float(slippage_bps)))).withColumn("commission", F.lit(float(commission)))
+
+
+def _first_touch(waiting: DataFrame, bars: DataFrame, block: int) -> DataFrame:
+    """order_key, bar_seq: the first bar from submit_seq on that touches the order."""
+    top = F.lit(0).cast("long")
+    up = lambda c: F.floor(c / block)
+    nodes = [bars.select("symbol", F.col("bar_seq").cast("long").alias("node"), "low", "high", up(F.col("bar_seq")).alias("above"))]
+    for k in range(1, LEVELS + 1):
+        per = nodes[-1].groupBy("symbol", F.col("above").alias("node")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        nodes.append(per.withColumn("above", up(F.col("node")) if k < LEVELS else top))
+    kind, own = F.col("order_type"), ["order_key", "symbol", "order_type", "buy", "limit_price", "stop_price"]
+    fits = _fits(kind, F.col("buy"), F.col("limit_price"), F.col("stop_price"), F.col("low"), F.col("high"))
+    exact = kind != "STPLMT"
+    asked = waiting.withColumn("buy", F.upper("side") == "BUY").select(*own, F.col("submit_seq").cast("long").alias("at"))
+    found = None
+    for k, level in enumerate(nodes):
+        at = F.floor(F.col("at") / block**k)
+        above = F.floor(F.col("at") / block ** (k + 1)) if k < LEVELS else top
+        later = F.col("node") >= at if k == 0 else F.col("node") > at
+        met = asked.withColumn("above", above).join(level, ["symbol", "above"]).filter(later & fits).select(*own, F.lit(k).alias("level"), "node")
+        found = met if found is None else found.unionByName(met)
+    first = lambda df: df.groupBy(*own).agg(F.min(F.struct("level", "node")).alias("n")).select(*own, "n.*")
+    found = first(found.filter(exact)).unionByName(found.filter(~exact))
+    for k in range(LEVELS, 0, -1):
+        here = found.filter(F.col("level") == k).withColumnRenamed("node", "above").drop("level")
+        below = here.join(nodes[k - 1], ["symbol", "above"]).filter(fits).select(*own, F.lit(k - 1).alias("level"), "node")
+        found = found.filter(F.col("level") < k).unionByName(first(below.filter(exact))).unionByName(below.filter(~exact))
+    return found.groupBy("order_key").agg(F.min("node").alias("bar_seq"))

@@ -5,12 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quantspark.functions.quotes import usable_price
 from quantspark.functions.text import first_error
+from quantspark.operators.asof import asof, asof_quotes
 from quantspark.operators.ledger import signed
 
+#: What the rules read of an account.
+ACCOUNT_VALUES = ("net_liquidation", "gross_position_value", "maint_margin_req")
+
 
 @dataclass(frozen=True)
 class RiskLimits:
@@ -31,14 +35,34 @@ def position_for_intents(intents: DataFrame, positions: DataFrame) -> DataFrame:
     return intents.join(net, ["kind", "symbol"], "left").withColumn("position", F.coalesce("position", F.lit(0.0)))
 
 
+def account_for_intents(intents: DataFrame, accounts: DataFrame, key: str = "account", order: str | None = None) -> DataFrame:
+    """intents with the values of their account's latest snapshot up to their own time, null without one.
+
+    accounts(account, ts, net_liquidation, gross_position_value, maint_margin_req); order breaks ties of ts.
+    """
+    return asof(intents, accounts, [key], "ts", list(ACCOUNT_VALUES), order=order).drop("asof_ts")
+
+
+def risk_inputs(intents: DataFrame, positions: DataFrame, quotes: DataFrame, accounts: DataFrame, ttl_s: float = 1.0, order: str | None = None) -> DataFrame:
+    """intents(kind, symbol, account, ts, ...) with position, px and account values, as evaluate_risk() reads them.
+
+    px is the usable price of the latest quote of the symbol that is at most ttl_s old.
+    """
+    priced = asof_quotes(intents, quotes, ttl_s)
+    priced = priced.withColumn("px", usable_price(F.col("last"), F.col("bid"), F.col("ask"), F.col("close"))).drop("asof_ts", "bid", "ask", "last", "close", "volume")
+    return account_for_intents(position_for_intents(priced, positions), accounts, order=order)
+
+
 def session_start(rows: DataFrame, limits: RiskLimits = RiskLimits(), carried: DataFrame | None = None) -> DataFrame:
     """The first net value above zero that a run has seen, in order of seq, at an intent whose quantity was sound.
 
     carried(run_id, session_start), a row for each run, holds what runs have from before; it goes before that of rows.
+    A run's first sound value is one minimum, combined before the shuffle, so a run of any length meets no single task.
     """
     sound = (F.col("quantity") > 0) & (F.col("quantity") <= limits.max_order_quantity) & (F.col("net_liquidation") > 0)
-    w = W.partitionBy("run_id").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = rows.withColumn("session_start", F.first(F.when(sound, F.col("net_liquidation")), ignorenulls=True).over(w))
+    first = rows.filter(sound).groupBy(F.col("run_id").alias("_run")).agg(F.min(F.struct("seq", "net_liquidation")).alias("_first"))
+    out = rows.join(first, F.col("run_id").eqNullSafe(F.col("_run")), "left")
+    out = out.withColumn("session_start", F.when(F.col("seq") >= F.col("_first.seq"), F.col("_first.net_liquidation"))).drop("_run", "_first")
     if carried is None:
         return out
     before = carried.select(F.col("run_id").alias("_run"), F.col("session_start").alias("_start"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -16,17 +17,28 @@ def create_audit_tables(spark: SparkSession, database: str = "default") -> None:
 
 
 def append_audit(df: DataFrame, name: str, path: str, batch_id: int | None = None) -> None:
-    """Appends rows to an audit table. With a batch id the batch's own folder is replaced, so a retried batch adds nothing."""
+    """Appends rows to an audit table, by run. With a batch id the batch's own folder is replaced, so a retried batch adds nothing."""
     cols = StructType.fromDDL(AUDIT[name])
     rows = df.select(*[F.col(f.name).cast(f.dataType) for f in cols])
     if batch_id is None:
         rows.write.mode("append").partitionBy("run_id").parquet(f"{path}/{name}")
     else:
-        rows.write.mode("overwrite").parquet(f"{path}/{name}_batches/batch={batch_id}")
+        rows.write.mode("overwrite").partitionBy("run_id").parquet(f"{path}/{name}_batches/batch={batch_id}")
 
 
 def read_audit(spark: SparkSession, name: str, path: str) -> DataFrame:
-    return spark.read.schema(AUDIT[name]).parquet(f"{path}/{name}")
+    """All rows of an audit table: those that jobs have appended and those of micro-batches. Without any it is empty."""
+    schema = StructType.fromDDL(AUDIT[name])
+    out = spark.createDataFrame([], schema)
+    for folder in (f"{path}/{name}", f"{path}/{name}_batches"):
+        try:
+            found = spark.read.schema(schema).parquet(folder)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            out = out.unionByName(found.select(*schema.names))
+    return out
 
 
 def runs_view(run_events: DataFrame) -> DataFrame:
