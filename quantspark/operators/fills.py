@@ -57,27 +57,22 @@ def match_fills(orders: DataFrame, bars: DataFrame, slippage_bps: float = 0.0, c
 
 def _first_touch(waiting: DataFrame, bars: DataFrame, block: int) -> DataFrame:
     """order_key, bar_seq: the first bar from submit_seq on that touches the order."""
-    top = F.lit(0).cast("long")
-    up = lambda c: F.floor(c / block)
-    nodes = [bars.select("symbol", F.col("bar_seq").cast("long").alias("node"), "low", "high", up(F.col("bar_seq")).alias("above"))]
-    for k in range(1, LEVELS + 1):
-        per = nodes[-1].groupBy("symbol", F.col("above").alias("node")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
-        nodes.append(per.withColumn("above", up(F.col("node")) if k < LEVELS else top))
-    kind, own = F.col("order_type"), ["order_key", "symbol", "order_type", "buy", "limit_price", "stop_price"]
-    fits = _fits(kind, F.col("buy"), F.col("limit_price"), F.col("stop_price"), F.col("low"), F.col("high"))
-    exact = kind != "STPLMT"
-    asked = waiting.withColumn("buy", F.upper("side") == "BUY").select(*own, F.col("submit_seq").cast("long").alias("at"))
-    found = None
-    for k, level in enumerate(nodes):
-        at = F.floor(F.col("at") / block**k)
-        above = F.floor(F.col("at") / block ** (k + 1)) if k < LEVELS else top
-        later = F.col("node") >= at if k == 0 else F.col("node") > at
-        met = asked.withColumn("above", above).join(level, ["symbol", "above"]).filter(later & fits).select(*own, F.lit(k).alias("level"), "node")
-        found = met if found is None else found.unionByName(met)
-    first = lambda df: df.groupBy(*own).agg(F.min(F.struct("level", "node")).alias("n")).select(*own, "n.*")
-    found = first(found.filter(exact)).unionByName(found.filter(~exact))
-    for k in range(LEVELS, 0, -1):
-        here = found.filter(F.col("level") == k).withColumnRenamed("node", "above").drop("level")
-        below = here.join(nodes[k - 1], ["symbol", "above"]).filter(fits).select(*own, F.lit(k - 1).alias("level"), "node")
-        found = found.filter(F.col("level") < k).unionByName(first(below.filter(exact))).unionByName(below.filter(~exact))
-    return found.groupBy("order_key").agg(F.min("node").alias("bar_seq"))
+    up = lambda c, k: F.floor(c / block**k)
+    above = lambda c, k: up(c, k + 1) if k < LEVELS else F.lit(0).cast("long")
+    places = lambda c: F.explode(F.array(*[F.struct(F.lit(k).alias("level"), up(F.col(c), k).alias("at"), above(F.col(c), k).alias("above")) for k in range(LEVELS + 1)]))
+    nodes = bars.select("symbol", "low", "high", places("bar_seq").alias("p")).groupBy("symbol", "p.level", F.col("p.above").alias("above"), F.col("p.at").alias("node")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    own = ["order_key", "symbol", "order_type", "buy", "limit_price", "stop_price"]
+    fits = _fits(F.col("order_type"), F.col("buy"), F.col("limit_price"), F.col("stop_price"), F.col("low"), F.col("high"))
+    asked = waiting.withColumn("buy", F.upper("side") == "BUY").select(*own, places("submit_seq").alias("p")).select(*own, "p.*")
+    later = F.when(F.col("level") == 0, F.col("node") >= F.col("at")).otherwise(F.col("node") > F.col("at"))
+    # where a block that fits holds the fill, only the first one is followed
+    follow = lambda df: df.groupBy(*own, F.when(F.col("order_type") == "STPLMT", F.col("node")).alias("which")).agg(F.min("node").alias("node")).drop("which")
+    met = None
+    for k in range(LEVELS, -1, -1):
+        here = nodes.filter(F.col("level") == k)
+        found = asked.filter(F.col("level") == k).join(here, ["symbol", "level", "above"]).filter(later & fits).select(*own, "node")
+        if met is not None:
+            below = met.withColumnRenamed("node", "above").join(here, ["symbol", "above"]).filter(fits).select(*own, "node")
+            found = found.unionByName(below)
+        met = follow(found)
+    return met.groupBy("order_key").agg(F.min("node").alias("bar_seq"))

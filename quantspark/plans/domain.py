@@ -23,6 +23,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Expressions that both engines read alike; // is div in Spark.
 INTENT = {
     "run_id": "concat('run', event_id % 3)",
+    "account": "concat('a', user_id % 40)",
     "order_key": "event_id",
     "side": "CASE WHEN (event_id // 80) % 2 = 0 THEN 'BUY' ELSE 'SELL' END",
     "quantity": "CAST(1 + event_id % 7 AS DOUBLE)",
@@ -41,8 +42,8 @@ def sql_exprs(exprs: dict[str, str]) -> str:
 
 
 def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 20th tick is an intent, eligible from the bar after its own hour."""
-    own = ticks(spark, sf_dir).filter("event_id % 20 = 0").selectExpr("ts", "symbol", "px", "date_trunc('hour', ts) AS hour", *spark_exprs(INTENT))
+    """Every tick is an intent, eligible from the bar after its own hour."""
+    own = ticks(spark, sf_dir).selectExpr("ts", "symbol", "px", "date_trunc('hour', ts) AS hour", *spark_exprs(INTENT))
     at = bars(spark, sf_dir).select("symbol", F.col("ts").alias("hour"), (F.col("bar_seq") + 1).cast("long").alias("submit_seq"))
     return own.join(at, ["symbol", "hour"]).drop("hour")
 
@@ -61,18 +62,33 @@ def audit_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model responses: plain, fenced, and not JSON."""
-    rows = ticks(spark, sf_dir).filter("event_id % 20 = 0").selectExpr("event_id", "symbol", *spark_exprs({k: INTENT[k] for k in ("side", "quantity")}))
+    rows = ticks(spark, sf_dir).selectExpr("event_id", "symbol", *spark_exprs({k: INTENT[k] for k in ("side", "quantity")}))
     return rows.selectExpr("event_id AS resp_id", f"{BODY} AS body").selectExpr("resp_id", f"{RAW} AS raw")
 
 
 BODY = """concat('{"decisions":[{"action":"place","order":{"instrument":{"kind":"STK","symbol":"', lower(symbol), '"},"side":"', side, '","qty":', CAST(CAST(quantity AS BIGINT) AS STRING), ',"type":"MKT"}},{"action":"CANCEL","order_id":"', CAST(event_id AS STRING), '"}]}')"""
 RAW = "CASE WHEN resp_id % 100 = 0 THEN 'not json' WHEN resp_id % 100 = 20 THEN concat('```json', chr(10), body, chr(10), '```') ELSE body END"
 
+#: Snapshots of accounts, one for each event, some without values.
+ACCOUNT = {
+    "net_liquidation": "CASE WHEN event_id % 23 = 0 THEN NULL WHEN event_id % 53 = 0 THEN -1.0 ELSE CAST(100000 - event_id % 1500 AS DOUBLE) END",
+    "gross_position_value": "CASE WHEN event_id % 19 = 0 THEN NULL ELSE CAST(event_id % 250 * 1000 AS DOUBLE) END",
+    "maint_margin_req": "CASE WHEN event_id % 17 = 0 THEN NULL ELSE CAST(event_id % 60 * 1000 AS DOUBLE) END",
+}
+
+
+def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").selectExpr("concat('a', user_id % 40) AS account", "ts", "event_id AS seq", *spark_exprs(ACCOUNT))
+    return rows.withColumns({c: F.col(c).cast("double") for c in ACCOUNT})
+
+
+V_ACCOUNTS = f"""v_accounts AS (SELECT concat('a', user_id % 40) AS account, ts, {sql_exprs(ACCOUNT)} FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id % 40, ts ORDER BY event_id DESC) = 1)"""
 V_TICKS = "v_ticks AS (SELECT event_id, upper(event_type) AS symbol, ts, value AS px, user_id FROM events)"
 V_BARS = """v_bars AS (SELECT symbol, bar_ts AS ts, open, high, low, close, volume, row_number() OVER (PARTITION BY symbol ORDER BY bar_ts) - 1 AS bar_seq
 FROM (SELECT symbol, date_trunc('hour', ts) AS bar_ts, first(px ORDER BY ts, event_id) AS open, max(px) AS high, min(px) AS low,
              last(px ORDER BY ts, event_id) AS close, CAST(count(*) AS DOUBLE) AS volume FROM v_ticks GROUP BY 1, 2))"""
-V_INTENTS = f"""v_intents AS (SELECT t.*, b.bar_seq + 1 AS submit_seq FROM (SELECT ts, symbol, px, {sql_exprs(INTENT)} FROM v_ticks WHERE event_id % 20 = 0) t
+V_INTENTS = f"""v_intents AS (SELECT t.*, b.bar_seq + 1 AS submit_seq FROM (SELECT ts, symbol, px, {sql_exprs(INTENT)} FROM v_ticks) t
 JOIN v_bars b ON b.symbol = t.symbol AND b.ts = date_trunc('hour', t.ts))"""
 V_STATUS = f"v_status AS (SELECT event_id AS id, concat('o', user_id) AS order_id, concat('run', user_id % 3) AS run_id, ts, {STATUS} AS status FROM events)"
 V_ORDERS = f"v_orders AS (SELECT concat('o', o_custkey) AS order_id, o_orderkey AS seq, {ORDER_STATUS} AS status, o_totalprice AS price, o_custkey AS custkey FROM orders)"
@@ -89,4 +105,4 @@ MARKET = f"WITH {V_TICKS}, {V_BARS}"
 ORDERED = f"{MARKET}, {V_INTENTS}"
 FILLED = f"{ORDERED}, {V_FILLS}"
 V_RAW = f"""v_raw AS (SELECT resp_id, {RAW} AS raw FROM (SELECT event_id AS resp_id, {BODY} AS body FROM
-  (SELECT event_id, symbol, {sql_exprs({k: INTENT[k] for k in ("side", "quantity")})} FROM v_ticks WHERE event_id % 20 = 0)))"""
+  (SELECT event_id, symbol, {sql_exprs({k: INTENT[k] for k in ("side", "quantity")})} FROM v_ticks)))"""

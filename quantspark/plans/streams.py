@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from quantspark.plans import domain as d
 from quantspark.plans import market, trading
-from quantspark.schemas import AUDIT
+from quantspark.sources.audit import read_audit
 from quantspark.streaming.bars import stream_bars, stream_build_bars, stream_evaluate
-from quantspark.streaming.run import read_stream, run_available, shared_dir
+from quantspark.streaming.run import in_files, read_stream, run_available, shared_dir
 from quantspark.streaming.states import stream_latest_quotes, stream_transitions
 
 
@@ -18,11 +18,26 @@ def _events(spark, sf):
     return read_stream(spark, f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _fed(spark, sf, table, order):
+    """The table as a stream of several micro-batches, in order."""
+    return read_stream(spark, in_files(d.table(spark, sf, table), order), 1)
+
+
 def s1_stream_transitions(spark, sf):
-    feed = _events(spark, sf).selectExpr("event_id AS id", "concat('o', user_id) AS order_id", "ts", f"{d.STATUS} AS status")
+    feed = _fed(spark, sf, "events", "event_id").withColumn("ts", F.col("ts").cast("timestamp")).selectExpr("event_id AS id", "concat('o', user_id) AS order_id", "ts", f"{d.STATUS} AS status")
     return run_available(stream_transitions(feed), "transitions").select("order_id", "id", "ts", "status")
 
 
+def s1_transitions_in_run(spark, sf):
+    """The same with an order's memory kept for each run."""
+    feed = _fed(spark, sf, "events", "event_id").selectExpr("event_id AS id", "concat('o', user_id) AS order_id", "concat('run', event_id % 3) AS run_id", "CAST(ts AS TIMESTAMP) AS ts", f"{d.STATUS} AS status")
+    return run_available(stream_transitions(feed, keys=("run_id", "order_id")), "transitions").select("run_id", "order_id", "id", "ts", "status")
+
+
+S1_RUN = f"""SELECT run_id, order_id, id, ts, status FROM (SELECT event_id AS id, concat('o', user_id) AS order_id, concat('run', event_id % 3) AS run_id, ts, {d.STATUS} AS status FROM events)
+QUALIFY lag(status) OVER (PARTITION BY run_id, order_id ORDER BY ts, id) IS DISTINCT FROM status"""
+
+
 def s3_stream_latest_quotes(spark, sf):
     quotes = _events(spark, sf).selectExpr("upper(event_type) AS symbol", "ts", "value - 0.5 AS bid", "value + 0.5 AS ask", "value AS last", "CAST(NULL AS DOUBLE) AS close")
     base = f"{shared_dir(spark)}/quotes-{uuid.uuid4().hex}"
@@ -51,14 +66,15 @@ def s5_stream_build_bars(spark, sf):
 
 def s6_stream_evaluate(spark, sf):
     base = f"{shared_dir(spark)}/evaluate-{uuid.uuid4().hex}"
-    intents = read_stream(spark, f"{sf}/orders.parquet").selectExpr(*d.spark_exprs(trading.RISK))
+    intents = _fed(spark, sf, "orders", "o_orderkey").selectExpr(*d.spark_exprs(trading.RISK))
     enrich = lambda batch: batch.withColumns({c: F.col(c).cast("double") for c in ("quantity", "net_liquidation")})
     stream_evaluate(intents, enrich, f"{base}/audit", f"{base}/checkpoint").awaitTermination()
-    return spark.read.schema(AUDIT["decisions"]).parquet(f"{base}/audit/decisions_batches/*").select("run_id", "seq", "accepted", "reason")
+    return read_audit(spark, "decisions", f"{base}/audit").select("run_id", "seq", "accepted", "reason")
 
 
 QUERIES = {
     "s1_stream_transitions": (s1_stream_transitions, f"{trading.STATUSES} SELECT order_id, id, ts, status FROM v_status QUALIFY lag(status) OVER (PARTITION BY order_id ORDER BY ts, id) IS DISTINCT FROM status"),
+    "s1_transitions_in_run": (s1_transitions_in_run, S1_RUN),
     "s3_stream_latest_quotes": (s3_stream_latest_quotes, "SELECT upper(event_type) AS symbol, max(ts) AS ts, arg_max(value, ts) - 0.5 AS bid, arg_max(value, ts) + 0.5 AS ask, arg_max(value, ts) AS last FROM events GROUP BY 1"),
     "s4_stream_bars": (s4_stream_bars, S4),
     "s5_stream_build_bars": (s5_stream_build_bars, f"{d.MARKET} SELECT symbol, ts, open, high, low, close, volume FROM v_bars WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES"),

@@ -5,11 +5,13 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quantspark.operators import risk
 from quantspark.plans import domain as d
 from quantspark.plans import trading
 from quantspark.plans.backtest import pandas_signal, run_backtests
+from quantspark.schemas import AUDIT
 from quantspark.sources.audit import append_audit, read_audit
 from quantspark.sources.bars import read_bars, write_bars
 from quantspark.streaming.run import shared_dir
@@ -34,6 +36,42 @@ def a11_append_audit(spark, sf):
     return read_audit(spark, "decisions", path).select("run_id", "seq", "strategy", "accepted", "reason")
 
 
+#: Rows of every audit table, from orders; some columns are null.
+AUDIT_ROWS = {
+    "run_id": "concat('run', o_custkey % 20)", "seq": "o_orderkey", "ts_epoch_s": "CAST(o_orderkey AS DOUBLE)", "accepted": "CAST(o_orderkey % 2 AS INT)",
+    "quantity": "CAST(o_orderkey % 9 AS DOUBLE)", "filled": "CAST(o_orderkey % 7 AS DOUBLE)", "remaining": "CAST(o_orderkey % 5 AS DOUBLE)", "avg_fill_price": "CAST(NULL AS DOUBLE)", "reason": "CAST(NULL AS STRING)",
+}
+
+
+def a11_audit_tables(spark, sf):
+    """Rows of all six tables, some appended and the others written as two micro-batches, of which one comes twice; read again and counted."""
+    path = f"{shared_dir(spark)}/audit-{uuid.uuid4().hex}"
+    orders = d.table(spark, sf, "orders")
+    counts = None
+    for name, ddl in AUDIT.items():
+        columns = StructType.fromDDL(ddl).names
+        rows = orders.select(F.expr("o_orderkey % 3").alias("how"), *[F.expr(AUDIT_ROWS.get(c, f"concat('{c}', o_orderkey)")).alias(c) for c in columns])
+        append_audit(rows.filter("how = 0"), name, path)
+        for k in (1, 2, 1):
+            append_audit(rows.filter(F.col("how") == k), name, path, k)
+        found = read_audit(spark, name, path)
+        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns if c != "ts_epoch_s" and dict(found.dtypes)[c] in ("string", "int")])
+        part = found.groupBy(F.lit(name).alias("table_name"), "run_id").agg(F.count("*").alias("n"), F.sum("ts_epoch_s").alias("ts_sum"), F.max(text).alias("last_text"))
+        counts = part if counts is None else counts.unionByName(part)
+    return counts
+
+
+def _audit_sql():
+    """The same counts from the rows themselves."""
+    parts = []
+    for name, ddl in AUDIT.items():
+        kinds = [c.split() for c in ddl.split(", ")]
+        value = lambda c: AUDIT_ROWS.get(c, f"concat('{c}', o_orderkey)").replace("AS STRING", "AS VARCHAR")
+        text = ", ".join(f"coalesce(CAST({value(c)} AS VARCHAR), '-')" for c, k in kinds if k in ("string", "int"))
+        parts.append(f"SELECT '{name}' AS table_name, concat('run', o_custkey % 20) AS run_id, count(*) AS n, sum(CAST(o_orderkey AS DOUBLE)) AS ts_sum, max(concat_ws('|', {text})) AS last_text FROM orders GROUP BY 2")
+    return " UNION ALL ".join(parts)
+
+
 def _dip(bars):
     """Buys a bar after each close that is below half of the open."""
     import pandas as pd
@@ -54,5 +92,6 @@ SELECT 'dip' AS run_id, symbol, 100000.0::DOUBLE AS start_equity, round(100000 -
 QUERIES = {
     "a1_csv_round_trip": (a1_csv_round_trip, A1),
     "a11_append_audit": (a11_append_audit, f"SELECT run_id, seq, 'batch' AS strategy, CAST(reason IS NULL AS INTEGER) AS accepted, reason FROM ({trading.E6})"),
+    "a11_audit_tables": (a11_audit_tables, _audit_sql()),
     "u1_pandas_signal": (u1_pandas_signal, U1),
 }

@@ -9,6 +9,7 @@ from quantspark.functions import orders as order_rules
 from quantspark.functions.text import audit_json, strip_fences
 from quantspark.operators import audit, decisions, ledger, risk
 from quantspark.plans import domain as d
+from quantspark.plans.market import QUOTE
 from quantspark.sources.audit import runs_view
 
 #: Raw instruments with every kind of fault, by part.
@@ -155,15 +156,49 @@ RISK = {
     "gross_position_value": "CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE CAST(o_orderkey % 250 * 1000 AS DOUBLE) END",
     "maint_margin_req": "CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CAST(o_orderkey % 60 * 1000 AS DOUBLE) END",
 }
-V_RISK = f"""v_risk AS (SELECT run_id, seq, side, CAST(quantity AS DOUBLE) AS quantity, position, px, CAST(net_liquidation AS DOUBLE) AS net, gross_position_value AS gross, maint_margin_req AS maint,
-  position + CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END AS resulting FROM (SELECT {d.sql_exprs(RISK)} FROM orders)),
-v_start AS (SELECT *, first_value(CASE WHEN quantity > 0 AND quantity <= 100 AND net > 0 THEN net END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS session_start FROM v_risk)"""
-E6 = f"""WITH {V_RISK} SELECT run_id, seq, CASE WHEN quantity <= 0 THEN 'quantity must be positive' WHEN quantity > 100 THEN 'order quantity exceeds max_order_quantity'
+V_START = """v_start AS (SELECT *, first_value(CASE WHEN quantity > 0 AND quantity <= 100 AND net > 0 THEN net END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS session_start
+  FROM (SELECT *, position + CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END AS resulting FROM v_risk))"""
+V_RISK = f"""v_risk AS (SELECT run_id, seq, side, CAST(quantity AS DOUBLE) AS quantity, position, px, CAST(net_liquidation AS DOUBLE) AS net, gross_position_value AS gross, maint_margin_req AS maint
+  FROM (SELECT {d.sql_exprs(RISK)} FROM orders)), {V_START}"""
+REASON = """CASE WHEN quantity <= 0 THEN 'quantity must be positive' WHEN quantity > 100 THEN 'order quantity exceeds max_order_quantity'
   WHEN resulting < 0 THEN 'order would create a short position (allow_short=false)' WHEN abs(resulting) > 500 THEN 'resulting position exceeds max_abs_position_per_symbol' WHEN px IS NULL THEN 'no usable price'
   WHEN gross + quantity * px > 250000 THEN 'max_notional_exposure exceeded' WHEN net <= 0 AND gross IS NOT NULL THEN 'Invalid NetLiquidation' WHEN net > 0 AND gross / net > 2 THEN 'max_leverage exceeded'
-  WHEN net <= 0 AND maint IS NOT NULL THEN 'Invalid NetLiquidation' WHEN net > 0 AND maint / net > 0.5 THEN 'max_margin_utilization exceeded' WHEN session_start - net > 1000 THEN 'max_daily_loss exceeded (circuit breaker)' END AS reason FROM v_start"""
+  WHEN net <= 0 AND maint IS NOT NULL THEN 'Invalid NetLiquidation' WHEN net > 0 AND maint / net > 0.5 THEN 'max_margin_utilization exceeded' WHEN session_start - net > 1000 THEN 'max_daily_loss exceeded (circuit breaker)' END AS reason"""
+E6 = f"WITH {V_RISK} SELECT run_id, seq, {REASON} FROM v_start"
 E7 = f"WITH {V_RISK} SELECT run_id, seq, session_start, coalesce(session_start - net > 1000, false) AS tripped FROM v_start"
 
+#: Positions by symbol of the ticks, from nations.
+HELD = {
+    "kind": "CASE WHEN n_nationkey % 7 = 6 THEN 'FUT' ELSE 'STK' END",
+    "symbol": "CASE n_nationkey % 4 WHEN 0 THEN 'CLICK' WHEN 1 THEN 'VIEW' WHEN 2 THEN 'PURCHASE' ELSE 'ERROR' END", "quantity": "CAST(n_nationkey * 3 AS DOUBLE)",
+}
+
+
+def c8_account_for_intents(spark, sf):
+    """All intents with the account values that were known at their time."""
+    return risk.account_for_intents(d.intents(spark, sf).select("order_key", "account", "ts"), d.accounts(spark, sf), order="seq").select("order_key", *risk.ACCOUNT_VALUES)
+
+
+AS_OF = f"{d.ORDERED}, {d.V_ACCOUNTS}, a AS (SELECT i.order_key, x.net_liquidation, x.gross_position_value, x.maint_margin_req FROM v_intents i ASOF LEFT JOIN v_accounts x ON i.account = x.account AND i.ts >= x.ts)"
+
+
+def e6_risk_from_feeds(spark, sf):
+    """All intents judged with positions, quotes no older than a day, and account snapshots, each joined as of the intent."""
+    intents = d.intents(spark, sf).select("run_id", F.col("order_key").alias("seq"), F.lit("STK").alias("kind"), "symbol", "account", "ts", "side", "quantity")
+    held = d.table(spark, sf, "nation").selectExpr(*d.spark_exprs(HELD))
+    quotes = d.bars(spark, sf).selectExpr("symbol", "ts", "volume", *d.spark_exprs(QUOTE))
+    rows = risk.risk_inputs(intents, held, quotes, d.accounts(spark, sf), 86400.0, "seq")
+    return risk.evaluate_risk(rows).select("run_id", "seq", "px", "position", "reason")
+
+
+E6_FEEDS = f"""{AS_OF}, v_quotes AS (SELECT symbol, ts, bar_seq, volume, {d.sql_exprs(QUOTE)} FROM v_bars),
+p AS (SELECT symbol, sum(quantity) AS position FROM (SELECT {d.sql_exprs(HELD)} FROM nation) WHERE kind = 'STK' GROUP BY 1),
+q AS (SELECT i.order_key, CASE WHEN epoch(i.ts) - epoch(q.ts) <= 86400 THEN CASE WHEN last > 0 THEN last WHEN bid > 0 AND ask > 0 THEN (bid + ask) / 2 WHEN close > 0 THEN close END END AS px
+  FROM v_intents i ASOF LEFT JOIN v_quotes q ON i.symbol = q.symbol AND i.ts >= q.ts),
+v_risk AS (SELECT run_id, order_key AS seq, side, quantity, coalesce(position, 0.0) AS position, q.px AS px, net_liquidation AS net, gross_position_value AS gross, maint_margin_req AS maint
+  FROM v_intents JOIN a USING (order_key) JOIN q USING (order_key) LEFT JOIN p USING (symbol)), {V_START}
+SELECT run_id, seq, px, position, {REASON} FROM v_start"""
+
 
 def _risk_rows(spark, sf):
     rows = d.table(spark, sf, "orders").selectExpr(*d.spark_exprs(RISK))
@@ -215,7 +250,7 @@ def j3_enforce_limits(spark, sf):
     return decisions.enforce_limits(decisions.parse_decisions(d.responses(spark, sf)), ["STK"], ["CLICK", "VIEW", "PURCHASE"], 2, 5.0)
 
 
-J3 = f"""WITH {d.V_TICKS}, r AS (SELECT event_id AS resp_id, symbol, {d.INTENT['quantity']} AS q FROM v_ticks WHERE event_id % 20 = 0 AND event_id % 100 <> 0)
+J3 = f"""WITH {d.V_TICKS}, r AS (SELECT event_id AS resp_id, symbol, {d.INTENT['quantity']} AS q FROM v_ticks WHERE event_id % 100 <> 0)
 SELECT resp_id, 2::BIGINT AS n_decisions, CASE WHEN symbol NOT IN ('CLICK', 'VIEW', 'PURCHASE') THEN 'Symbol not allowed: ' || symbol WHEN q > 5 THEN 'Quantity too large: ' || q || ' > 5.0' END AS verdict FROM r"""
 
 #: Assistant replies and vendor contents, as JSON built from the conversation table.
@@ -292,6 +327,7 @@ QUERIES = {
     "c4_reconcile": (c4_reconcile, f"{LIVE} SELECT order_id, CASE custkey % 3 WHEN 0 THEN 'Submitted' WHEN 1 THEN 'Cancelled' END AS status FROM t"),
     "c5_reconcile_errors": (c5_reconcile_errors, f"{LIVE} SELECT 'oms.reconcile' AS where_text, concat('order_id=', order_id) AS message FROM t WHERE custkey % 3 = 2"),
     "c7_position_for_intents": (c7_position_for_intents, C7),
+    "c8_account_for_intents": (c8_account_for_intents, f"{AS_OF} SELECT * FROM a"),
     "d1_net_positions": (lambda s, sf: ledger.net_positions(_positions(s, sf)), D1),
     "d5_non_terminal_orders": (lambda s, sf: audit.non_terminal_orders(d.audit_orders(s, sf)), f"{LIVE} SELECT order_id FROM t"),
     "d6_audit_counts": (d6_audit_counts, f"SELECT run_id, reason, count(*) AS n, count(*) FILTER (reason IS NULL) AS n_accepted FROM ({E6}) GROUP BY 1, 2"),
@@ -299,6 +335,7 @@ QUERIES = {
     "d7_orders_to_track": (d7_orders_to_track, D7),
     "d8_exposure": (d8_exposure, D8),
     "e6_evaluate_risk": (lambda s, sf: risk.evaluate_risk(_risk_rows(s, sf)).select("run_id", "seq", "reason"), E6),
+    "e6_risk_from_feeds": (e6_risk_from_feeds, E6_FEEDS),
     "e7_drawdown": (lambda s, sf: risk.drawdown_breaker(_risk_rows(s, sf)).select("run_id", "seq", "session_start", "tripped"), E7),
     "e8_status_transitions": (lambda s, sf: audit.status_transitions(d.status_feed(s, sf), ("run_id", "order_id")), f"{STATUSES} SELECT * FROM v_status QUALIFY lag(status) OVER (PARTITION BY run_id, order_id ORDER BY ts, id) IS DISTINCT FROM status"),
     "e9_latest_status": (lambda s, sf: audit.latest_status(d.status_feed(s, sf)), f"{STATUSES} SELECT order_id, arg_max(status, (ts, id)) AS status FROM v_status GROUP BY 1"),

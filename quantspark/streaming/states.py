@@ -11,48 +11,50 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from quantspark.operators.audit import TERMINAL
 from quantspark.streaming.run import ROCKSDB
 
-TRANSITIONS = "order_id string, id long, ts timestamp, status string, where_text string, message string"
 QUOTES = "symbol string, ts timestamp, bid double, ask double, last double, close double"
 
 
 class _Transitions(StatefulProcessor):
     """Remembers the last status of an order; a timer reports orders that stay open too long."""
 
-    def __init__(self, timeout_s: float | None):
-        self.timeout_s = timeout_s
+    def __init__(self, timeout_s: float | None, keys: tuple[str, ...]):
+        self.timeout_s, self.keys = timeout_s, keys
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.last = handle, handle.getValueState("last", "status string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         batch = pd.concat(list(rows)).sort_values(["ts", "id"])
-        before = self.last.get()[0] if self.last.exists() else None
-        changed = batch["status"].ne(batch["status"].shift(fill_value=before)) if before is not None else batch["status"].ne(batch["status"].shift())
-        now = batch["status"].iloc[-1]
+        known = self.last.exists()
+        now = [None if pd.isna(s) else s for s in batch["status"]]
+        before = [self.last.get()[0] if known else None, *now[:-1]]
+        changed = [a != b or (k == 0 and not known) for k, (a, b) in enumerate(zip(now, before, strict=True))]
+        now = now[-1]
         self.last.update((now,))
         if self.timeout_s is not None:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
-            if now.strip() not in TERMINAL:
+            if (now or "").strip() not in TERMINAL:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.timeout_s * 1000))
         out = batch[changed]
-        yield pd.DataFrame({"order_id": key[0], "id": out["id"], "ts": out["ts"], "status": out["status"], "where_text": None, "message": None})
+        yield pd.DataFrame({**dict(zip(self.keys, key, strict=True)), "id": out["id"], "ts": out["ts"], "status": out["status"], "where_text": None, "message": None})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield pd.DataFrame({"order_id": [key[0]], "id": [-1], "ts": [pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")], "status": [self.last.get()[0]], "where_text": ["oms.track"], "message": [f"timeout_seconds={self.timeout_s}"]})
+        yield pd.DataFrame({**{k: [v] for k, v in zip(self.keys, key, strict=True)}, "id": [-1], "ts": [pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")], "status": [self.last.get()[0]], "where_text": ["oms.track"], "message": [f"timeout_seconds={self.timeout_s}"]})
 
     def close(self) -> None:
         pass
 
 
-def stream_transitions(events: DataFrame, timeout_s: float | None = None) -> DataFrame:
+def stream_transitions(events: DataFrame, timeout_s: float | None = None, keys: tuple[str, ...] = ("order_id",)) -> DataFrame:
     """events(order_id, id, ts, status) -> events whose status differs from the order's last one, over all batches.
 
-    With timeout_s, an order that is open and has had no event for so long gives a row with where_text oms.track.
+    With run_id among the keys each run starts anew. Null statuses equal each other. With timeout_s, an order that is open and has had no event for so long gives a row with where_text oms.track.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     mode = "processingTime" if timeout_s is not None else "none"
-    return events.select("order_id", "id", "ts", "status").groupBy("order_id").transformWithStateInPandas(statefulProcessor=_Transitions(timeout_s), outputStructType=TRANSITIONS, outputMode="Append", timeMode=mode)
+    out = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys) + ", id long, ts timestamp, status string, where_text string, message string"
+    return events.select(*keys, "id", "ts", "status").groupBy(*keys).transformWithStateInPandas(statefulProcessor=_Transitions(timeout_s, keys), outputStructType=out, outputMode="Append", timeMode=mode)
 
 
 class _LatestQuotes(StatefulProcessor):
