@@ -11,6 +11,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 
 @dataclass
 class Boosted:
@@ -41,7 +43,7 @@ def fit(rows: DataFrame, features: str, label: str, held: str, rounds: int = 20,
 
     rows is a bounded sample, so it is sorted into one partition; the fit then does not depend on how Spark dealt it.
     """
-    rows = rows.repartition(1).sortWithinPartitions(features, label, held).cache()
+    rows = written(rows.repartition(1).sortWithinPartitions(features, label, held), "training-rows")
     n, ones, held_ones, held_n = rows.agg(F.count("*"), F.sum(label), F.count_if((F.col(label) == 1) & F.col(held)), F.count_if(F.col(held))).first()
     rate = (ones or 0) / n if n else 0.0
     own = rows.filter(~F.col(held))

@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import string
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .boosting import fit as fit_trees
-from .common import table, written
+from .boosting import Boosted, fit as fit_trees
+from .common import table, uniform, written
 
 #: (verdict, host, path); the longest that fits wins.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Labelled URLs that the suffix statistics and the trees are fitted on, at most.
 TRAINING_ROWS = 20000
-#: Suffixes that the statistics keep, the most usual ones first.
-SUFFIXES = 2000
 
 
 def host_of(url: Column) -> Column:
@@ -55,7 +54,8 @@ def _suffixes(host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def lexical_features(url: Column, host: Column, path: Column, rates: dict[str, dict[str, float]], rate: float) -> Column:
+def lexical_features(url: Column, host: Column, path: Column, rates: list[Column]) -> Column:
+    """rates: the share of blocked URLs by suffix of each kind."""
     u = F.coalesce(url, F.lit(""))
     n = F.greatest(F.length(u), F.lit(1))
     digits = lambda c: F.length(F.regexp_replace(c, r"[^0-9]", ""))
@@ -64,44 +64,74 @@ def lexical_features(url: Column, host: Column, path: Column, rates: dict[str, d
         F.regexp_count(u, F.lit("-")), F.regexp_count(u, F.lit("[?&][^=&#]*=")), F.regexp_count(u, F.lit("[^A-Za-z0-9]")) / n, u.startswith("https").cast("int"),
         u.contains("#").cast("int"), _entropy(host), _entropy(path),
     ]
-    for kind, suffix in _suffixes(host, path).items():
-        known = rates.get(kind) or {"": rate}
-        lookup = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-        number.append(F.coalesce(F.try_element_at(lookup, suffix), F.lit(rate)))
-    return F.array(*[x.cast("double") for x in number])
+    return F.array(*[x.cast("double") for x in [*number, *rates]])
 
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+@dataclass
+class UrlModel:
+    """Suffix statistics, one row (kind, suffix, bad_rate) for each suffix of the fitted sample, and trees over the features."""
+
+    suffixes: DataFrame
+    rate: float
+    trees: Boosted
+
+    def features(self, parsed: DataFrame, name: str = "features") -> DataFrame:
+        """parsed(url, host, path, ...) with the features. The statistics have four rows for each fitted URL at most, so they are broadcast."""
+        out, rates = parsed, []
+        for kind, suffix in _suffixes(F.col("host"), F.col("path")).items():
+            own = self.suffixes.filter(F.col("kind") == kind).select(F.col("suffix").alias(f"suffix_{kind}"), F.col("bad_rate").alias(f"rate_{kind}"))
+            out = out.join(F.broadcast(own), suffix == F.col(f"suffix_{kind}"), "left")
+            rates.append(F.coalesce(f"rate_{kind}", F.lit(self.rate)))
+        made = lexical_features(F.col("url"), F.col("host"), F.col("path"), rates)
+        return out.select(*[parsed[c] for c in parsed.columns], made.alias(name))
+
+    def score(self, parsed: DataFrame) -> DataFrame:
+        return self.trees.score(self.features(parsed), "features", "score")
+
+
+def parse(urls: DataFrame, *more: str) -> DataFrame:
+    """urls(url, ...) -> url, host, path and the given columns."""
+    return urls.select(*more, "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+
+
+def fit_urls(labelled: DataFrame, training_rows: int = TRAINING_ROWS) -> UrlModel:
+    """labelled(url, host, path, label 0 or 1), label 1 for URLs to block.
+
+    A sample of at most training_rows URLs, chosen by a hash of the URL, is split into halves by another: one gives the
+    suffix statistics, the other trains the trees (two thirds) and calibrates them (one third).
+    """
+    order = F.xxhash64("url", F.lit(9))
+    sample = written(labelled.select("url", "host", "path", "label", order.alias("order")).orderBy("order", "url").limit(training_rows), "labelled-urls")
+    part = uniform("url", F.lit(10))
+    half = sample.filter(part < 0.5)
+    rate = half.agg(F.avg("label")).first()[0] or 0.0
+    kinds = F.create_map(*[x for k, c in _suffixes(F.col("host"), F.col("path")).items() for x in (F.lit(k), c)])
+    per = half.select("label", F.explode(kinds).alias("kind", "suffix")).filter("suffix is not null").groupBy("kind", "suffix").agg(F.sum("label").alias("bad"), F.count("*").alias("n"))
+    suffixes = written(per.select("kind", "suffix", ((F.col("bad") + 4 * rate) / (F.col("n") + 4)).alias("bad_rate")), "url-suffixes")
+    model = UrlModel(suffixes, rate, Boosted(rate))
+    rows = model.features(sample.filter(part >= 0.5).withColumn("held", part >= 5 / 6))
+    model.trees = fit_trees(written(rows.select("features", "label", "held"), "url-features"), "features", "label", "held", rounds=10)
+    return model
+
+
+def judge(pages: DataFrame, rules=RULES, training_rows: int = TRAINING_ROWS) -> DataFrame:
     """pages(page_id, url, ...) -> page_id, host, path, rule, verdict, score: one row per row of pages.
 
     URLs that a rule fits are the labelled ones, with the rule's verdict as label, and keep that verdict. The others
-    get the verdict of boosted trees, fitted on at most TRAINING_ROWS labelled URLs chosen by a hash of the URL. The
-    trees see lengths, depth, digit and symbol ratios, entropies, parameter counts and, for top-level domain,
-    registered domain, first folder under the top-level domain and file extension, the smoothed share of blocked URLs
-    in one half of that sample; the other half trains the trees and calibrates. score is the probability of block.
+    get the verdict of boosted trees, fitted on at most training_rows labelled URLs (see fit_urls). The trees see
+    lengths, depth, digit and symbol ratios, entropies, parameter counts and, for top-level domain, registered domain,
+    first folder under the top-level domain and file extension, the smoothed share of blocked URLs among those of the
+    sample. score is the probability of block.
+
     Null, empty and malformed URLs have an empty host and path, and the trees judge them. Repeated rows give a row
     each. With no labelled URL, or labels of one kind, all others get the verdict of the more usual label (allow
     without any). Only the URL column is read, not the page.
     """
-    url = F.col("url")
-    parsed = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"))
+    parsed = parse(pages, "page_id")
     rule, say = rule_of(F.col("host"), F.col("path"), rules)
     parsed = parsed.withColumn("rule", rule).withColumn("said", say)
-    order = F.xxhash64("url", F.lit(9))
-    labelled = parsed.filter("said is not null").select("url", "host", "path", (F.col("said") == "block").cast("int").alias("label"), order.alias("order"))
-    sample = written(labelled.orderBy("order", "url").limit(TRAINING_ROWS), "labelled-urls")
-    suffixes = _suffixes(F.col("host"), F.col("path"))
-    half = sample.filter("order % 2 = 0")
-    rate = half.agg(F.avg("label")).first()[0] or 0.0
-    long = half.select("label", F.explode(F.create_map(*[x for k, c in suffixes.items() for x in (F.lit(k), c)])).alias("kind", "suffix"))
-    counts = long.groupBy("kind", "suffix").agg(F.sum("label").alias("bad"), F.count("*").alias("n")).orderBy(F.desc("n"), "kind", "suffix").limit(SUFFIXES).collect()
-    rates: dict[str, dict[str, float]] = {}
-    for r in counts:
-        if r["suffix"] is not None:
-            rates.setdefault(r["kind"], {})[r["suffix"]] = (r["bad"] + 4 * rate) / (r["n"] + 4)
-    made = lexical_features(url, F.col("host"), F.col("path"), rates, rate).alias("f")
-    trees = fit_trees(written(sample.filter("order % 2 != 0").select(made, "label", (F.col("order") % 3 == 0).alias("held")), "url-features"), "f", "label", "held", rounds=10)
-    scored = trees.score(parsed.withColumn("f", made), "f", "score")
+    labelled = parsed.filter("said is not null").select("url", "host", "path", (F.col("said") == "block").cast("int").alias("label"))
+    scored = fit_urls(labelled, training_rows).score(parsed)
     verdict = F.coalesce("said", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 
