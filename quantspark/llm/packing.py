@@ -21,9 +21,9 @@ END_ID = 1
 #: Bytes of ids in a shard of the index, about, and what a document counts besides its ids; so a shard has 8192 documents at most.
 SHARD_BYTES, DOC_BYTES = 1 << 20, 128
 #: Bytes of ids in a range of the lexical order, about; a task takes a range at a time and holds one of its shards.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 4 << 20
 #: Ranges at most, and sampled documents for each of them; their keys are all that the driver gets besides term counts.
-MOST_RANGES, SAMPLED = 16384, 32
+MOST_RANGES, SAMPLED = 16384, 16
 #: Terms of a document that decide its place in the lexical order.
 LEAD_TERMS = 3
 #: BM25's constants.
