@@ -73,22 +73,24 @@ def numbered(rows: DataFrame, nth: str = "nth") -> DataFrame:
 
 #: Bytes up to which the rows of hot keys are broadcast.
 BROADCAST_BYTES = 16 << 20
+#: Rows of a key above which it is hot.
+HOT_ROWS = 8192
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, size: str, width: Column | int = 64, per: int = 8192, how: str = "inner") -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, key: str, size: str, width: Column | int = 64, how: str = "inner") -> DataFrame:
     """left joined with right, which has each key once and in `size` how many rows of left have it; size is dropped.
 
-    Rows with keys of more than `per` rows stay where they are: their part of right, which has one row for `per` rows of
-    left at most, is broadcast if its bytes (`width` for a row) are within BROADCAST_BYTES. Other rows are shuffled.
+    Rows with keys of more than HOT_ROWS rows stay where they are: their part of right, which has one row for HOT_ROWS
+    rows of left at most, is broadcast if its bytes (`width` for a row) are within BROADCAST_BYTES. Other rows are shuffled.
     """
-    hot = right.filter(F.col(size) > per)
+    hot = right.filter(F.col(size) > HOT_ROWS)
     cost = hot.agg(F.sum(F.lit(width) if isinstance(width, int) else width)).first()[0]
     right_of = lambda df: df.drop(size)
     if not cost or cost > BROADCAST_BYTES:
         return left.join(right_of(right), key, how)
     near = left.join(F.broadcast(right_of(hot)), key)
     far = left.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return near.unionByName(far.join(right_of(right.filter(F.col(size) <= per)), key, how))
+    return near.unionByName(far.join(right_of(right.filter(F.col(size) <= HOT_ROWS)), key, how))
 
 
 def uniform(*cols: Column | str) -> Column:
