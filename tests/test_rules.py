@@ -7,6 +7,7 @@ from quantspark.functions.instruments import validate_instrument
 from quantspark.functions.orders import expand_brackets, validate_orders
 from quantspark.functions.text import clean_double, parse_epoch, strip_fences
 
+#: The messages that these tests expect are fixed values.
 INST = "kind string, symbol string, exchange string, currency string, expiry string"
 
 

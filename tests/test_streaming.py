@@ -8,7 +8,7 @@ from quantspark.operators.audit import status_transitions
 from quantspark.operators.risk import evaluate_risk
 from quantspark.schemas import AUDIT
 from quantspark.streaming.bars import stream_evaluate
-from quantspark.streaming.run import read_stream, run_available
+from quantspark.streaming.run import in_files, read_stream, run_available
 from quantspark.streaming.states import stream_transitions
 
 SCHEMA = "id long, order_id string, ts timestamp, status string"
@@ -28,6 +28,17 @@ def test_transitions_over_batches_equal_the_batch(spark, tmp_path):
     assert sorted(r.id for r in got.collect()) == sorted(r.id for r in status_transitions(rows).collect())
 
 
+def test_transitions_keep_nulls_and_runs_apart(spark, tmp_path):
+    """Null statuses equal each other, and an order's memory starts anew with each run."""
+    statuses = ["Submitted", None, None, "Filled", None]
+    rows = [(k, f"run{k % 2}", f"o{k % 3}", statuses[(k // 4) % 5]) for k in range(90)]
+    events = spark.createDataFrame(rows, "id long, run_id string, order_id string, status string").withColumn("ts", F.timestamp_seconds("id"))
+    path = in_files(events, "id", 3)
+    for keys in (("order_id",), ("run_id", "order_id")):
+        got = run_available(stream_transitions(read_stream(spark, path, 1), keys=keys), "transitions")
+        assert sorted(r.id for r in got.collect()) == sorted(r.id for r in status_transitions(events, keys).collect())
+
+
 def test_timeout_reports_open_orders(spark, tmp_path):
     spark.createDataFrame([(1, "open", None, "Submitted"), (2, "done", None, "Filled")], SCHEMA).withColumn("ts", F.timestamp_seconds("id")).write.parquet(str(tmp_path / "in"))
     stream = stream_transitions(read_stream(spark, str(tmp_path / "in")), timeout_s=1.0)

@@ -10,6 +10,7 @@ from quantspark.operators.ledger import average_cost, backtest_summary, ledger_t
 from quantspark.operators.validate import validate_bars
 from quantspark.sources.bars import merge_backfill, read_bars, require_columns, write_bars
 
+#: Bars whose fills are known.
 BARS = [(0, 100.0, 105.0, 95.0, 102.0), (1, 102.0, 106.0, 101.0, 104.0), (2, 104.0, 110.0, 103.0, 109.0)]
 ORDERS = "order_key long, run_id string, symbol string, side string, quantity double, order_type string, limit_price double, stop_price double, submit_seq long"
 
