@@ -66,7 +66,8 @@ def with_next(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     placed = docs.select(F.col(key).isNull().alias("no_id"), key, text.alias("text"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("row"))
-    placed = placed.withColumn("range", _range(placed, key)).withColumn("c", canonical(F.col("text")))
+    # never null, so that no filter comes between, and both uses of rows share one shuffle
+    placed = placed.withColumn("range", F.coalesce(_range(placed, key), F.lit(0))).withColumn("c", canonical(F.col("text")))
     placed = placed.select("range", "no_id", key, "tie", "row", "text", wide_hash(F.col("c")).alias("h"), F.unhex(F.sha2("c", 256)).alias("s"))
     w = W.partitionBy("range").orderBy("no_id", key, "tie", "row")
     own = F.struct("text", "h", "s")
