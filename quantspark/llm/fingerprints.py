@@ -57,25 +57,47 @@ def _range(placed: DataFrame, key: str) -> Column:
     return F.when(group < 0, 0).otherwise(group * step + F.size(F.filter(F.get(groups, group), lambda b: b <= place)))
 
 
-def with_next(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs(key, text) -> key, tie, text, h, s, next (text, h, s): the next row in order of key; after the last comes the first.
+def _in_order(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs(key, text) -> key, tie, range, is_head, text, h, s, next (text, h, s): rows with the next one in order of key.
 
     h and s are wide hash and SHA-256 of the canonical text, which is made once for each row. Rows with one key are
-    ordered by a hash of the text, tie. Text is shuffled once, by ranges of that order; the last row of a range takes the
-    head of the next range that has rows. Only the numbers of ranges, MOST_RANGES at most, pass through one task.
+    ordered by a hash of the text, tie. Text is shuffled once, by ranges of that order; the last row of a range has no
+    next, and its first has is_head.
     """
     text = F.coalesce("text", F.lit(""))
     placed = docs.select(F.col(key).isNull().alias("no_id"), key, text.alias("text"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("row"))
-    # never null, so that no filter comes between, and both uses of rows share one shuffle
     placed = placed.withColumn("range", F.coalesce(_range(placed, key), F.lit(0))).withColumn("c", canonical(F.col("text")))
     placed = placed.select("range", "no_id", key, "tie", "row", "text", wide_hash(F.col("c")).alias("h"), F.unhex(F.sha2("c", 256)).alias("s"))
     w = W.partitionBy("range").orderBy("no_id", key, "tie", "row")
-    own = F.struct("text", "h", "s")
-    rows = placed.withColumn("in_range", F.lead(own).over(w)).withColumn("is_head", F.lag(F.lit(1)).over(w).isNull())
-    heads = rows.filter("is_head").select("range", own.alias("head"))
+    return placed.select(key, "tie", "range", F.lag(F.lit(1)).over(w).isNull().alias("is_head"), "text", "h", "s", F.lead(F.struct("text", "h", "s")).over(w).alias("next"))
+
+
+_MADE = ("n_chars", "edited_sha256", "h", "s", "he", "se", "hn", "sn")
+
+
+def _edited(rows: DataFrame) -> DataFrame:
+    """rows(text, h, s, next, ...) with the columns _MADE."""
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
+    out = rows.withColumns({"n_chars": n.cast("long"), "edited": edited, "hn": F.col("next.h"), "sn": F.col("next.s")}).withColumn("ce", canonical(F.col("edited")))
+    return out.withColumns({"edited_sha256": F.sha2("edited", 256), "he": wide_hash(F.col("ce")), "se": F.unhex(F.sha2("ce", 256))})
+
+
+def _with_edited(docs: DataFrame) -> DataFrame:
+    """doc_id, tie and _MADE of each row. After the last document comes the first.
+
+    All but the last rows of ranges are done where the range is sorted; those, MOST_RANGES at most, then take the heads of
+    the next ranges that have rows. Only the numbers of ranges pass through one task.
+    """
+    rows, own = _edited(_in_order(docs)), F.struct("text", "h", "s")
+    kept = ("doc_id", "tie", *_MADE)
+    first = written(rows.select(*kept, "range", F.when(F.col("is_head"), own).alias("head"), F.when(F.col("next").isNull(), own).alias("open")), "fingerprints")
+    heads = first.filter("head is not null").select("range", "head")
     around = heads.select("range").withColumn("following", F.coalesce(F.lead("range").over(W.orderBy("range")), F.min("range").over(W.partitionBy())))
-    heads = around.join(heads.withColumnRenamed("range", "following"), "following").select("range", "head")
-    return rows.join(heads, "range", "left").select(key, "tie", "text", "h", "s", F.coalesce("in_range", "head").alias("next"))
+    following = around.join(heads.select(F.col("range").alias("following"), F.col("head").alias("next")), "following").select("range", "next")
+    ends = first.filter("open is not null").select("doc_id", "tie", "range", "open.*").join(following, "range")
+    return first.filter("open is null").select(*kept).unionByName(written(_edited(ends).select(*kept), "range-ends"))
 
 
 def _clashes(docs: DataFrame, first: DataFrame) -> DataFrame:
@@ -113,12 +135,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     table of one document follows itself. Null ids come last. An empty table gives no rows. Columns other than the two
     are not read.
     """
-    n = F.length("text")
-    half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
-    texts = with_next(docs).select("doc_id", "tie", n.cast("long").alias("n_chars"), edited.alias("edited"), "h", "s", F.col("next.h").alias("hn"), F.col("next.s").alias("sn"))
-    canon = texts.withColumn("ce", canonical(F.col("edited")))
-    first = written(canon.select("doc_id", "tie", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "h", "s", wide_hash(F.col("ce")).alias("he"), F.unhex(F.sha2("ce", 256)).alias("se"), "hn", "sn"), "fingerprints")
+    first = _with_edited(docs)
     clashes = _clashes(docs, first)
     out = first
     for hashed, sha, name in (("h", "s", "fingerprint"), ("he", "se", "edited_fingerprint"), ("hn", "sn", "next_fingerprint")):
