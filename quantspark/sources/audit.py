@@ -17,13 +17,13 @@ def create_audit_tables(spark: SparkSession, database: str = "default") -> None:
 
 
 def append_audit(df: DataFrame, name: str, path: str, batch_id: int | None = None) -> None:
-    """Appends rows to an audit table, by run. With a batch id the batch's own folder is replaced, so a retried batch adds nothing."""
+    """Appends rows to an audit table, by run. With a batch id the batch's own folder, of all its runs, is replaced, so a retried batch adds nothing."""
     cols = StructType.fromDDL(AUDIT[name])
     rows = df.select(*[F.col(f.name).cast(f.dataType) for f in cols])
     if batch_id is None:
         rows.write.mode("append").partitionBy("run_id").parquet(f"{path}/{name}")
     else:
-        rows.write.mode("overwrite").partitionBy("run_id").parquet(f"{path}/{name}_batches/batch={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{path}/{name}_batches/batch={batch_id}")
 
 
 def read_audit(spark: SparkSession, name: str, path: str) -> DataFrame:
