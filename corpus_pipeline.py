@@ -23,7 +23,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """Keeps one document of each group of near copies: five-word shingles, similarity 0.8 or more.
+
+    op8 links by four words, as its contract says; a stage without a contract takes the usual five.
+    """
     return deduplicated(docs, words=5, percent=80)
 
 
@@ -42,9 +45,15 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed(docs)
 
 
-STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mixing", mixing), ("packing", packing)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 
-#: SQL can express neither the classifier nor the rounding; tests hold run() against brute force.
+#: SQL can express neither the classifier nor the rounding; tests/llm/test_learned_and_packed.py holds run() against plain Python.
 ORACLE_SQL = None
 
 
