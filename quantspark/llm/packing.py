@@ -186,15 +186,14 @@ def windows(ids: list[np.ndarray], score: np.ndarray, window: int = WINDOW) -> I
     """(document, start, length, sequence, offset) of each piece.
 
     A seed document, and then its unused neighbours by score, fill the window; a document that does not fit is cut and
-    its rest is the next window's seed. Without neighbours the next unused document goes on. What is left at the end is
-    cut at powers of two, so that no sequence needs padding.
+    its rest is the next window's seed. Without neighbours the next unused document goes on, so only the last window
+    of a shard can be short.
     """
     n = len(ids)
     used, at = np.zeros(n, bool), 0
     left = sum(map(len, ids))
-    room = lambda: window if left >= window else 1 << (left.bit_length() - 1)
     sequence = offset = 0
-    seed, rest, queue, fresh, size = -1, 0, iter(()), True, room()
+    seed, rest, queue, fresh = -1, 0, iter(()), True
     while left:
         if rest == 0:
             doc = next((int(d) for d in queue if not used[d]), -1)
@@ -208,11 +207,11 @@ def windows(ids: list[np.ndarray], score: np.ndarray, window: int = WINDOW) -> I
                     at += 1
                 doc, seed, fresh = at, at, True
             used[doc], rest, current = True, len(ids[doc]), doc
-        length = min(rest, size - offset)
+        length = min(rest, window - offset)
         yield current, len(ids[current]) - rest, length, sequence, offset
         rest, offset, left = rest - length, offset + length, left - length
-        if offset == size:
-            sequence, offset, size = sequence + 1, 0, room() if left else 0
+        if offset == window:
+            sequence, offset = sequence + 1, 0
             seed, queue, fresh = (current, iter(()), True) if rest else (-1, iter(()), True)
 
 
@@ -262,7 +261,7 @@ def packed(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None,
     a group of copies, takes many ranges.
 
     Null and empty texts have the end id alone. Repeated rows and ids are packed each. A document that is longer than a
-    window is cut. The end of a shard is cut at powers of two, so that nothing is padded. Rows that agree in all read
+    window is cut. A shard leaves one window short at most. Rows that agree in all read
     columns are told apart by their number in the written table. An empty table gives no rows. Columns other than the
     two are not read.
     """

@@ -103,7 +103,7 @@ def test_index_scores_are_those_of_plain_bm25(spark, prose):
 
 
 def test_windows_take_the_best_unused_neighbour(prose):
-    """Documents of one topic follow their seed; a window is full before the next begins, and the end needs no padding."""
+    """Documents of one topic follow their seed; a window is full before the next begins."""
     encode = encoded()
     texts = [prose(40, 500 + k, 50) if k % 3 else " ".join(random.Random(k).choices([f"topic{j}" for j in range(30)], k=40)) for k in range(30)]
     ids = [np.array(encode(t), "<u4") for t in texts]
@@ -118,7 +118,7 @@ def test_windows_take_the_best_unused_neighbour(prose):
         assert offset == lengths[sequence] and length > 0
         lengths[sequence] += length
     sizes = [lengths[s] for s in sorted(lengths)]
-    assert all(v == 1024 for v in sizes[: sum(map(len, ids)) // 1024]) and all(v & (v - 1) == 0 for v in sizes)
+    assert all(v == 1024 for v in sizes[:-1]) and sum(sizes) == sum(map(len, ids))
     first = [p[0] for p in pieces if p[3] == 0]
     unused = set(range(len(ids))) - {first[0]}
     for doc in first[1:]:
@@ -213,5 +213,5 @@ def test_pipeline_by_hand(spark):
     for own in held.values():
         own.sort()
         assert [o for o, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1]]
-        total = sum(n for _, n in own)
-        assert total <= 2048 and total & (total - 1) == 0
+        assert sum(n for _, n in own) <= 2048
+    assert sum(r.length for r in pieces) > 0.9 * 2048 * len(held)
