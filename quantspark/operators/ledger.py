@@ -27,25 +27,37 @@ def running_ledger(fills: DataFrame, initial_cash: float = 100000.0) -> DataFram
     return fills.withColumn("cash", cash).withColumn("position", F.sum(q).over(w))
 
 
-def average_cost(fills: DataFrame) -> DataFrame:
+#: Bars whose fills one fold of the average cost takes.
+BARS = 64
+
+
+def average_cost(fills: DataFrame, bars: int = BARS) -> DataFrame:
     """run_id, symbol, position, avg_cost after all fills, in order of bar_seq and order_key.
 
     Fills that enlarge a position weigh into its cost; fills that reduce it, or turn it round, keep the cost, and a flat
-    position has none. The fold runs over the fills of one run and symbol, inside the JVM.
+    position has none. Fills are folded by stretches of bars, many tasks for one run and symbol: once the position before
+    a stretch is known, the cost after it is slope * cost before it + base. Stretches are then chained in order.
     """
     fill = F.struct("bar_seq", "order_key", signed(F.col("side"), F.col("quantity")).cast("double").alias("dq"), F.col("fill_price").cast("double").alias("px"))
-    state = "struct<qty:double,cost:double>"
+    state = "struct<qty:double,slope:double,base:double>"
 
     def step(acc: Column, f: Column) -> Column:
         before, after = acc["qty"], acc["qty"] + f["dq"]
         enlarges = (before == 0) | (F.signum(before) == F.signum(f["dq"]))
-        weighted = (F.abs(before) * F.coalesce(acc["cost"], F.lit(0.0)) + F.abs(f["dq"]) * f["px"]) / F.abs(after)
-        cost = F.when(after == 0, F.lit(None)).when(enlarges, weighted).otherwise(acc["cost"])
-        return F.struct(after.alias("qty"), cost.alias("cost")).cast(state)
-
-    start = F.struct(F.lit(0.0).alias("qty"), F.lit(None).cast("double").alias("cost")).cast(state)
-    out = fills.groupBy(*KEYS).agg(F.sort_array(F.collect_list(fill)).alias("fills"))
-    return out.select(*KEYS, F.aggregate("fills", start, step).alias("s")).select(*KEYS, F.col("s.qty").alias("position"), F.col("s.cost").alias("avg_cost"))
+        weighted = lambda part, own: F.when(after == 0, F.lit(0.0)).when(enlarges, (F.abs(before) * acc[part] + own) / F.abs(after)).otherwise(acc[part])
+        return F.struct(after.alias("qty"), weighted("slope", F.lit(0.0)).alias("slope"), weighted("base", F.abs(f["dq"]) * f["px"]).alias("base")).cast(state)
+
+    stretch = F.floor(F.col("bar_seq") / bars).alias("stretch")
+    parts = fills.groupBy(*KEYS, stretch).agg(F.sort_array(F.collect_list(fill)).alias("fills"))
+    moved = F.aggregate("fills", F.lit(0.0), lambda q, f: q + f["dq"])
+    before = W.partitionBy(*KEYS).orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumn("moved", moved).withColumn("held", F.coalesce(F.sum("moved").over(before), F.lit(0.0)))
+    start = F.struct(F.col("held").alias("qty"), F.lit(1.0).alias("slope"), F.lit(0.0).alias("base")).cast(state)
+    lines = parts.select(*KEYS, F.struct("stretch", F.aggregate("fills", start, step).alias("s")).alias("line"))
+    chain = F.aggregate("lines", F.lit(0.0), lambda cost, x: x["s"]["slope"] * cost + x["s"]["base"])
+    out = lines.groupBy(*KEYS).agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    position = F.element_at("lines", -1)["s"]["qty"]
+    return out.select(*KEYS, position.alias("position"), F.when(position != 0, chain).alias("avg_cost"))
 
 
 def backtest_summary(totals: DataFrame, bars: DataFrame, initial_cash: float = 100000.0) -> DataFrame:

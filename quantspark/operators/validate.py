@@ -7,16 +7,37 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def validate_bars(bars: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+#: Bars of a symbol that one task orders.
+BUCKET = 1 << 16
+
+
+def _with_history(bars: DataFrame, bucket: int) -> DataFrame:
+    """bars with _last, the last time before each bar, and _again, whether an earlier bar has its time (null times agree).
+
+    A symbol's order is cut into buckets of bar_index. Each bucket gets the last time before it, of which there is one for
+    each bucket; the first bar of each time is a minimum, combined before the shuffle. So no task orders a whole symbol.
+    """
+    rows = bars.withColumn("_bucket", F.floor(F.col("bar_index") / bucket))
+    last = F.max_by("ts_epoch_s", F.when(F.col("ts_epoch_s").isNotNull(), F.col("bar_index")))
+    earlier = W.partitionBy("_symbol").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    ends = rows.groupBy(F.col("symbol").alias("_symbol"), F.col("_bucket").alias("_at")).agg(last.alias("_end"))
+    ends = ends.select("_symbol", "_at", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    first = bars.groupBy(F.col("symbol").alias("_of"), F.col("ts_epoch_s").alias("_ts")).agg(F.min("bar_index").alias("_first"))
+    before = W.partitionBy("symbol", "_bucket").orderBy("bar_index").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.join(ends, F.col("symbol").eqNullSafe(F.col("_symbol")) & F.col("_bucket").eqNullSafe(F.col("_at")))
+    rows = rows.withColumn("_last", F.coalesce(F.last("ts_epoch_s", ignorenulls=True).over(before), "_carried"))
+    rows = rows.join(first, F.col("symbol").eqNullSafe(F.col("_of")) & F.col("ts_epoch_s").eqNullSafe(F.col("_ts")))
+    return rows.withColumn("_again", F.col("bar_index") > F.col("_first"))
+
+
+def validate_bars(bars: DataFrame, expected: DataFrame | None = None, bucket: int = BUCKET) -> DataFrame:
     """bars(symbol, bar_index, ts_epoch_s, open, high, low, close) -> symbol, bar_index, level, code, message.
 
-    bar_index is the input order. A bar without a time has that issue only; times are compared with the last time that
+    bar_index is the input order, each once in a symbol. A bar without a time has that issue only; times are compared with the last time that
     is there; each later bar with a time that was seen is a duplicate, null times too. A missing price yields its own
     issue and no comparison. Symbols of expected(symbol) without bars get `no bars`, with index -1.
     """
-    before = W.partitionBy("symbol").orderBy("bar_index").rowsBetween(W.unboundedPreceding, -1)
-    again = F.row_number().over(W.partitionBy("symbol", "ts_epoch_s").orderBy("bar_index")) > 1
-    rows = bars.withColumn("_last", F.last("ts_epoch_s", ignorenulls=True).over(before)).withColumn("_again", again)
+    rows = _with_history(bars, bucket)
     timed = F.col("ts_epoch_s").isNotNull()
     label = F.concat(F.lit("bar["), F.col("bar_index").cast("string"), F.lit("]"))
     issue = lambda level, code, text: F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), text.alias("message"))

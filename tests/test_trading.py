@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quantspark.operators.decisions import enforce_limits, extract_tool_calls, parse_decisions, parse_replies
@@ -68,19 +69,40 @@ def test_random_fills(spark):
     assert got == {o[0]: f for o in orders if (f := fill_by_hand(o, bars))}
 
 
-def test_average_cost(spark):
+FILLS = "run_id string, symbol string, bar_seq long, order_key long, side string, quantity double, fill_price double"
+
+
+@pytest.mark.parametrize("bars", [1, 3, 64])
+def test_average_cost(spark, bars):
     steps = [(1, 10), (1, 20), (-1, 30), (-3, 40), (-1, 50), (3, 1)]
     want = [10.0, 15.0, 15.0, 15.0, 80 / 3, None]
     rows = [(f"r{n}", "A", k, k, "BUY" if q > 0 else "SELL", float(abs(q)), float(px)) for n in range(1, 7) for k, (q, px) in enumerate(steps[:n])]
-    got = average_cost(spark.createDataFrame(rows, "run_id string, symbol string, bar_seq long, order_key long, side string, quantity double, fill_price double"))
+    got = average_cost(spark.createDataFrame(rows, FILLS), bars)
     found = {r.run_id: r.avg_cost for r in got.collect()}
     assert [found[f"r{n}"] and round(found[f"r{n}"], 9) for n in range(1, 7)] == [w and round(w, 9) for w in want]
 
 
-def test_validate_bars_messages(spark):
+def test_average_cost_over_many_stretches(spark):
+    rng = random.Random(3)
+    rows = [("r", s, k // 3, k, rng.choice(["BUY", "SELL"]), float(rng.randrange(1, 4)), float(rng.randrange(50, 150))) for s in "ABCD" for k in range(400)]
+    want = {}
+    for _, s, _, _, side, n, px in rows:
+        qty, cost = want.get(s, (0.0, None))
+        q = n if side == "BUY" else -n
+        if qty + q == 0:
+            cost = None
+        elif qty * q >= 0:
+            cost = (abs(qty) * (cost or 0.0) + n * px) / abs(qty + q)
+        want[s] = qty + q, cost
+    got = {r.symbol: (r.position, r.avg_cost) for r in average_cost(spark.createDataFrame(rows, FILLS).repartition(7), 4).collect()}
+    assert {s: (q, c and round(c, 6)) for s, (q, c) in got.items()} == {s: (q, c and round(c, 6)) for s, (q, c) in want.items()}
+
+
+@pytest.mark.parametrize("bucket", [1, 2, 1 << 16])
+def test_validate_bars_messages(spark, bucket):
     rows = [("A", 0, 5.0, 1.0, 2.0, 1.0, 1.0), ("A", 1, 4.0, 1.0, 0.5, 1.0, None), ("A", 2, None, None, None, None, None), ("A", 3, None, -1.0, 2.0, 1.0, 1.0), ("A", 4, 5.0, 1.0, 2.0, 0.0, 3.0)]
     df = spark.createDataFrame(rows, "symbol string, bar_index long, ts_epoch_s double, open double, high double, low double, close double")
-    got = {(r.bar_index, r.message) for r in validate_bars(df, spark.createDataFrame([("A",), ("Z",)], "symbol string")).collect()}
+    got = {(r.bar_index, r.message) for r in validate_bars(df, spark.createDataFrame([("A",), ("Z",)], "symbol string"), bucket).collect()}
     assert got == {(1, "timestamps not sorted at bar[1]"), (1, "bar[1] missing close"), (1, "bar[1] low > high"), (1, "bar[1] open outside [low,high]"), (2, "bar[2] missing timestamp"), (3, "bar[3] missing timestamp"), (3, "duplicate timestamp at bar[3]"), (4, "bar[4] non-positive low=0.0"), (4, "bar[4] close outside [low,high]"), (4, "duplicate timestamp at bar[4]"), (-1, "no bars")}
 
 
