@@ -23,7 +23,8 @@ SHARD_BYTES = 8 << 20
 #: Different contexts of one prefix in one batch above which all of them go straight to the comparison window by window.
 MANY = 256
 
-_MUL = 6364136223846793005
+#: Bases of the two polynomial hashes of a string.
+_MUL, _MUL_2 = 6364136223846793005, 2862933555777941757
 _U = np.uint64
 
 
@@ -33,8 +34,8 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_POWER = _powers(_MUL, SEGMENT + 1)
-_INVERSE = _powers(pow(_MUL, -1, 1 << 64), SEGMENT + 1)
+_POWER, _POWER_2 = _powers(_MUL, SEGMENT + 1), _powers(_MUL_2, SEGMENT + 1)
+_INVERSE, _INVERSE_2 = _powers(pow(_MUL, -1, 1 << 64), SEGMENT + 1), _powers(pow(_MUL_2, -1, 1 << 64), SEGMENT + 1)
 _POS = _U((1 << 24) - 1)
 
 
@@ -44,10 +45,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def _prefix_sums(text: np.ndarray) -> np.ndarray:
+def _prefix_sums(text: np.ndarray, power: np.ndarray = _POWER) -> np.ndarray:
     out = np.empty(len(text) + 1, np.uint64)
     out[0] = 0
-    np.cumsum((text.astype(np.uint64) + _U(1)) * _POWER[: len(text)], out=out[1:])
+    np.cumsum((text.astype(np.uint64) + _U(1)) * power[: len(text)], out=out[1:])
     return out
 
 
@@ -83,7 +84,7 @@ def _segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         yield np.frombuffer(b"".join(own), np.uint8), np.array(which), np.array(starts), np.array(base)
 
 
-_RUN = np.dtype([("key", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "<u4")])
+_RUN = np.dtype([("key", "<u8"), ("content", "<u8"), ("wide", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "<u4")])
 
 
 def sampled_suffixes(docs: np.ndarray, texts: list[bytes]) -> np.ndarray:
@@ -91,12 +92,12 @@ def sampled_suffixes(docs: np.ndarray, texts: list[bytes]) -> np.ndarray:
 
     Each string is filed under the prefix in it whose hash is least (the leftmost of equals), so equal strings are filed
     alike wherever they are. Neighbouring strings filed under one place are a run: key is the hash of the prefix, content
-    that of all bytes of the run, start and n the first string's place in its text and the number of strings.
+    and wide are two hashes of all bytes of the run, start and n the first string's place in its text and the number of strings.
     """
     out = []
     w = LENGTH - PREFIX + 1
     for text, which, starts, base in _segments(texts):
-        sums = _prefix_sums(text)
+        sums, sums_2 = _prefix_sums(text), _prefix_sums(text, _POWER_2)
         n = len(text)
         keys = _mix((sums[PREFIX:] - sums[:-PREFIX]) * _INVERSE[: n - PREFIX + 1])
         place = np.arange(len(keys), dtype=np.uint64)
@@ -111,6 +112,7 @@ def sampled_suffixes(docs: np.ndarray, texts: list[bytes]) -> np.ndarray:
         run = np.empty(len(p), _RUN)
         run["key"] = _mix(keys[at[new]])  # least hashes are small; mixed again, they spread over the shards
         run["content"] = _mix(((sums[q + LENGTH] - sums[p]) * _INVERSE[p]) ^ (q - p).astype(np.uint64))
+        run["wide"] = (sums_2[q + LENGTH] - sums_2[p]) * _INVERSE_2[p]
         run["doc"], run["start"], run["n"] = docs[which[of]], p - starts[of] + base[of], q - p + 1
         out.append(run)
     return np.concatenate(out) if out else np.empty(0, _RUN)
@@ -118,16 +120,16 @@ def sampled_suffixes(docs: np.ndarray, texts: list[bytes]) -> np.ndarray:
 
 def _sorted(runs: np.ndarray) -> np.ndarray:
     """Sorted runs, each once: rows that repeat exactly are one document, so a run that they bring again is not an earlier one."""
-    runs = runs[np.lexsort((runs["start"], runs["doc"], runs["content"], runs["key"]))]
+    runs = runs[np.lexsort((runs["start"], runs["doc"], runs["wide"], runs["content"], runs["key"]))]
     new = np.ones(len(runs), bool)
-    new[1:] = np.logical_or.reduce([runs[f][1:] != runs[f][:-1] for f in ("key", "content", "doc", "start")])
+    new[1:] = np.logical_or.reduce([runs[f][1:] != runs[f][:-1] for f in ("key", "content", "wide", "doc", "start")])
     return runs[new]
 
 
 def _first_of_class(runs: np.ndarray) -> np.ndarray:
-    """Of sorted runs: whether it is the first with its key and content."""
+    """Of sorted runs: whether it is the first with its prefix and bytes."""
     new = np.ones(len(runs), bool)
-    new[1:] = (runs["key"][1:] != runs["key"][:-1]) | (runs["content"][1:] != runs["content"][:-1])
+    new[1:] = np.logical_or.reduce([runs[f][1:] != runs[f][:-1] for f in ("key", "content", "wide")])
     return new
 
 
@@ -258,14 +260,14 @@ def _match(key: tuple, rows: pa.Table) -> pa.Table:
 def _single_strings(docs: np.ndarray, texts: list[bytes], bases: np.ndarray) -> np.ndarray:
     """Every string of LENGTH bytes of the given parts of texts as a run of its own, under two independent hashes of its bytes."""
     out = []
-    half = LENGTH // 2
     for text, which, starts, base in _segments(texts):
-        sums = _prefix_sums(text)
+        sums, sums_2 = _prefix_sums(text), _prefix_sums(text, _POWER_2)
         counts = np.append(starts[1:], len(text)) - starts - LENGTH + 1
         p = np.repeat(starts - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
         of = np.repeat(np.arange(len(starts)), counts)
         run = np.empty(len(p), _RUN)
-        run["key"], run["content"] = _mix((sums[p + LENGTH] - sums[p]) * _INVERSE[p]), _mix((sums[p + half] - sums[p]) * _INVERSE[p])
+        run["key"], run["content"] = _mix((sums[p + LENGTH] - sums[p]) * _INVERSE[p]), (sums_2[p + LENGTH] - sums_2[p]) * _INVERSE_2[p]
+        run["wide"] = 0
         run["doc"], run["start"], run["n"] = docs[which[of]], p - starts[of] + base[of] + bases[which[of]], 1
         out.append(run)
     return np.concatenate(out) if out else np.empty(0, _RUN)
@@ -365,7 +367,8 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     that order merge the batches in a logarithmic family of levels, and each merge scan finds runs of strings that
     also start earlier as a whole. Runs whose prefix is elsewhere in other contexts (at the ends of repeated passages)
     are compared string by string in the same way, after their bytes have been dealt by prefix; prefixes in very many
-    contexts are dealt by the strings' own hashes instead. Strings are equal if two 64-bit hashes agree. Rows that agree in
+    contexts are dealt by the strings' own hashes instead. Strings are equal if two 64-bit hashes of all their bytes
+    agree, under different bases. Rows that agree in
     doc_id and text are one document and get one result; other rows with one id follow each other by a hash of the
     text, and null ids come last. An empty table gives no rows.
     """

@@ -19,7 +19,7 @@ from quantspark.llm.fingerprints import fingerprints
 from quantspark.llm.mixing import mix, mixed_documents
 from quantspark.llm.packing import packed
 from quantspark.llm.setsketch import deduplicated, near_duplicates
-from quantspark.llm.suffixes import removal_report, without_repeats
+from quantspark.llm.suffixes import Levels, removal_report, sampled_suffixes, without_repeats
 
 TABLES = ["edge", "documents"]
 key = lambda r: (r.doc_id is None, r.doc_id or 0)
@@ -254,6 +254,26 @@ def test_hot_prefix_in_many_contexts(spark, prose):
     assert sorted(map(tuple, got.collect())) == sorted(removal_by_hand(rows))
 
 
+def test_strings_that_defeat_one_polynomial_hash(spark):
+    """Morse-Thue words and their complements agree in many low bits of a polynomial modulo 2 ** 64."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << 12))
+    flipped = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, flipped), (3, word[:1000] + flipped[:1000]), (4, flipped[77:900] + "c" + word[13:500])]
+    got = removal_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    assert sorted(map(tuple, got.collect())) == sorted(removal_by_hand(rows))
+
+
+def test_runs_are_equal_only_if_all_hashes_agree():
+    runs = sampled_suffixes(np.array([1, 2]), [b"x" * 90 + b"The same bytes stand in both of these texts." * 3] * 2)
+    for field in ("key", "content", "wide"):
+        a, b = runs[runs["doc"] == 1], runs[runs["doc"] == 2].copy()
+        same, other = Levels(), Levels()
+        same.add(a), same.add(b), same.scan()
+        b[field] ^= np.uint64(1)
+        other.add(a), other.add(b), other.scan()
+        assert sum(map(len, same.repeated)) == len(b) and sum(map(len, other.repeated)) == 0
+
+
 def test_without_repeats_keeps_characters_whole(spark):
     rows = [(1, "é" * 200), (2, "z" + "é" * 200 + "w"), (3, None)]
     got = {r.doc_id: r.text for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
