@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extendible, fingerprints, fixity, mixing, packing, setsketch, suffixes, toxicity, urls, vectors
+from . import extendible, fingerprints, fixity, infill, mixing, packing, setsketch, spelling, suffixes, toxicity, urls, vectors, windows
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_setsketch": setsketch.op8_setsketch,
         "op9_sharding": extendible.op9_sharding,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_window_repeats": windows.op11_window_repeats,
+        "op12_spelling_forms": spelling.op12_spelling_forms,
+        "op13_fill_in_middle": infill.op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_fixity": fixity.OP1_SQL, "op2_metric_range_join": vectors.OP2_SQL, "op9_sharding": extendible.OP9_SQL}
+    return {"op1_warc_fixity": fixity.OP1_SQL, "op2_metric_range_join": vectors.OP2_SQL, "op9_sharding": extendible.OP9_SQL, "op11_window_repeats": windows.OP11_SQL, "op13_fill_in_middle": infill.OP13_SQL}
