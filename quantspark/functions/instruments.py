@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,34 +13,43 @@ FIELDS = ("kind", "symbol", "exchange", "currency", "expiry")
 KINDS = ("STK", "FUT", "FX")
 
 
+def normal_field(name: str, c: Column) -> Column:
+    """A field in its normal form."""
+    if name in ("kind", "symbol"):
+        return F.upper(c)
+    return F.nullif(c if name == "expiry" else F.upper(c), F.lit(""))
+
+
+def default_field(name: str, kind: Column, c: Column) -> Column:
+    """A field of a normalized instrument, as its kind has it where it is missing or does not apply."""
+    if name == "exchange":
+        return F.when(kind == "STK", F.coalesce(c, F.lit("SMART"))).when(kind == "FX", F.coalesce(c, F.lit("IDEALPRO"))).otherwise(c)
+    if name == "currency":
+        return F.when(kind.isin("STK", "FUT"), F.coalesce(c, F.lit("USD"))).when(kind == "FX", F.lit(None)).otherwise(c)
+    return F.when(kind.isin("STK", "FX"), F.lit(None)).otherwise(c) if name == "expiry" else c
+
+
 def normalize_instrument(df: DataFrame) -> DataFrame:
     """Upper-cases kind, symbol, exchange and currency; empty exchange, currency and expiry become null. Nothing is trimmed."""
-    upper = {c: F.upper(c) for c in ("kind", "symbol")}
-    optional = {c: F.nullif(F.upper(c), F.lit("")) for c in ("exchange", "currency")}
-    return df.withColumns({**upper, **optional, "expiry": F.nullif("expiry", F.lit(""))})
+    return df.withColumns({c: normal_field(c, F.col(c)) for c in FIELDS})
 
 
-def instrument_error() -> Column:
-    """The first rule that a normalized instrument breaks; the rules' order and texts are fixed."""
-    kind, blank = F.col("kind"), lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+def instrument_error(of: Callable[[str], Column] = F.col) -> Column:
+    """The first rule that a normalized instrument breaks; the rules' order and texts are fixed. of gives its fields by name."""
+    kind, blank = of("kind"), lambda c: F.coalesce(of(c), F.lit("")) == ""
     return first_error(
         (~F.coalesce(kind.isin(*KINDS), F.lit(False)), F.concat(F.lit("Unsupported instrument kind: "), F.coalesce(kind, F.lit("")))),
         (blank("symbol"), "Instrument symbol is required"),
         ((kind == "FUT") & blank("exchange"), "FUT exchange is required (e.g. CME)"),
-        ((kind == "FUT") & ~F.coalesce(F.col("expiry").rlike(r"^\d{6}(\d{2})?$"), F.lit(False)), "FUT expiry must be YYYYMM or YYYYMMDD (e.g. 202503 or 20250315)"),
-        ((kind == "FX") & ~F.col("symbol").rlike("^[A-Z]{6}$"), "FX symbol must be a 6-letter pair like EURUSD"),
+        ((kind == "FUT") & ~F.coalesce(of("expiry").rlike(r"^\d{6}(\d{2})?$"), F.lit(False)), "FUT expiry must be YYYYMM or YYYYMMDD (e.g. 202503 or 20250315)"),
+        ((kind == "FX") & ~of("symbol").rlike("^[A-Z]{6}$"), "FX symbol must be a 6-letter pair like EURUSD"),
     )
 
 
 def validate_instrument(df: DataFrame, error: str = "error") -> DataFrame:
     """Normalized instruments with defaults by kind and an error column, null for sound rows."""
     df = normalize_instrument(df).withColumn(error, instrument_error())
-    kind = F.col("kind")
-    return df.withColumns({
-        "exchange": F.when(kind == "STK", F.coalesce("exchange", F.lit("SMART"))).when(kind == "FX", F.coalesce("exchange", F.lit("IDEALPRO"))).otherwise(F.col("exchange")),
-        "currency": F.when(kind.isin("STK", "FUT"), F.coalesce("currency", F.lit("USD"))).when(kind == "FX", F.lit(None)).otherwise(F.col("currency")),
-        "expiry": F.when(kind.isin("STK", "FX"), F.lit(None)).otherwise(F.col("expiry")),
-    })
+    return df.withColumns({c: default_field(c, F.col("kind"), F.col(c)) for c in ("exchange", "currency", "expiry")})
 
 
 def contract_to_instrument(df: DataFrame) -> DataFrame:

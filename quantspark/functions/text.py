@@ -17,6 +17,27 @@ def parse_epoch(c: Column) -> Column:
     return F.coalesce(text.try_cast("double"), iso)
 
 
+def parse_end(c: Column, now: Column) -> Column:
+    """The end of a history request as a timestamp: blank or null is now, then epoch seconds, ISO-8601, and yyyyMMdd HH:mm:ss; null where none fits."""
+    text = blank_to_null(c)
+    seconds = parse_epoch(text)
+    inside = F.when(F.abs(seconds) < 1e11, F.timestamp_micros((seconds * 1e6).cast("long")))
+    vendor = F.try_to_timestamp(F.regexp_replace(text, r"^(\d{8})[- ](\d{2}:\d{2}:\d{2})( UTC)?$", "$1 $2"), F.lit("yyyyMMdd HH:mm:ss"))
+    return F.when(text.isNull(), now.cast("timestamp")).otherwise(F.coalesce(inside, vendor))
+
+
+#: Units of a vendor's durations, by their letters.
+UNITS = {"S": "secs", "D": "days", "W": "weeks", "M": "months", "Y": "years"}
+
+
+def parse_duration(c: Column) -> Column:
+    """An interval from a vendor's duration such as `30 D` (S, D, W, M or Y; any case and blanks); null where it is none."""
+    text = F.upper(F.trim(c))
+    n, unit = F.regexp_extract(text, r"^(\d{1,9})\s*[SDWMY]$", 1).try_cast("int"), F.right(text, F.lit(1))
+    part = lambda letter: F.when(unit == letter, n).otherwise(0)
+    return F.when(n.isNotNull(), F.make_interval(**{name: part(letter) for letter, name in UNITS.items()}))
+
+
 def clean_double(c: Column) -> Column:
     """A double from text or a number; null where it is missing, unparsable or not a number."""
     value = c.try_cast("double")

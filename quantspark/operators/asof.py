@@ -13,8 +13,9 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], ts: str, values: li
     Both sides are put together and the last row of right is carried along: one shuffle, no pairs. Keys are cut into
     buckets of time, so a hot key spreads over many tasks. With a tolerance, a row of right also goes to the later buckets
     that it can reach, one at most unless the tolerance exceeds a bucket; without one, each bucket gets the last row of
-    right before it, of which there is one for each key and bucket. order breaks ties of right's ts.
+    right before it, of which there is one for each key and bucket. order breaks ties of right's ts. Null keys match nothing.
     """
+    right = right.dropna(subset=keys)
     seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
     struct = F.struct(F.col(ts).alias("_at"), *values)
     l = left.withColumns({"_value": F.lit(None).cast(right.select(struct.alias("s")).schema["s"].dataType), "_side": F.lit(1), "_tie": F.lit(0).cast("long")})  # noqa: E741

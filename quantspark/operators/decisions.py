@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quantspark.functions.instruments import FIELDS, validate_instrument
+from quantspark.functions.compare import gt
+from quantspark.functions.instruments import FIELDS, default_field, instrument_error, normal_field
 from quantspark.functions.text import audit_json, blank_to_null, first_error, strip_fences
 
 #: Scalars are read as text and cast afterwards, so that one odd item does not void its array.
@@ -19,64 +21,100 @@ def _is_object(c: Column) -> Column:
     return F.coalesce(F.ltrim(c).startswith("{"), F.lit(False))
 
 
+#: Fields that an order of a decision has, and what a decision has besides.
+_TERMS = ("side", "quantity", "order_type", "limit_price", "stop_price", "tif")
+
+
+def _decision(item: Column) -> Column:
+    """An item of a decision list as a struct, with the first rule that it breaks as `error`."""
+
+    def read(i: Column) -> Column:
+        return F.transform(F.array(F.from_json(i["order"], _ORDER)), lambda o: F.struct(i.alias("i"), o.alias("o"), F.from_json(o["instrument"], _INSTRUMENT).alias("n")))[0]
+
+    upper = lambda c, default: F.upper(F.trim(F.coalesce(c, F.lit(default))))
+
+    def flat(r: Column) -> Column:
+        i, o, n = r["i"], r["o"], r["n"]
+        return F.struct(
+            upper(i["action"], "").alias("action"), blank_to_null(i["order_id"]).alias("order_id"), i["reason"].alias("reason"), _is_object(item).alias("is_object"), _is_object(i["order"]).alias("has_order"), _is_object(o["instrument"]).alias("has_instrument"),
+            *[normal_field(c, F.trim(n[c])).alias(c) for c in FIELDS], upper(o["side"], "BUY").alias("side"), F.coalesce(o["qty"].try_cast("double"), F.when(o["qty"].isNull(), 0.0)).alias("quantity"),
+            upper(o["type"], "MKT").alias("order_type"), o["limit_price"].try_cast("double").alias("limit_price"), o["stop_price"].try_cast("double").alias("stop_price"), upper(o["tif"], "DAY").alias("tif"),
+        )
+
+    def judged(x: Column) -> Column:
+        order, wrong = x["action"].isin("PLACE", "MODIFY"), instrument_error(lambda c: x[c])
+        error = first_error(
+            (~x["is_object"], "Each decision must be an object"),
+            (~x["action"].isin("PLACE", "MODIFY", "CANCEL"), F.concat(F.lit("Unsupported action: "), x["action"])),
+            (x["action"].isin("MODIFY", "CANCEL") & x["order_id"].isNull(), F.concat(x["action"], F.lit(" requires order_id"))),
+            (order & ~x["has_order"], "order must be an object"),
+            (order & ~x["has_instrument"], "order.instrument must be an object"),
+            (order & wrong.isNotNull(), wrong),
+            (order & x["quantity"].isNull(), "qty must be a number"),
+        )
+        kept = [F.when(order, default_field(c, x["kind"], x[c]) if c in FIELDS else x[c]).alias(c) for c in (*FIELDS, *_TERMS)]
+        return F.struct(x["action"].alias("action"), x["order_id"].alias("order_id"), x["reason"].alias("reason"), *kept, error.alias("error"))
+
+    # each step is bound to a variable of its own, so that nothing is parsed twice
+    bound = lambda c, f: F.transform(F.array(c), f)[0]
+    return bound(bound(bound(F.from_json(item, _ITEM), read), flat), judged)
+
+
+def _responses(responses: DataFrame) -> DataFrame:
+    """resp_id, decisions (an array, null where there is no list) and response_error; each response by itself, on one read and without a shuffle."""
+    parsed = responses.select("resp_id", strip_fences(F.col("raw")).alias("text"))
+    parsed = parsed.select("resp_id", "text", F.try_parse_json("text").isNotNull().alias("valid"), F.from_json("text", "decisions array<string>")["decisions"].alias("items"))
+    whole = first_error(
+        (~F.col("valid"), "LLM output is not valid JSON"),
+        (~_is_object(F.col("text")), "LLM output must be a JSON object"),
+        (F.col("items").isNull(), "LLM output must contain 'decisions' list"),
+    )
+    parsed = parsed.select("resp_id", whole.alias("whole"), F.when(F.col("valid") & _is_object(F.col("text")), F.transform("items", _decision)).alias("decisions"))
+    first = F.get(F.filter(F.transform("decisions", lambda x: x["error"]), lambda e: e.isNotNull()), F.lit(0))
+    return parsed.select("resp_id", "decisions", F.coalesce("whole", first).alias("response_error"))
+
+
 def parse_decisions(responses: DataFrame) -> DataFrame:
     """responses(resp_id, raw) -> one row for each decision, with response_error, null where the whole response is sound.
 
-    A response that is not a JSON object with a list of decisions gives one row with decision_no null. Any bad item
-    rejects the whole response; its error is that of the first bad item. The order itself is not rule-checked here.
+    A response that is not a JSON object with a list of decisions, or whose list is empty, gives one row with decision_no
+    null. Any bad item rejects the whole response; its error is that of the first bad item. The order itself is not
+    rule-checked here. A response is one row, so no row is shuffled.
     """
-    text = strip_fences(F.col("raw"))
-    parsed = responses.withColumn("_text", text).withColumn("_json", F.try_parse_json("_text")).withColumn("_items", F.from_json("_text", "decisions array<string>")["decisions"])
-    whole = first_error(
-        (F.col("_json").isNull(), "LLM output is not valid JSON"),
-        (~_is_object(F.col("_text")), "LLM output must be a JSON object"),
-        (F.col("_items").isNull(), "LLM output must contain 'decisions' list"),
-    )
-    parsed = parsed.withColumn("_whole", whole)
-    sound = parsed.filter("_whole is null").select("resp_id", F.size("_items").alias("n_decisions"), F.posexplode_outer("_items").alias("decision_no", "_item"))
-    item = sound.withColumn("_i", F.from_json("_item", _ITEM)).withColumn("_o", F.from_json("_i.order", _ORDER)).withColumn("_n", F.from_json("_o.instrument", _INSTRUMENT))
-    upper = lambda c, default: F.upper(F.trim(F.coalesce(c, F.lit(default))))
-    flat = item.select(
-        "resp_id", "n_decisions", "decision_no", upper(F.col("_i.action"), "").alias("action"), blank_to_null(F.col("_i.order_id")).alias("order_id"), F.col("_i.reason").alias("reason"),
-        _is_object(F.col("_item")).alias("_object"), _is_object(F.col("_i.order")).alias("_has_order"), _is_object(F.col("_o.instrument")).alias("_has_instrument"),
-        *[F.trim(f"_n.{c}").alias(c) for c in FIELDS], upper(F.col("_o.side"), "BUY").alias("side"), F.coalesce(F.col("_o.qty").try_cast("double"), F.when(F.col("_o.qty").isNull(), 0.0)).alias("quantity"),
-        upper(F.col("_o.type"), "MKT").alias("order_type"), F.col("_o.limit_price").try_cast("double").alias("limit_price"), F.col("_o.stop_price").try_cast("double").alias("stop_price"), upper(F.col("_o.tif"), "DAY").alias("tif"),
-    )
-    flat = validate_instrument(flat, "_instrument_error")
-    order = F.col("action").isin("PLACE", "MODIFY")
-    error = F.when(F.col("decision_no").isNotNull(), first_error(
-        (~F.col("_object"), "Each decision must be an object"),
-        (~F.col("action").isin("PLACE", "MODIFY", "CANCEL"), F.concat(F.lit("Unsupported action: "), F.col("action"))),
-        (F.col("action").isin("MODIFY", "CANCEL") & F.col("order_id").isNull(), F.concat(F.col("action"), F.lit(" requires order_id"))),
-        (order & ~F.col("_has_order"), "order must be an object"),
-        (order & ~F.col("_has_instrument"), "order.instrument must be an object"),
-        (order & F.col("_instrument_error").isNotNull(), F.col("_instrument_error")),
-        (order & F.col("quantity").isNull(), "qty must be a number"),
-    ))
-    flat = flat.withColumn("error", error)
-    first = F.min(F.when(F.col("error").isNotNull(), F.struct("decision_no", "error"))).over(W.partitionBy("resp_id"))
-    kept = lambda c: F.when(order, F.col(c)).alias(c)
-    out = flat.withColumn("_first", first).select("resp_id", "n_decisions", "decision_no", "action", "order_id", "reason", *[kept(c) for c in (*FIELDS, "side", "quantity", "order_type", "limit_price", "stop_price", "tif")], F.col("_first.error").alias("response_error"))
-    bad = parsed.filter("_whole is not null").select("resp_id", F.col("_whole").alias("response_error"))
-    return out.unionByName(bad, allowMissingColumns=True)
+    out = _responses(responses).select("resp_id", "response_error", F.when(F.col("decisions").isNotNull(), F.size("decisions")).alias("n_decisions"), F.posexplode_outer("decisions").alias("decision_no", "x"))
+    return out.select("resp_id", "n_decisions", "decision_no", *[F.col("x")[c].alias(c) for c in ("action", "order_id", "reason", *FIELDS, *_TERMS)], "response_error")
 
 
-def enforce_limits(decisions: DataFrame, kinds: list[str], symbols: list[str], max_orders: int, max_quantity: float) -> DataFrame:
-    """Sound decisions by response -> resp_id, n_decisions, verdict: null where allowed, else the first limit that is broken."""
+def _broken_limit(of: Callable[[str], Column], kinds: list[str], symbols: list[str], max_quantity: float) -> Column:
+    """The first limit that a decision breaks, null where none; cancellations break none."""
     up = lambda xs: [x.strip().upper() for x in xs]
-    priced = F.col("action") != "CANCEL"
-    item = F.when(priced, first_error(
-        (~F.upper("kind").isin(*up(kinds)), F.concat(F.lit("Instrument kind not allowed: "), F.col("kind"))),
-        ((~F.upper("symbol").isin(*up(symbols))) if symbols else F.lit(False), F.concat(F.lit("Symbol not allowed: "), F.col("symbol"))),
-        (F.col("quantity") > max_quantity, F.concat(F.lit("Quantity too large: "), F.col("quantity").cast("string"), F.lit(f" > {float(max_quantity)}"))),
+    return F.when(of("action") != "CANCEL", first_error(
+        (~F.upper(of("kind")).isin(*up(kinds)), F.concat(F.lit("Instrument kind not allowed: "), of("kind"))),
+        ((~F.upper(of("symbol")).isin(*up(symbols))) if symbols else F.lit(False), F.concat(F.lit("Symbol not allowed: "), of("symbol"))),
+        (gt(of("quantity"), max_quantity), F.concat(F.lit("Quantity too large: "), of("quantity").cast("string"), F.lit(f" > {float(max_quantity)}"))),
     ))
-    per = decisions.filter("response_error is null").withColumn("_e", item).groupBy("resp_id").agg(F.max("n_decisions").alias("n_decisions"), F.min(F.when(F.col("_e").isNotNull(), F.struct("decision_no", "_e"))).alias("_first"))
-    verdict = first_error(
+
+
+def _verdict(n: Column, broken: Column, max_orders: int) -> Column:
+    return first_error(
         (F.lit(max_orders <= 0), "max_orders must be positive"),
-        (F.col("n_decisions") > max_orders, F.concat(F.lit("LLM produced too many decisions: "), F.col("n_decisions").cast("string"), F.lit(f" > {max_orders}"))),
-        (F.col("_first").isNotNull(), F.col("_first._e")),
+        (n > max_orders, F.concat(F.lit("LLM produced too many decisions: "), n.cast("string"), F.lit(f" > {max_orders}"))),
+        (broken.isNotNull(), broken),
     )
-    return per.select("resp_id", F.col("n_decisions").cast("long").alias("n_decisions"), verdict.alias("verdict"))
+
+
+def limit_responses(responses: DataFrame, kinds: list[str], symbols: list[str], max_orders: int, max_quantity: float) -> DataFrame:
+    """enforce_limits() of parse_decisions(), for responses(resp_id, raw): judged row by row, without taking them apart."""
+    sound = _responses(responses).filter("response_error is null").select("resp_id", F.size("decisions").cast("long").alias("n_decisions"), F.transform("decisions", lambda x: _broken_limit(lambda c: x[c], kinds, symbols, max_quantity)).alias("broken"))
+    first = F.get(F.filter("broken", lambda e: e.isNotNull()), F.lit(0))
+    return sound.select("resp_id", "n_decisions", _verdict(F.col("n_decisions"), first, max_orders).alias("verdict"))
+
+
+def enforce_limits(decisions: DataFrame, kinds: list[str], symbols: list[str], max_orders: int, max_quantity: float) -> DataFrame:
+    """Sound decisions by response -> resp_id, n_decisions, verdict: null where allowed, else the first limit that is broken."""
+    broken = _broken_limit(F.col, kinds, symbols, max_quantity)
+    per = decisions.filter("response_error is null").withColumn("_e", broken).groupBy("resp_id").agg(F.max("n_decisions").alias("n_decisions"), F.min(F.when(F.col("_e").isNotNull(), F.struct("decision_no", "_e"))).alias("_first"))
+    return per.select("resp_id", F.col("n_decisions").cast("long").alias("n_decisions"), _verdict(F.col("n_decisions"), F.col("_first._e"), max_orders).alias("verdict"))
 
 
 def parse_replies(replies: DataFrame) -> DataFrame:

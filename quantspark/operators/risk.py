@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantspark.functions.compare import gt
 from quantspark.functions.quotes import usable_price
 from quantspark.functions.text import first_error
 from quantspark.operators.asof import asof, asof_quotes
@@ -59,7 +60,8 @@ def session_start(rows: DataFrame, limits: RiskLimits = RiskLimits(), carried: D
     carried(run_id, session_start), a row for each run, holds what runs have from before; it goes before that of rows.
     A run's first sound value is one minimum, combined before the shuffle, so a run of any length meets no single task.
     """
-    sound = (F.col("quantity") > 0) & (F.col("quantity") <= limits.max_order_quantity) & (F.col("net_liquidation") > 0)
+    q = F.col("quantity")
+    sound = (q > 0) & ~gt(q, limits.max_order_quantity) & gt(F.col("net_liquidation"), 0.0)
     first = rows.filter(sound).groupBy(F.col("run_id").alias("_run")).agg(F.min(F.struct("seq", "net_liquidation")).alias("_first"))
     out = rows.join(first, F.col("run_id").eqNullSafe(F.col("_run")), "left")
     out = out.withColumn("session_start", F.when(F.col("seq") >= F.col("_first.seq"), F.col("_first.net_liquidation"))).drop("_run", "_first")
@@ -72,30 +74,31 @@ def session_start(rows: DataFrame, limits: RiskLimits = RiskLimits(), carried: D
 def drawdown_breaker(rows: DataFrame, limits: RiskLimits = RiskLimits()) -> DataFrame:
     """rows with session_start and tripped: whether the run has lost more than it may by then."""
     out = session_start(rows, limits)
-    return out.withColumn("tripped", F.coalesce(F.col("session_start") - F.col("net_liquidation") > limits.max_daily_loss, F.lit(False)))
+    return out.withColumn("tripped", F.coalesce(gt(F.col("session_start") - F.col("net_liquidation"), limits.max_daily_loss), F.lit(False)))
 
 
 def evaluate_risk(rows: DataFrame, limits: RiskLimits = RiskLimits(), carried: DataFrame | None = None) -> DataFrame:
     """rows(run_id, seq, side, quantity, position, px, net_liquidation, gross_position_value, maint_margin_req) with reason.
 
     reason is the first rule an intent breaks, null if it may pass. Open loop: each intent is judged against the values
-    given, so it equals a closed loop up to the first rejection of a run. carried is that of session_start().
+    given, so it equals a closed loop up to the first rejection of a run. carried is that of session_start(). A value that
+    is not a number breaks no rule, and is no session start.
     """
     rows = session_start(rows, limits, carried)
     q, px, net, gross, maint = (F.col(c) for c in ("quantity", "px", "net_liquidation", "gross_position_value", "maint_margin_req"))
     resulting = F.col("position") + signed(F.col("side"), q)
     reason = first_error(
         (q <= 0, "quantity must be positive"),
-        (q > limits.max_order_quantity, "order quantity exceeds max_order_quantity"),
+        (gt(q, limits.max_order_quantity), "order quantity exceeds max_order_quantity"),
         ((resulting < 0) & F.lit(not limits.allow_short), "order would create a short position (allow_short=false)"),
-        (F.abs(resulting) > limits.max_abs_position, "resulting position exceeds max_abs_position_per_symbol"),
+        (gt(F.abs(resulting), limits.max_abs_position), "resulting position exceeds max_abs_position_per_symbol"),
         (px.isNull(), "no usable price"),
-        (gross + q * px > limits.max_notional, "max_notional_exposure exceeded"),
+        (gt(gross + q * px, limits.max_notional), "max_notional_exposure exceeded"),
         (net.isNotNull() & gross.isNotNull() & (net <= 0), "Invalid NetLiquidation"),
-        (gross / F.nullif(net, F.lit(0.0)) > limits.max_leverage, "max_leverage exceeded"),
+        (gt(gross / F.nullif(net, F.lit(0.0)), limits.max_leverage), "max_leverage exceeded"),
         (net.isNotNull() & maint.isNotNull() & (net <= 0), "Invalid NetLiquidation"),
-        (maint / F.nullif(net, F.lit(0.0)) > limits.max_margin_utilization, "max_margin_utilization exceeded"),
-        (F.col("session_start") - net > limits.max_daily_loss, "max_daily_loss exceeded (circuit breaker)"),
+        (gt(maint / F.nullif(net, F.lit(0.0)), limits.max_margin_utilization), "max_margin_utilization exceeded"),
+        (gt(F.col("session_start") - net, limits.max_daily_loss), "max_daily_loss exceeded (circuit breaker)"),
     )
     return rows.withColumn("reason", reason)
 

@@ -28,8 +28,8 @@ INTENT = {
     "side": "CASE WHEN (event_id // 80) % 2 = 0 THEN 'BUY' ELSE 'SELL' END",
     "quantity": "CAST(1 + event_id % 7 AS DOUBLE)",
     "order_type": "CASE (event_id // 20) % 4 WHEN 0 THEN 'MKT' WHEN 1 THEN 'LMT' WHEN 2 THEN 'STP' ELSE 'STPLMT' END",
-    "limit_price": "CASE WHEN (event_id // 20) % 4 = 1 THEN px WHEN (event_id // 20) % 4 = 3 THEN px + CASE WHEN (event_id // 80) % 2 = 0 THEN 5 ELSE -5 END END",
-    "stop_price": "CASE WHEN (event_id // 20) % 4 IN (2, 3) THEN px END",
+    "limit_price": "CASE WHEN event_id % 89 = 0 AND (event_id // 20) % 2 = 1 THEN CAST('NaN' AS DOUBLE) WHEN (event_id // 20) % 4 = 1 THEN px WHEN (event_id // 20) % 4 = 3 THEN px + CASE WHEN (event_id // 80) % 2 = 0 THEN 5 ELSE -5 END END",
+    "stop_price": "CASE WHEN event_id % 101 = 0 AND (event_id // 20) % 4 IN (2, 3) THEN CAST('NaN' AS DOUBLE) WHEN (event_id // 20) % 4 IN (2, 3) THEN px END",
 }
 
 
@@ -93,7 +93,7 @@ JOIN v_bars b ON b.symbol = t.symbol AND b.ts = date_trunc('hour', t.ts))"""
 V_STATUS = f"v_status AS (SELECT event_id AS id, concat('o', user_id) AS order_id, concat('run', user_id % 3) AS run_id, ts, {STATUS} AS status FROM events)"
 V_ORDERS = f"v_orders AS (SELECT concat('o', o_custkey) AS order_id, o_orderkey AS seq, {ORDER_STATUS} AS status, o_totalprice AS price, o_custkey AS custkey FROM orders)"
 V_FILLS = """v_touch AS (SELECT i.order_key, min(b.bar_seq) AS bar_seq FROM v_intents i JOIN v_bars b ON b.symbol = i.symbol AND b.bar_seq >= i.submit_seq
-  AND (i.order_type <> 'MKT' OR b.bar_seq = i.submit_seq)
+  AND (i.order_type <> 'MKT' OR b.bar_seq = i.submit_seq) AND NOT isnan(coalesce(i.limit_price, 0)) AND NOT isnan(coalesce(i.stop_price, 0))
   AND CASE i.order_type WHEN 'MKT' THEN true
       WHEN 'LMT' THEN CASE i.side WHEN 'BUY' THEN b.low <= i.limit_price ELSE b.high >= i.limit_price END
       WHEN 'STP' THEN CASE i.side WHEN 'BUY' THEN b.high >= i.stop_price ELSE b.low <= i.stop_price END

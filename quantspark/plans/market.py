@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from quantspark.functions import orders as order_rules
@@ -23,9 +25,9 @@ NUMBER_TEXT = "CASE event_id % 4 WHEN 0 THEN CAST(event_id AS STRING) WHEN 1 THE
 FAULTY = {
     "ts_epoch_s": "CASE WHEN event_id % 50 = 0 THEN NULL WHEN event_id % 40 = 0 THEN CAST(event_id - 100 AS DOUBLE) WHEN event_id % 30 = 0 THEN CAST(event_id - 5 AS DOUBLE) ELSE CAST(event_id AS DOUBLE) END",
     "open": "CASE WHEN event_id % 25 = 0 THEN 50.0 WHEN event_id % 60 = 3 THEN NULL ELSE 10.0 END",
-    "high": "CASE WHEN event_id % 35 = 0 THEN 5.0 ELSE 12.0 END",
-    "low": "CASE WHEN event_id % 45 = 0 THEN -1.0 ELSE 8.0 END",
-    "close": "CASE WHEN event_id % 55 = 0 THEN 13.0 WHEN event_id % 70 = 1 THEN 0.0 ELSE 11.0 END",
+    "high": "CASE WHEN event_id % 35 = 0 THEN 5.0 WHEN event_id % 65 = 2 THEN CAST('NaN' AS DOUBLE) ELSE 12.0 END",
+    "low": "CASE WHEN event_id % 45 = 0 THEN -1.0 WHEN event_id % 75 = 4 THEN CAST('NaN' AS DOUBLE) ELSE 8.0 END",
+    "close": "CASE WHEN event_id % 55 = 0 THEN 13.0 WHEN event_id % 70 = 1 THEN 0.0 WHEN event_id % 85 = 6 THEN CAST('NaN' AS DOUBLE) ELSE 11.0 END",
 }
 #: Quotes around a bar's close, some crossed, negative or empty.
 QUOTE = {
@@ -72,7 +74,24 @@ QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY page_no) = 1"""
 
 
 def a7_slice_history(spark, sf):
-    return src.slice_history(d.bars(spark, sf), F.expr("timestamp'2024-01-20 00:00:00'"), "7 DAYS").select(*BAR_COLS)
+    return src.slice_built_bars(d.ticks(spark, sf), "2024-01-20T00:00:00Z", "7 D").select(*BAR_COLS)
+
+
+#: Ends and durations of history requests as vendors take them, and the ranges that they mean; now is 2024-01-25 12:00.
+REQUESTS = [
+    ("blank", " ", "2 D", "2024-01-23 12:00:00", "2024-01-25 12:00:00"), ("none", None, "3600 S", "2024-01-25 11:00:00", "2024-01-25 12:00:00"), ("epoch", "1705708800", "1 W", "2024-01-13 00:00:00", "2024-01-20 00:00:00"),
+    ("iso", "2024-01-10T06:30:00Z", "36000 S", "2024-01-09 20:30:00", "2024-01-10 06:30:00"), ("offset", "2024-01-10T06:30:00+02:00", "1 d", "2024-01-09 04:30:00", "2024-01-10 04:30:00"), ("vendor", "20240128 00:00:00", " 1 M", "2023-12-28 00:00:00", "2024-01-28 00:00:00"),
+]
+NOW = "2024-01-25 12:00:00"
+
+
+def a7_history_requests(spark, sf):
+    """Bars of each request, built from its ticks."""
+    parts = [src.slice_built_bars(d.ticks(spark, sf), end, duration, now=NOW).withColumn("request", F.lit(name)) for name, end, duration, _, _ in REQUESTS]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+A7_REQUESTS = " UNION ALL ".join(f"SELECT {', '.join(BAR_COLS)}, '{name}' AS request FROM ({d.MARKET} SELECT * FROM v_bars) WHERE ts > TIMESTAMP '{first}' AND ts <= TIMESTAMP '{last}'" for name, _, _, first, last in REQUESTS)
 
 
 def a8_filter_session(spark, sf):
@@ -139,15 +158,17 @@ def b17_align_ticks(spark, sf):
 
 
 def c1_asof_quotes(spark, sf):
-    """Intents an hour later than their tick, against quotes no older than a day."""
+    """Intents against quotes no older than a day; some intents and quotes have no symbol, and find nothing."""
     quotes = _quotes(spark, sf).drop("bar_seq")
-    return asof.asof_quotes(d.intents(spark, sf).select("order_key", "symbol", "ts"), quotes, 86400.0).select("order_key", "bid", "ask", "last", "close", F.col("asof_ts").alias("quote_ts"))
+    quotes = quotes.unionByName(quotes.filter("hour(ts) % 3 = 0").withColumn("symbol", F.lit(None).cast("string")))
+    intents = d.intents(spark, sf).select("order_key", F.expr("CASE WHEN order_key % 97 <> 0 THEN symbol END").alias("symbol"), "ts")
+    return asof.asof_quotes(intents, quotes, 86400.0).select("order_key", "bid", "ask", "last", "close", F.col("asof_ts").alias("quote_ts"))
 
 
 C1 = f"""{d.ORDERED}, {V_QUOTES}
 SELECT order_key, CASE WHEN f THEN bid END AS bid, CASE WHEN f THEN ask END AS ask, CASE WHEN f THEN last END AS last, CASE WHEN f THEN close END AS close, CASE WHEN f THEN q END AS quote_ts
 FROM (SELECT i.order_key, q.bid, q.ask, q.last, q.close, q.ts AS q, coalesce(epoch(i.ts) - epoch(q.ts) <= 86400, false) AS f
-      FROM v_intents i ASOF LEFT JOIN v_quotes q ON i.symbol = q.symbol AND i.ts >= q.ts)"""
+      FROM (SELECT order_key, ts, CASE WHEN order_key % 97 <> 0 THEN symbol END AS symbol FROM v_intents) i ASOF LEFT JOIN v_quotes q ON i.symbol = q.symbol AND i.ts >= q.ts)"""
 
 
 def c2_history_features(spark, sf):
@@ -217,8 +238,8 @@ r AS (SELECT symbol, bar_index, unnest([
   CASE WHEN ts_epoch_s IS NULL THEN 'error missing_timestamp' END, CASE WHEN ts_epoch_s < before THEN 'error not_sorted' END,
   CASE WHEN ts_epoch_s IS NOT NULL AND open IS NULL THEN 'error missing_open' END, CASE WHEN ts_epoch_s IS NOT NULL AND open <= 0 THEN 'error non_positive_open' END,
   CASE WHEN ts_epoch_s IS NOT NULL AND high <= 0 THEN 'error non_positive_high' END, CASE WHEN ts_epoch_s IS NOT NULL AND low <= 0 THEN 'error non_positive_low' END,
-  CASE WHEN ts_epoch_s IS NOT NULL AND close <= 0 THEN 'error non_positive_close' END, CASE WHEN ts_epoch_s IS NOT NULL AND low > high THEN 'error low_above_high' END,
-  CASE WHEN ts_epoch_s IS NOT NULL AND (open < low OR open > high) THEN 'warn open_outside' END, CASE WHEN ts_epoch_s IS NOT NULL AND (close < low OR close > high) THEN 'warn close_outside' END,
+  CASE WHEN ts_epoch_s IS NOT NULL AND close <= 0 THEN 'error non_positive_close' END, CASE WHEN ts_epoch_s IS NOT NULL AND low > high AND NOT isnan(low) THEN 'error low_above_high' END,
+  CASE WHEN ts_epoch_s IS NOT NULL AND (open < low OR open > high OR (open IS NOT NULL AND (isnan(low) OR isnan(high)))) THEN 'warn open_outside' END, CASE WHEN ts_epoch_s IS NOT NULL AND (close < low OR close > high OR isnan(close) OR isnan(low) OR isnan(high)) THEN 'warn close_outside' END,
   CASE WHEN again THEN 'warn duplicate_timestamp' END]) AS issue FROM o),
 v_issues AS (SELECT symbol, bar_index, split_part(issue, ' ', 1) AS level, split_part(issue, ' ', 2) AS code FROM r WHERE issue IS NOT NULL)"""
 E1 = f"WITH {V_ISSUES} SELECT * FROM v_issues UNION ALL SELECT r_name, -1, 'error', 'no_bars' FROM region WHERE r_name NOT IN (SELECT symbol FROM v_faulty)"
@@ -261,6 +282,26 @@ SELECT run_id, symbol, bar_seq, ts, round(cash, 4) AS cash, position, round(cash
 RUNS = [("base", 0.0, 0.0), ("slip", 5.0, 0.0), ("cost", 10.0, 1.0)]
 
 
+def e13_backtests_of_table(spark, sf):
+    """A run for each supplier with cash, slippage and commission of its own, in all symbols; the strategy buys on every fifth tick and sells on every seventh."""
+    runs = d.table(spark, sf, "supplier").selectExpr("concat('s', s_suppkey) AS run_id", *d.spark_exprs(RUN))
+
+    def both(bars):
+        sells = every_n_signal(bars, 7, 2.0).withColumns({"side": F.lit("SELL"), "order_key": F.col("order_key") + 1000000000})
+        return every_n_signal(bars, 5).unionByName(sells)
+
+    return _rounded(run_backtests(d.bars(spark, sf), both, runs), "end_equity", "return_pct")
+
+
+#: Costs of a run, by supplier; one has no cash at all.
+RUN = {"initial_cash": "CAST(s_suppkey % 10 * 50000 AS DOUBLE)", "slippage_bps": "CAST(s_suppkey % 4 * 5 - 5 AS DOUBLE)", "commission": "CAST(s_suppkey % 3 AS DOUBLE)"}
+E13_TABLE = f"""{d.MARKET}, r AS (SELECT concat('s', s_suppkey) AS run_id, {d.sql_exprs(RUN)} FROM supplier),
+f AS (SELECT symbol, open, 1.0 AS q FROM v_bars WHERE bar_seq % 5 = 4 UNION ALL SELECT symbol, open, -2.0 FROM v_bars WHERE bar_seq % 7 = 6),
+t AS (SELECT run_id, symbol, any_value(initial_cash) AS cash, sum(q * open * (1 + CASE WHEN slippage_bps <= 0 THEN 0 WHEN q > 0 THEN slippage_bps / 10000 ELSE -slippage_bps / 10000 END)) + count(*) * any_value(commission) AS spent, sum(q)::DOUBLE AS n FROM f, r GROUP BY ALL),
+l AS (SELECT symbol, arg_max(close, bar_seq) AS c FROM v_bars GROUP BY 1)
+SELECT run_id, symbol, cash AS start_equity, round(cash - spent + n * c, 4) AS end_equity, round(CASE WHEN cash <> 0 THEN (n * c - spent) / cash * 100 ELSE 0 END, 4) AS return_pct FROM t JOIN l USING (symbol)"""
+
+
 def e13_backtests(spark, sf):
     """The return of buying at every twelfth tick, for each symbol and set of costs."""
     return _rounded(run_backtests(d.bars(spark, sf), every_n_signal, RUNS), "end_equity", "return_pct")
@@ -277,6 +318,7 @@ QUERIES = {
     "a5_merge_backfill": (a5_merge_backfill, A5),
     "a6_build_bars": (lambda s, sf: d.bars(s, sf).select(*BAR_COLS), f"{d.MARKET} SELECT {BARS} FROM v_bars"),
     "a7_slice_history": (a7_slice_history, f"{d.MARKET} SELECT {BARS} FROM v_bars WHERE ts <= TIMESTAMP '2024-01-20' AND ts > TIMESTAMP '2024-01-13'"),
+    "a7_history_requests": (a7_history_requests, A7_REQUESTS),
     "a8_filter_session": (a8_filter_session, f"{d.MARKET} SELECT {BARS} FROM v_bars WHERE strftime(ts, '%H:%M') >= '09:30' AND strftime(ts, '%H:%M') < '16:00'"),
     "a9_normalize_bars": (a9_normalize_bars, A9),
     "a10_preview_bars": (lambda s, sf: src.preview_bars(d.bars(s, sf)).select(*BAR_COLS, "n_bars"), f"{d.MARKET} SELECT {BARS}, count(*) OVER (PARTITION BY symbol) AS n_bars FROM v_bars QUALIFY bar_seq < 5"),
@@ -301,4 +343,5 @@ QUERIES = {
     "e5_equity_curve": (e5_equity_curve, E5),
     "e12_sort_bars": (lambda s, sf: d.bars(s, sf).orderBy("symbol", "ts").select("symbol", "ts", "bar_seq"), f"{d.MARKET} SELECT symbol, ts, bar_seq FROM v_bars ORDER BY symbol, ts"),
     "e13_backtests": (e13_backtests, E13),
+    "e13_backtests_of_table": (e13_backtests_of_table, E13_TABLE),
 }

@@ -152,20 +152,20 @@ RISK = {
     "run_id": "concat('run', o_custkey % 20)", "seq": "o_orderkey", "side": "CASE WHEN o_orderkey % 3 = 0 THEN 'SELL' ELSE 'BUY' END",
     "quantity": "CASE WHEN o_orderkey % 31 = 0 THEN 0.0 ELSE CAST(o_orderkey % 110 AS DOUBLE) END", "position": "CAST(o_orderkey % 450 AS DOUBLE)",
     "px": "CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE CAST(o_orderkey % 100 + 1 AS DOUBLE) END",
-    "net_liquidation": "CASE WHEN o_orderkey % 23 = 0 THEN NULL WHEN o_orderkey % 53 = 0 THEN -1.0 ELSE 100000.0 - o_orderkey % 1500 END",
-    "gross_position_value": "CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE CAST(o_orderkey % 250 * 1000 AS DOUBLE) END",
+    "net_liquidation": "CASE WHEN o_orderkey % 23 = 0 THEN NULL WHEN o_orderkey % 53 = 0 THEN -1.0 WHEN o_orderkey % 37 = 1 THEN CAST('NaN' AS DOUBLE) ELSE 100000.0 - o_orderkey % 1500 END",
+    "gross_position_value": "CASE WHEN o_orderkey % 19 = 0 THEN NULL WHEN o_orderkey % 41 = 1 THEN CAST('NaN' AS DOUBLE) ELSE CAST(o_orderkey % 250 * 1000 AS DOUBLE) END",
     "maint_margin_req": "CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CAST(o_orderkey % 60 * 1000 AS DOUBLE) END",
 }
-V_START = """v_start AS (SELECT *, first_value(CASE WHEN quantity > 0 AND quantity <= 100 AND net > 0 THEN net END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS session_start
+V_START = """v_start AS (SELECT *, first_value(CASE WHEN quantity > 0 AND quantity <= 100 AND net > 0 AND NOT isnan(net) THEN net END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS session_start
   FROM (SELECT *, position + CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END AS resulting FROM v_risk))"""
 V_RISK = f"""v_risk AS (SELECT run_id, seq, side, CAST(quantity AS DOUBLE) AS quantity, position, px, CAST(net_liquidation AS DOUBLE) AS net, gross_position_value AS gross, maint_margin_req AS maint
   FROM (SELECT {d.sql_exprs(RISK)} FROM orders)), {V_START}"""
 REASON = """CASE WHEN quantity <= 0 THEN 'quantity must be positive' WHEN quantity > 100 THEN 'order quantity exceeds max_order_quantity'
   WHEN resulting < 0 THEN 'order would create a short position (allow_short=false)' WHEN abs(resulting) > 500 THEN 'resulting position exceeds max_abs_position_per_symbol' WHEN px IS NULL THEN 'no usable price'
-  WHEN gross + quantity * px > 250000 THEN 'max_notional_exposure exceeded' WHEN net <= 0 AND gross IS NOT NULL THEN 'Invalid NetLiquidation' WHEN net > 0 AND gross / net > 2 THEN 'max_leverage exceeded'
-  WHEN net <= 0 AND maint IS NOT NULL THEN 'Invalid NetLiquidation' WHEN net > 0 AND maint / net > 0.5 THEN 'max_margin_utilization exceeded' WHEN session_start - net > 1000 THEN 'max_daily_loss exceeded (circuit breaker)' END AS reason"""
+  WHEN gross + quantity * px > 250000 AND NOT isnan(gross) THEN 'max_notional_exposure exceeded' WHEN net <= 0 AND gross IS NOT NULL THEN 'Invalid NetLiquidation' WHEN net > 0 AND gross / net > 2 AND NOT isnan(gross / net) THEN 'max_leverage exceeded'
+  WHEN net <= 0 AND maint IS NOT NULL THEN 'Invalid NetLiquidation' WHEN net > 0 AND maint / net > 0.5 AND NOT isnan(maint / net) THEN 'max_margin_utilization exceeded' WHEN session_start - net > 1000 AND NOT isnan(net) THEN 'max_daily_loss exceeded (circuit breaker)' END AS reason"""
 E6 = f"WITH {V_RISK} SELECT run_id, seq, {REASON} FROM v_start"
-E7 = f"WITH {V_RISK} SELECT run_id, seq, session_start, coalesce(session_start - net > 1000, false) AS tripped FROM v_start"
+E7 = f"WITH {V_RISK} SELECT run_id, seq, session_start, coalesce(session_start - net > 1000 AND NOT isnan(net), false) AS tripped FROM v_start"
 
 #: Positions by symbol of the ticks, from nations.
 HELD = {
@@ -247,7 +247,7 @@ UNION ALL SELECT resp_id, -1, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'L
 
 
 def j3_enforce_limits(spark, sf):
-    return decisions.enforce_limits(decisions.parse_decisions(d.responses(spark, sf)), ["STK"], ["CLICK", "VIEW", "PURCHASE"], 2, 5.0)
+    return decisions.limit_responses(d.responses(spark, sf), ["STK"], ["CLICK", "VIEW", "PURCHASE"], 2, 5.0)
 
 
 J3 = f"""WITH {d.V_TICKS}, r AS (SELECT event_id AS resp_id, symbol, {d.INTENT['quantity']} AS q FROM v_ticks WHERE event_id % 100 <> 0)
@@ -286,6 +286,20 @@ def j6_audit_json(spark, sf):
 J6 = f"""{d.ORDERED} SELECT order_key, concat('{{"account":null,"order_type":"', order_type, '","quantity":', CAST(quantity AS BIGINT), ',"side":"', side, '"}}') AS intent_json FROM v_intents"""
 
 
+def j6_tool_results(spark, sf):
+    """The result of each tool call of the replies, as the model gets it; those of one call in five failed."""
+    rows = d.table(spark, sf, "conversations").selectExpr("conv_id * 1000 + turn AS reply_id", f"{REPLY} AS raw")
+    calls = decisions.parse_replies(rows).filter("name is not null")
+    ok = F.col("reply_id") % 5 != 0
+    result = F.create_map(F.lit("reply"), F.col("reply_id").cast("string"))
+    return calls.select("reply_id", "call_no", decisions.tool_result_json(F.col("call_id"), F.col("name"), ok, F.when(ok, result)).alias("result_json"))
+
+
+J6_TOOLS = """WITH r AS (SELECT conv_id * 1000 + turn AS reply_id FROM conversations WHERE turn % 3 = 0),
+c AS (SELECT reply_id, 0::INTEGER AS call_no, '"c1"' AS id, 'get_quote' AS name FROM r UNION ALL SELECT reply_id, 1, 'null', 'cancel' FROM r)
+SELECT reply_id, call_no, concat('{"tool_result":{"id":', id, ',"name":"', name, '","ok":', CASE WHEN reply_id % 5 <> 0 THEN 'true' ELSE 'false' END, ',"result":', CASE WHEN reply_id % 5 <> 0 THEN concat('{"reply":"', reply_id, '"}') ELSE 'null' END, '}}') AS result_json FROM c"""
+
+
 def j7_context_docs(spark, sf):
     """A tick for each customer: its orders are the positions and open orders, and quotes come from nations."""
     customer, orders = d.table(spark, sf, "customer"), d.table(spark, sf, "orders")
@@ -348,6 +362,7 @@ QUERIES = {
     "j4_parse_replies": (j4_parse_replies, J4),
     "j5_extract_tool_calls": (j5_extract_tool_calls, J5),
     "j6_audit_json": (j6_audit_json, J6),
+    "j6_tool_results": (j6_tool_results, J6_TOOLS),
     "j7_context_docs": (j7_context_docs, J7),
     "j8_account_map": (j8_account_map, J8),
 }

@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
+from quantspark.sources.shared import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one below the warehouse where that is unset."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared").rstrip("/")
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A Parquet folder or file as a stream; written as a pattern, since Spark takes a plain path to be a folder."""
+    """A Parquet folder or file as a stream; a file's name is written as a pattern, since Spark takes a plain path to be a folder."""
+    path = path.rstrip("/")
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
+    return reader.parquet(re.sub(r"[A-Za-z0-9](?=[^A-Za-z0-9]*$)", lambda c: f"[{c[0]}]", path, count=1))
 
 
 def in_files(rows: DataFrame, order: str, files: int = 3) -> str:

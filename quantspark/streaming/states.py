@@ -1,85 +1,194 @@
-"""Operators with state by key: status transitions with a tracking timeout, and latest quotes with a time to live."""
+"""Operators with state by key: status transitions with a tracking timeout, latest quotes with a time to live, and the order of bars."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quantspark.operators.audit import TERMINAL
 from quantspark.streaming.run import ROCKSDB
 
-QUOTES = "symbol string, ts timestamp, bid double, ask double, last double, close double"
 
+def _micros(c: str) -> Column:
+    """Microseconds since 1970: as numbers, times do not depend on the zone of the machine that a task runs on."""
+    return F.unix_micros(F.col(c).cast("timestamp"))
 
-class _Transitions(StatefulProcessor):
-    """Remembers the last status of an order; a timer reports orders that stay open too long."""
 
-    def __init__(self, timeout_s: float | None, keys: tuple[str, ...]):
-        self.timeout_s, self.keys = timeout_s, keys
+def _milliseconds(micros: int) -> int:
+    """Rounded up, as a timer must not end before its time."""
+    return -(-micros // 1000)
 
+
+class _Processor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.last = handle, handle.getValueState("last", "status string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows)).sort_values(["ts", "id"])
-        known = self.last.exists()
-        now = [None if pd.isna(s) else s for s in batch["status"]]
-        before = [self.last.get()[0] if known else None, *now[:-1]]
-        changed = [a != b or (k == 0 and not known) for k, (a, b) in enumerate(zip(now, before, strict=True))]
-        now = now[-1]
-        self.last.update((now,))
-        if self.timeout_s is not None:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            if (now or "").strip() not in TERMINAL:
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.timeout_s * 1000))
-        out = batch[changed]
-        yield pd.DataFrame({**dict(zip(self.keys, key, strict=True)), "id": out["id"], "ts": out["ts"], "status": out["status"], "where_text": None, "message": None})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield pd.DataFrame({**{k: [v] for k, v in zip(self.keys, key, strict=True)}, "id": [-1], "ts": [pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")], "status": [self.last.get()[0]], "where_text": ["oms.track"], "message": [f"timeout_seconds={self.timeout_s}"]})
+        self.handle = handle
+
+    def timer(self, micros: int | None) -> None:
+        """Replaces the key's timer."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if micros is not None:
+            self.handle.registerTimer(_milliseconds(micros))
 
     def close(self) -> None:
         pass
 
 
-def stream_transitions(events: DataFrame, timeout_s: float | None = None, keys: tuple[str, ...] = ("order_id",)) -> DataFrame:
+class _Transitions(_Processor):
+    """Remembers the last status of an order, its time, and whether the order is open and not yet reported."""
+
+    def __init__(self, timeout_s: float | None, event_time: bool, keys: tuple[str, ...]):
+        self.timeout, self.event_time, self.keys = None if timeout_s is None else int(timeout_s * 1e6), event_time, keys
+        self.message = f"timeout_seconds={timeout_s}"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "status string, at long, open boolean")
+
+    def _row(self, key: tuple, i: int, at: int, status: str | None, late: bool = False) -> Row:
+        return Row(**dict(zip(self.keys, key, strict=True)), id=i, at=at, status=status, where_text="oms.track" if late else None, message=self.message if late else None)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        known = tuple(self.last.get()) if self.last.exists() else None
+        for at, i, status in sorted((r.at, r.id, r.status) for r in rows):
+            if self.event_time and known and known[2] and at - known[1] > self.timeout:
+                yield self._row(key, -1, known[1] + self.timeout, known[0], True)
+            if known is None or known[0] != status:
+                yield self._row(key, i, at, status)
+            known = status, at, (status or "").strip() not in TERMINAL
+        self.last.update(known)
+        if self.timeout is not None:
+            begin = known[1] if self.event_time else timerValues.getCurrentProcessingTimeInMs() * 1000
+            self.timer(begin + self.timeout if known[2] else None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        status, at, is_open = self.last.get()
+        if is_open:
+            self.last.update((status, at, False))
+            yield self._row(key, -1, at + self.timeout if self.event_time else expiredTimerInfo.getExpiryTimeInMs() * 1000, status, True)
+
+
+def stream_transitions(events: DataFrame, timeout_s: float | None = None, keys: tuple[str, ...] = ("order_id",), delay: str | None = None) -> DataFrame:
     """events(order_id, id, ts, status) -> events whose status differs from the order's last one, over all batches.
 
-    With run_id among the keys each run starts anew. Null statuses equal each other. With timeout_s, an order that is open and has had no event for so long gives a row with where_text oms.track.
+    With run_id among the keys each run starts anew. Null statuses equal each other. With timeout_s, an order that is open
+    and has had no event for longer gives a row with id -1 and where_text oms.track, once until its next event.
+
+    With delay, time is that of the events, which come at most so much out of order: the row has the time at which the
+    order ran out of it, and is there as soon as an event of any order is `delay` past that. Which rows there are then does
+    not depend on how the events are cut into batches. Without delay, time is that of the machine.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    mode = "processingTime" if timeout_s is not None else "none"
-    out = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys) + ", id long, ts timestamp, status string, where_text string, message string"
-    return events.select(*keys, "id", "ts", "status").groupBy(*keys).transformWithStateInPandas(statefulProcessor=_Transitions(timeout_s, keys), outputStructType=out, outputMode="Append", timeMode=mode)
+    by_event = timeout_s is not None and delay is not None
+    rows = events.select(*keys, "id", "ts", _micros("ts").alias("at"), "status")
+    rows = rows.withWatermark("ts", delay) if by_event else rows
+    out = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys) + ", id long, at long, status string, where_text string, message string"
+    mode = "none" if timeout_s is None else "eventTime" if by_event else "processingTime"
+    made = rows.groupBy(*keys).transformWithState(statefulProcessor=_Transitions(timeout_s, by_event, keys), outputStructType=out, outputMode="Append", timeMode=mode)
+    return made.select(*keys, "id", F.timestamp_micros("at").alias("ts"), "status", "where_text", "message")
 
 
-class _LatestQuotes(StatefulProcessor):
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
+class _LatestQuotes(_Processor):
+    """Remembers the time of the newest quote and when it was seen."""
+
+    def __init__(self, ttl_s: float | None):
+        self.ttl = None if ttl_s is None else int(ttl_s * 1e6)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", "ts timestamp", self.ttl_ms)
+        super().init(handle)
+        self.newest = handle.getValueState("newest", "at long, seen long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        known = tuple(self.newest.get()) if self.newest.exists() else None
+        if self.ttl is None:  # the newest of a batch decides, so rows are folded as they come
+            best = max(rows, key=lambda r: (r.at, r.seen))
+            if known is None or best.at > known[0]:
+                self.newest.update((best.at, best.seen))
+                yield Row(symbol=key[0], at=best.at, seen=best.seen, quote=best.quote)
+            return
+        for seen, at, quote in sorted(((r.seen, r.at, r.quote) for r in rows), key=lambda r: r[:2]):
+            if known is None or seen - known[1] > self.ttl or at > known[0]:
+                known = at, seen
+                yield Row(symbol=key[0], at=at, seen=seen, quote=quote)
+        self.newest.update(known)
+        self.timer(known[1] + self.ttl)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        self.newest.clear()
+        return iter(())
+
+
+PRICES = "struct<bid:double,ask:double,last:double,close:double>"
+
+
+def stream_latest_quotes(quotes: DataFrame, ttl_s: float | None = 1.0, delay: str = "0 seconds") -> DataFrame:
+    """quotes(symbol, ts, seen_at, bid, ask, last, close) -> symbol, ts, bid, ask, last, close, seen_at of newer quotes.
+
+    Of quotes in the order in which they were seen, one goes on if it is newer than the last that went on, or if that was
+    seen more than ttl_s before: then it is no longer known, and an older quote will do. seen_at is the time of events;
+    quotes come at most `delay` out of its order, and a symbol's state goes once it can no longer count. What goes on does
+    not depend on how quotes are cut into batches. With ttl_s None state stays for good, seen_at may be missing, and of
+    each batch the newest quote goes on if it is newer than all before.
+    """
+    quotes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    seen = "seen_at" if "seen_at" in quotes.columns else "ts"
+    rows = quotes.select("symbol", F.col(seen).alias("seen_at"), _micros("ts").alias("at"), _micros(seen).alias("seen"), F.struct("bid", "ask", "last", "close").cast(PRICES).alias("quote"))
+    rows = rows.withWatermark("seen_at", delay) if ttl_s is not None else rows
+    made = rows.groupBy("symbol").transformWithState(statefulProcessor=_LatestQuotes(ttl_s), outputStructType=f"symbol string, at long, seen long, quote {PRICES}", outputMode="Append" if ttl_s is not None else "Update", timeMode="none" if ttl_s is None else "eventTime")
+    return made.select("symbol", F.timestamp_micros("at").alias("ts"), "quote.*", F.timestamp_micros("seen").alias("seen_at"))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows)).sort_values("ts")
-        newest = batch.iloc[[-1]]
-        if not self.latest.exists() or newest["ts"].iloc[0] > pd.Timestamp(self.latest.get()[0]):
-            self.latest.update((newest["ts"].iloc[0].to_pydatetime(),))
-            yield newest.assign(symbol=key[0])[["symbol", "ts", "bid", "ask", "last", "close"]]
 
-    def close(self) -> None:
-        pass
+class _Unsorted(_Processor):
+    """Remembers the last time of a symbol's bars."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "at double")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        last = self.last.get()[0] if self.last.exists() else None
+        for i, at in sorted((r.bar_index, r.ts_epoch_s) for r in rows):
+            if last is not None and at < last:
+                yield Row(symbol=key[0], bar_index=i, code="not_sorted")
+            last = at
+        self.last.update((last,))
+
+
+class _Repeated(_Processor):
+    """Remembers the times of a symbol's bars within a stretch of time."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.times = handle.getValueState("times", "known array<double>, without boolean")
 
-def stream_latest_quotes(quotes: DataFrame, ttl_s: float | None = 1.0) -> DataFrame:
-    """quotes(symbol, ts, bid, ask, last, close) -> the newest quote of each symbol whenever a batch has a newer one.
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        known, without = (set(self.times.get()[0]), self.times.get()[1]) if self.times.exists() else (set(), False)
+        for i, at in sorted(((r.bar_index, r.ts_epoch_s) for r in rows), key=lambda r: r[0]):
+            if at in known or (at is None and without):
+                yield Row(symbol=key[0], bar_index=i, code="duplicate_timestamp")
+            if at is None:
+                without = True
+            else:
+                known.add(at)
+        self.times.update((sorted(known), without))
 
-    State lives ttl_s after its last update, or for good with None. A time to live needs processing time, with which
-    Spark's availableNow trigger goes on making empty batches; use an interval for it.
+
+ORDER = "symbol string, bar_index long, code string"
+
+
+def stream_order_issues(bars: DataFrame, stretch_s: float = 86400.0) -> DataFrame:
+    """bars(symbol, bar_index, ts_epoch_s) in order of bar_index over all batches -> symbol, bar_index, code.
+
+    not_sorted: the time is before the last one that was there. duplicate_timestamp: an earlier bar has the time; bars
+    without a time agree, times that are not numbers do not. Times are remembered by stretches of so many seconds, many
+    keys for a symbol, and what a key remembers is bounded by the times of a stretch; the last time is one number a symbol.
     """
-    quotes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return quotes.select("symbol", "ts", "bid", "ask", "last", "close").groupBy("symbol").transformWithStateInPandas(statefulProcessor=_LatestQuotes(ttl_s and int(ttl_s * 1000)), outputStructType=QUOTES, outputMode="Update", timeMode="processingTime" if ttl_s else "none")
+    bars.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = bars.select("symbol", "bar_index", F.col("ts_epoch_s").cast("double").alias("ts_epoch_s"))
+    run = lambda df, keys, what: df.groupBy(*keys).transformWithState(statefulProcessor=what, outputStructType=ORDER, outputMode="Append", timeMode="none")
+    unsorted = run(rows.filter("ts_epoch_s is not null"), ["symbol"], _Unsorted())
+    again = rows.filter("ts_epoch_s is null or not isnan(ts_epoch_s)").withColumn("stretch", F.floor(F.col("ts_epoch_s") / stretch_s))
+    return unsorted.unionByName(run(again, ["symbol", "stretch"], _Repeated()))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pytest
+from pyspark.sql import functions as F
+
 from quantspark.schemas import AUDIT, AUDIT_VERSION
-from quantspark.sources.audit import append_audit, create_audit_tables, read_audit
+from quantspark.sources import audit
+from quantspark.sources.audit import append_audit, compact_audit, create_audit_tables, current_audit_orders, drop_compacted_batches, insert_audit, latest_audit_status, read_audit
 
 
 def rows_of(spark, ids):
@@ -40,3 +44,51 @@ def test_tables_are_made_once_with_their_version(spark):
     create_audit_tables(spark, "audit_test")
     assert spark.table("audit_test.audit_errors").count() == 4
     spark.sql("DROP DATABASE audit_test CASCADE")
+
+
+def seqs(spark, path):
+    return sorted(r.seq for r in read_audit(spark, "errors", path).collect())
+
+
+def test_compaction_loses_and_doubles_nothing(spark, tmp_path, monkeypatch):
+    """Before, between and after the two steps, with retries, batches that come later and batches that come again."""
+    path = str(tmp_path)
+    assert compact_audit(spark, "errors", path) == -1
+    append_audit(rows_of(spark, range(5)), "errors", path)
+    for k in range(3):
+        append_audit(rows_of(spark, range(5 + 5 * k, 10 + 5 * k)), "errors", path, k)
+    with monkeypatch.context() as m:
+        m.setattr(audit, "_publish", lambda *a: (_ for _ in ()).throw(OSError("died")))
+        with pytest.raises(OSError, match="died"):
+            compact_audit(spark, "errors", path)
+    assert seqs(spark, path) == list(range(20))  # the folder is written, and nothing names it
+    before = read_audit(spark, "errors", path)
+    assert compact_audit(spark, "errors", path) == 2 and seqs(spark, path) == list(range(20))
+    assert sorted(r.seq for r in before.collect()) == list(range(20))  # a reader that had begun
+    append_audit(rows_of(spark, range(5, 10)), "errors", path, 0)  # comes again
+    append_audit(rows_of(spark, range(20, 22)), "errors", path, 3)
+    assert seqs(spark, path) == list(range(22))
+    drop_compacted_batches(spark, "errors", path)
+    assert [p.name for p in (tmp_path / "errors_batches").glob("batch=*")] == ["batch=3"] and seqs(spark, path) == list(range(22))
+    assert compact_audit(spark, "errors", path) == 3 and compact_audit(spark, "errors", path) == 3
+    drop_compacted_batches(spark, "errors", path)
+    assert seqs(spark, path) == list(range(22))
+    run1 = read_audit(spark, "errors", path).filter("run_id = 'run1'")
+    assert sorted(r.seq for r in run1.collect()) == [k for k in range(22) if k % 3 == 1 and k % 4]
+    assert "PartitionFilters: [isnotnull(run_id" in run1._jdf.queryExecution().toString()
+
+
+def test_orders_are_looked_up_without_a_shuffle(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS bucket_test")
+    create_audit_tables(spark, "bucket_test", 4)
+    cols = lambda name: {f: F.lit(None) for f in spark.table(f"bucket_test.audit_{name}").columns}
+    orders = spark.range(40).select(*[c.alias(n) for n, c in (cols("orders") | {"order_id": F.concat(F.lit("o"), "id"), "seq": F.col("id"), "run_id": F.expr("concat('r', id % 3)"), "status": F.lit("Submitted")}).items()])
+    events = spark.range(60).select(*[c.alias(n) for n, c in (cols("order_status_events") | {"order_id": F.expr("concat('o', id % 20)"), "seq": F.col("id"), "run_id": F.expr("concat('r', id % 2)"), "ts_epoch_s": F.col("id").cast("double"), "status": F.expr("concat('s', id)")}).items()])
+    insert_audit(orders, "orders", "bucket_test", 4)
+    insert_audit(events.filter("seq < 30"), "order_status_events", "bucket_test", 4)
+    insert_audit(events.filter("seq >= 30"), "order_status_events", "bucket_test", 4)
+    for df in (latest_audit_status(spark, "bucket_test"), current_audit_orders(spark, "bucket_test")):
+        df.collect()
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r.order_id: r.status for r in current_audit_orders(spark, "bucket_test").collect()} == {f"o{k}": f"s{k + 40}" if k < 20 else "Submitted" for k in range(40)}
+    spark.sql("DROP DATABASE bucket_test CASCADE")

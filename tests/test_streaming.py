@@ -1,15 +1,20 @@
 from __future__ import annotations
 
+import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quantspark.operators.audit import status_transitions
+from quantspark.operators.audit import TERMINAL, status_transitions
 from quantspark.operators.risk import evaluate_risk
+from quantspark.operators.validate import validate_bars
 from quantspark.schemas import AUDIT
-from quantspark.streaming.bars import stream_evaluate
+from quantspark.sources.audit import read_audit
+from quantspark.streaming.bars import FEED, stream_evaluate, stream_trade, stream_validate_bars
 from quantspark.streaming.run import in_files, read_stream, run_available
-from quantspark.streaming.states import stream_transitions
+from quantspark.streaming.states import stream_latest_quotes, stream_transitions
 
 SCHEMA = "id long, order_id string, ts timestamp, status string"
 
@@ -72,3 +77,82 @@ def test_session_start_holds_over_batches(spark, tmp_path):
     want = evaluate_risk(rows).select("seq", "reason").collect()
     assert any(r.reason and "circuit breaker" in r.reason for r in want)
     assert sorted((r.seq, str(r.reason)) for r in got.collect()) == sorted((r.seq, str(r.reason)) for r in want)
+
+
+@pytest.mark.parametrize("cut", [1, 2, 5])
+def test_timeouts_by_event_time(spark, cut):
+    """Gaps within a batch, over batches and at the end give the same rows, however the events are cut."""
+    rng = random.Random(1)
+    rows, at = [], 0
+    for k in range(120):
+        at += rng.choice([1, 3, 20])
+        rows.append((k, f"o{rng.randrange(6)}", at, rng.choice(["Submitted", "PreSubmitted", "Filled", None, " Cancelled "])))
+    events = spark.createDataFrame(rows, "id long, order_id string, s long, status string").withColumn("ts", F.timestamp_seconds("s"))
+    got = run_available(stream_transitions(read_stream(spark, in_files(events, "id", cut), 1), 30.0, delay="2 seconds"), "timeouts").collect()
+    want, end = [], rows[-1][2] - 2
+    for o in {r[1] for r in rows}:
+        own = [r for r in rows if r[1] == o]
+        for r, after in zip(own, [*own[1:], None], strict=True):
+            if (r[3] or "").strip() not in TERMINAL and (after[2] if after else end) > r[2] + 30:
+                want.append((o, r[2] + 30, r[3], "timeout_seconds=30.0"))
+    found = [(r.order_id, r.ts, r.status, r.message) for r in got if r.where_text == "oms.track"]
+    assert len(want) > 5
+    key = lambda r: str((r[0], r[1], r[2], r[3]))
+    seconds = spark.createDataFrame(found, "order_id string, ts timestamp, status string, message string").select("order_id", F.unix_seconds("ts"), "status", "message").collect()
+    assert sorted(map(key, map(tuple, seconds))) == sorted(map(key, want))
+    assert sorted(r.id for r in got if r.where_text is None) == sorted(r.id for r in status_transitions(events).collect())
+
+
+@pytest.mark.parametrize("cut", [1, 4])
+def test_older_quotes_go_on_after_expiry(spark, cut):
+    rows = [("A", 0, 0), ("A", 5, -3), ("A", 9, 1), ("B", 12, 12), ("A", 19, 0), ("A", 20, 0), ("A", 31, -50), ("B", 33, 11), ("A", 35, -49), ("A", 36, -60), ("B", 90, 90)]
+    quotes = spark.createDataFrame([(s, 1000 + seen, 1000 + t) for s, seen, t in rows], "symbol string, seen long, t long").select("symbol", F.timestamp_seconds("seen").alias("seen_at"), F.timestamp_seconds("t").alias("ts"), *[F.col("t").cast("double").alias(c) for c in ("bid", "ask", "last", "close")])
+    got = run_available(stream_latest_quotes(read_stream(spark, in_files(quotes, "seen_at", cut), 1), 10.0), "quotes")
+    # A at 19 is within ten seconds of 9 and not newer; at 20 the one of 9 has gone; at 31 that of 20 has, at 35 a newer one comes
+    assert sorted(tuple(r) for r in got.select("symbol", F.unix_seconds("seen_at") - 1000, F.unix_seconds("ts") - 1000).collect()) == [("A", 0, 0), ("A", 9, 1), ("A", 20, 0), ("A", 31, -50), ("A", 35, -49), ("B", 12, 12), ("B", 33, 11), ("B", 90, 90)]
+
+
+def test_latest_quotes_without_expiry(spark):
+    rows = [("A", t, float(k)) for k, t in enumerate([5, 3, 9, 9, 2, 11])] + [("B", 1, 0.0)]
+    quotes = spark.createDataFrame(rows, "symbol string, t long, last double").select("symbol", F.timestamp_seconds("t").alias("ts"), *[F.col("last").alias(c) for c in ("bid", "ask", "last", "close")])
+    out = stream_latest_quotes(quotes.transform(lambda q: read_stream(spark, in_files(q, "last", 3), 1)), None)
+    query = out.writeStream.outputMode("update").format("memory").queryName("latest_quotes").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {r.symbol: r.t for r in spark.table("latest_quotes").groupBy("symbol").agg(F.max(F.unix_seconds("ts")).alias("t")).collect()} == {"A": 11, "B": 1}
+
+
+@pytest.mark.parametrize("cut", [1, 3])
+def test_issues_of_bars_over_batches(spark, cut):
+    rng = random.Random(8)
+    price = lambda: rng.choice([None, float("nan"), -1.0, 1.0, 2.0, 3.0])
+    rows = [(rng.choice("AB"), k, rng.choice([None, float("nan"), float(k), float(k - 7), 4.0, -3.0]), price(), price(), price(), price()) for k in range(90)]
+    bars = spark.createDataFrame(rows, "symbol string, bar_index long, ts_epoch_s double, open double, high double, low double, close double")
+    got = run_available(stream_validate_bars(read_stream(spark, in_files(bars, "bar_index", cut), 1), 5.0), "issues")
+    want = validate_bars(bars)
+    assert want.filter("code = 'not_sorted'").count() and want.filter("code = 'duplicate_timestamp'").count()
+    assert sorted(map(tuple, got.select("symbol", "bar_index", "code", "message").collect())) == sorted(map(tuple, want.select("symbol", "bar_index", "code", "message").collect()))
+
+
+def feed_of(spark, rows):
+    names = StructType.fromDDL(FEED).names
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], FEED.replace("ts timestamp", "ts long")).withColumn("ts", F.timestamp_seconds("ts"))
+
+
+@pytest.mark.parametrize("cut", [1, 3, 6])
+def test_trade_from_feeds(spark, tmp_path, cut):
+    """Positions add up, quotes age, account values hold, and counts of quotes go on, however the feed is cut."""
+    intent = lambda t, q, side="BUY", symbol="A": {"what": "intent", "ts": t, "seq": t, "run_id": "r", "account": "x", "kind": "STK", "symbol": symbol, "side": side, "quantity": q}
+    quote = lambda t, px, symbol="A": {"what": "quote", "ts": t, "seq": t, "run_id": "q", "account": "x", "kind": "STK", "symbol": symbol, "last": px}
+    account = lambda t, net: {"what": "account", "ts": t, "seq": t, "account": "x", "net_liquidation": net, "gross_position_value": 0.0, "maint_margin_req": 0.0}
+    move = lambda t, q, symbol="A": {"what": "position", "ts": t, "seq": t, "kind": "STK", "symbol": symbol, "quantity": q}
+    rows = [
+        intent(1, 1.0), account(2, 9000.0), quote(3, 10.0), intent(4, 1.0), intent(5, 3.0, "SELL"), move(6, 2.0), move(7, 2.0), intent(8, 3.0, "SELL"), move(9, 495.0), intent(10, 2.0), quote(11, 11.0), intent(12, 1.0, symbol="B"), quote(13, 0.0, "B"),
+        intent(20, 1.0), intent(25, 1.0), account(26, 7999.0), quote(27, 10.0), intent(28, 1.0), move(29, -400.0), intent(30, 1.0), account(31, 8001.0), intent(32, 1.0), quote(33, 10.0), quote(34, 10.0),
+    ]
+    path = str(tmp_path / "audit")
+    stream_trade(read_stream(spark, in_files(feed_of(spark, rows), "ts", cut), 1), path, str(tmp_path / "cp"), ttl_s=10.0, every_n=2).awaitTermination()
+    got = {(r.strategy, r.seq): r.reason for r in read_audit(spark, "decisions", path).collect()}
+    short, large, none, loss = "order would create a short position (allow_short=false)", "resulting position exceeds max_abs_position_per_symbol", "no usable price", "max_daily_loss exceeded (circuit breaker)"
+    # 499 are held from 9 to 29, so that one more is allowed; the quote of 11 is too old at 25
+    want = {1: none, 4: None, 5: short, 8: None, 10: large, 12: none, 20: None, 25: none, 28: loss, 30: loss, 32: None}
+    assert got == {("feed", k): v for k, v in want.items()} | {("every_n", 11): None, ("every_n", 33): None}

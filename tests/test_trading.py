@@ -9,7 +9,9 @@ from quantspark.operators.decisions import enforce_limits, extract_tool_calls, p
 from quantspark.operators.fills import match_fills
 from quantspark.operators.ledger import average_cost, backtest_summary, ledger_totals
 from quantspark.operators.validate import validate_bars
-from quantspark.sources.bars import merge_backfill, read_bars, require_columns, write_bars
+from quantspark.functions.text import parse_duration, parse_end
+from quantspark.plans.backtest import pandas_signal, run_backtests
+from quantspark.sources.bars import merge_backfill, read_bar_store, read_bars, require_columns, write_bar_store, write_bars
 
 #: Bars whose fills are known.
 BARS = [(0, 100.0, 105.0, 95.0, 102.0), (1, 102.0, 106.0, 101.0, 104.0), (2, 104.0, 110.0, 103.0, 109.0)]
@@ -152,3 +154,67 @@ def test_replies_and_calls(spark):
     content = '{"parts":[{"text":"hi "},{"functionCall":{"name":"place_order","args":{"order":{}}}},{"text":"there"}]}'
     got = extract_tool_calls(spark.createDataFrame([(1, content)], "content_id long, content string")).first()
     assert (got.text, got["name"], got.args) == ("hi there", "place_order", '{"order":{}}')
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [(None, "2024-05-06 07:08:09"), (" ", "2024-05-06 07:08:09"), ("0", "1970-01-01 00:00:00"), ("1.5e9", "2017-07-14 02:40:00"), ("2024-01-02T03:04:05Z", "2024-01-02 03:04:05"), ("2024-01-02T03:04:05+01:00", "2024-01-02 02:04:05"), ("20240102 03:04:05", "2024-01-02 03:04:05"), ("20240102-03:04:05", "2024-01-02 03:04:05"), ("soon", None), ("1e300", None), ("NaN", None)],
+)
+def test_ends_of_history(spark, text, want):
+    df = spark.createDataFrame([(text,)], "t string").select(parse_end(F.col("t"), F.lit("2024-05-06 07:08:09").cast("timestamp")).cast("string"))
+    assert df.first()[0] == want
+
+
+@pytest.mark.parametrize(("text", "want"), [("30 D", "2024-03-01"), (" 1 w", "2024-03-24"), ("86400 S", "2024-03-30"), ("1M", "2024-02-29"), ("1 Y", "2023-03-31"), ("5 X", None), ("D", None), ("", None), (None, None), ("-1 D", None)])
+def test_durations(spark, text, want):
+    df = spark.createDataFrame([(text,)], "t string").select((F.lit("2024-03-31 00:00:00").cast("timestamp") - parse_duration(F.col("t"))).cast("date").cast("string"))
+    assert df.first()[0] == want
+
+
+def test_bar_store_reads_only_its_folders(spark, tmp_path):
+    bars = spark.range(0, 240).selectExpr("concat('S', id % 5) AS symbol", "timestamp_seconds(id * 7200) AS ts", "CAST(id AS DOUBLE) AS close")
+    write_bar_store(bars, str(tmp_path / "store"), 8)
+    got = read_bar_store(spark, str(tmp_path / "store"), "1970-01-10T00:00:00Z", "2 D", ["S1", "S3"], buckets=8)
+    want = bars.filter("symbol IN ('S1', 'S3') AND ts > timestamp'1970-01-08 00:00:00' AND ts <= timestamp'1970-01-10 00:00:00'")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.columns == bars.columns
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    scan = [x for x in plan.split("\n") if "FileScan" in x][0]
+    assert "day#" in scan.split("PartitionFilters")[1] and "symbol_bucket#" in scan.split("PartitionFilters")[1]
+    again = read_bar_store(spark, str(tmp_path / "store"), "1970-01-10T00:00:00Z", "2 D", ["S1", "S3"], buckets=8)
+    for f in (tmp_path / "store").rglob("*.parquet"):  # files outside of the range are not opened
+        if not any(f"day=1970-01-{d:02d}" in str(f) for d in (8, 9, 10)):
+            f.write_bytes(b"broken")
+            f.with_name(f".{f.name}.crc").unlink()
+    assert len(again.collect()) == want.count()
+    with pytest.raises(ValueError, match="no history range"):
+        read_bar_store(spark, str(tmp_path / "store"), "soon", "2 D")
+
+
+def mean_crossing():
+    """A strategy that buys at closes above the mean of the five before; made here, so that it goes to tasks by value."""
+
+    def decide(bars):
+        import pandas as pd
+
+        hit = bars[bars["close"] > bars["close"].rolling(5).mean().shift(1)]
+        return pd.DataFrame({"symbol": hit["symbol"], "order_key": hit["bar_seq"], "submit_seq": hit["bar_seq"] + 1, "side": "BUY", "quantity": 1.0, "order_type": "MKT", "limit_price": None, "stop_price": None})
+
+    return decide
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 7, 50, 1000])
+def test_chunked_strategies_equal_whole_ones(spark, chunk):
+    rng = random.Random(6)
+    rows = [(s, k, 0.0, 0.0, 0.0, round(rng.uniform(90, 110), 2)) for s in "AB" for k in range(60)]
+    bars = spark.createDataFrame(rows, "symbol string, bar_seq long, open double, high double, low double, close double").repartition(5)
+    key = lambda df: sorted((r.symbol, r.order_key, r.submit_seq) for r in df.collect())
+    whole = key(pandas_signal(mean_crossing())(bars))
+    assert whole and key(pandas_signal(mean_crossing(), chunk, 5)(bars)) == whole
+
+
+def test_runs_as_a_table(spark):
+    runs = spark.createDataFrame([("a", 1000.0, 0.0, 0.0), ("b", 0.0, 10.0, 2.0), ("c", None, -5.0, None)], "run_id string, initial_cash double, slippage_bps double, commission double")
+    signal = lambda bars: bars.filter("bar_seq = 1").selectExpr("symbol", "bar_seq AS order_key", "bar_seq AS submit_seq", "'BUY' AS side", "2.0D AS quantity", "'MKT' AS order_type", "CAST(NULL AS DOUBLE) AS limit_price", "CAST(NULL AS DOUBLE) AS stop_price")
+    got = {r.run_id: (r.start_equity, round(r.end_equity, 6), round(r.return_pct, 6)) for r in run_backtests(bars_of(spark), signal, runs).collect()}
+    assert got == {"a": (1000.0, 1014.0, 1.4), "b": (0.0, round(14 - 204 * 0.001 - 2, 6), 0.0), "c": (100000.0, 100014.0, 0.014)}
+    assert {r.run_id: r.end_equity for r in run_backtests(bars_of(spark), signal, [("x", 0.0, 1.0)], 500.0).collect()} == {"x": 513.0}
