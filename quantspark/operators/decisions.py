@@ -105,9 +105,12 @@ def _verdict(n: Column, broken: Column, max_orders: int) -> Column:
 
 def limit_responses(responses: DataFrame, kinds: list[str], symbols: list[str], max_orders: int, max_quantity: float) -> DataFrame:
     """enforce_limits() of parse_decisions(), for responses(resp_id, raw): judged row by row, without taking them apart."""
-    sound = _responses(responses).filter("response_error is null").select("resp_id", F.size("decisions").cast("long").alias("n_decisions"), F.transform("decisions", lambda x: _broken_limit(lambda c: x[c], kinds, symbols, max_quantity)).alias("broken"))
-    first = F.get(F.filter("broken", lambda e: e.isNotNull()), F.lit(0))
-    return sound.select("resp_id", "n_decisions", _verdict(F.col("n_decisions"), first, max_orders).alias("verdict"))
+    broken = F.transform("decisions", lambda x: _broken_limit(lambda c: x[c], kinds, symbols, max_quantity))
+    n, first = F.size("decisions").cast("long"), F.get(F.filter("broken", lambda e: e.isNotNull()), F.lit(0))
+    judged = _responses(responses).select("resp_id", "response_error", n.alias("n_decisions"), broken.alias("broken"))
+    # a filter does not go below explode(), so responses are parsed for it once and not twice
+    rows = judged.select(F.explode(F.array(F.struct("resp_id", "n_decisions", _verdict(F.col("n_decisions"), first, max_orders).alias("verdict"), "response_error"))).alias("r"))
+    return rows.filter("r.response_error is null").select("r.resp_id", "r.n_decisions", "r.verdict")
 
 
 def enforce_limits(decisions: DataFrame, kinds: list[str], symbols: list[str], max_orders: int, max_quantity: float) -> DataFrame:

@@ -10,8 +10,8 @@ from quantspark.functions.quotes import apply_slippage
 from quantspark.operators.scan import BUCKET, blocks, prefix_scan
 from quantspark.sources.shared import written
 
-#: Bars, or blocks of them, that a block of the next level summarises, and levels of blocks.
-BLOCK, LEVELS = 64, 3
+#: Bars, or blocks of them, that a block of the next level summarises.
+BLOCK = 32
 
 
 def align_ticks(bars: DataFrame) -> DataFrame:
@@ -53,46 +53,52 @@ def match_fills(orders: DataFrame, bars: DataFrame, slippage_bps: float = 0.0, c
     high. An order is held against what follows it within its own block, then within the block above and so on, and
     then goes down to the bar, so it meets `block` entries a level and way, however long it waits and however many bars
     there are. For limit and stop orders the first block that fits holds the fill; for stop-limit orders the test is
-    necessary only, and all blocks that fit are followed. Waiting orders and bars are written once, as every level reads them.
+    necessary only, and all blocks that fit are followed. Orders and bars are written once, as every level reads them.
     """
-    bars = bars.select("symbol", "bar_seq", F.col("ts").alias("fill_ts"), "open", "high", "low")
     kind = F.col("order_type")
     cols = orders.columns
+    orders = written(orders, "orders")
+    bars = written(bars.select("symbol", "bar_seq", F.col("ts").alias("fill_ts"), "open", "high", "low"), "bars")
     at_open = bars.select("symbol", F.col("bar_seq").alias("submit_seq"), "fill_ts", F.col("open").alias("price"))
     filled = orders.filter(kind == "MKT").join(at_open, ["symbol", "submit_seq"]).select(*cols, F.col("submit_seq").alias("bar_seq"), "fill_ts", "price")
-    waiting = written(orders.filter(kind != "MKT"), "waiting")
+    waiting = orders.filter(kind != "MKT")
     if not waiting.isEmpty():
-        bars = written(bars, "bars")
         price = F.when(kind == "STP", F.col("stop_price")).otherwise(F.col("limit_price"))
         touched = waiting.join(_first_touch(waiting, bars, block), "order_key").join(bars.select("symbol", "bar_seq", "fill_ts"), ["symbol", "bar_seq"])
         filled = filled.unionByName(touched.select(*cols, "bar_seq", "fill_ts", price.alias("price")))
     return filled.withColumn("fill_price", apply_slippage(F.col("price"), F.col("side"), F.lit(float(slippage_bps)))).withColumn("commission", F.lit(float(commission)))
 
 
-#: Parts that the orders of one block of each level are dealt to, each with the block's entries: the higher, the more orders ask for one block.
-SALTS = (1, 16, 64, 64)
+#: Parts that the orders of one block are dealt to, each with the block's entries, on the top level and below it: the higher, the more orders ask for one block.
+SALTS = (64, 16, 1)
 
 
 def _first_touch(waiting: DataFrame, bars: DataFrame, block: int) -> DataFrame:
-    """order_key, bar_seq: the first bar from submit_seq on that touches the order."""
-    above = lambda c, k: F.floor(c / block) if k < LEVELS else F.lit(0).cast("long")
+    """order_key, bar_seq: the first bar from submit_seq on that touches the order. There are as many levels as the longest history needs."""
+    longest = bars.agg(F.max("bar_seq")).first()[0] or 0
+    top = 0
+    while block ** (top + 1) <= longest:
+        top += 1
+    salt_of = lambda k: SALTS[min(top - k, len(SALTS) - 1)] if k else 1
+    above = lambda c, k: F.floor(c / block) if k < top else F.lit(0).cast("long")
     own = ["order_key", "symbol", "order_type", "buy", "limit_price", "stop_price"]
     fits = _fits(F.col("order_type"), F.col("buy"), F.col("limit_price"), F.col("stop_price"), F.col("low"), F.col("high"))
     asked = waiting.withColumn("buy", F.upper("side") == "BUY").select(*own, "submit_seq")
-    salted = lambda df, k: df.withColumn("salt", F.pmod(F.xxhash64("order_key"), F.lit(SALTS[k])))
+    salted = lambda df, k: df.withColumn("salt", F.pmod(F.xxhash64("order_key"), F.lit(salt_of(k))))
     # where a block that fits holds the fill, only the first one is followed
     follow = lambda df: df.groupBy(*own, F.when(F.col("order_type") == "STPLMT", F.col("node")).alias("which")).agg(F.min("node").alias("node")).drop("which")
     levels = [bars.select("symbol", F.col("bar_seq").alias("node"), number(F.col("low")).alias("low"), number(F.col("high")).alias("high"))]
-    for _ in range(LEVELS):
+    for _ in range(top):
         levels.append(levels[-1].groupBy("symbol", F.floor(F.col("node") / block).alias("node")).agg(F.min("low").alias("low"), F.max("high").alias("high")))
-    met = None
-    for k in range(LEVELS, -1, -1):
-        here = levels[k].withColumns({"above": above(F.col("node"), k), "salt": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS[k] - 1).cast("long")))})
+    met = found = None
+    for k in range(top, -1, -1):
+        here = levels[k].withColumns({"above": above(F.col("node"), k), "salt": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt_of(k) - 1).cast("long")))})
         at = F.floor(F.col("submit_seq") / block**k)
         later = F.col("node") >= F.col("at") if k == 0 else F.col("node") > F.col("at")
         found = salted(asked.select(*own, at.alias("at"), above(at, k).alias("above")), k).join(here, ["symbol", "above", "salt"]).filter(later & fits).select(*own, "node")
         if met is not None:
             below = salted(met.withColumnRenamed("node", "above"), k).join(here, ["symbol", "above", "salt"]).filter(fits).select(*own, "node")
             found = found.unionByName(below)
-        met = follow(found)
-    return met.groupBy("order_key").agg(F.min("node").alias("bar_seq"))
+        if k:
+            met = follow(found)
+    return found.groupBy("order_key").agg(F.min("node").alias("bar_seq"))  # a bar that fits is a fill, so the first one is
