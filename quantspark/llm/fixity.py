@@ -34,10 +34,13 @@ def record_digests(records: DataFrame) -> DataFrame:
     Lengths and SHA-256 digests are taken where records are read; no record is shuffled. offset is the byte at which a
     record starts in its file, where records are ordered by id (null last) and digest. Sums by id and the start of the
     digest come first, then sums within such a bucket, and records that are equal are numbered in chunks, so that an id
-    that very many records share spreads over many tasks. Further columns are kept as they are.
+    that very many records share spreads over many tasks. Further columns are kept as they are, whatever their names, but
+    for those that have the names of the manifest's own.
     """
-    more = [c for c in records.columns if c not in ("file", "page_id", "record")]
-    light = records.select("file", "page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"), *more)
+    own = ("file", "offset", "length", "page_id", "digest")
+    kept = [c for c in records.columns if c not in (*own, "record")]
+    more = ["more"] if kept else []
+    light = records.select("file", "page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"), *([F.struct(*[records[c] for c in kept]).alias("more")] if kept else []))
     bucket = ["file", "page_id", "bucket"]
     before = lambda w: F.coalesce(F.sum("bytes").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     kinds = light.groupBy(*light.columns).agg(F.count("*").alias("copies"))
@@ -48,7 +51,7 @@ def record_digests(records: DataFrame) -> DataFrame:
     placed = kinds.alias("k").join(starts.select(*bucket, "start").alias("s"), same).select("k.*", "start")
     placed = copied(placed, "copies", "nth", ["file", "page_id", "digest"])
     offset = F.col("start") + F.col("within") + F.col("nth") * F.col("length")
-    return placed.select("file", offset.cast("long").alias("offset"), "length", "page_id", "digest", *more)
+    return placed.select("file", offset.cast("long").alias("offset"), "length", "page_id", "digest", *[F.col("more")[c].alias(c) for c in kept])
 
 
 def _hash_children(order: str, *parts: Column | str) -> Column:

@@ -15,6 +15,10 @@ from .components import connected_components, forest
 
 #: Pivots (one cell each) for so many distinct vectors, and the most pivots of one length, which are all the vectors on the driver.
 CELL, MOST_PIVOTS = 16384, 1024
+#: Vectors of one length from which on they have pivots, and so many pivots at least.
+FEW, LEAST_PIVOTS = 64, 4
+#: Lengths that have pivots, at most; each takes a small job. Vectors of further lengths are compared in blocks of one cell.
+MOST_LENGTHS = 64
 #: Home vectors and cell members that one task compares at a time, in bytes of single precision.
 HOME_BYTES, MEMBER_BYTES = 4 << 20, 16 << 20
 STRIP = 512
@@ -96,7 +100,7 @@ def _compare(least: float):
 
 
 def _pivots(classes: DataFrame, dim: int, n: int) -> np.ndarray:
-    sample = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("embedding"), "cid").limit(min(MOST_PIVOTS, -(-n // CELL))).select("embedding").collect()
+    sample = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("embedding"), "cid").limit(min(MOST_PIVOTS, max(LEAST_PIVOTS, -(-n // CELL)))).select("embedding").collect()
     return _unit(np.array([r[0] for r in sample], dtype=np.float64))
 
 
@@ -121,8 +125,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     sound = F.coalesce(F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0), F.lit(False))
     grouped = rows.filter(sound).groupBy("embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least_id"))
     classes = written(grouped.select(F.monotonically_increasing_id().alias("cid"), "copies", "least_id", "embedding", F.size("embedding").alias("dim")), "vector-classes")
-    # only lengths of more than CELL vectors, of which there are few, have pivots; the vectors of any other are one cell
-    large = classes.groupBy("dim").count().filter(F.col("count") > CELL).collect()
+    # the most usual lengths of more than FEW vectors have pivots; the vectors of any other length are one cell
+    large = classes.groupBy("dim").count().filter(F.col("count") > FEW).orderBy(F.desc("count"), "dim").limit(MOST_LENGTHS).collect()
     pivots = {dim: _pivots(classes, dim, n) for dim, n in large}
     placed = written(_cells(classes, pivots, math.sqrt(2 - 2 * least)), "vector-cells")
     homes = placed.groupBy("dim", F.col("home").alias("cell")).agg(F.count("*").alias("n_home"))
