@@ -17,8 +17,10 @@ from .common import packed_rows, partitions, table
 
 #: Words of a window.
 WINDOW = 20
-#: Bytes of text in a block of documents, which one call of Python holds; as many blocks as ranges of hashes.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text in a block of documents, which one call of Python holds with all its words.
+BLOCK_BYTES = 4 << 20
+#: Bytes of text for one range of hashes; a call holds some twenty bytes for each of its windows.
+RANGE_BYTES = 16 << 20
 #: Odd bases of the two rolling hashes, and the id that rows without one are ordered by.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 LAST = np.iinfo(np.int64).max
@@ -183,9 +185,9 @@ def _removed(docs: DataFrame, window: int, block_bytes: int) -> DataFrame:
     of texts serves both passes over them.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(partitions(docs.sparkSession), -(-total // block_bytes))
+    n, ranges = (max(partitions(docs.sparkSession), -(-total // size)) for size in (block_bytes, RANGE_BYTES))
     rows = packed_rows(docs, "doc_id", "text").select("doc", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("block"))
-    sent = rows.groupBy("block").applyInArrow(_send(n, window), SENT)
+    sent = rows.groupBy("block").applyInArrow(_send(ranges, window), SENT)
     found = sent.groupBy("bucket").applyInArrow(_decide, FOUND)
     out = StructType([rows.schema["doc"], *StructType.fromDDL(f"n_words long, n_removed long, spans {SPANS}, kept string")])
     return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_apply(window), out)
