@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from quantspark.schemas import AUDIT, AUDIT_VERSION
 from quantspark.sources import audit
 from quantspark.sources.audit import append_audit, compact_audit, create_audit_tables, current_audit_orders, drop_compacted_batches, insert_audit, latest_audit_status, read_audit
+from quantspark.sources.shared import shared_dir
 
 
 def rows_of(spark, ids):
@@ -92,3 +95,12 @@ def test_orders_are_looked_up_without_a_shuffle(spark):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
     assert {r.order_id: r.status for r in current_audit_orders(spark, "bucket_test").collect()} == {f"o{k}": f"s{k + 40}" if k < 20 else "Submitted" for k in range(40)}
     spark.sql("DROP DATABASE bucket_test CASCADE")
+
+
+def test_shared_folder_of_a_cluster():
+    """A warehouse in a folder of the driver's machine is no place for tables that executors read, unless it is named as such."""
+    session = lambda master, named, warehouse: SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: {"spark.checkpoint.dir": named}), conf={"spark.sql.warehouse.dir": warehouse})
+    assert shared_dir(session("yarn", "hdfs://x/y/", "file:/w")) == "hdfs://x/y"
+    assert shared_dir(session("local[8]", None, "file:/w")) == "file:/w/_shared" and shared_dir(session("yarn", None, "hdfs://x/w")) == "hdfs://x/w/_shared"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session("yarn", None, "file:/w"))
