@@ -61,7 +61,7 @@ def _scan(rows: DataFrame, level: int, levels: int, order: list[str], values: di
     run = lambda name: KINDS[values[name][0]][0](values[name][1]).over(frame)
     out = rows.withColumns({**{f"_own_{n}": run(n) for n in values}, **{n: c(w) for n, c in local.items()}})
     if level + 1 == levels:
-        return out.withColumnsRenamed({f"_own_{n}": n for n in values}) if not set(values) & set(rows.columns) else out.drop(*values).withColumnsRenamed({f"_own_{n}": n for n in values})
+        return out.drop(*values).withColumnsRenamed({f"_own_{n}": n for n in values})
     folds = rows.groupBy(*[f"_k{i}" for i in range(level, levels)]).agg(*[_fold(kind, c, order).alias(n) for n, (kind, c) in values.items()])
     before = _scan(folds, level + 1, levels, [f"_k{level}"], {n: (kind, F.col(n)) for n, (kind, _) in values.items()}, True, {})
     before = before.select(F.col(f"_k{level}").alias("_k"), *[F.col(n).alias(f"_before_{n}") for n in values])
