@@ -13,8 +13,11 @@ from .common import table, uniform, written
 
 #: Documents in a range of ids that one window task orders, on average.
 RANGE_DOCS = 2048
-#: Ranges at most, and sampled rows for each of them; their ids and hashes are all that the driver gets.
-MOST_RANGES, SAMPLED = 4096, 32
+#: Stretches of the order at most whose bounds are sampled, and sampled rows for each of them; their ids and hashes are all
+#: that the driver gets. A stretch is cut evenly into as many ranges as it needs, so their number has no bound.
+STRETCHES, SAMPLED = 4096, 32
+#: Ranges whose neighbours one window task finds.
+NEIGHBOURS = 4096
 #: Digests (32 characters each) up to which the list of repeated ones is broadcast; beyond it, a shuffled join does the same.
 BROADCAST_KEYS = 1 << 19
 
@@ -32,29 +35,53 @@ def wide_hash(c: Column) -> Column:
     return F.concat(h(c), h(F.lit("wide"), c))
 
 
+def _within(place: dict[str, Column], lo: Column, hi: Column, parts: int, key: str) -> Column:
+    """Which of the `parts` ranges of the stretch from lo to hi a place is in: by the first column in which the two differ, evenly."""
+    own = F.struct(*[c.alias(name) for name, c in place.items()])
+    number = lambda c: c.try_cast("double")
+    share = F.lit(0.0)
+    for name in ("row", "tie", key):
+        low, high = number(lo[name]), number(hi[name])
+        share = F.when(low < high, (number(place[name]) - low) / (high - low)).otherwise(share)
+    share = F.when(lo["no_id"] != hi["no_id"], place["no_id"].cast("double")).otherwise(share)
+    inside = F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor(F.coalesce(share, F.lit(0.0)) * parts)))
+    return F.when(own < lo, 0).when(own >= hi, parts - 1).otherwise(inside)
+
+
 def _range(placed: DataFrame, key: str) -> Column:
     """The number of the range that the row's place (no_id, key, tie, row) falls in; ranges hold about as many rows each.
 
-    Bounds come from a sample by hash, and a row finds its range among them in two steps. As a place says which text and
-    which row it is besides the key, a key that very many rows share takes many ranges.
+    Bounds of stretches come from a sample by hash, and a row finds its stretch among them in two steps; a stretch of more
+    than RANGE_DOCS rows is cut evenly between its bounds. As a place says which text and which row it is besides the
+    key, a key that very many rows share takes many ranges.
     """
     n = placed.count()
-    ranges = min(MOST_RANGES, math.ceil(n / RANGE_DOCS))
+    ranges = math.ceil(n / RANGE_DOCS)
+    stretches = min(STRETCHES, ranges)
     if ranges < 2:
-        return F.lit(0)
-    place = F.struct("no_id", key, "tie", "row")
-    some = placed.filter(uniform(F.lit("bounds"), key, "tie", "row") < min(1.0, ranges * SAMPLED / n)).select("no_id", key, "tie", "row")
-    found = [tuple(r) for r in some.orderBy("no_id", key, "tie", "row").collect()]
-    bounds = [found[len(found) * k // ranges] for k in range(1, ranges)] if found else []
-    if not bounds:
-        return F.lit(0)
-    step = math.isqrt(len(bounds)) + 1
-    named = [dict(zip(("no_id", key, "tie", "row"), b, strict=True)) for b in bounds]
+        return F.lit(0).cast("long")
+    names = ("no_id", key, "tie", "row")
+    place = F.struct(*names)
+    some = placed.filter(uniform(F.lit("bounds"), key, "tie", "row") < min(1.0, stretches * SAMPLED / n)).select(*names)
+    found = [dict(zip(names, r, strict=True)) for r in some.orderBy(*names).collect()]
+    if not found:
+        return F.lit(0).cast("long")
+    bounds = [found[len(found) * k // stretches] for k in range(1, stretches)]
     kind = placed.select(place.alias("p")).schema["p"].dataType.simpleString()
-    heads = F.from_json(F.lit(json.dumps(named[::step], default=str)), f"array<{kind}>")
-    groups = F.from_json(F.lit(json.dumps([named[k : k + step] for k in range(0, len(named), step)], default=str)), f"array<array<{kind}>>")
-    group = F.size(F.filter(heads, lambda b: b <= place)) - 1
-    return F.when(group < 0, 0).otherwise(group * step + F.size(F.filter(F.get(groups, group), lambda b: b <= place)))
+    listed = lambda x, of: F.from_json(F.lit(json.dumps(x, default=str)), of)
+    stretch = F.lit(0)
+    if bounds:
+        step = math.isqrt(len(bounds)) + 1
+        heads = listed(bounds[::step], f"array<{kind}>")
+        groups = listed([bounds[k : k + step] for k in range(0, len(bounds), step)], f"array<array<{kind}>>")
+        group = F.size(F.filter(heads, lambda b: b <= place)) - 1
+        stretch = F.when(group < 0, 0).otherwise(group * step + F.size(F.filter(F.get(groups, group), lambda b: b <= place)))
+    parts = math.ceil(ranges / stretches)
+    if parts == 1:
+        return stretch.cast("long")
+    edges = listed([found[0], *bounds, found[-1]], f"array<{kind}>")
+    within = _within({c: F.col(c) for c in names}, F.get(edges, stretch), F.get(edges, stretch + 1), parts, key)
+    return stretch.cast("long") * parts + within
 
 
 def _in_order(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -66,7 +93,7 @@ def _in_order(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     placed = docs.select(F.col(key).isNull().alias("no_id"), key, text.alias("text"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("row"))
-    placed = placed.withColumn("range", F.coalesce(_range(placed, key), F.lit(0))).withColumn("c", canonical(F.col("text")))
+    placed = placed.withColumn("range", F.coalesce(_range(placed, key), F.lit(0).cast("long"))).withColumn("c", canonical(F.col("text")))
     placed = placed.select("range", "no_id", key, "tie", "row", "text", wide_hash(F.col("c")).alias("h"), F.unhex(F.sha2("c", 256)).alias("s"))
     w = W.partitionBy("range").orderBy("no_id", key, "tie", "row")
     return placed.select(key, "tie", "range", F.lag(F.lit(1)).over(w).isNull().alias("is_head"), "text", "h", "s", F.lead(F.struct("text", "h", "s")).over(w).alias("next"))
@@ -84,18 +111,29 @@ def _edited(rows: DataFrame) -> DataFrame:
     return out.withColumns({"edited_sha256": F.sha2("edited", 256), "he": wide_hash(F.col("ce")), "se": F.unhex(F.sha2("ce", 256))})
 
 
+def _following(ranges: DataFrame) -> DataFrame:
+    """ranges(range), each once -> range, following: the next number that is there, and for the last one the first.
+
+    Numbers are put in order in blocks of NEIGHBOURS; only one row for each block passes through one task.
+    """
+    own = ranges.select("range", F.floor(F.col("range") / NEIGHBOURS).alias("block"))
+    blocks = own.groupBy("block").agg(F.min("range").alias("first"))
+    blocks = blocks.select("block", F.coalesce(F.lead("first").over(W.orderBy("block")), F.min("first").over(W.partitionBy())).alias("beyond"))
+    near = own.withColumn("near", F.lead("range").over(W.partitionBy("block").orderBy("range")))
+    return near.join(blocks, "block").select("range", F.coalesce("near", "beyond").alias("following"))
+
+
 def _with_edited(docs: DataFrame) -> DataFrame:
     """doc_id, tie and _MADE of each row. After the last document comes the first.
 
-    All but the last rows of ranges are done where the range is sorted; those, MOST_RANGES at most, then take the heads of
-    the next ranges that have rows. Only the numbers of ranges pass through one task.
+    All but the last rows of ranges are done where the range is sorted; those, one for each range, then take the heads of
+    the next ranges that have rows.
     """
     rows, own = _edited(_in_order(docs)), F.struct("text", "h", "s")
     kept = ("doc_id", "tie", *_MADE)
     first = written(rows.select(*kept, "range", F.when(F.col("is_head"), own).alias("head"), F.when(F.col("next").isNull(), own).alias("open")), "fingerprints")
     heads = first.filter("head is not null").select("range", "head")
-    around = heads.select("range").withColumn("following", F.coalesce(F.lead("range").over(W.orderBy("range")), F.min("range").over(W.partitionBy())))
-    following = around.join(heads.select(F.col("range").alias("following"), F.col("head").alias("next")), "following").select("range", "next")
+    following = _following(heads).join(heads.select(F.col("range").alias("following"), F.col("head").alias("next")), "following").select("range", "next")
     ends = first.filter("open is not null").select("doc_id", "tie", "range", "open.*").join(following, "range")
     return first.filter("open is null").select(*kept).unionByName(written(_edited(ends).select(*kept), "range-ends"))
 
