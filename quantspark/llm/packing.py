@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_batches, uniform, written
+from .common import partitions, table, text_batches, uniform, written
 
 WINDOW = 2048
 END_ID = 1
@@ -22,8 +22,9 @@ END_ID = 1
 SHARD_BYTES, DOC_BYTES = 1 << 20, 128
 #: Bytes of ids in a range of the lexical order, about; a task takes a range at a time and holds one of its shards.
 RANGE_BYTES = 4 << 20
-#: Ranges at most, and sampled documents for each of them; their keys are all that the driver gets besides term counts.
-MOST_RANGES, SAMPLED = 16384, 16
+#: Stretches of the lexical order at most whose bounds are sampled, and sampled documents for each of them; their keys are all
+#: that the driver gets besides term counts. A stretch is cut evenly into as many ranges as it needs.
+STRETCHES, SAMPLED = 16384, 16
 #: Terms of a document that decide its place in the lexical order.
 LEAD_TERMS = 3
 #: BM25's constants.
@@ -125,22 +126,37 @@ def _keys(corpus: Corpus, blobs: list[bytes]) -> list[tuple[int, int]]:
     return out
 
 
-def _ranged(tokens: DataFrame, corpus: Corpus, bounds: list[tuple[int, int, int]]) -> DataFrame:
-    """tokens(doc_id, ids, row) with the place in the lexical order and the range that this falls in."""
+Place = tuple[int, int, int]
+
+
+def _part(place: Place, lo: Place, hi: Place, parts: int) -> int:
+    """Which of the `parts` ranges of the stretch from lo to hi a place is in: by the first number in which the two differ, evenly."""
+    if not lo <= place < hi:
+        return 0 if place < lo else parts - 1
+    own, low, high = next((own, low, high) for own, low, high in zip(place, lo, hi, strict=True) if low != high)
+    return min(parts - 1, (own - low) * parts // (high - low))
+
+
+def _ranged(tokens: DataFrame, corpus: Corpus, edges: list[Place], parts: int) -> DataFrame:
+    """tokens(doc_id, ids, row) with the place in the lexical order and the range that this falls in: one of `parts` between two edges."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from bisect import bisect_right
 
+        bounds = edges[1:-1]
         for b in batches:
             keys = _keys(corpus, b.column("ids").to_pylist())
-            at = [bisect_right(bounds, (k, crc, row)) for (k, crc), row in zip(keys, b.column("row").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([k for k, _ in keys], pa.int64()), pa.array([crc for _, crc in keys], pa.int64()), b.column("doc_id"), b.column("ids")], ["range", "lead", "crc", "doc_id", "ids"])
+            at = []
+            for (k, crc), row in zip(keys, b.column("row").to_pylist(), strict=True):
+                stretch = bisect_right(bounds, (k, crc, row))
+                at.append(stretch * parts + (_part((k, crc, row), edges[stretch], edges[stretch + 1], parts) if parts > 1 and edges else 0))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([k for k, _ in keys], pa.int64()), pa.array([crc for _, crc in keys], pa.int64()), b.column("doc_id"), b.column("ids")], ["range", "lead", "crc", "doc_id", "ids"])
 
-    return tokens.mapInArrow(place, "range int, lead long, crc long, doc_id long, ids binary")
+    return tokens.mapInArrow(place, "range long, lead long, crc long, doc_id long, ids binary")
 
 
-def _bounds(tokens: DataFrame, corpus: Corpus, ranges: int) -> list[tuple[int, int, int]]:
-    """Where ranges of about equal numbers of documents start, from a sample by hash of the contents and the row's number."""
+def _edges(tokens: DataFrame, corpus: Corpus, stretches: int, ranges: int) -> list[Place]:
+    """Where stretches of about equal sizes start, and the end, from a sample by hash of the contents and the row's number."""
     if ranges < 2:
         return []
 
@@ -149,14 +165,14 @@ def _bounds(tokens: DataFrame, corpus: Corpus, ranges: int) -> list[tuple[int, i
             own = _keys(corpus, b.column("ids").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int64()), pa.array([c for _, c in own], pa.int64()), b.column("row"), pa.array([len(x) + DOC_BYTES for x in b.column("ids").to_pylist()], pa.int64())], ["lead", "crc", "row", "weight"])
 
-    share = min(1.0, ranges * SAMPLED / corpus.n)
+    share = min(1.0, stretches * SAMPLED / corpus.n)
     some = tokens.filter(uniform(F.xxhash64("ids"), "doc_id", "row") < share).select("ids", "row")
     found = sorted((tuple(r) for r in some.mapInArrow(keys, "lead long, crc long, row long, weight long").collect()))
     if not found:
         return []
     ends = np.cumsum([x[3] for x in found])
-    cut = np.unique(np.searchsorted(ends, ends[-1] * np.arange(1, ranges) / ranges))
-    return [found[k][:3] for k in cut]
+    cut = np.unique(np.searchsorted(ends, ends[-1] * np.arange(1, stretches) / stretches))
+    return [found[k][:3] for k in (0, *cut, -1)]
 
 
 def scores(corpus: Corpus, ids: list[np.ndarray]) -> np.ndarray:
@@ -230,7 +246,7 @@ def _pack(corpus: Corpus, window: int, shard_bytes: int):
             score = scores(corpus, ids) if len(ids) > 1 else np.zeros((1, 1), np.float32)
             out, most = [], 0
             for d, start, length, sequence, offset in windows(ids, score, window):
-                out.append((rows[d][0], start, length, zlib.crc32(rows[d][1][4 * start : 4 * (start + length)]), len(ids[d]), (of_range << 40) + number + sequence, offset))
+                out.append((rows[d][0], start, length, zlib.crc32(rows[d][1][4 * start : 4 * (start + length)]), len(ids[d]), (of_range << 32) + number + sequence, offset))
                 most = sequence
             number += most + 1
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=_PIECES)
@@ -257,8 +273,9 @@ def packed(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None,
     whole corpus. Documents are then put in a lexical order: by the terms that weigh most in them, so that those with the
     same leading terms, and near copies, stand together. A shard of the BM25 index is a run of that order of about
     shard_bytes; a task holds one at a time, asks it for each seed's neighbours by all terms of the seed, and fills
-    windows. The order is cut into ranges by a sample of its keys, so a term that leads in a third of all documents, or
-    a group of copies, takes many ranges.
+    windows. The order is cut into ranges, as many as the size of the corpus asks for, by a sample of its keys and evenly
+    between them, so a term that leads in a third of all documents, or a group of copies, takes many ranges. A task may
+    take several ranges in turn.
 
     Null and empty texts have the end id alone. Repeated rows and ids are packed each. A document that is longer than a
     window is cut. A shard leaves one window short at most. Rows that agree in all read
@@ -271,8 +288,10 @@ def packed(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None,
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     tokens = written(tokenized(docs, tokenizer, ranks).withColumn("row", F.monotonically_increasing_id()), "tokens")
     corpus = corpus_of(tokens)
-    ranges = min(MOST_RANGES, max(1, math.ceil((4 * round(corpus.n * corpus.mean) + DOC_BYTES * corpus.n) / max(RANGE_BYTES, shard_bytes))))
-    placed = _ranged(tokens, corpus, _bounds(tokens, corpus, ranges)).repartition(ranges, "range").sortWithinPartitions("range", "lead", "crc", F.col("doc_id").asc_nulls_last())
+    ranges = max(1, math.ceil((4 * round(corpus.n * corpus.mean) + DOC_BYTES * corpus.n) / max(RANGE_BYTES, shard_bytes)))
+    stretches = min(STRETCHES, ranges)
+    tasks = min(ranges, max(STRETCHES, partitions(spark)))
+    placed = _ranged(tokens, corpus, _edges(tokens, corpus, stretches, ranges), math.ceil(ranges / stretches)).repartition(tasks, "range").sortWithinPartitions("range", "lead", "crc", F.col("doc_id").asc_nulls_last())
     return placed.select("range", "doc_id", "ids").mapInArrow(_pack(corpus, window, shard_bytes), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
