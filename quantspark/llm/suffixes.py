@@ -22,6 +22,8 @@ BATCH_BYTES = 8 << 20
 SHARD_BYTES = 8 << 20
 #: Different contexts of one prefix in one batch above which all of them go straight to the comparison window by window.
 MANY = 256
+#: Runs that are settled within a batch which go to one shard together.
+PIECE = 1024
 
 #: Bases of the two polynomial hashes of a string.
 _MUL, _MUL_2 = 6364136223846793005, 2862933555777941757
@@ -176,15 +178,21 @@ _FOUND = "doc long, start long, n long, kind int"
 
 
 def _dealt(shards: int, main: np.ndarray, repeated: np.ndarray, unclear: np.ndarray) -> pa.RecordBatch:
-    """A row for each shard with runs: its part of the hash order, and an even share of what is settled already."""
+    """A row for each shard that gets any of the batch's runs. Those of main go by the hash order; what is settled already goes in pieces
+    to shards that are spread evenly, from one on that differs by batch. So a batch makes as many rows as it has runs at most, whatever the
+    number of shards, and a passage that fills all batches loads no shard more than others."""
     shard = (main["key"] >> _U(32)) * _U(shards) >> _U(32)
-    cut = np.searchsorted(shard, np.arange(shards + 1))
-    share = lambda x, s: x[s * len(x) // shards : (s + 1) * len(x) // shards]
+    there, cut = np.unique(shard, return_index=True)
+    cut = np.append(cut, len(main))
+    own = {int(s): main[cut[k] : cut[k + 1]] for k, s in enumerate(there)}
+    pieces = min(shards, -(-max(len(repeated), len(unclear)) // PIECE))
+    from_shard = int(_mix((repeated if len(repeated) else unclear)["doc"][:1].astype(np.uint64))[0] % _U(shards)) if pieces else 0
+    piece = {(from_shard + k * shards // pieces) % shards: k for k in range(pieces)}
+    share = lambda x, s: x[piece[s] * len(x) // pieces : (piece[s] + 1) * len(x) // pieces] if s in piece else x[:0]
     rows = []
-    for s in range(shards):
-        parts = main[cut[s] : cut[s + 1]], share(repeated, s), share(unclear, s)
-        if any(map(len, parts)):
-            rows.append((s, *(b"".join(x[f].tobytes() for f in _RUN.names) for x in parts)))
+    for s in sorted({*own, *piece}):
+        parts = own.get(s, main[:0]), share(repeated, s), share(unclear, s)
+        rows.append((s, *(b"".join(x[f].tobytes() for f in _RUN.names) for x in parts)))
     columns = list(zip(*rows, strict=True)) or [()] * 4
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["shard", "main", "repeated", "unclear"])
 
@@ -307,8 +315,9 @@ def _unclear_parts(shards: int):
             key[found["doc"]] = found["key"]
             shard = (key >> _U(32)) * _U(shards) >> _U(32)
             empty, rows = b"", []
-            for s in np.unique(shard[cool]):
-                at = cool[shard[cool] == s]
+            cool = cool[np.argsort(shard[cool], kind="stable")]
+            there, cut = np.unique(shard[cool], return_index=True)
+            for s, at in zip(there, (cool[a:z] for a, z in zip(cut, [*cut[1:], len(cool)])), strict=True):
                 texts = [own[k] for k in at]
                 rows.append((int(s), False, docs[at].tobytes(), starts[at].astype("<u4").tobytes(), np.array([len(t) for t in texts], "<u4").tobytes(), b"".join(texts), empty, empty, empty))
             if len(warm):

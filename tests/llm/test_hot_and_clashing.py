@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quantspark.llm import common, fingerprints, setsketch, vectors
+from quantspark.llm import common, fingerprints, packing, setsketch, suffixes, vectors
 from quantspark.llm.extendible import shard, write_shards
 from quantspark.llm.fixity import audit, record_digests, warc_records
 from quantspark.llm.mixing import mix, mixed_documents
@@ -64,10 +64,13 @@ def third_of_rows(prose, n=240):
     return [(5, prose(20, 1))] * (n // 3) + [(9, prose(12, 1000 + k)) for k in range(n // 3)] + [(100 + k, prose(15, k)) for k in range(n // 3)]
 
 
-@pytest.mark.parametrize("per_range", [7, 64])
-def test_fingerprints_in_many_ranges(spark, prose, monkeypatch, per_range):
-    """The ranges hold about as many rows each though one id, and one row, holds a third; an outlier id changes nothing."""
+@pytest.mark.parametrize(("per_range", "stretches"), [(7, 4096), (64, 4096), (7, 6), (7, 1)])
+def test_fingerprints_in_many_ranges(spark, prose, monkeypatch, per_range, stretches):
+    """The ranges hold about as many rows each though one id, and one row, holds a third; an outlier id changes nothing. Where there are
+    fewer stretches than ranges, these are cut again; and numbers of ranges are linked in blocks."""
     monkeypatch.setattr(fingerprints, "RANGE_DOCS", per_range)
+    monkeypatch.setattr(fingerprints, "STRETCHES", stretches)
+    monkeypatch.setattr(fingerprints, "NEIGHBOURS", 5)
     rows = [*third_of_rows(prose), (10**15, "far off"), (None, "no id"), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = fingerprints.fingerprints(docs).collect()
@@ -82,7 +85,57 @@ def test_fingerprints_in_many_ranges(spark, prose, monkeypatch, per_range):
     assert sorted(((r.doc_id, r.edited_sha256, r.near_next) for r in got), key=str) == sorted(want, key=str)
     placed = docs.select(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), F.monotonically_increasing_id().alias("row"))
     sizes = [r["count"] for r in placed.groupBy(fingerprints._range(placed, "doc_id").alias("r")).count().collect()]
-    assert max(sizes) <= 4 * per_range + 8
+    assert stretches == 1 or len(sizes) > len(rows) / per_range / 3
+    assert stretches < 4096 or max(sizes) <= 4 * per_range + 8
+
+
+@pytest.mark.parametrize("stretches", [1, 3])
+def test_ranges_of_dense_ids_follow_the_table(spark, monkeypatch, stretches):
+    monkeypatch.setattr(fingerprints, "RANGE_DOCS", 50)
+    monkeypatch.setattr(fingerprints, "STRETCHES", stretches)
+    placed = spark.range(4000).select(F.lit(False).alias("no_id"), F.col("id").alias("doc_id"), F.xxhash64("id").alias("tie"), F.col("id").alias("row"))
+    got = placed.select("doc_id", fingerprints._range(placed, "doc_id").alias("r")).orderBy("doc_id").collect()
+    assert [r.r for r in got] == sorted(r.r for r in got)
+    assert max(Counter(r.r for r in got).values()) <= 50 * 4
+
+
+def test_parts_of_a_stretch_keep_the_order():
+    lo, hi = (5, 10, 0), (9, 3, 7)
+    places = [(a, b, c) for a in range(3, 12) for b in (0, 3, 10, 20) for c in (0, 7)]
+    for low, high in ((lo, hi), ((5, 10, 0), (5, 20, 0)), ((5, 10, 0), (5, 10, 8)), (lo, lo)):
+        parts = [packing._part(p, low, high, 4) for p in places]
+        assert parts == sorted(parts) and set(parts) <= set(range(4))
+
+
+def test_packing_in_more_ranges_than_stretches(spark, prose, monkeypatch):
+    """A common leading term, one text that holds a third of all rows, and null texts: each id is in one piece, and no sequence is in two ranges."""
+    rows = [*third_of_rows(prose, 600), (None, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    whole = packed(docs, window=64).collect()
+    monkeypatch.setattr(packing, "RANGE_BYTES", 2000)
+    monkeypatch.setattr(packing, "STRETCHES", 4)
+    got = packed(docs, window=64, shard_bytes=1000).collect()
+    assert len({r.sequence_id >> 32 for r in got}) > 8
+    tokens = lambda found: Counter({r: n for r, n in Counter((r.doc_id, r.start + k) for r in found for k in range(r.length)).items()})
+    assert tokens(got) == tokens(whole)
+    by_sequence = defaultdict(list)
+    for r in got:
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    for own in by_sequence.values():
+        assert [o for o, _ in sorted(own)] == [0, *np.cumsum([n for _, n in sorted(own)])[:-1]] and sum(n for _, n in own) <= 64
+
+
+@pytest.mark.parametrize("shards", [1, 7, 100_000])
+def test_a_batch_sends_its_runs_once_whatever_the_number_of_shards(shards):
+    """Also where one passage fills the batch: what is settled is spread over shards, and a batch makes no more rows than it has runs."""
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 107, 3000, dtype=np.uint8))] * 40 + [bytes(rng.integers(97, 107, 500, dtype=np.uint8)) for _ in range(20)]
+    runs = suffixes.sampled_suffixes(np.arange(len(texts)), texts)
+    rows = suffixes._batch(runs, shards).to_pylist()
+    assert len({r["shard"] for r in rows}) == len(rows) <= min(shards, len(runs)) and all(0 <= r["shard"] < shards for r in rows)
+    sent = np.concatenate([suffixes._runs(r[c]) for r in rows for c in ("main", "repeated", "unclear")])
+    assert sorted(sent[["doc", "start", "n"]].tolist()) == sorted(runs[["doc", "start", "n"]].tolist())
+    assert shards < 100_000 or max(len(suffixes._runs(r["repeated"])) for r in rows) <= suffixes.PIECE
 
 
 def test_forced_clashes_of_the_wide_hash(spark, prose, monkeypatch):
