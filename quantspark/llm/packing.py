@@ -18,10 +18,10 @@ from .common import partitions, table, text_batches, uniform, written
 
 WINDOW = 2048
 END_ID = 1
-#: Bytes of ids in a shard of the index, about, and what a document counts besides its ids; so a shard has 8192 documents at most.
-SHARD_BYTES, DOC_BYTES = 1 << 20, 128
+#: Bytes of ids in a shard of the index, about, and what a document counts besides its ids; so a shard has 32768 documents at most.
+SHARD_BYTES, DOC_BYTES = 4 << 20, 128
 #: Bytes of ids in a range of the lexical order, about; a task takes a range at a time and holds one of its shards.
-RANGE_BYTES = 4 << 20
+RANGE_BYTES = 8 << 20
 #: Stretches of the lexical order at most whose bounds are sampled, and sampled documents for each of them; their keys are all
 #: that the driver gets besides term counts. A stretch is cut evenly into as many ranges as it needs.
 STRETCHES, SAMPLED = 16384, 16
@@ -29,8 +29,10 @@ STRETCHES, SAMPLED = 16384, 16
 LEAD_TERMS = 3
 #: BM25's constants.
 K1, B = 1.2, 0.75
-#: Columns of a dense block of terms when scores are counted.
-COLUMNS = 4096
+#: One document in so many has a term whose weights an index keeps for all documents.
+COMMON = 8
+#: Neighbours of a seed that are put in order before the others.
+FIRST = 64
 
 
 @cache
@@ -88,8 +90,10 @@ class Corpus:
         """The LEAD_TERMS terms that weigh most among those that other documents have too; -1 where there are fewer."""
         term, weight = self.terms(ids)
         weight = np.where(self.df[term] > 1, weight, 0)
-        best = np.lexsort((term, -weight))[:LEAD_TERMS] if len(term) > LEAD_TERMS else np.argsort(-weight, kind="stable")
-        out = [int(term[k]) for k in best if weight[k] > 0]
+        if len(term) > LEAD_TERMS:
+            most = np.flatnonzero(weight >= np.partition(weight, -LEAD_TERMS)[-LEAD_TERMS])
+            term, weight = term[most], weight[most]
+        out = [int(term[k]) for k in np.argsort(-weight, kind="stable")[:LEAD_TERMS] if weight[k] > 0]
         return out + [-1] * (LEAD_TERMS - len(out))
 
 
@@ -175,30 +179,48 @@ def _edges(tokens: DataFrame, corpus: Corpus, stretches: int, ranges: int) -> li
     return [found[k][:3] for k in (0, *cut, -1)]
 
 
-def scores(corpus: Corpus, ids: list[np.ndarray]) -> np.ndarray:
-    """BM25 of each document (column) for each document as a query of all its distinct terms (row), from the inverted
-    index of a shard: by term the documents that have it, and its weight in each, multiplied block by block of terms."""
-    n = len(ids)
-    own = [corpus.terms(x) for x in ids]
-    doc = np.repeat(np.arange(n), [len(t) for t, _ in own])
-    term, weight = np.concatenate([t for t, _ in own]), np.concatenate([w for _, w in own])
-    known, posting, count = np.unique(term, return_inverse=True, return_counts=True)
-    shared = count[posting] > 1
-    doc, posting, weight = doc[shared], np.unique(posting[shared], return_inverse=True)[1], weight[shared]
-    order = np.argsort(posting, kind="stable")
-    doc, posting, weight = doc[order], posting[order], weight[order]
-    out = np.zeros((n, n), np.float32)
-    for at in range(0, int(posting[-1]) + 1 if len(posting) else 0, COLUMNS):
-        part = slice(*np.searchsorted(posting, [at, at + COLUMNS]))
-        width = min(COLUMNS, int(posting[-1]) + 1 - at)
-        asked, held = np.zeros((n, width), np.float32), np.zeros((n, width), np.float32)
-        asked[doc[part], posting[part] - at] = 1
-        held[doc[part], posting[part] - at] = weight[part]
-        out += asked @ held.T
-    return out
+class Index:
+    """The inverted index of a shard: by term the documents that have it, and its weight in each.
 
+    A term that at least one document in COMMON has keeps a weight for every document (so COMMON times the room of its
+    postings at most), any other term its postings. A question reads the terms of its seed only.
+    """
 
-def windows(ids: list[np.ndarray], score: np.ndarray, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
+    def __init__(self, corpus: Corpus, ids: list[np.ndarray]):
+        own = [corpus.terms(x) for x in ids]
+        self.n, sizes = len(ids), [len(t) for t, _ in own]
+        _, posting, count = np.unique(np.concatenate([t for t, _ in own]), return_inverse=True, return_counts=True)
+        doc, weight = np.repeat(np.arange(self.n), sizes), np.concatenate([w for _, w in own])
+        common = count * COMMON >= self.n
+        row = np.cumsum(common) - 1
+        dense = common[posting]
+        self.dense = np.zeros((int(common.sum()), self.n), np.float32)
+        self.dense[row[posting[dense]], doc[dense]] = weight[dense]
+        rare = np.flatnonzero(~dense)
+        rare = rare[np.argsort(posting[rare], kind="stable")]
+        self.docs, self.weights = doc[rare], weight[rare].astype(np.float64)
+        self.begins = np.concatenate([[0], np.cumsum(np.where(common, 0, count))])
+        ends = np.cumsum(sizes)
+        self.rows = [row[x[common[x]]] for x in np.split(posting, ends[:-1])]
+        self.postings = [x[~common[x]] for x in np.split(posting, ends[:-1])]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of each document for a query of all distinct terms of one."""
+        at, ends = self.begins[self.postings[seed]], self.begins[self.postings[seed] + 1]
+        sizes = ends - at
+        read = np.arange(sizes.sum()) + np.repeat(at - np.cumsum(sizes) + sizes, sizes)
+        return self.dense[self.rows[seed]].sum(axis=0) + np.bincount(self.docs[read], weights=self.weights[read], minlength=self.n)
+
+
+def _best_first(score: np.ndarray) -> Iterator[int]:
+    """Documents of any score, the best first; most windows are full after a few, so only those are sorted at once."""
+    found = np.flatnonzero(score > 0)
+    edge = np.partition(score[found], -FIRST)[-FIRST] if len(found) > FIRST else 0
+    for part in (found[score[found] >= edge], found[score[found] < edge]):
+        yield from part[np.argsort(-score[part], kind="stable")].tolist()
+
+
+def windows(ids: list[np.ndarray], index: Index, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece.
 
     A seed document, and then its unused neighbours by score, fill the window; a document that does not fit is cut and
@@ -212,11 +234,9 @@ def windows(ids: list[np.ndarray], score: np.ndarray, window: int = WINDOW) -> I
     seed, rest, queue, fresh = -1, 0, iter(()), True
     while left:
         if rest == 0:
-            doc = next((int(d) for d in queue if not used[d]), -1)
+            doc = next((d for d in queue if not used[d]), -1)
             if doc < 0 and fresh and seed >= 0:
-                own = np.where(used, 0, score[seed])
-                found = np.flatnonzero(own > 0)
-                queue, fresh = iter(found[np.argsort(-own[found], kind="stable")]), False
+                queue, fresh = _best_first(np.where(used, 0, index.scores(seed))), False
                 continue
             if doc < 0:
                 while used[at]:
@@ -243,9 +263,8 @@ def _pack(corpus: Corpus, window: int, shard_bytes: int):
         def pieces() -> pa.RecordBatch:
             nonlocal number
             ids = [_ids(x) for _, x in rows]
-            score = scores(corpus, ids) if len(ids) > 1 else np.zeros((1, 1), np.float32)
             out, most = [], 0
-            for d, start, length, sequence, offset in windows(ids, score, window):
+            for d, start, length, sequence, offset in windows(ids, Index(corpus, ids), window):
                 out.append((rows[d][0], start, length, zlib.crc32(rows[d][1][4 * start : 4 * (start + length)]), len(ids[d]), (of_range << 32) + number + sequence, offset))
                 most = sequence
             number += most + 1

@@ -97,9 +97,9 @@ def test_index_scores_are_those_of_plain_bm25(spark, prose):
     corpus = packing.corpus_of(packing.tokenized(tokens.repartition(3), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")))
     ids = [np.array(encode(t), "<u4") for t in texts]
     assert corpus.n == 40 and corpus.mean == sum(map(len, ids)) / 40
-    got = packing.scores(corpus, ids)
+    index = packing.Index(corpus, ids)
     for seed in (0, 7, 39):
-        assert np.allclose(got[seed], plain_bm25([x.tolist() for x in ids], seed), rtol=1e-4)
+        assert np.allclose(index.scores(seed), plain_bm25([x.tolist() for x in ids], seed), rtol=1e-4)
 
 
 def test_windows_take_the_best_unused_neighbour(prose):
@@ -111,8 +111,8 @@ def test_windows_take_the_best_unused_neighbour(prose):
     for x in ids:
         df[np.unique(x)] += 1
     corpus = packing.Corpus(len(ids), sum(map(len, ids)), df)
-    score = packing.scores(corpus, ids)
-    pieces = list(packing.windows(ids, score, 1024))
+    index = packing.Index(corpus, ids)
+    pieces = list(packing.windows(ids, index, 1024))
     lengths = defaultdict(int)
     for doc, start, length, sequence, offset in pieces:
         assert offset == lengths[sequence] and length > 0
@@ -121,11 +121,35 @@ def test_windows_take_the_best_unused_neighbour(prose):
     assert all(v == 1024 for v in sizes[:-1]) and sum(sizes) == sum(map(len, ids))
     first = [p[0] for p in pieces if p[3] == 0]
     unused = set(range(len(ids))) - {first[0]}
+    score = index.scores(first[0])
     for doc in first[1:]:
-        assert score[first[0]][doc] >= max(score[first[0]][list(unused)]) - 1e-4
+        assert score[doc] >= max(score[list(unused)]) - 1e-4
         unused.discard(doc)
 
 
+def test_an_index_takes_room_for_its_postings_only():
+    """Very many short documents: common terms keep a row each, rare ones their postings, and no pair of documents a place."""
+    rng = np.random.default_rng(3)
+    ids = [np.append(rng.integers(100, 5000, rng.integers(0, 4)), [7] * (k % 3) + [1]).astype("<u4") for k in range(20000)]
+    df = np.zeros(1 << 13, np.int64)
+    for x in ids:
+        df[np.unique(x)] += 1
+    index = packing.Index(packing.Corpus(len(ids), sum(map(len, ids)), df), ids)
+    postings = sum(len(np.unique(x)) for x in ids)
+    assert index.dense.size <= packing.COMMON * postings and 0 < len(index.docs) < postings
+    own = [set(x.tolist()) for x in ids]
+    for seed in (0, 1, 19999):
+        score = index.scores(seed)
+        assert ((score > 0) == np.array([bool(own[seed] & x) for x in own])).all()
+
+
+def test_best_neighbours_come_first_and_ties_in_order():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, packing.FIRST, packing.FIRST + 1, 1000):
+        score = rng.integers(0, 12, n).astype(float)
+        assert list(packing._best_first(score)) == sorted(np.flatnonzero(score > 0), key=lambda k: (-score[k], k))
+
+
 def test_neighbours_meet_in_a_shard(spark):
     """Against plain BM25 over the whole table: how good the best neighbour is that a document's own shard holds."""
     rows = [r.text for r in spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet").select("text").orderBy("doc_id").collect()]
@@ -139,7 +163,8 @@ def test_neighbours_meet_in_a_shard(spark):
     corpus = packing.Corpus(len(ids), sum(map(len, ids)), df)
     order = sorted(range(len(ids)), key=lambda k: packing._keys(corpus, [ids[k].tobytes()]))
     ends = np.cumsum([4 * len(ids[k]) + packing.DOC_BYTES for k in order])
-    whole = packing.scores(corpus, ids)
+    index = packing.Index(corpus, ids)
+    whole = np.stack([index.scores(k) for k in range(len(ids))])
     np.fill_diagonal(whole, 0)
 
     def reached(order):
