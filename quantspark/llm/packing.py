@@ -59,19 +59,37 @@ def _encoder(json_path: str, ranks_path: str):
 
 
 def tokenized(docs: DataFrame, tokenizer: str, ranks: str, end_id: int = END_ID) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, ids: little-endian unsigned 32-bit ids, the end id last."""
+    """docs(doc_id, text) -> doc_id, ids: see _blob(); the end id last."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _encoder(tokenizer, ranks)
         for b in batches:
-            out = [np.append(ids(t or ""), end_id).astype("<u4").tobytes() for t in b.column("text").to_pylist()]
+            out = [_blob(np.append(ids(t or ""), end_id)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary")
 
 
+def _blob(ids: np.ndarray) -> bytes:
+    """Ids as little-endian unsigned numbers of 32 bits, or of 16 bits and a zero byte where they fit; so an odd length tells."""
+    return ids.astype("<u2").tobytes() + b"\0" if ids.max(initial=0) < 1 << 16 else ids.astype("<u4").tobytes()
+
+
 def _ids(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, "<u4")
+    return np.frombuffer(blob, "<u2", len(blob) // 2).astype("<u4") if len(blob) % 2 else np.frombuffer(blob, "<u4")
+
+
+def _size(blob: bytes) -> int:
+    """What a document counts in shards and ranges: bytes of its ids as 32-bit numbers, and DOC_BYTES."""
+    return 4 * (len(blob) // (2 if len(blob) % 2 else 4)) + DOC_BYTES
+
+
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids in order, and how many ids there are up to each; numpy.unique without what it does for other types."""
+    ids = np.sort(ids)
+    last = np.flatnonzero(ids[1:] != ids[:-1])
+    ends = np.append(last, len(ids) - 1)
+    return ids[ends], ends + 1
 
 
 class Corpus:
@@ -80,16 +98,18 @@ class Corpus:
     def __init__(self, n: int, tokens: int, df: np.ndarray):
         self.n, self.mean, self.df = n, tokens / max(n, 1), df
         self.idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+        self.shared = np.where(df > 1, self.idf, np.float32(0))
 
-    def terms(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def terms(self, ids: np.ndarray, idf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The distinct ids of a document, and the weight of each in it."""
-        term, tf = np.unique(ids, return_counts=True)
-        return term, self.idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / self.mean))).astype(np.float32)
+        term, ends = _distinct(ids)
+        tf = ends.astype(np.float32)
+        tf[1:] -= tf[:-1].copy()
+        return term, (self.idf if idf is None else idf)[term] * (np.float32(K1 + 1) * tf / (tf + np.float32(K1 * (1 - B + B * len(ids) / self.mean))))
 
     def lead(self, ids: np.ndarray) -> list[int]:
         """The LEAD_TERMS terms that weigh most among those that other documents have too; -1 where there are fewer."""
-        term, weight = self.terms(ids)
-        weight = np.where(self.df[term] > 1, weight, 0)
+        term, weight = self.terms(ids, self.shared)
         if len(term) > LEAD_TERMS:
             most = np.flatnonzero(weight >= np.partition(weight, -LEAD_TERMS)[-LEAD_TERMS])
             term, weight = term[most], weight[most]
@@ -105,11 +125,12 @@ def corpus_of(tokens: DataFrame) -> Corpus:
         df = np.zeros(1 << 16, np.int64)
         for b in batches:
             for blob in b.column("ids").to_pylist():
-                own = np.unique(_ids(blob))
+                ids = _ids(blob)
+                own = _distinct(ids)[0]
                 if own[-1] >= len(df):
                     df = np.append(df, np.zeros(int(own[-1]) + 1 - len(df), np.int64))
                 df[own] += 1
-                n, total = n + 1, total + len(blob) // 4
+                n, total = n + 1, total + len(ids)
         there = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], there]), pa.int64()), pa.array(np.concatenate([[n, total], df[there]]), pa.int64())], ["id", "n"])
 
@@ -167,7 +188,7 @@ def _edges(tokens: DataFrame, corpus: Corpus, stretches: int, ranges: int) -> li
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = _keys(corpus, b.column("ids").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int64()), pa.array([c for _, c in own], pa.int64()), b.column("row"), pa.array([len(x) + DOC_BYTES for x in b.column("ids").to_pylist()], pa.int64())], ["lead", "crc", "row", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int64()), pa.array([c for _, c in own], pa.int64()), b.column("row"), pa.array([_size(x) for x in b.column("ids").to_pylist()], pa.int64())], ["lead", "crc", "row", "weight"])
 
     share = min(1.0, stretches * SAMPLED / corpus.n)
     some = tokens.filter(uniform(F.xxhash64("ids"), "doc_id", "row") < share).select("ids", "row")
@@ -189,7 +210,9 @@ class Index:
     def __init__(self, corpus: Corpus, ids: list[np.ndarray]):
         own = [corpus.terms(x) for x in ids]
         self.n, sizes = len(ids), [len(t) for t, _ in own]
-        _, posting, count = np.unique(np.concatenate([t for t, _ in own]), return_inverse=True, return_counts=True)
+        term = np.concatenate([t for t, _ in own])
+        count = np.bincount(term, minlength=len(corpus.df))
+        posting, count = (np.cumsum(count > 0) - 1)[term], count[count > 0]
         doc, weight = np.repeat(np.arange(self.n), sizes), np.concatenate([w for _, w in own])
         common = count * COMMON >= self.n
         row = np.cumsum(common) - 1
@@ -265,20 +288,20 @@ def _pack(corpus: Corpus, window: int, shard_bytes: int):
             ids = [_ids(x) for _, x in rows]
             out, most = [], 0
             for d, start, length, sequence, offset in windows(ids, Index(corpus, ids), window):
-                out.append((rows[d][0], start, length, zlib.crc32(rows[d][1][4 * start : 4 * (start + length)]), len(ids[d]), (of_range << 32) + number + sequence, offset))
+                out.append((rows[d][0], start, length, zlib.crc32(ids[d][start : start + length]), len(ids[d]), (of_range << 32) + number + sequence, offset))
                 most = sequence
             number += most + 1
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=_PIECES)
 
         for b in batches:
             for r, doc_id, blob in zip(b.column("range").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
-                if rows and (r != of_range or weight + len(blob) + DOC_BYTES > shard_bytes):
+                if rows and (r != of_range or weight + _size(blob) > shard_bytes):
                     yield pieces()
                     rows, weight = [], 0
                 if r != of_range:
                     of_range, number = r, 0
                 rows.append((doc_id, blob))
-                weight += len(blob) + DOC_BYTES
+                weight += _size(blob)
         if rows:
             yield pieces()
 

@@ -143,6 +143,15 @@ def test_an_index_takes_room_for_its_postings_only():
         assert ((score > 0) == np.array([bool(own[seed] & x) for x in own])).all()
 
 
+def test_ids_of_either_width_come_back():
+    for ids in ([1], [0, 65535], [0, 65536], [1 << 31, 7], list(range(500)), list(range(65000, 66000))):
+        blob = packing._blob(np.array(ids, np.uint32))
+        assert packing._ids(blob).tolist() == ids and packing._ids(blob).dtype == np.uint32
+        assert packing._size(blob) == 4 * len(ids) + packing.DOC_BYTES
+        term, ends = packing._distinct(packing._ids(blob + b""))
+        assert dict(zip(term.tolist(), np.diff(ends, prepend=0).tolist(), strict=True)) == Counter(ids)
+
+
 def test_best_neighbours_come_first_and_ties_in_order():
     rng = np.random.default_rng(4)
     for n in (0, 1, packing.FIRST, packing.FIRST + 1, 1000):
