@@ -12,6 +12,8 @@ from quantspark.sources.shared import written
 
 #: Bars, or blocks of them, that a block of the next level summarises.
 BLOCK = 32
+#: Waiting orders that one task holds, as it remembers the least node of each.
+WAITING = 1 << 16
 
 
 def align_ticks(bars: DataFrame) -> DataFrame:
@@ -54,6 +56,7 @@ def match_fills(orders: DataFrame, bars: DataFrame, slippage_bps: float = 0.0, c
     then goes down to the bar, so it meets `block` entries a level and way, however long it waits and however many bars
     there are. For limit and stop orders the first block that fits holds the fill; for stop-limit orders the test is
     necessary only, and all blocks that fit are followed. Orders and bars are written once, as every level reads them.
+    Waiting orders are parted by their number, not by their bytes, so a task's memory does not grow with the table.
     """
     kind = F.col("order_type")
     cols = orders.columns
@@ -62,7 +65,9 @@ def match_fills(orders: DataFrame, bars: DataFrame, slippage_bps: float = 0.0, c
     at_open = bars.select("symbol", F.col("bar_seq").alias("submit_seq"), "fill_ts", F.col("open").alias("price"))
     filled = orders.filter(kind == "MKT").join(at_open, ["symbol", "submit_seq"]).select(*cols, F.col("submit_seq").alias("bar_seq"), "fill_ts", "price")
     waiting = orders.filter(kind != "MKT")
-    if not waiting.isEmpty():
+    n = waiting.count()
+    if n:
+        waiting = waiting.repartition(max(-(-n // WAITING), orders.sparkSession.sparkContext.defaultParallelism), "order_key")
         price = F.when(kind == "STP", F.col("stop_price")).otherwise(F.col("limit_price"))
         touched = waiting.join(_first_touch(waiting, bars, block), "order_key").join(bars.select("symbol", "bar_seq", "fill_ts"), ["symbol", "bar_seq"])
         filled = filled.unionByName(touched.select(*cols, "bar_seq", "fill_ts", price.alias("price")))

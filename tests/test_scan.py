@@ -134,3 +134,16 @@ def test_null_keys_match_nothing(spark, tolerance):
     left = at([(1, None, 5), (2, "A", 5)], "id long, symbol string, ts long")
     right = at([(None, 4, 1.0), ("A", 4, 2.0)], "symbol string, ts long, v double")
     assert {r.id: r.v for r in asof(left, right, ["symbol"], "ts", ["v"], tolerance).collect()} == {1: None, 2: 2.0}
+
+
+def test_tasks_hold_a_bounded_number_of_waiting_orders(spark, monkeypatch):
+    """What a task remembers of each order is bounded by the number of orders, not by the bytes of a file."""
+    monkeypatch.setattr("quantspark.operators.fills.WAITING", 10, raising=False)
+    bars = bars_of(spark)
+    orders = spark.range(150).selectExpr("id AS order_key", "'A' AS symbol", "CASE WHEN id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side", "1.0D AS quantity", "CASE WHEN id % 3 = 0 THEN 'MKT' ELSE 'LMT' END AS order_type", "100.0D + id % 5 - 2 AS limit_price", "CAST(NULL AS DOUBLE) AS stop_price", "id % 60 AS submit_seq")
+    out = match_fills(orders.coalesce(1), bars)
+    assert "RepartitionByExpression [order_key" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and ", 10\n" in plan
+    own = bars.select(F.col("symbol").alias("s"), "bar_seq", "low", "high")
+    fits = F.expr("s = symbol AND bar_seq >= submit_seq AND CASE WHEN order_type = 'MKT' THEN bar_seq = submit_seq WHEN side = 'BUY' THEN low <= limit_price ELSE high >= limit_price END")
+    want = orders.join(own, fits).groupBy("order_key").agg(F.min("bar_seq"))
+    assert sorted(map(tuple, out.select("order_key", "bar_seq").collect())) == sorted(map(tuple, want.collect()))
