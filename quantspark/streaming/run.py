@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspark.sources.shared import shared_dir
+from quantspark.sources.shared import shared_dir, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -23,12 +23,16 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
 
 
 def in_files(rows: DataFrame, order: str, files: int = 3) -> str:
-    """Writes rows to a folder as so many files, one after another, the least values of order first; for streams of several batches."""
+    """Writes rows to a folder as so many files, one after another, the least values of order first; for streams of several batches.
+
+    Rows are made once; each file takes its own of them in parallel, and only these go to the task that writes it.
+    """
+    rows = written(rows, "rows") if files > 1 else rows
     path = f"{shared_dir(rows.sparkSession)}/feed-{uuid.uuid4().hex}"
     cuts = rows.agg(F.percentile_approx(order, [(k + 1) / files for k in range(files - 1)])).first()[0] or []
     for k in range(len(cuts) + 1):
         own = F.lit(True) if k == 0 else F.col(order) > F.lit(cuts[k - 1])
-        rows.filter(own & (F.col(order) <= F.lit(cuts[k]) if k < len(cuts) else F.lit(True))).coalesce(1).write.mode("append").parquet(path)
+        rows.filter(own & (F.col(order) <= F.lit(cuts[k]) if k < len(cuts) else F.lit(True))).repartition(1).write.mode("append").parquet(path)
     return path
 
 

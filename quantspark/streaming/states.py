@@ -38,40 +38,76 @@ class _Processor(StatefulProcessor):
 
 
 class _Transitions(_Processor):
-    """Remembers the last status of an order, its time, and whether the order is open and not yet reported."""
+    """Remembers, for each order of a bucket, its last status, the time of that, and when the order runs out of time; null where it is closed or reported.
 
-    def __init__(self, timeout_s: float | None, event_time: bool, keys: tuple[str, ...]):
+    A state call costs far more than a row, so a bucket's orders share one state and one timer.
+    """
+
+    def __init__(self, timeout_s: float | None, event_time: bool, keys: tuple[str, ...], types: list[str]):
         self.timeout, self.event_time, self.keys = None if timeout_s is None else int(timeout_s * 1e6), event_time, keys
         self.message = f"timeout_seconds={timeout_s}"
+        self.schema = ", ".join(f"k{i} array<{t}>" for i, t in enumerate(types)) + ", status array<string>, at array<long>, due array<long>, timer long"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.last = handle.getValueState("last", "status string, at long, open boolean")
+        self.orders = handle.getValueState("orders", self.schema)
 
     def _row(self, key: tuple, i: int, at: int, status: str | None, late: bool = False) -> Row:
         return Row(**dict(zip(self.keys, key, strict=True)), id=i, at=at, status=status, where_text="oms.track" if late else None, message=self.message if late else None)
 
+    def _known(self) -> tuple[dict[tuple, tuple], int | None]:
+        """Orders by key as (status, at, due), and the time of the bucket's timer in milliseconds."""
+        found, n = self.orders.get(), len(self.keys)
+        if found is None:
+            return {}, None
+        return dict(zip(zip(*found[:n], strict=True), zip(*found[n : n + 3], strict=True), strict=True)), found[n + 3]
+
+    def _keep(self, known: dict[tuple, tuple], timer: int | None, fired: bool = False) -> None:
+        """Writes the orders, with a timer for the first that runs out of time."""
+        due = min((o[2] for o in known.values() if o[2] is not None), default=None)
+        due = None if due is None else _milliseconds(due)
+        if due != timer:
+            if timer is not None and not fired:  # a timer that has fired goes by itself
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        self.orders.update((*map(list, zip(*known, strict=True)), *map(list, zip(*known.values(), strict=True)), due))
+
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        known = tuple(self.last.get()) if self.last.exists() else None
-        for at, i, status in sorted((r.at, r.id, r.status) for r in rows):
-            if self.event_time and known and known[2] and at - known[1] > self.timeout:
-                yield self._row(key, -1, known[1] + self.timeout, known[0], True)
-            if known is None or known[0] != status:
-                yield self._row(key, i, at, status)
-            known = status, at, (status or "").strip() not in TERMINAL
-        self.last.update(known)
-        if self.timeout is not None:
-            begin = known[1] if self.event_time else timerValues.getCurrentProcessingTimeInMs() * 1000
-            self.timer(begin + self.timeout if known[2] else None)
+        orders, timer = self._known()
+        events: dict[tuple, list] = {}
+        n = len(self.keys)
+        for r in rows:
+            events.setdefault(tuple(r[1 : 1 + n]), []).append(tuple(r[1 + n : 4 + n]))
+        for k, own in events.items():
+            known = orders.get(k)
+            for at, i, status in sorted(own):
+                if self.event_time and known and known[2] is not None and at > known[2]:
+                    yield self._row(k, -1, known[2], known[0], True)
+                if known is None or known[0] != status:
+                    yield self._row(k, i, at, status)
+                is_open = self.timeout is not None and (status or "").strip() not in TERMINAL
+                known = status, at, at + self.timeout if is_open else None
+            if known[2] is not None and not self.event_time:
+                known = *known[:2], timerValues.getCurrentProcessingTimeInMs() * 1000 + self.timeout
+            orders[k] = known
+        self._keep(orders, timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        status, at, is_open = self.last.get()
-        if is_open:
-            self.last.update((status, at, False))
-            yield self._row(key, -1, at + self.timeout if self.event_time else expiredTimerInfo.getExpiryTimeInMs() * 1000, status, True)
+        orders, timer = self._known()
+        now = max(timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs(), expiredTimerInfo.getExpiryTimeInMs() + 1)
+        for k, (status, at, due) in orders.items():
+            if due is not None and _milliseconds(due) < now:
+                orders[k] = status, at, None
+                yield self._row(k, -1, due, status, True)
+        self._keep(orders, timer, True)
 
 
-def stream_transitions(events: DataFrame, timeout_s: float | None = None, keys: tuple[str, ...] = ("order_id",), delay: str | None = None) -> DataFrame:
+#: Buckets that orders are dealt to.
+BUCKETS = 1 << 13
+
+
+def stream_transitions(events: DataFrame, timeout_s: float | None = None, keys: tuple[str, ...] = ("order_id",), delay: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """events(order_id, id, ts, status) -> events whose status differs from the order's last one, over all batches.
 
     With run_id among the keys each run starts anew. Null statuses equal each other. With timeout_s, an order that is open
@@ -80,14 +116,18 @@ def stream_transitions(events: DataFrame, timeout_s: float | None = None, keys:
     With delay, time is that of the events, which come at most so much out of order: the row has the time at which the
     order ran out of it, and is there as soon as an event of any order is `delay` past that. Which rows there are then does
     not depend on how the events are cut into batches. Without delay, time is that of the machine.
+
+    Orders are remembered by buckets of their hash, since calls to the state and results cost by group: a batch writes the
+    buckets that it has events for. With very many orders, more buckets keep what it writes small; a checkpoint fixes them.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     by_event = timeout_s is not None and delay is not None
-    rows = events.select(*keys, "id", "ts", _micros("ts").alias("at"), "status")
-    rows = rows.withWatermark("ts", delay) if by_event else rows
-    out = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys) + ", id long, at long, status string, where_text string, message string"
+    rows = events.select(F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("bucket"), *keys, _micros("ts").alias("at"), "id", "status", "ts")
+    rows = rows.withWatermark("ts", delay) if by_event else rows.drop("ts")
+    types = [events.schema[k].dataType.simpleString() for k in keys]
+    out = ", ".join(f"{k} {t}" for k, t in zip(keys, types, strict=True)) + ", id long, at long, status string, where_text string, message string"
     mode = "none" if timeout_s is None else "eventTime" if by_event else "processingTime"
-    made = rows.groupBy(*keys).transformWithState(statefulProcessor=_Transitions(timeout_s, by_event, keys), outputStructType=out, outputMode="Append", timeMode=mode)
+    made = rows.groupBy("bucket").transformWithState(statefulProcessor=_Transitions(timeout_s, by_event, keys, types), outputStructType=out, outputMode="Append", timeMode=mode)
     return made.select(*keys, "id", F.timestamp_micros("at").alias("ts"), "status", "where_text", "message")
 
 
