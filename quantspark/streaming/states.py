@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -43,17 +45,21 @@ class _Transitions(_Processor):
     A state call costs far more than a row, so a bucket's orders share one state and one timer.
     """
 
-    def __init__(self, timeout_s: float | None, event_time: bool, keys: tuple[str, ...], types: list[str]):
+    def __init__(self, timeout_s: float | None, event_time: bool, keys: tuple[str, ...]):
         self.timeout, self.event_time, self.keys = None if timeout_s is None else int(timeout_s * 1e6), event_time, keys
         self.message = f"timeout_seconds={timeout_s}"
-        self.schema = ", ".join(f"k{i} array<{t}>" for i, t in enumerate(types)) + ", status array<string>, at array<long>, due array<long>, timer long"
+        self.schema = ", ".join(f"k{i} array<string>" for i in range(len(keys))) + ", status array<string>, at array<long>, due array<long>, timer long"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.orders = handle.getValueState("orders", self.schema)
 
-    def _row(self, key: tuple, i: int, at: int, status: str | None, late: bool = False) -> Row:
-        return Row(**dict(zip(self.keys, key, strict=True)), id=i, at=at, status=status, where_text="oms.track" if late else None, message=self.message if late else None)
+    def _row(self, key: tuple, i: int, at: int, status: str | None, late: bool = False) -> tuple:
+        return *key, i, at, status, "oms.track" if late else None, self.message if late else None
+
+    def _frame(self, found: list[tuple]) -> Iterator[pd.DataFrame]:
+        if found:
+            yield pd.DataFrame(found, columns=[*self.keys, "id", "at", "status", "where_text", "message"])
 
     def _known(self) -> tuple[dict[tuple, tuple], int | None]:
         """Orders by key as (status, at, due), and the time of the bucket's timer in milliseconds."""
@@ -73,34 +79,39 @@ class _Transitions(_Processor):
                 self.handle.registerTimer(due)
         self.orders.update((*map(list, zip(*known, strict=True)), *map(list, zip(*known.values(), strict=True)), due))
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         orders, timer = self._known()
         events: dict[tuple, list] = {}
-        n = len(self.keys)
-        for r in rows:
-            events.setdefault(tuple(r[1 : 1 + n]), []).append(tuple(r[1 + n : 4 + n]))
+        for df in rows:
+            texts = [[None if v != v else v for v in df[c]] for c in (*self.keys, "status")]  # a missing text may come as NaN
+            for *k, status, at, i in zip(*texts, df["at"].tolist(), df["id"].tolist(), strict=True):
+                events.setdefault(tuple(k), []).append((at, i, status))
+        found: list[tuple] = []
         for k, own in events.items():
             known = orders.get(k)
             for at, i, status in sorted(own):
                 if self.event_time and known and known[2] is not None and at > known[2]:
-                    yield self._row(k, -1, known[2], known[0], True)
+                    found.append(self._row(k, -1, known[2], known[0], True))
                 if known is None or known[0] != status:
-                    yield self._row(k, i, at, status)
+                    found.append(self._row(k, i, at, status))
                 is_open = self.timeout is not None and (status or "").strip() not in TERMINAL
                 known = status, at, at + self.timeout if is_open else None
             if known[2] is not None and not self.event_time:
                 known = *known[:2], timerValues.getCurrentProcessingTimeInMs() * 1000 + self.timeout
             orders[k] = known
         self._keep(orders, timer)
+        yield from self._frame(found)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         orders, timer = self._known()
         now = max(timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs(), expiredTimerInfo.getExpiryTimeInMs() + 1)
+        found: list[tuple] = []
         for k, (status, at, due) in orders.items():
             if due is not None and _milliseconds(due) < now:
                 orders[k] = status, at, None
-                yield self._row(k, -1, due, status, True)
+                found.append(self._row(k, -1, due, status, True))
         self._keep(orders, timer, True)
+        yield from self._frame(found)
 
 
 #: Buckets that orders are dealt to.
@@ -122,45 +133,67 @@ def stream_transitions(events: DataFrame, timeout_s: float | None = None, keys:
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     by_event = timeout_s is not None and delay is not None
-    rows = events.select(F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("bucket"), *keys, _micros("ts").alias("at"), "id", "status", "ts")
+    rows = events.select(F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("bucket"), *[F.col(k).cast("string").alias(k) for k in keys], _micros("ts").alias("at"), "id", "status", "ts")
     rows = rows.withWatermark("ts", delay) if by_event else rows.drop("ts")
-    types = [events.schema[k].dataType.simpleString() for k in keys]
-    out = ", ".join(f"{k} {t}" for k, t in zip(keys, types, strict=True)) + ", id long, at long, status string, where_text string, message string"
+    out = ", ".join(f"{k} string" for k in keys) + ", id long, at long, status string, where_text string, message string"
     mode = "none" if timeout_s is None else "eventTime" if by_event else "processingTime"
-    made = rows.groupBy("bucket").transformWithState(statefulProcessor=_Transitions(timeout_s, by_event, keys, types), outputStructType=out, outputMode="Append", timeMode=mode)
-    return made.select(*keys, "id", F.timestamp_micros("at").alias("ts"), "status", "where_text", "message")
+    made = rows.groupBy("bucket").transformWithStateInPandas(statefulProcessor=_Transitions(timeout_s, by_event, keys), outputStructType=out, outputMode="Append", timeMode=mode)
+    return made.select(*[F.col(k).cast(events.schema[k].dataType).alias(k) for k in keys], "id", F.timestamp_micros("at").alias("ts"), "status", "where_text", "message")
 
 
-class _LatestQuotes(_Processor):
-    """Remembers the time of the newest quote and when it was seen."""
-
-    def __init__(self, ttl_s: float | None):
-        self.ttl = None if ttl_s is None else int(ttl_s * 1e6)
+class _Newest(_Processor):
+    """Remembers the time of the newest quote; the newest of a batch decides, so rows are folded as they come."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.newest = handle.getValueState("newest", "at long, seen long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        known = tuple(self.newest.get()) if self.newest.exists() else None
-        if self.ttl is None:  # the newest of a batch decides, so rows are folded as they come
-            best = max(rows, key=lambda r: (r.at, r.seen))
-            if known is None or best.at > known[0]:
-                self.newest.update((best.at, best.seen))
-                yield Row(symbol=key[0], at=best.at, seen=best.seen, quote=best.quote)
-            return
-        for seen, at, quote in sorted(((r.seen, r.at, r.quote) for r in rows), key=lambda r: r[:2]):
-            if known is None or seen - known[1] > self.ttl or at > known[0]:
-                known = at, seen
-                yield Row(symbol=key[0], at=at, seen=seen, quote=quote)
+        known = self.newest.get()
+        best = max(rows, key=lambda r: (r.at, r.seen))
+        if known is None or best.at > known[0]:
+            self.newest.update((best.at, best.seen))
+            yield Row(symbol=key[0], at=best.at, seen=best.seen, quote=best.quote)
+
+
+#: Quotes that go on at a time.
+CHUNK = 1 << 16
+
+
+class _Unexpired(_Processor):
+    """Remembers the time of the newest quote and when it was seen. A batch's quotes are arrays of numbers, and go on in chunks."""
+
+    def __init__(self, ttl_s: float):
+        self.ttl = int(ttl_s * 1e6)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.newest = handle.getValueState("newest", "at long, seen long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known = self.newest.get()
+        parts = [(df[["seen", "at", "empty"]].to_numpy("int64"), df[list(QUOTED)].to_numpy("float64")) for df in rows]
+        times, prices = (np.concatenate(p) for p in zip(*parts, strict=True))
+        del parts
+        order = np.lexsort((times[:, 1], times[:, 0]))
+        for start in range(0, len(order), CHUNK):
+            own = order[start : start + CHUNK]
+            goes = []
+            for k, (seen, at) in enumerate(times[own, :2].tolist()):
+                if known is None or seen - known[1] > self.ttl or at > known[0]:
+                    known = at, seen
+                    goes.append(k)
+            own = own[goes]
+            yield pd.DataFrame({"symbol": pd.Series([key[0]] * len(own), dtype=object), "seen": times[own, 0], "at": times[own, 1], "empty": times[own, 2], **{c: prices[own, k] for k, c in enumerate(QUOTED)}})
         self.newest.update(known)
         self.timer(known[1] + self.ttl)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.newest.clear()
         return iter(())
 
 
+QUOTED = ("bid", "ask", "last", "close")
 PRICES = "struct<bid:double,ask:double,last:double,close:double>"
 
 
@@ -175,10 +208,18 @@ def stream_latest_quotes(quotes: DataFrame, ttl_s: float | None = 1.0, delay: st
     """
     quotes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     seen = "seen_at" if "seen_at" in quotes.columns else "ts"
-    rows = quotes.select("symbol", F.col(seen).alias("seen_at"), _micros("ts").alias("at"), _micros(seen).alias("seen"), F.struct("bid", "ask", "last", "close").cast(PRICES).alias("quote"))
-    rows = rows.withWatermark("seen_at", delay) if ttl_s is not None else rows
-    made = rows.groupBy("symbol").transformWithState(statefulProcessor=_LatestQuotes(ttl_s), outputStructType=f"symbol string, at long, seen long, quote {PRICES}", outputMode="Append" if ttl_s is not None else "Update", timeMode="none" if ttl_s is None else "eventTime")
-    return made.select("symbol", F.timestamp_micros("at").alias("ts"), "quote.*", F.timestamp_micros("seen").alias("seen_at"))
+    at = [_micros("ts").alias("at"), _micros(seen).alias("seen")]
+    if ttl_s is None:
+        rows = quotes.select("symbol", *at, F.struct(*QUOTED).cast(PRICES).alias("quote"))
+        made = rows.groupBy("symbol").transformWithState(statefulProcessor=_Newest(), outputStructType=f"symbol string, at long, seen long, quote {PRICES}", outputMode="Update", timeMode="none")
+        return made.select("symbol", F.timestamp_micros("at").alias("ts"), "quote.*", F.timestamp_micros("seen").alias("seen_at"))
+    # numbers of pandas cannot be null, so one says which prices are
+    empty = sum((F.col(c).isNull().cast("int") * 2**k for k, c in enumerate(QUOTED)), F.lit(0))
+    rows = quotes.select("symbol", F.col(seen).alias("seen_at"), *at, empty.cast("long").alias("empty"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in QUOTED]).withWatermark("seen_at", delay)
+    out = "symbol string, seen long, at long, empty long, " + ", ".join(f"{c} double" for c in QUOTED)
+    made = rows.groupBy("symbol").transformWithStateInPandas(statefulProcessor=_Unexpired(ttl_s), outputStructType=out, outputMode="Append", timeMode="eventTime")
+    price = lambda k, c: F.when(F.col("empty").bitwiseAND(2**k) == 0, F.coalesce(c, F.lit(float("nan")))).alias(c)
+    return made.select("symbol", F.timestamp_micros("at").alias("ts"), *[price(k, c) for k, c in enumerate(QUOTED)], F.timestamp_micros("seen").alias("seen_at"))
 
 
 class _Unsorted(_Processor):

@@ -156,3 +156,20 @@ def test_trade_from_feeds(spark, tmp_path, cut):
     # 499 are held from 9 to 29, so that one more is allowed; the quote of 11 is too old at 25
     want = {1: none, 4: None, 5: short, 8: None, 10: large, 12: none, 20: None, 25: none, 28: loss, 30: loss, 32: None}
     assert got == {("feed", k): v for k, v in want.items()} | {("every_n", 11): None, ("every_n", 33): None}
+
+
+def test_prices_of_quotes_stay_what_they_are(spark):
+    """Nulls stay null and NaN stays NaN, in every chunk of a symbol's quotes."""
+    rows = [("A", 1000 + k, [None, float("nan"), 1.5, -0.0][k % 4], [2.5, None, float("nan")][k % 3]) for k in range(24)] + [(None, 1005, 1.0, None)]
+    quotes = spark.createDataFrame(rows, "symbol string, t long, bid double, last double").select("symbol", F.timestamp_seconds("t").alias("ts"), "bid", F.lit(None).cast("double").alias("ask"), "last", F.lit(7).alias("close"))
+    got = run_available(stream_latest_quotes(read_stream(spark, in_files(quotes, "ts"), 1), 10.0), "quotes")
+    assert sorted(map(str, ((r.symbol, int(r.ts.timestamp()), r.bid, r.ask, r.last, r.close) for r in got.collect()))) == sorted(map(str, ((s, t, b, None, p, 7.0) for s, t, b, p in rows)))
+
+
+def test_quotes_and_orders_reach_python_as_columns(spark, tmp_path):
+    """A symbol's quotes in a batch are arrays of numbers, and orders share the state of a bucket."""
+    spark.createDataFrame([(1, "a", None, "Submitted")], SCHEMA).selectExpr("*", "order_id AS symbol", *[f"1D AS {c}" for c in ("bid", "ask", "last", "close")]).write.parquet(str(tmp_path / "in"))
+    rows = read_stream(spark, str(tmp_path / "in"))
+    plan = lambda df: df._jdf.queryExecution().logical().toString()
+    quotes, orders = plan(stream_latest_quotes(rows, 1.0)), plan(stream_transitions(rows))
+    assert "empty" in quotes and "bucket" in orders
