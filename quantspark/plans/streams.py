@@ -12,7 +12,7 @@ from quantspark.plans import market, trading
 from quantspark.sources.audit import read_audit
 from quantspark.sources.shared import shared_dir
 from quantspark.streaming.bars import FEED, stream_bars, stream_build_bars, stream_evaluate, stream_trade, stream_validate_bars
-from quantspark.streaming.run import in_files, read_stream, run_available
+from quantspark.streaming.run import fed, read_stream, run_available
 from quantspark.streaming.states import stream_latest_quotes, stream_transitions
 
 
@@ -22,7 +22,7 @@ def _events(spark, sf):
 
 def _fed(spark, sf, table, order):
     """The table as a stream of several micro-batches, in order."""
-    return read_stream(spark, in_files(d.table(spark, sf, table), order), 1)
+    return fed(d.table(spark, sf, table), order)
 
 
 def s1_stream_transitions(spark, sf):
@@ -42,7 +42,7 @@ QUALIFY lag(status) OVER (PARTITION BY run_id, order_id ORDER BY ts, id) IS DIST
 
 def s2_track_timeouts(spark, sf):
     """Orders that have had no event for a day while open, by the time of the events."""
-    feed = read_stream(spark, in_files(d.status_feed(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), "ts"), 1)
+    feed = fed(d.status_feed(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), "ts")
     out = run_available(stream_transitions(feed, 86400.0, delay="10 minutes"), "timeouts")
     return out.filter("where_text is not null").select("order_id", "ts", "status", "where_text", "message")
 
@@ -55,7 +55,7 @@ WHERE status NOT IN ({trading.TERMINAL}) AND coalesce(next, (SELECT max(ts) FROM
 def s3_quote_expiry(spark, sf):
     """Every third quote is six hours old when it is seen; it goes on if its symbol's last one was seen more than half an hour before."""
     rows = d.table(spark, sf, "events").selectExpr("upper(event_type) AS symbol", "CAST(ts AS TIMESTAMP) AS seen_at", "CAST(CASE WHEN event_id % 3 = 0 THEN ts - INTERVAL 6 HOURS ELSE ts END AS TIMESTAMP) AS ts", "CAST(NULL AS DOUBLE) AS bid", "CAST(NULL AS DOUBLE) AS ask", "value AS last", "CAST(NULL AS DOUBLE) AS close")
-    feed = read_stream(spark, in_files(rows, "seen_at"), 1)
+    feed = fed(rows, "seen_at")
     return run_available(stream_latest_quotes(feed, 1800.0, "1 minute"), "expiry").select("symbol", "seen_at", "ts", "last")
 
 
@@ -91,7 +91,7 @@ def s4_stream_order(spark, sf):
     """Faulty bars in three batches, with all issues, those of their order among them."""
     rows = d.table(spark, sf, "events").selectExpr("upper(event_type) AS symbol", "event_id AS bar_index", *d.spark_exprs(market.FAULTY))
     rows = rows.withColumns({c: F.col(c).cast("double") for c in market.FAULTY})
-    out = run_available(stream_validate_bars(read_stream(spark, in_files(rows, "bar_index"), 1), 3600.0), "issues")
+    out = run_available(stream_validate_bars(fed(rows, "bar_index"), 3600.0), "issues")
     return out.select("symbol", "bar_index", "level", "code")
 
 
@@ -109,13 +109,13 @@ def s6_stream_evaluate(spark, sf):
 
 
 def _feed(spark, sf, parts):
-    """Rows of a feed in three files by time; columns that a kind of row does not fill are null."""
+    """Rows of a feed in three batches by time; columns that a kind of row does not fill are null."""
     rows = None
     for part in parts:
         part = part.withColumn("ts", F.col("ts").cast("timestamp"))
         part = part.select(*[(F.col(f.name) if f.name in part.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(FEED)])
         rows = part if rows is None else rows.unionByName(part)
-    return read_stream(spark, in_files(rows, "ts"), 1)
+    return fed(rows, "ts")
 
 
 def _decided(spark, feed, **options):

@@ -4,16 +4,18 @@ import random
 import time
 
 import pytest
+from helpers import SF, plain
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+import __spark_entry__ as entry
 from quantspark.operators.audit import TERMINAL, status_transitions
 from quantspark.operators.risk import evaluate_risk
 from quantspark.operators.validate import validate_bars
 from quantspark.schemas import AUDIT
 from quantspark.sources.audit import read_audit
 from quantspark.streaming.bars import FEED, stream_evaluate, stream_trade, stream_validate_bars
-from quantspark.streaming.run import in_files, read_stream, run_available
+from quantspark.streaming.run import fed, in_files, read_stream, run_available
 from quantspark.streaming.states import stream_latest_quotes, stream_transitions
 
 SCHEMA = "id long, order_id string, ts timestamp, status string"
@@ -173,3 +175,30 @@ def test_quotes_and_orders_reach_python_as_columns(spark, tmp_path):
     plan = lambda df: df._jdf.queryExecution().logical().toString()
     quotes, orders = plan(stream_latest_quotes(rows, 1.0)), plan(stream_transitions(rows))
     assert "empty" in quotes and "bucket" in orders
+
+
+@pytest.mark.parametrize("tied", [False, True])
+def test_batches_of_a_feed_have_several_files(spark, monkeypatch, tied):
+    """Each batch is one third of the rows in order, and has files for several tasks; where many rows share a time it has fewer."""
+    monkeypatch.setattr("quantspark.streaming.run.FILE_ROWS", 20)
+    rows = spark.range(300).selectExpr("id", f"CASE WHEN {tied} AND id > 30 THEN 31 ELSE id END AS at").repartition(7)
+    seen = {}
+
+    def each(batch, k):
+        seen[k] = (batch.select("_metadata.file_path").distinct().count(), sorted(r.at for r in batch.collect()))
+
+    fed(rows.withColumn("text", F.lit("x")), "at").select("id", "at", "_metadata").writeStream.foreachBatch(each).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(at for _, ats in seen.values() for at in ats) == sorted(r.at for r in rows.collect())
+    full = [seen[k][1] for k in sorted(seen) if seen[k][1]]
+    assert all(max(a) < min(b) for a, b in zip(full, full[1:]))
+    if not tied:
+        assert [n for n, _ in seen.values()] == [4, 4, 4] or [n for n, _ in seen.values()] == [5, 5, 5]
+
+
+@pytest.mark.parametrize("name", ["s6_stream_feeds", "s2_track_timeouts", "s3_quote_expiry", "s4_stream_order", "s1_transitions_in_run"])
+def test_streams_of_several_files_a_batch_equal_sql(spark, duck, monkeypatch, name):
+    monkeypatch.setattr("quantspark.streaming.run.FILE_ROWS", 100)
+    query, sql = entry.PLANS[name]
+    want = duck.execute(sql)
+    names = [c[0] for c in want.description]
+    assert plain(query(spark, SF).select(*names).collect()) == plain(want.fetchall())
