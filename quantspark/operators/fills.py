@@ -56,7 +56,8 @@ def match_fills(orders: DataFrame, bars: DataFrame, slippage_bps: float = 0.0, c
     then goes down to the bar, so it meets `block` entries a level and way, however long it waits and however many bars
     there are. For limit and stop orders the first block that fits holds the fill; for stop-limit orders the test is
     necessary only, and all blocks that fit are followed. Orders and bars are written once, as every level reads them.
-    Waiting orders are parted by their number, not by their bytes, so a task's memory does not grow with the table.
+    Waiting orders are parted by their number, not by their bytes, so a task's memory does not grow with the table. What
+    they touch first is written too: both sides of that join are then parted alike, whatever the levels' plans become.
     """
     kind = F.col("order_type")
     cols = orders.columns
@@ -67,9 +68,11 @@ def match_fills(orders: DataFrame, bars: DataFrame, slippage_bps: float = 0.0, c
     waiting = orders.filter(kind != "MKT")
     n = waiting.count()
     if n:
-        waiting = waiting.repartition(max(-(-n // WAITING), orders.sparkSession.sparkContext.defaultParallelism), "order_key")
+        parts = max(-(-n // WAITING), orders.sparkSession.sparkContext.defaultParallelism)
+        waiting = waiting.repartition(parts, "order_key")
         price = F.when(kind == "STP", F.col("stop_price")).otherwise(F.col("limit_price"))
-        touched = waiting.join(_first_touch(waiting, bars, block), "order_key").join(bars.select("symbol", "bar_seq", "fill_ts"), ["symbol", "bar_seq"])
+        first = written(_first_touch(waiting, bars, block), "touches").repartition(parts, "order_key")
+        touched = waiting.join(first, "order_key").join(bars.select("symbol", "bar_seq", "fill_ts"), ["symbol", "bar_seq"])
         filled = filled.unionByName(touched.select(*cols, "bar_seq", "fill_ts", price.alias("price")))
     return filled.withColumn("fill_price", apply_slippage(F.col("price"), F.col("side"), F.lit(float(slippage_bps)))).withColumn("commission", F.lit(float(commission)))
 

@@ -14,6 +14,7 @@ from quantspark.operators.validate import validate_bars, validation_summary
 from quantspark.plans import domain as d
 from quantspark.plans.backtest import every_n_signal, run_backtests
 from quantspark.sources import bars as src
+from quantspark.sources.shared import written
 
 BAR_COLS = ("symbol", "ts", "open", "high", "low", "close", "volume")
 
@@ -52,6 +53,11 @@ def _fills(spark, sf, **costs):
     return fills.match_fills(d.intents(spark, sf), d.bars(spark, sf), **costs)
 
 
+def _fills_once(spark, sf):
+    """Fills as a table, for queries that read them more than once."""
+    return written(_fills(spark, sf), "fills")
+
+
 def a2_parse_epoch(spark, sf):
     return d.table(spark, sf, "events").selectExpr("event_id", f"{TIME_TEXT} AS text").select("event_id", parse_epoch(F.col("text")).alias("epoch_s"))
 
@@ -247,7 +253,7 @@ D4 = f"""WITH {V_ISSUES} SELECT symbol, count(*) FILTER (level = 'error') AS n_e
 
 
 def e3_running_ledger(spark, sf):
-    return _rounded(ledger.running_ledger(_fills(spark, sf)).select("order_key", "cash", "position"), "cash")
+    return _rounded(ledger.running_ledger(_fills_once(spark, sf)).select("order_key", "cash", "position"), "cash")
 
 
 E3 = f"""{d.FILLED} SELECT order_key, round(100000 - sum(q * price) OVER w, 4) AS cash, sum(q) OVER w AS position
@@ -255,7 +261,7 @@ FROM (SELECT *, CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END AS q FRO
 
 
 def e4_average_cost(spark, sf):
-    return _rounded(ledger.average_cost(_fills(spark, sf)), "avg_cost")
+    return _rounded(ledger.average_cost(_fills_once(spark, sf)), "avg_cost")
 
 
 E4 = """WITH RECURSIVE """ + d.FILLED.removeprefix("WITH ") + """,
@@ -269,7 +275,7 @@ SELECT run_id, symbol, arg_max(qty, k) AS position, round(arg_max_null(cost, k),
 
 
 def e5_equity_curve(spark, sf):
-    return _rounded(ledger.equity_curve(_fills(spark, sf), d.bars(spark, sf)), "cash", "net_liquidation", "gross_position_value", "available_funds")
+    return _rounded(ledger.equity_curve(_fills_once(spark, sf), d.bars(spark, sf)), "cash", "net_liquidation", "gross_position_value", "available_funds")
 
 
 E5 = f"""{d.FILLED}, q AS (SELECT run_id, symbol, bar_seq, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) AS dq, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END * price) AS spent FROM v_fills GROUP BY ALL),

@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 
 import pytest
+from helpers import SF, plain
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from quantspark.operators.asof import asof
 from quantspark.operators.fills import history_features, match_fills
 from quantspark.operators.ledger import average_cost, equity_curve, running_ledger
@@ -147,3 +149,20 @@ def test_tasks_hold_a_bounded_number_of_waiting_orders(spark, monkeypatch):
     fits = F.expr("s = symbol AND bar_seq >= submit_seq AND CASE WHEN order_type = 'MKT' THEN bar_seq = submit_seq WHEN side = 'BUY' THEN low <= limit_price ELSE high >= limit_price END")
     want = orders.join(own, fits).groupBy("order_key").agg(F.min("bar_seq"))
     assert sorted(map(tuple, out.select("order_key", "bar_seq").collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["e4_average_cost", "d2_ledger_totals", "d3_backtest_summary", "e5_equity_curve", "e3_running_ledger"])
+def test_queries_on_fills_part_waiting_orders_by_number(spark, duck, monkeypatch, name):
+    """Tasks grow in number with the waiting orders, 100 for each, and the result stays that of the SQL."""
+    monkeypatch.setattr("quantspark.operators.fills.WAITING", 100, raising=False)
+    found = []
+    monkeypatch.setattr("quantspark.operators.fills.match_fills", lambda *a, **costs: found.append(match_fills(*a, **costs)) or found[-1])
+    query, sql = entry.PLANS[name]
+    out = query(spark, SF)
+    plan = found[0]._jdf.queryExecution().optimizedPlan().toString()
+    parted = [int(line.rsplit(", ", 1)[1]) for line in plan.split("\n") if "RepartitionByExpression [order_key" in line]
+    waiting = duck.execute("SELECT count(*) FROM events WHERE event_id // 20 % 4 <> 0").fetchone()[0]
+    assert parted == [-(-waiting // 100)] * 2  # the orders and what they touch first
+    want = duck.execute(sql)
+    names = [c[0] for c in want.description]
+    assert plain(out.select(*names).collect()) == plain(want.fetchall())
