@@ -217,6 +217,9 @@ def _in_buckets(members: DataFrame, classes: DataFrame, texts: DataFrame, roots:
     What is outside a bucket's largest component is dealt to blocks (mb), and all of the bucket to others (blk); a task
     takes one of each. So a bucket of very many rows, nearly all of which are in one component, is split into tasks and
     its rows are copied once.
+
+    The placed rows are written before they are dealt: where there are hot buckets they are a union, and Spark may plan a
+    union of such unions as partitioned by cid and then run it as not partitioned, which fails in the next join by cid.
     """
     rooted = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     per = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
@@ -224,7 +227,8 @@ def _in_buckets(members: DataFrame, classes: DataFrame, texts: DataFrame, roots:
     mixed = per.groupBy("key").agg(F.sum("n").alias("size"), F.sum("bytes").alias("bytes"), most.alias("most"), F.count("*").alias("roots")).filter("roots > 1 and size > 2")
     blocks = lambda n, b: F.greatest(F.ceil(n / BLOCK), F.ceil(b / BLOCK_BYTES), F.lit(1)).cast("int")
     mixed = mixed.select("key", F.col("most.root").alias("top"), blocks(F.col("size"), F.col("bytes")).alias("blks"), blocks(F.col("size") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("mbs"), "size")
-    placed = hot_join(rooted.select("key", "cid", "root", "n"), written(mixed, "mixed-buckets"), "key", "size").withColumn("major", F.col("root") == F.col("top"))
+    placed = hot_join(rooted.select("key", "cid", "root", "n"), written(mixed, "mixed-buckets"), "key", "size")
+    placed = written(placed, "placed").withColumn("major", F.col("root") == F.col("top"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     at = lambda n, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(n)).cast("int")
     all_rows = placed.withColumns({"side": F.lit(1), "blk": at("blks", 1)}).withColumn("mb", every("mbs"))

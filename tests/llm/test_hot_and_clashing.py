@@ -216,6 +216,30 @@ def test_hot_group_of_near_copies_in_small_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == near_by_hand(texts)
 
 
+def test_hot_group_whose_rows_meet_their_roots_in_shuffles(spark, monkeypatch):
+    """Tables over the limit for broadcasts, hot buckets below it: the union of hot and other buckets goes into joins by cid."""
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    monkeypatch.setattr(setsketch, "connected_components", lambda edges, real=setsketch.connected_components: real(edges).hint("merge"))
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(100)]
+    texts = [(k, " ".join(base[:at] + [f"v{k}"] + base[at + 1 :])) for k, at in enumerate(rng.choices(range(100), k=60))]
+    for k in range(12):
+        far = set(rng.sample(range(100), 12))
+        texts.append((100 + k, " ".join(f"g{k}" if at in far else w for at, w in enumerate(base))))
+    for k in range(300):
+        own = " ".join(f"u{rng.randrange(10**6)}" for _ in range(12))
+        texts += [(1000 + 2 * k, own), (1001 + 2 * k, own + " end")]
+    most = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(most)
+    spark.conf.set(most, "20k")
+    try:
+        got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()}
+    finally:
+        spark.conf.set(most, was)
+    hot = near_by_hand([x for x in texts if x[0] < 1000])
+    assert got == hot | {k: k - k % 2 for k in range(1000, 1600)}
+
+
 @pytest.mark.parametrize("kind", ["array<float>", "array<double>"])
 def test_vectors_in_small_cells_and_blocks(spark, monkeypatch, kind):
     monkeypatch.setattr(vectors, "CELL", 24)
