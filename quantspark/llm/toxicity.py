@@ -87,7 +87,8 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
         for b in batches:
             for text, toxic in zip(b["text"], b["toxic"], strict=True):
                 own = {s for w in set(_WORD.findall((text or "").lower())) if len(w) > 2 for s in stems(w)}
-                yield pd.DataFrame({"stem": list(own), "toxic": toxic})
+                if own:  # pandas takes an empty list for numbers
+                    yield pd.DataFrame({"stem": list(own), "toxic": toxic})
 
     n, ones = rows.agg(F.count("*"), F.sum("toxic")).first()
     if not ones or ones == n:

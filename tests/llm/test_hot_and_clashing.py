@@ -180,6 +180,15 @@ def test_manifest_offsets_of_repeated_pages(spark):
     assert audit(manifest, manifest).count() == 0
 
 
+@pytest.mark.parametrize("empty", [None, "", "a b c", "!?"])
+def test_labelled_texts_without_words(spark, prose, empty):
+    """Some of the rows that the lexicon is learned from have no word of three letters; they are scored like all others."""
+    docs = spark.createDataFrame([(k, empty if k % 3 == 0 else prose(8, k)) for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 2)) for k in range(60)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity(docs, labels).collect()}
+    assert sorted(got) == list(range(60)) and len({got[k] for k in range(0, 60, 3)}) == 1 and all(0 <= x <= 1 for x in got.values())
+
+
 def near_by_hand(texts, words=4):
     sets = {}
     for i, t in texts:
